@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, media, mixing, store, token_files
+from tessella.llm import langid, media, mixing, packing, simhash, store, token_files, vectors
 
 #: Names of tokenizer files in the installed package of public tokenizers.
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -42,11 +42,27 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_token_files(manifest))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document that it reaches over near ones."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), words=3, bits=64, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of cosine 0.98 or more within a label."""
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 ids."""
+    return packing.best_fit_pack(documents(spark, sf_dir), tokenizer_path(BYTE_TOKENIZER), 2, 1024)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a lossless WebP image, read back with features."""
     return media.read_media(media.write_media(documents(spark, sf_dir)), pixels=False)
@@ -87,7 +103,10 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_token_files": op2_token_files,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_mix_sources": op6_mix_sources,
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_media_columns": op10_media_columns,
     }
 

@@ -7,6 +7,7 @@ Only where that is unset and Spark runs in one local process is a folder under t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +70,25 @@ def read_shard(uri: str) -> memoryview:
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch from lists or arrays, cast to ``schema``."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch], names: Iterable[str], keys: int) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of a partition sorted by its first ``keys`` columns, one group at a time, as numpy arrays by column.
+
+    Groups may span batches; what waits is one group, whose size the caller bounds.
+    """
+    names, waiting = list(names), None
+    for b in batches:
+        new = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
+        if not b.num_rows:
+            continue
+        waiting = new if waiting is None else {n: np.concatenate([waiting[n], new[n]]) for n in names}
+        change = np.zeros(len(waiting[names[0]]) - 1, bool)
+        for n in names[:keys]:
+            change |= waiting[n][1:] != waiting[n][:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield {n: waiting[n][lo:hi] for n in names}
+        waiting = {n: waiting[n][cuts[-1] :] for n in names}
+    if waiting is not None:
+        yield waiting
