@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, media, mixing, packing, simhash, store, token_files, vectors
+from tessella.llm import langid, media, mixing, packing, simhash, store, substrings, token_files, vectors
 
 #: Names of tokenizer files in the installed package of public tokenizers.
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -58,6 +58,11 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 35 words found elsewhere too cover, and a digest of the rest."""
+    return substrings.remove(documents(spark, sf_dir), length=35, digest=True)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids."""
     return packing.best_fit_pack(documents(spark, sf_dir), tokenizer_path(BYTE_TOKENIZER), 2, 1024)
@@ -106,6 +111,7 @@ def queries() -> dict:
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_media_columns": op10_media_columns,
     }
