@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, media, mixing, packing, simhash, store, substrings, token_files, vectors
+from tessella.llm import langid, lines, media, mixing, ngrams, packing, simhash, store, substrings, token_files, vectors
 
 #: Names of tokenizer files in the installed package of public tokenizers.
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -42,12 +42,25 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_token_files(manifest))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and trie scores of every document, learned from the folds that aren't 1."""
+    docs = documents(spark, sf_dir).withColumn("held_out", fold() == 1)
+    trie = ngrams.train(docs.where(~F.col("held_out")), store.fresh_path(spark, "ngrams"))
+    return ngrams.score(docs, trie, keep=("held_out",))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest document that it reaches over near ones."""
     found = simhash.near_duplicates(documents(spark, sf_dir), words=3, bits=64, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as boilerplate of its source, and a digest of the text left."""
+    found = lines.drop_boilerplate(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -103,12 +116,36 @@ FROM placed
 """
 
 
+LINES_SQL = r"""
+WITH pages AS (SELECT *, row_number() OVER () AS page FROM documents),
+parts AS (
+  SELECT page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM pages WHERE text IS NOT NULL),
+totals AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
+often AS (
+  SELECT c.source, c.line FROM (
+    SELECT source, line, count(DISTINCT page) AS on_pages FROM parts WHERE trim(line) <> '' GROUP BY source, line) c
+  JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+  WHERE c.on_pages >= 5 AND c.on_pages > 0.1::DOUBLE * t.n),
+kept AS (
+  SELECT p.page, count(*) AS n_lines, count(*) FILTER (o.line IS NOT NULL) AS n_dropped,
+         coalesce(string_agg(p.line, chr(10) ORDER BY p.place) FILTER (o.line IS NULL), '') AS text
+  FROM parts p LEFT JOIN often o ON p.source IS NOT DISTINCT FROM o.source AND p.line = o.line
+  GROUP BY p.page)
+SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_dropped, 0)::BIGINT AS n_dropped,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM pages d LEFT JOIN kept k ON d.page = k.page
+"""
+
+
 def queries() -> dict:
     """Queries by name."""
     return {
         "op1_language_id": op1_language_id,
         "op2_token_files": op2_token_files,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_substring_dedup": op8_substring_dedup,
@@ -119,4 +156,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express."""
-    return {"op6_mix_sources": MIX_SQL}
+    return {"op5_line_dedup": LINES_SQL, "op6_mix_sources": MIX_SQL}

@@ -69,7 +69,7 @@ class SortedShards:
         for i, path in enumerate(self.paths):
             own = order[cuts[i] : cuts[i + 1]]
             if len(own):
-                sequence, (words, width) = opened(path, _load)
+                sequence, (words, width) = opened(path, load_set)
                 at = sequence.find(keys[own] - self.firsts[i])
                 hit = at >= 0
                 rank[own] = np.where(hit, at + self.ranks[i], -1)
@@ -78,7 +78,7 @@ class SortedShards:
         return (rank, value) if columns else rank
 
 
-def _load(words: np.ndarray):
+def load_set(words: np.ndarray):
     sequence, at = EliasFano.load(words, 0)
     return sequence, load_packed(words, at)[0]
 
