@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from tessella.plans import relational_queries
+
 FLAGSHIP = "feature_association_fdr"
+_PARTS = (relational_queries,)
 
 
 def queries() -> dict:
     """Queries by name."""
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by name."""
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
