@@ -81,7 +81,7 @@ def sign_flips(df: DataFrame, by: list[str], key: str, value: str, most: int = 1
     order = Window.partitionBy(*by).orderBy(key)
     rows = df.where(F.col(value).isNotNull()).withColumn("bit", F.row_number().over(order) - 1)
     sized = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bit", value))).alias("d"), F.count("*").alias("n")).where(F.col("n") <= most)
-    flips = sized.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("n").cast("int")) - 1)))
+    flips = sized.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n AS int)) - 1"))))
     signed = F.aggregate("d", F.lit(0.0), lambda s, x: s + F.when(F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"].cast("int"))) != 0, -x[value]).otherwise(x[value]))
     plain = F.aggregate("d", F.lit(0.0), lambda s, x: s + x[value])
     tested = flips.select(*by, "n", (F.abs(signed) >= F.abs(plain) - 1e-9).cast("int").alias("hit"), plain.alias("total"))
