@@ -92,12 +92,13 @@ class EliasFano:
         word = np.searchsorted(cumulative, rank, side="right") - 1
         return word * 64 + _select_in_word(words[word], rank - cumulative[word])
 
-    def _zero(self, rank: np.ndarray) -> np.ndarray:
-        """Position of the zero number ``rank``; past the last one, the end."""
-        out = np.full(len(rank), len(self.high) * 64, np.int64)
-        inside = rank < self._zeros[-1]
-        word = np.searchsorted(self._zeros, rank[inside], side="right") - 1
-        out[inside] = word * 64 + _select_in_word(~self.high[word], rank[inside] - self._zeros[word])
+    def _before(self, part: np.ndarray) -> np.ndarray:
+        """Entries whose high part is at most ``part``: the ones before the zero of that number; all of them past the last zero."""
+        out = np.full(len(part), self.n, np.int64)
+        inside = part < self._zeros[-1]
+        rank = part[inside]
+        word = np.searchsorted(self._zeros, rank, side="right") - 1
+        out[inside] = word * 64 + _select_in_word(~self.high[word], rank - self._zeros[word]) - rank
         return out
 
     def get(self, at: np.ndarray) -> np.ndarray:
@@ -114,9 +115,8 @@ class EliasFano:
         if not self.n or not len(values):
             return np.zeros(len(values), np.int64)
         part = (values >> U64(self.low_width)).astype(np.int64)
-        lo = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) - (part - 1), 0)
-        hi = np.minimum(self._zero(part) - part, self.n)
-        lo = np.minimum(lo, self.n)
+        lo = np.where(part > 0, self._before(np.maximum(part - 1, 0)), 0)
+        hi = self._before(part)
         if not self.low_width:
             return lo
         rest = values & U64((1 << self.low_width) - 1)
