@@ -1 +1 @@
-"""Part of Tessella; see the package README."""
+"""Column functions."""

@@ -1 +1 @@
-"""Part of Tessella; see the package README."""
+"""Queries over the driver's tables."""

@@ -1 +1 @@
-"""Part of Tessella; see the package README."""
+"""Kept for streams: none of the surveyed work has any, so nothing is here."""
