@@ -157,3 +157,27 @@ def test_sources(spark, tmp_path):
     changed = own.withColumn("sha256", F.lit("0"))
     assert {r["status"] for r in tables.verify(own, own).collect()} == {"ok"}
     assert {r["status"] for r in tables.verify(own, changed).collect()} == {"changed"}
+
+
+def test_markov_blankets_find_the_parents():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 8))
+    x[:, 5] = x[:, 0] + 0.1 * rng.normal(size=2000)
+    y = x[:, 0] - x[:, 1] + 0.5 * rng.normal(size=2000)
+    r = np.corrcoef(np.column_stack([x, y]).T)
+    from tessella.operators import selection
+
+    assert set(selection.iamb(r, 2000, 8, 1e-4)) == {0, 1} and set(selection.grow_shrink(r, 2000, 8, 1e-4)) == {0, 1}
+    given = [1, 2]
+    a, b = (np.column_stack([x[:, given], np.ones(2000)]) @ np.linalg.lstsq(np.column_stack([x[:, given], np.ones(2000)]), v, rcond=None)[0] for v in (x[:, 0], y))
+    assert selection.partial_correlations(r, 8, given)[0] == pytest.approx(np.corrcoef(x[:, 0] - a, y - b)[0, 1], abs=1e-4)
+
+
+def test_subspaces():
+    from tessella.operators import selection
+
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(6, 6)))[0]
+    assert selection.subspace_similarity(q[:, :2], q[:, :2] @ np.array([[1, 2], [3, 4]])) == pytest.approx(1)
+    assert selection.subspace_similarity(q[:, :2], q[:, 2:4]) == pytest.approx(0, abs=1e-12)
+    assert selection.capture(q[:, 0] + q[:, 5], q[:, :2]) == pytest.approx(0.5)
+    assert selection.effective_rank(np.eye(4)) == pytest.approx(4)
