@@ -82,6 +82,22 @@ def signed_rank(d: np.ndarray) -> tuple[float, float]:
     return w, normal_p((w - n * (n + 1) / 4) / spread)
 
 
+def sign_test(d: np.ndarray) -> tuple[int, int, float]:
+    """Positive differences, those that aren't zero, and the two-sided binomial p."""
+    d = d[(d != 0) & ~np.isnan(d)]
+    k, n = int((d > 0).sum()), len(d)
+    low = min(k, n - k)
+    return k, n, min(1.0, 2 * sum(math.comb(n, i) for i in range(low + 1)) / 2**n) if n else 1.0
+
+
+def concordance(time: np.ndarray, event: np.ndarray, risk: np.ndarray) -> float:
+    """Harrell's C of a group of bounded size; risks that tie count half."""
+    later = (time[None, :] > time[:, None]) | ((time[None, :] == time[:, None]) & (event[None, :] == 0))
+    pairs = later & (event[:, None] == 1)
+    good = (risk[:, None] > risk[None, :]) + 0.5 * (risk[:, None] == risk[None, :])
+    return float((good * pairs).sum() / pairs.sum())
+
+
 def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     """Cluster numbers of items joined by average linkage up to a distance."""
     n = len(distance)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.operators import kernels, selection, statistics
+from tessella.operators import kernels, neighbors, selection, statistics
 from tessella.plans.relational_queries import table
 from tessella.plans.statistics_queries import LONG_SQL, components, survival
 
@@ -123,3 +123,55 @@ def rank_gaussian(spark, d):
             yield b[["vec_id", "feature"]].assign(z=b["share"].map(normal))
 
     return rows.mapInPandas(inverse, "vec_id long, feature int, z double")
+
+
+@query("""WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS value, unnest(range(len(embedding)))::INT AS feature FROM embeddings),
+c AS (SELECT q.vec_id AS query, r.vec_id AS neighbor, corr(q.value, r.value) AS r FROM l q JOIN l r ON q.feature = r.feature AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query, neighbor, round(r, 6) AS r, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(r, 12) DESC, neighbor) AS place FROM c) WHERE place <= 2""")
+def nearest_by_correlation(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = neighbors.nearest(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 2)
+    return found.select("query", "neighbor", F.round("r", 6).alias("r"), "place")
+
+
+@query()
+def overlap_fingerprint(spark, d):
+    """How many of the queries have a row at each threshold of correlation, which would show shared samples."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    best = neighbors.nearest(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 1)
+    # Thresholds of the survey.
+    at = (0.995, 0.985, 0.98, 0.9)
+    one = best.agg(F.count("*").alias("queries"), *[F.count_if(F.col("r") >= t).alias(f"at{i}") for i, t in enumerate(at)])
+    return one.selectExpr("queries", f"stack({len(at)}, " + ", ".join(f"{t}D, at{i}" for i, t in enumerate(at)) + ") AS (threshold, found)")
+
+
+@query()
+def paired_sign_test(spark, d):
+    """Two-sided binomial sign test of customers' against suppliers' mean balance by region of nations."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("unit"), "n_regionkey")
+    mean = lambda t, k, b: table(spark, d, t).groupBy(F.col(k).alias("unit")).agg(F.avg(b).alias(b))
+    pairs = nations.join(mean("customer", "c_nationkey", "c_acctbal"), "unit").join(mean("supplier", "s_nationkey", "s_acctbal"), "unit")
+
+    def kernel(own):
+        return [kernels.sign_test((own["c_acctbal"] - own["s_acctbal"]).to_numpy(float))]
+
+    return kernels.by_group(pairs, ["n_regionkey"], "n_regionkey int, positive long, n long, p_value double, error string", kernel)
+
+
+@query()
+def held_out_concordance(spark, d):
+    """Ridge Cox models on four folds by order priority, their concordance on the fifth."""
+    rows = survival(spark, d).select("grp", "o_orderkey", F.col("days").cast("double").alias("days"), F.col("dead").cast("int").alias("dead"), F.log1p("price").alias("x1"), (F.col("price") % 97).alias("x2"))
+    # A bounded number of cells a group: times by tens of days, covariates by hundredths.
+    cells = rows.select("grp", (F.col("o_orderkey") % 5).alias("fold"), (F.floor(F.col("days") / 10) * 10).alias("days"), "dead", F.round("x1", 1).alias("x1"), F.round(F.col("x2") / 10, 0).alias("x2"))
+    means = cells.groupBy("grp", "fold", "days", "dead").agg(F.avg("x1").alias("x1"), F.avg("x2").alias("x2"))
+
+    def kernel(own):
+        x = own[["x1", "x2"]].to_numpy(float)
+        time, event, test = own["days"].to_numpy(float), own["dead"].to_numpy(int), own["fold"].to_numpy(int) == 0
+        mean, sd = x[~test].mean(axis=0), x[~test].std(axis=0, ddof=1)
+        z = (x - mean) / sd
+        beta, _ = kernels.cox_fit(time[~test], event[~test], z[~test], ridge=0.05)
+        return [(int((~test).sum()), int(test.sum()), float(beta[0]), float(beta[1]), kernels.concordance(time[test], event[test], z[test] @ beta))]
+
+    return kernels.by_group(means, ["grp"], "grp string, train long, test long, beta1 double, beta2 double, c_index double, error string", kernel)

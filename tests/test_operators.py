@@ -181,3 +181,21 @@ def test_subspaces():
     assert selection.subspace_similarity(q[:, :2], q[:, 2:4]) == pytest.approx(0, abs=1e-12)
     assert selection.capture(q[:, 0] + q[:, 5], q[:, :2]) == pytest.approx(0.5)
     assert selection.effective_rank(np.eye(4)) == pytest.approx(4)
+
+
+def test_sign_test_and_concordance():
+    assert kernels.sign_test(np.array([1.0, 1, 1, 1, 0, np.nan])) == (4, 4, 0.125)
+    assert kernels.sign_test(np.zeros(2)) == (0, 0, 1.0)
+    assert kernels.concordance(np.array([1.0, 2, 3]), np.array([1, 1, 0]), np.array([3.0, 1, 1])) == pytest.approx(2.5 / 3)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from tessella.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", 7)
+    x = np.random.default_rng(0).normal(size=(40, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    c = np.corrcoef(x)
+    np.fill_diagonal(c, -np.inf)
+    got = {(r["query"], r["place"]): r["neighbor"] for r in neighbors.nearest(df.where("k % 10 = 0"), df, "k", "v", 3).collect()}
+    assert got == {(q, p + 1): int(np.argsort(-c[q])[p]) for q in (0, 10, 20, 30) for p in range(3)}
