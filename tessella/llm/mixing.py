@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
         F.expr("CASE WHEN source_size > 0 THEN floor(target) DIV source_size ELSE 0 END").alias("epochs"), budget.alias("budget"),
     )
     targets = store.materialize(targets, "mix-targets")
-    # 13 hex digits are below 2**52, so the product below is exact in a decimal and the range even.
+    # 13 hex digits are 52 bits, which a double holds exactly.
     dealt = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("range", F.floor(F.col("random") / F.lit(float(1 << 52)) * F.col("ranges")).cast("long"))
     sums = dealt.groupBy("of", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
