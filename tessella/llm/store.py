@@ -47,14 +47,20 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_shard(uri: str, parts: list[bytes]) -> int:
-    """Write a file under a name of its own and move it into place, so that a repeated task leaves one whole file."""
+    """Write a file under a name of its own and move it into place, so that a repeated task leaves one whole file.
+
+    Repeated tasks write the same bytes; where one has finished before, its file stays.
+    """
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}.draft"
     with fs.open_output_stream(draft) as out:
         for part in parts:
             out.write(part)
-    fs.move(draft, path)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        fs.move(draft, path)
+    else:
+        fs.delete_file(draft)
     return sum(len(part) for part in parts)
 
 
