@@ -92,14 +92,27 @@ class EliasFano:
         word = np.searchsorted(cumulative, rank, side="right") - 1
         return word * 64 + _select_in_word(words[word], rank - cumulative[word])
 
-    def _before(self, part: np.ndarray) -> np.ndarray:
-        """Entries whose high part is at most ``part``: the ones before the zero of that number; all of them past the last zero."""
-        out = np.full(len(part), self.n, np.int64)
-        inside = part < self._zeros[-1]
-        rank = part[inside]
+    def _entries(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First entry and end of the entries with each high part: the ones between the zeros that bound it."""
+        first, last = np.full(len(part), self.n, np.int64), np.full(len(part), self.n, np.int64)
+        known = np.flatnonzero(part <= self._zeros[-1])
+        rank = part[known] - 1
         word = np.searchsorted(self._zeros, rank, side="right") - 1
-        out[inside] = word * 64 + _select_in_word(~self.high[word], rank - self._zeros[word]) - rank
-        return out
+        begin = np.where(rank >= 0, word * 64 + _select_in_word(~self.high[word], np.maximum(rank - self._zeros[word], 0)) + 1, 0)
+        first[known] = begin - rank - 1
+        # The entries of one part are few: the next zero mostly lies in the same word.
+        word = np.minimum(begin >> 6, len(self.high) - 1)
+        rest = ~self.high[word] >> (begin & 63).astype(U64)
+        rest[begin >> 6 >= len(self.high)] = 0
+        near = rest != 0
+        length = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        last[known] = np.where(near, first[known] + length, self.n)
+        far = known[~near & (part[known] < self._zeros[-1])]
+        if len(far):
+            rank = part[far]
+            word = np.searchsorted(self._zeros, rank, side="right") - 1
+            last[far] = word * 64 + _select_in_word(~self.high[word], rank - self._zeros[word]) - rank
+        return first, last
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at positions ``at``."""
@@ -109,29 +122,38 @@ class EliasFano:
         high = (self._select(self._ones, self.high, at) - at).astype(U64)
         return high << U64(self.low_width) | (gather(self.low, self.low_width, at) if self.low_width else U64(0))
 
+    def _bounds(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The position of each value's successor, the ends of its high part's entries, and its low bits."""
+        part = (values >> U64(self.low_width)).astype(np.int64)
+        first, last = self._entries(part)
+        rest = values & U64((1 << self.low_width) - 1)
+        lo, hi = first.copy(), last.copy()
+        left = np.flatnonzero(lo < hi) if self.low_width else np.zeros(0, np.int64)
+        while len(left):
+            mid = (lo[left] + hi[left]) >> 1
+            below = gather(self.low, self.low_width, mid) < rest[left]
+            lo[left] = np.where(below, mid + 1, lo[left])
+            hi[left] = np.where(below, hi[left], mid)
+            left = left[lo[left] < hi[left]]
+        return lo, first, last, rest
+
     def search(self, values: np.ndarray) -> np.ndarray:
         """For each value, the number of entries below it: the position of its successor."""
         values = np.asarray(values, U64)
         if not self.n or not len(values):
             return np.zeros(len(values), np.int64)
-        part = (values >> U64(self.low_width)).astype(np.int64)
-        lo = np.where(part > 0, self._before(np.maximum(part - 1, 0)), 0)
-        hi = self._before(part)
-        if not self.low_width:
-            return lo
-        rest = values & U64((1 << self.low_width) - 1)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            below = open_ & (gather(self.low, self.low_width, np.minimum(mid, self.n - 1)) < rest)
-            lo, hi = np.where(below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
-        return lo
+        return self._bounds(values)[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The position of each value, -1 where it is absent."""
         values = np.asarray(values, U64)
-        at = self.search(values)
-        ok = at < self.n
-        ok[ok] = self.get(at[ok]) == values[ok]
+        if not self.n or not len(values):
+            return np.full(len(values), -1, np.int64)
+        at, _, last, rest = self._bounds(values)
+        ok = at < last
+        if self.low_width:
+            some = np.flatnonzero(ok)
+            ok[some] = gather(self.low, self.low_width, at[some]) == rest[some]
         return np.where(ok, at, -1)
 
     def parts(self) -> list[np.ndarray]:

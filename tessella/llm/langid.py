@@ -24,7 +24,7 @@ from tessella.llm import store
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words whose scores a worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
 
 
 @dataclass(frozen=True)

@@ -41,9 +41,12 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(-np.log10(p) / STEP - 1e-9), (1 << BITS) - 1).astype(np.int64)
 
 
+_PROBABILITIES = np.power(10.0, -STEP * np.arange(1 << BITS))
+
+
 def probability(codes: np.ndarray) -> np.ndarray:
     """The probabilities of codes."""
-    return np.power(10.0, -STEP * codes)
+    return _PROBABILITIES[codes]
 
 
 @dataclass
@@ -108,9 +111,9 @@ class Level:
             if len(own):
                 yield i, own
 
-    def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of entries (-1 where absent), their probabilities and counts (0 where absent)."""
-        at, p, count = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context), np.int64)
+    def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of entries (-1 where absent) and their probabilities (0 where absent)."""
+        at, p = np.full(len(context), -1, np.int64), np.zeros(len(context))
         known = np.flatnonzero((context >= 0) & (symbol >= 0))
         for i, own in self._deal(context[known], symbol[known]):
             own = known[own]
@@ -122,9 +125,8 @@ class Level:
             hit = place >= 0
             own, place = own[hit], place[hit]
             at[own] = place + self.ranks[i]
-            p[own] = probability(gather(*shard.codes, place).astype(np.int64))
-            count[own] = gather(*shard.counts, place)
-        return at, p, count
+            p[own] = _PROBABILITIES[gather(*shard.codes, place)]
+        return at, p
 
     def contexts(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each context's first successor, and the sum of its successors' probabilities; (-1, 0) where it has none."""
@@ -222,33 +224,53 @@ class TextReader:
         return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(bounds, np.int64)
 
 
-def _ids(words: SortedShards, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of tokens, each distinct one looked up once."""
-    distinct, where = np.unique(tokens, return_inverse=True)
-    rank, count = words.find(distinct, columns=True)
-    return rank[where], count[where]
-
-
-def _pairs(trie: Trie, ids: np.ndarray, bounds: np.ndarray):
-    """Keys of adjacent ids, -1 where a text begins, an id is unknown or the pair is not in level 2; positions in level 2, and probabilities."""
-    before = np.concatenate([[-1], ids[:-1]])
-    before[bounds[:-1][bounds[:-1] < len(ids)]] = -1
-    key = np.where((before >= 0) & (ids >= 0), before << 32 | ids, -1)
-    distinct, where = np.unique(key, return_inverse=True)
-    at, p, _ = trie.pairs.find(np.where(distinct >= 0, distinct >> 32, -1), distinct & 0xFFFFFFFF)
-    return before, at[where], p[where]
+@dataclass
+class Tokens:
+    """Tokens of texts looked up in a trie: each distinct token and pair once, then spread to all places."""
 
+    trie: Trie
+    ids: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
+    where: np.ndarray
+    distinct: np.ndarray
 
-def _triples(trie: Trie, before: np.ndarray, at: np.ndarray, bounds: np.ndarray):
-    """Contexts and relative symbols of triples: the preceding pair's position, and the pair's rank among its context's successors."""
-    context = np.concatenate([[-1], at[:-1]])
-    context[bounds[:-1][bounds[:-1] < len(at)]] = -1
-    both = np.flatnonzero((context >= 0) & (at >= 0))
-    distinct, where = np.unique(before[both], return_inverse=True)
-    start, _ = trie.pairs.contexts(distinct)
-    relative = np.full(len(at), -1, np.int64)
-    relative[both] = at[both] - start[where]
-    return context, relative
+    @classmethod
+    def of(cls, trie: Trie, tokens: np.ndarray, bounds: np.ndarray) -> Tokens:
+        """Ids (-1 where unknown) and counts of tokens; ``first`` marks those that begin a text."""
+        distinct, where = np.unique(tokens, return_inverse=True)
+        rank, count = trie.words.find(distinct, columns=True)
+        first = np.zeros(len(tokens), bool)
+        first[bounds[:-1]] = True
+        return cls(trie, rank[where], count[where], first, where, rank)
+
+    def _previous(self, values: np.ndarray, none) -> np.ndarray:
+        """The value at the token before, ``none`` where a text begins."""
+        out = np.concatenate([np.array([none], values.dtype), values[:-1]])
+        out[self.first] = none
+        return out
+
+    def pairs(self) -> None:
+        """Of each token and the one before it: the pair's position in level 2, its probability, and its context's start and mass."""
+        before = self._previous(self.ids, -1)
+        key = np.where((before >= 0) & (self.ids >= 0), before << 32 | self.ids, -1)
+        self.distinct_pairs, self.pair_where = np.unique(key, return_inverse=True)
+        own = self.distinct_pairs
+        self.distinct_at, p = self.trie.pairs.find(np.where(own >= 0, own >> 32, -1), own & 0xFFFFFFFF)
+        self.at, self.pair_p = self.distinct_at[self.pair_where], p[self.pair_where]
+        start, mass = self.trie.pairs.contexts(self.distinct)
+        self.start, self.mass = self._previous(start[self.where], -1), self._previous(mass[self.where], 0.0)
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pair before each token, and the token's pair as rank among its context's successors; -1 where either is missing."""
+        context = self._previous(self.at, -1)
+        both = (context >= 0) & (self.at >= 0)
+        return np.where(both, context, -1), np.where(both, self.at - self.start, -1)
+
+    def triple_masses(self) -> np.ndarray:
+        """The mass in level 3 of the pair before each token."""
+        _, mass = self.trie.triples.contexts(self.distinct_at)
+        return self._previous(mass[self.pair_where], 0.0)
 
 
 def train(docs: DataFrame, path: str, text: str = "text", least: int = LEAST) -> Trie:
@@ -280,10 +302,9 @@ def train(docs: DataFrame, path: str, text: str = "text", least: int = LEAST) ->
     trie = Trie(words, None, None)
 
     def pair_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        ids, counts = _ids(words, tokens)
-        ids = np.where(counts >= least, ids, -1)
-        before = np.concatenate([[-1], ids[:-1]])
-        before[bounds[:-1]] = -1
+        found = Tokens.of(trie, tokens, bounds)
+        ids = np.where(found.counts >= least, found.ids, -1)
+        before = found._previous(ids, -1)
         some = (before >= 0) & (ids >= 0)
         return before[some] << 32 | ids[some]
 
@@ -296,10 +317,10 @@ def train(docs: DataFrame, path: str, text: str = "text", least: int = LEAST) ->
         raise ValueError("more distinct pairs than keys hold")
 
     def triple_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        ids, _ = _ids(words, tokens)
-        before, at, _ = _pairs(trie, ids, bounds)
-        context, relative = _triples(trie, before, at, bounds)
-        some = (context >= 0) & (relative >= 0)
+        found = Tokens.of(trie, tokens, bounds)
+        found.pairs()
+        context, relative = found.triples()
+        some = context >= 0
         return context[some] << 32 | relative[some]
 
     def pair_counts(positions: np.ndarray) -> np.ndarray:
@@ -328,21 +349,16 @@ def _column_at(words: SortedShards, ranks: np.ndarray) -> np.ndarray:
 
 def token_probabilities(trie: Trie, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, base probabilities and model probabilities of tokens of texts."""
-    ids, counts = _ids(trie.words, tokens)
-    base = trie.base(counts)
+    found = Tokens.of(trie, tokens, bounds)
+    base = trie.base(found.counts)
     p = base.copy()
     if trie.pairs and trie.pairs.n:
-        before, at, own = _pairs(trie, ids, bounds)
-        distinct, where = np.unique(before, return_inverse=True)
-        _, mass = trie.pairs.contexts(distinct)
-        p = own + (1.0 - mass[where]) * p
+        found.pairs()
+        p = found.pair_p + (1.0 - found.mass) * p
         if trie.triples and trie.triples.n:
-            context, relative = _triples(trie, before, at, bounds)
-            _, own, _ = trie.triples.find(context, relative)
-            distinct, where = np.unique(context, return_inverse=True)
-            _, mass = trie.triples.contexts(distinct)
-            p = own + (1.0 - mass[where]) * p
-    return counts, base, p
+            _, own = trie.triples.find(*found.triples())
+            p = own + (1.0 - found.triple_masses()) * p
+    return found.counts, base, p
 
 
 def score(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

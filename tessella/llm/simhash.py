@@ -23,8 +23,11 @@ from tessella.llm import store
 from tessella.llm.components import Labels, components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Fingerprints a tile; a task compares one tile with as many from each tile near it.
-TILE = 4096
+#: Fingerprints a tile; a task compares one tile with as many from each tile near it. A fingerprint is sent once for each
+#: tile near its own, so larger tiles move less.
+TILE = 1 << 15
+#: Pairs whose bits are counted in one step, which bounds what a task holds where all of them are near.
+AREA = 1 << 18
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -83,9 +86,10 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "do
 
 
 def _compare(own: np.ndarray, guests: np.ndarray, own_size: np.ndarray, guest_size: np.ndarray, radius: int, ratio: float, inside: bool):
-    """Pairs of positions within ``radius`` bits and ``ratio`` of sizes, a slice of ``own`` at a time."""
-    for lo in range(0, len(own), 128):
-        rows = own[lo : lo + 128]
+    """Pairs of positions within ``radius`` bits and ``ratio`` of sizes, at most ``AREA`` of them at a time."""
+    step = max(1, AREA // max(1, len(guests)))
+    for lo in range(0, len(own), step):
+        rows = own[lo : lo + step]
         other = guests[lo:] if inside else guests
         apart = np.zeros((len(rows), len(other)), np.uint8)
         for w in range(own.shape[1]):

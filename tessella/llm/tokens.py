@@ -19,7 +19,7 @@ WORDS = re.compile(r"[^\t-\r ]+")
 #: White space beyond ASCII, as Python or the tokenizers' regular expressions know it.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 #: Bounds of what a worker remembers between batches: chunks and their characters.
-MOST_CHUNKS, MOST_CHARS = 800_000, 16_000_000
+MOST_CHUNKS, MOST_CHARS = 300_000, 8_000_000
 
 
 class _Numbers(dict):

@@ -9,7 +9,7 @@ import xxhash
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 #: Words whose hashes a worker remembers, and their bytes in all.
-MOST_WORDS, MOST_BYTES = 1_000_000, 24_000_000
+MOST_WORDS, MOST_BYTES = 400_000, 12_000_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
