@@ -16,10 +16,12 @@ import numpy as np
 #: A run of ASCII white space and what follows it up to the next such run.
 CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 WORDS = re.compile(r"[^\t-\r ]+")
+#: A chunk that keeps its ids beside the separator.
+PLAIN = re.compile(r"[\t\x0b-\r ]?[^\t-\r \x01]+").fullmatch
 #: White space beyond ASCII, as Python or the tokenizers' regular expressions know it.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 #: Bounds of what a worker remembers between batches: chunks and their characters.
-MOST_CHUNKS, MOST_CHARS = 300_000, 8_000_000
+MOST_CHUNKS, MOST_CHARS = 1_000_000, 16_000_000
 
 
 class _Numbers(dict):
@@ -57,41 +59,42 @@ class ChunkEncoder:
     def _forget(self) -> None:
         self.numbers = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.starts = np.zeros(1, np.int64)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _joins(self, chunk: str) -> bool:
-        """Whether the chunk keeps its ids beside the separator."""
-        return "\n" not in chunk and "\x01" not in chunk and not chunk[-1].isspace() and not chunk[1:2].isspace()
-
-    def _encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk. Chunks are encoded joined by a separator where that is sure, which costs half as much."""
-        out: list[np.ndarray | None] = [None] * len(chunks)
-        plain = [i for i, x in enumerate(chunks) if self._joins(x)] if len(self.mark) == 1 else []
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after another, and of each chunk their place there and number. Chunks are encoded joined by a separator where that is sure, which costs half as much."""
+        ids, start, length, used = [], np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), 0
+        plain = [i for i, x in enumerate(chunks) if PLAIN(x)] if len(self.mark) == 1 else []
+        rest = sorted({*range(len(chunks))}.difference(plain))
         for lo in range(0, len(plain), 1000):
             part = plain[lo : lo + 1000]
             text = self.between.join([chunks[i] for i in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) == len(part) - 1:
-                for i, a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                    out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.concatenate([[-1], np.flatnonzero(found == self.mark[0]), [len(found)]])
+            if len(cuts) == len(part) + 1:
+                start[part], length[part] = cuts[:-1] + 1 + used, np.diff(cuts) - 1
+                ids.append(found)
+                used += len(found)
+            else:
+                rest += part
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, "<u4")
-        return out
+            start[i], length[i] = used, len(x.ids)
+            ids.append(np.array(x.ids, "<u4"))
+            used += len(x.ids)
+        return np.concatenate(ids), start, length
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         if new:
-            found = self._encode_chunks(new)
-            ends = self.used + np.cumsum([len(x) for x in found])
-            if ends[-1] > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), ends[-1]), "<u4")])
-            self.flat[self.used : ends[-1]] = np.concatenate(found)
-            self.used, self.starts = int(ends[-1]), np.concatenate([self.starts, ends])
+            ids, start, length = self._encode_chunks(new)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(ids)), "<u4")])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.starts, self.lengths = np.concatenate([self.starts, start + self.used]), np.concatenate([self.lengths, length])
+            self.used += len(ids)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Each text's ids and the end id, as little-endian uint32; a null text is empty."""
@@ -107,7 +110,7 @@ class ChunkEncoder:
             counts.append(len(own))
         self._learn()
         number = np.array(number, np.int64)
-        lengths = (self.starts[1:] - self.starts[:-1])[number]
+        lengths = self.lengths[number]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[number] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].tolist()
