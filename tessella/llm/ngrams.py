@@ -28,12 +28,14 @@ from tessella.llm import store
 from tessella.llm.bits import EliasFano, gather
 from tessella.llm.shards import SHARD, SortedShards, load_packed, load_set, opened, packed, write_sorted
 from tessella.llm.tokens import portions
-from tessella.llm.words import WORDS, WordHashes
+from tessella.llm.words import word_hashes
 
 #: The token that ends each text: no word holds a line end.
 END = xxhash.xxh64_intdigest(b"\n") >> 1
 #: Least count of a stored pair or triple, discount, and the quantiser: bits, and log10 a step.
 LEAST, DISCOUNT, BITS, STEP = 2, 0.75, 12, 0.002
+#: Characters looked up at once, which bounds a task's arrays.
+PORTION = 2_000_000
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -208,20 +210,10 @@ class Trie:
         return (count + 0.5) / (self.tokens + 0.5 * (self.words.n + 1))
 
 
-class TextReader:
-    """Texts as token hashes with their bounds."""
-
-    def __init__(self):
-        self.hashes = WordHashes()
-
-    def portion(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all tokens, ends among them, and where each text begins, and the end."""
-        parts, bounds = [], [0]
-        for t in texts:
-            own = self.hashes.of(WORDS(t.encode().lower())) if t else np.zeros(0, np.int64)
-            parts += [own, np.array([END], np.int64)]
-            bounds.append(bounds[-1] + len(own) + 1)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(bounds, np.int64)
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, ends among them, and where each text begins, and the end."""
+    hashes, counts = word_hashes([(t or "").encode() for t in texts])
+    return np.insert(hashes, np.cumsum(counts), END), np.concatenate([[0], np.cumsum(counts + 1)])
 
 
 @dataclass
@@ -285,16 +277,16 @@ def train(docs: DataFrame, path: str, text: str = "text", least: int = LEAST) ->
 
     def counting(keys_of):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = TextReader()
             for b in batches:
                 own, found = b.column(0).to_pylist(), []
-                for lo, hi in portions(own):
-                    found.append(keys_of(*reader.portion(own[lo:hi])))
+                for lo, hi in portions(own, PORTION):
+                    found.append(keys_of(*tokens_of(own[lo:hi])))
                 if found:
                     key, n = np.unique(np.concatenate(found), return_counts=True)
                     yield store.batch(schema, key=key, n=n)
 
-        return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        # Keys are distinct within a batch, so the sums are left to the far side of the shuffle.
+        return texts.mapInArrow(count, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
 
     words = write_sorted(counting(lambda tokens, bounds: tokens), f"{path}/words", "key", "n")
     if words.n >= 1 << 31:
@@ -373,11 +365,10 @@ def score(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text",
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = TextReader()
         for b in batches:
             own = b.column(1).to_pylist()
-            for lo, hi in portions(own):
-                tokens, bounds = reader.portion(own[lo:hi])
+            for lo, hi in portions(own, PORTION):
+                tokens, bounds = tokens_of(own[lo:hi])
                 counts, base, p = token_probabilities(trie, tokens, bounds)
                 sums = [np.add.reduceat(x, bounds[:-1]) for x in ((counts > 0).astype(np.int64), np.log10(base), np.log10(p))]
                 columns = [b.column(0).slice(lo, hi - lo), *(b.column(2 + i).slice(lo, hi - lo) for i in range(len(keep)))]

@@ -42,6 +42,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
 
 
+#: By byte: whether it is white space, and the value that stands for it, the same for both cases of A to Z.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
+_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of the words of all texts in order, A-Z as a-z, and each text's number of words.
+
+    A word's hash is a polynomial of its bytes' values modulo 2**64, mixed, so that whole batches are hashed at once.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    inside = ~_SPACE[raw]
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    text_starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
+    counts = np.diff(np.searchsorted(starts, text_starts))
+    if not len(starts):
+        return np.zeros(0, np.int64), counts
+    first = np.cumsum(lengths) - lengths
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(lengths.max()), _FACTOR))
+        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        return mixed(np.add.reduceat(_VALUES[raw[inside]] * powers[place], first)).astype(np.int64), counts
+
+
 def runs(values: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all runs of ``length`` values along the last axis, put together from runs of powers of two."""
     n = values.shape[-1]

@@ -82,7 +82,7 @@ def test_probabilities_add_up(spark):
     words = sorted({w for t in texts for w in tokens(t)} | {b"never-seen"})
     first, second = tokens(texts[0])[:2]
     for context in ([first], [first, second], [b"never-seen"]):
-        own = np.array([[ngrams.WordHashes().of([*context, w]) if w != b"\n" else np.append(ngrams.WordHashes().of(context), ngrams.END)] for w in words]).reshape(len(words), -1)
+        own = np.array([[ngrams.word_hashes([*context, w])[0] if w != b"\n" else np.append(ngrams.word_hashes(context)[0], ngrams.END)] for w in words]).reshape(len(words), -1)
         bounds = np.arange(len(words) + 1) * own.shape[1]
         _, _, p = ngrams.token_probabilities(trie, own.reshape(-1), bounds)
         assert p.reshape(len(words), -1)[:, -1].sum() == pytest.approx(1.0, abs=1e-9)
