@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.operators import kernels, neighbors, selection, statistics
+from tessella.operators import fits, kernels, neighbors, selection, statistics
 from tessella.plans.relational_queries import table
 from tessella.plans.statistics_queries import LONG_SQL, components, survival
 
@@ -158,20 +158,26 @@ def paired_sign_test(spark, d):
     return kernels.by_group(pairs, ["n_regionkey"], "n_regionkey int, positive long, n long, p_value double, error string", kernel)
 
 
+HELD_OUT = "grp string, train long, test long, beta1 double, beta2 double, c_index double, error string"
+
+
 @query()
 def held_out_concordance(spark, d):
-    """Ridge Cox models on four folds by order priority, their concordance on the fifth."""
-    rows = survival(spark, d).select("grp", "o_orderkey", F.col("days").cast("double").alias("days"), F.col("dead").cast("int").alias("dead"), F.log1p("price").alias("x1"), (F.col("price") % 97).alias("x2"))
-    # A bounded number of cells a group: times by tens of days, covariates by hundredths.
-    cells = rows.select("grp", (F.col("o_orderkey") % 5).alias("fold"), (F.floor(F.col("days") / 10) * 10).alias("days"), "dead", F.round("x1", 1).alias("x1"), F.round(F.col("x2") / 10, 0).alias("x2"))
-    means = cells.groupBy("grp", "fold", "days", "dead").agg(F.avg("x1").alias("x1"), F.avg("x2").alias("x2"))
-
-    def kernel(own):
-        x = own[["x1", "x2"]].to_numpy(float)
-        time, event, test = own["days"].to_numpy(float), own["dead"].to_numpy(int), own["fold"].to_numpy(int) == 0
-        mean, sd = x[~test].mean(axis=0), x[~test].std(axis=0, ddof=1)
-        z = (x - mean) / sd
-        beta, _ = kernels.cox_fit(time[~test], event[~test], z[~test], ridge=0.05)
-        return [(int((~test).sum()), int(test.sum()), float(beta[0]), float(beta[1]), kernels.concordance(time[test], event[test], z[test] @ beta))]
-
-    return kernels.by_group(means, ["grp"], "grp string, train long, test long, beta1 double, beta2 double, c_index double, error string", kernel)
+    """Ridge Cox models of all orders of four folds by order priority, their concordance on those of the fifth."""
+    columns = ["days", "dead", "x1", "x2"]
+    rows = survival(spark, d).select("grp", (F.col("o_orderkey") % 5 == 0).alias("held"), F.col("days").cast("double").alias("days"), F.col("dead").cast("int").alias("dead"), F.log1p("price").alias("x1"), (F.col("price") % 97).cast("double").alias("x2")).dropna(subset=["held", *columns])
+    keys, sizes, numbered = fits.grouped(rows, "grp", ["x1", "x2"], ~F.col("held"))
+    # Equal orders are counted, none is rounded.
+    cells = fits.cut(numbered.groupBy("g", "held", *columns).agg(F.count("*").alias("n")))
+    fit = {g: s for g, s in sizes.items() if s[0] and (s[2] > 0).all()}
+    if not fit:
+        return spark.createDataFrame([(k, sizes[g][0], 0, None, None, None, "ValueError") for g, k in enumerate(keys)], HELD_OUT)
+    cells = fits.with_values(cells, {g: [*s[1], *s[2]] for g, s in fit.items()}, ["m1", "m2", "s1", "s2"])
+    z = cells.select("g", "held", "days", "dead", "n", *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"x{i}") for i in (1, 2)])
+    betas = fits.cox(z.where("NOT held"), {g: s[0] for g, s in fit.items()}, "days", "dead", ["x1", "x2"], 0.05)
+    test = fits.with_values(z.where("held"), {g: b for g, (b, _) in betas.items()}, ["b1", "b2"])
+    test = test.withColumn("risk", F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2"))
+    c = {r["g"]: r["c_index"] for r in fits.concordance(test, "days", "dead", "risk").collect()}
+    held = {r["g"]: r["tests"] for r in cells.where("held").groupBy("g").agg(F.sum("n").alias("tests")).collect()}
+    found = [(k, sizes[g][0], held.get(g, 0), *(map(float, betas[g][0]) if g in betas else (None, None)), c.get(g), None if g in betas else "LinAlgError" if g in fit else "ValueError") for g, k in enumerate(keys)]
+    return spark.createDataFrame(found, HELD_OUT)
