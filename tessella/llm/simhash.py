@@ -28,6 +28,8 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 TILE = 1 << 15
 #: Pairs whose bits are counted in one step, which bounds what a task holds where all of them are near.
 AREA = 1 << 18
+#: Texts of at most so many shingles have bits that tie often, and are compared within EXTRA more bits.
+SMALL, EXTRA = 16, 6
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -56,8 +58,8 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``size`` (shingles) and ``fp0``, ``fp1`` ... (64 bits each, as long) of each row's whole text.
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
+    """``doc_id``, ``size`` (shingles, with ``distinct`` each counted once) and ``fp0``, ``fp1`` ... (64 bits each, as long) of each row's whole text.
 
     A text without words, or null, has size 0 and fingerprint zero. The second and later 64 bits hash the first ones'
     hashes again.
@@ -71,6 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "do
             sizes, found = [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
+                h = np.unique(h) if distinct else h
                 sizes.append(len(h))
                 row = [majority(h)]
                 for _ in range(1, n):
@@ -106,12 +109,22 @@ def _compare(own: np.ndarray, guests: np.ndarray, own_size: np.ndarray, guest_si
             yield i, j
 
 
-def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
+def pair_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number from 0 to below 1 by the hash of each pair."""
+    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE, window: tuple[float, float] | None = None) -> DataFrame:
     """Links ``a, b`` among rows of ``node``, ``size`` and distinct fingerprints ``fp0`` ...: a spanning set of all that are near.
 
     Near are fingerprints that differ in at most ``radius`` bits and, with ``size_ratio``, whose sizes' ratio is at least
     that. From each comparison of tiles only the links that join its rows are returned, so their number follows the rows
     even where all are near to all; no two near rows stay unjoined.
+
+    With ``window``, the near pairs themselves are returned whose own hash lies in that part of 0 to 1 and whose rows
+    differ in ``label``, a column of ``rows``.
     """
     words = [c for c in rows.columns if re.fullmatch(r"fp\d+", c)]
     if size_ratio:
@@ -142,7 +155,7 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
     other = F.flatten(F.transform("hosts", lambda h: F.transform(F.sequence(F.lit(0), h["host_subs"] - 1), lambda s: F.struct(h["host"].alias("cell"), s.alias("sub"), F.col("sub").alias("bundle"), F.lit(False).alias("own")))))
     kind = "array<struct<cell:bigint,sub:int,bundle:int,own:boolean>>"
     sent = dealt.withColumn("to", F.explode(F.concat(own.cast(kind), F.coalesce(same.cast(kind), F.array().cast(kind)), F.coalesce(other.cast(kind), F.array().cast(kind)))))
-    sent = sent.select(F.col("to.cell").alias("cell"), F.col("to.sub").alias("sub"), F.col("to.bundle").alias("bundle"), F.col("to.own").alias("own"), "node", "size", *words)
+    sent = sent.select(F.col("to.cell").alias("cell"), F.col("to.sub").alias("sub"), F.col("to.bundle").alias("bundle"), F.col("to.own").alias("own"), "node", "size", *words, *(["label"] if window else []))
     grouped = sent.repartition("cell", "sub", "bundle").sortWithinPartitions("cell", "sub", "bundle")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -151,18 +164,31 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
         fp = np.stack([group[w].view(np.uint64) for w in words], axis=1)
         order = np.concatenate([np.flatnonzero(is_own), np.flatnonzero(~is_own)])
         n, fp, size, node = int(is_own.sum()), fp[order], group["size"][order], group["node"][order]
+        if window:
+            label, pairs = group["label"][order], []
+
+            def some(i: np.ndarray, j: np.ndarray) -> None:
+                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                share = pair_share(a, b)
+                # Few shingles make ties of bits frequent: SMALL texts have the whole radius, others less.
+                near = (label[i] != label[j]) & (share >= window[0]) & (share < window[1])
+                near &= (np.maximum(size[i], size[j]) <= SMALL) | (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= radius - EXTRA)
+                pairs.append((a[near], b[near]))
         labels = Labels(len(node))
+        join = some if window else labels.join
         if group["sub"][0] == group["bundle"][0]:
             for i, j in _compare(fp[:n], fp[:n], size[:n], size[:n], radius, size_ratio, True):
-                labels.join(i, j)
+                join(i, j)
         for lo in range(n, len(fp), 1 << 14):
             for i, j in _compare(fp[:n], fp[lo : lo + (1 << 14)], size[:n], size[lo : lo + (1 << 14)], radius, size_ratio, False):
-                labels.join(i, j + lo)
+                join(i, j + lo)
+        if window:
+            return tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
         moved = labels.label != np.arange(len(node))
         return node[moved], node[labels.label[moved]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("cell", "sub", "bundle", "own", "node", "size", *words)
+        names = ("cell", "sub", "bundle", "own", "node", "size", *words, *(["label"] if window else []))
         for group in store.groups(batches, names, 3):
             if group["own"].any() and len(group["own"]) > 1:
                 a, b = compare(group)
@@ -192,14 +218,74 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int
     return found.join(label, on, "left").select("doc_id", *[c for c in found.columns if c.startswith("fp")], "size", "component_id")
 
 
+def bit_radius(similarity: float, bits: int) -> int:
+    """Bits within which the fingerprints of two sets of a Jaccard similarity lie, with four deviations of their spread."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+
+
+def jaccard(docs: DataFrame, pairs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
+    """The pairs ``a, b`` of keys whose sets of shingles have a Jaccard similarity of at least ``least``."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node", "text"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "own"])
+
+    found = store.materialize(rows.mapInArrow(sets, "node long, own binary"), "simhash-sets")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                joint = np.sort(np.concatenate([x, y]))
+                shared = int((joint[1:] == joint[:-1]).sum())
+                near.append(shared >= least * (len(joint) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """``doc_id`` and ``component_id`` of each row with a key, over links of an exact Jaccard similarity of at least ``similarity``.
+
+    Candidates are near fingerprints of the sets of shingles. They are verified in rounds, each over a larger part of the
+    pairs by their hash, and only between rows that earlier rounds haven't joined: in the end every candidate pair is
+    verified or joined, while the pairs of a large group of near copies are never all listed.
+    """
+    found = store.materialize(fingerprints(docs, words, bits, key, text, distinct=True), "simhash-fingerprints")
+    kinds = [c for c in found.columns if c.startswith("fp")] + ["size"]
+    rows = found.groupBy(*kinds).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
+    # Rows of equal fingerprints and sizes, the same key's among them, are taken as one.
+    rows = store.materialize(rows, "simhash-distinct")
+    n, lo, links = rows.count(), 0.0, None
+    labels = rows.select("node", F.col("node").alias("label"))
+    hi = min(1.0, 8 / max(n, 1))
+    while lo < 1.0:
+        hi = 1.0 if hi > 0.5 else hi
+        labelled = rows.join(labels.distinct(), "node")
+        pairs = store.materialize(link(labelled, bit_radius(similarity, bits) + EXTRA, similarity, tile, (lo, hi)).where("a <> b").distinct(), "simhash-pairs")
+        if not pairs.isEmpty():
+            joined = store.materialize(jaccard(docs, pairs, words, similarity, key, text), "simhash-links")
+            links = joined if links is None else links.unionByName(joined)
+            label = components(links)
+            labels = store.materialize(rows.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "simhash-labels")
+        lo, hi = hi, hi * 16
+    of = rows.join(labels.distinct(), "node").select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.col("label").alias("component_id"))
+    return found.join(of, [F.col(k) == F.col(f"of_{k}") for k in kinds]).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, words: int = 5, bits: int = 128, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest key.
 
-    Documents are linked where at least ``similarity`` of their fingerprints' bits agree and so does the ratio of their
-    sizes in shingles, which the Jaccard similarity of two shingle sets can't exceed. With 128 bits, unrelated texts
-    agree in 64 +- 6 bits, so chance links don't occur. Rows with a null key stay. Of rows with one key one stays.
+    Documents are linked where the Jaccard similarity of their sets of shingles is at least ``similarity``, which the
+    ratio of the sets' sizes can't be below; candidates come from fingerprints (see ``similar``). Rows with a null key
+    stay. Of rows with one key one stays.
     """
-    found = near_duplicates(docs, words, bits, int(bits * (1 - similarity)), similarity, key, text)
+    found = similar(docs, words, bits, similarity, key, text)
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
     dropped = store.materialize(dropped, "simhash-dropped")
     kept = docs.join(dropped, F.col(key) == F.col("__dropped"), "left_anti")
