@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import store
 from tessella.llm.bits import EliasFano, gather
-from tessella.llm.shards import SHARD, SortedShards, load_packed, load_set, opened, packed, write_sorted
+from tessella.llm.shards import SortedShards, load_packed, load_set, opened, packed, write_sorted
 from tessella.llm.tokens import portions
 from tessella.llm.words import word_hashes
 
@@ -34,6 +34,8 @@ from tessella.llm.words import word_hashes
 END = xxhash.xxh64_intdigest(b"\n") >> 1
 #: Least count of a stored pair or triple, discount, and the quantiser: bits, and log10 a step.
 LEAST, DISCOUNT, BITS, STEP = 2, 0.75, 12, 0.002
+#: Entries of a level's shard, which bounds what a task that writes it holds.
+LEVEL_SHARD = 1 << 20
 #: Characters looked up at once, which bounds a task's arrays.
 PORTION = 2_000_000
 
@@ -146,7 +148,7 @@ class Level:
         return start, mass
 
 
-def _write_level(rows: DataFrame, path: str, context_counts, shard: int = SHARD) -> Level:
+def _write_level(rows: DataFrame, path: str, context_counts, shard: int = LEVEL_SHARD) -> Level:
     """Write entries ``key`` (context and symbol in one long) with ``n``; the driver gathers a row a shard."""
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
     kind = "part int, n long, c0 long, s0 long, c1 long, mass0 double, mass1 double, path string"

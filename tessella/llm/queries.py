@@ -45,7 +45,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and trie scores of every document, learned from the folds that aren't 1."""
     docs = documents(spark, sf_dir).withColumn("held_out", fold() == 1)
-    trie = ngrams.train(docs.where(~F.col("held_out")), store.fresh_path(spark, "ngrams"))
+    trie = ngrams.train(docs.where(~F.col("held_out")), store.fresh_path(spark, "ngrams"), least=1)
     return ngrams.score(docs, trie, keep=("held_out",))
 
 
