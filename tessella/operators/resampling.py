@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +77,34 @@ def leave_one_out(df: DataFrame, unit: str, value: str) -> DataFrame:
     return sums.crossJoin(F.broadcast(whole)).select(unit, F.try_divide(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")).alias("mean_without"))  # one row
 
 
-def sign_flips(df: DataFrame, by: list[str], key: str, value: str, most: int = 16) -> DataFrame:
-    """Exact two-sided sign-flip p-values of the mean of a few paired differences: all sign patterns are enumerated.
+def sign_flips(df: DataFrame, by: list[str], key: str, value: str, most: int = 20, draws: int = 100_000, seed: str = "flip") -> DataFrame:
+    """Two-sided sign-flip p-values of the mean of paired differences, for every group.
 
-    Groups of more than ``most`` differences are an error of the caller's: their patterns grow as a power of two.
+    All sign patterns of groups of up to ``most`` differences are enumerated. Larger groups get ``draws`` patterns of bits
+    from md5 of the seed and ``key``, whose sums are added up over tasks; with the observed pattern they give the p-value.
     """
-    order = Window.partitionBy(*by).orderBy(key)
-    rows = df.where(F.col(value).isNotNull()).withColumn("bit", F.row_number().over(order) - 1)
-    sized = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bit", value))).alias("d"), F.count("*").alias("n")).where(F.col("n") <= most)
+    rows = df.where(F.col(value).isNotNull()).withColumn("__gid", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    sizes = rows.groupBy("__gid").agg(*[F.first(c).alias(c) for c in by], F.count("*").alias("n"), F.avg(value).alias("mean"))
+    few = rows.join(sizes.where(F.col("n") <= most).select("__gid"), "__gid", "left_semi")
+    order = Window.partitionBy("__gid").orderBy(key)
+    few = few.withColumn("bit", F.row_number().over(order) - 1)
+    sized = few.groupBy("__gid").agg(F.sort_array(F.collect_list(F.struct("bit", value))).alias("d"), F.count("*").alias("n"))
     flips = sized.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n AS int)) - 1"))))
     signed = F.aggregate("d", F.lit(0.0), lambda s, x: s + F.when(F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"].cast("int"))) != 0, -x[value]).otherwise(x[value]))
     plain = F.aggregate("d", F.lit(0.0), lambda s, x: s + x[value])
-    tested = flips.select(*by, "n", (F.abs(signed) >= F.abs(plain) - 1e-9).cast("int").alias("hit"), plain.alias("total"))
-    return tested.groupBy(*by, "n").agg((F.first("total") / F.first("n")).alias("mean"), F.avg("hit").alias("p_value"))
+    exact = flips.select("__gid", (F.abs(signed) >= F.abs(plain) - 1e-9).cast("int").alias("hit")).groupBy("__gid").agg(F.avg("hit").alias("p_value"))
+
+    def sums(batches):
+        for b in batches:
+            for gid, own in b.groupby("gid"):
+                total = np.zeros(-(-draws // 128) * 128)
+                for k, v in zip(own["key"], own["v"], strict=True):
+                    bits = np.frombuffer(b"".join(hashlib.md5(f"{seed}|{i}|{k}".encode()).digest() for i in range(len(total) // 128)), np.uint8)
+                    total += np.where(np.unpackbits(bits) == 1, -v, v)
+                yield pd.DataFrame({"gid": gid, "draw": np.arange(-1, draws), "s": np.concatenate([[own["v"].sum()], total[:draws]])})
+
+    many = rows.join(sizes.where(F.col("n") > most).select("__gid"), "__gid", "left_semi")
+    drawn = many.select(F.col("__gid").alias("gid"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v")).mapInPandas(sums, "gid string, draw long, s double").groupBy("gid", "draw").agg(F.sum("s").alias("s"))
+    seen = drawn.where("draw < 0").select(F.col("gid").alias("__gid"), F.col("s").alias("__seen"))
+    hits = drawn.where("draw >= 0").join(seen, F.col("gid") == F.col("__gid")).groupBy("__gid").agg(((F.count_if(F.abs("s") >= F.abs("__seen") - 1e-9) + 1) / (F.count("*") + 1)).alias("p_value"))
+    return sizes.join(exact.unionByName(hits), "__gid").select(*by, "n", "mean", "p_value")
