@@ -41,7 +41,7 @@ def with_values(cells: DataFrame, values: dict[int, np.ndarray], names: list[str
 
 
 def grouped(df: DataFrame, by: str, xs: list[str], train: Column | None = None) -> tuple[list, dict[int, tuple[int, np.ndarray, np.ndarray]], DataFrame]:
-    """Group keys, rows, means and deviations of each (of the training rows where given), and ``df`` with the number ``g`` of its group."""
+    """Group keys, rows, means and deviations of each (of the training rows where given), and ``df`` with the number ``g`` in place of the key."""
     keep = train if train is not None else F.lit(True)
     stats = [f(F.when(keep, F.col(x))) for x in xs for f in (F.avg, F.stddev_samp)]
     found = df.groupBy(by).agg(F.count_if(keep).alias("__n"), *[s.alias(f"__s{i}") for i, s in enumerate(stats)]).orderBy(by).collect()
@@ -50,7 +50,7 @@ def grouped(df: DataFrame, by: str, xs: list[str], train: Column | None = None)
     keys = [r[by] for r in found]
     kind = df.schema[by].dataType.simpleString()
     ids = df.sparkSession.createDataFrame([(k, g) for g, k in enumerate(keys)], f"__key {kind}, g int")
-    return keys, size, df.join(F.broadcast(ids), F.col(by).eqNullSafe(F.col("__key"))).drop("__key")  # a row a group
+    return keys, size, df.withColumnRenamed(by, "__by").join(F.broadcast(ids), F.col("__by").eqNullSafe(F.col("__key"))).drop("__by", "__key")  # a row a group
 
 
 def newton(groups: list[int], k: int, sums: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]], ridge: dict[int, float], rounds: int, tolerance: float, most: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import fits
+
 
 def normal_p(z: float) -> float:
     """Two-sided normal p-value."""
@@ -119,7 +121,7 @@ def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
 def by_group(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
     """A kernel's rows for each group; a failed fit keeps its group with the error named in ``error``.
 
-    A group must fit in one task: callers cap features a group, not rows of the table.
+    A group must fit in one task: callers give groups of units such as nations, not of rows of the table.
     """
     names = [p.strip().split(" ")[0] for p in schema.split(",")]
     own = len(keys)
@@ -137,17 +139,38 @@ def by_group(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[pd.D
 def cox_by_feature(df: DataFrame, feature: str, time: str, event: str, value: str, least: int = 30) -> DataFrame:
     """Univariate Cox models of z-scored values by feature."""
 
-    def kernel(rows: pd.DataFrame) -> list[tuple]:
-        rows = rows.dropna(subset=[time, event, value])
-        x = rows[value].to_numpy(float)
-        if len(x) < least or x.std(ddof=1) == 0:
-            raise ValueError("too few rows or no spread")
-        z = (x - x.mean()) / x.std(ddof=1)
-        beta, se = cox_fit(rows[time].to_numpy(float), rows[event].to_numpy(int), z[:, None])
-        return [(len(x), float(beta[0]), float(np.exp(beta[0])), float(se[0]), normal_p(beta[0] / se[0]))]
-
-    kind = dict(df.dtypes)[feature]
-    return by_group(df.select(feature, time, event, value), [feature], f"{feature} {kind}, n long, coef double, hazard_ratio double, se double, p_value double, error string", kernel)
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    known = number(time) & number(event) & number(value)
+    keys, sizes, numbered = fits.grouped(df.select(feature, time, event, F.col(value).cast("double").alias(value)), feature, [value], known)
+    fit = {g: s for g, s in sizes.items() if s[0] >= least and s[2][0] > 0}
+    found = {}
+    if fit:
+        scored = fits.with_values(numbered.where(known), {g: [s[1][0], s[2][0]] for g, s in fit.items()}, ["__mean", "__sd"])
+        cells = scored.select("g", time, event, ((F.col(value) - F.col("__mean")) / F.col("__sd")).alias("__z")).groupBy("g", time, event, "__z").agg(F.count("*").alias("n"))
+        found = fits.cox(cells, {g: s[0] for g, s in fit.items()}, time, event, ["__z"])
+    return coefficients(df, feature, keys, sizes, found, 0, "hazard_ratio", lambda g: "LinAlgError" if g in fit else "ValueError")
+
+
+def logistic_by_group(df: DataFrame, by: str, label: str, value: str, ridge: float) -> DataFrame:
+    """Logistic models of a label by group, on the rows that have the label and the value."""
+    known = F.col(label).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)
+    keys, sizes, numbered = fits.grouped(df.select(by, label, value), by, [value], known)
+    cells = numbered.where(known).groupBy("g", label, value).agg(F.count("*").alias("n"))
+    fit = [g for g, s in sizes.items() if s[0]]
+    found = fits.logistic(cells, fit, label, [value], ridge) if fit else {}
+    return coefficients(df, by, keys, sizes, found, 1, "odds_ratio", lambda g: "LinAlgError" if g in fit else "ValueError")
+
+
+def coefficients(df: DataFrame, by: str, keys: list, sizes: dict, found: dict, at: int, ratio: str, error: Callable[[int], str]) -> DataFrame:
+    """A row for each group: one coefficient of its fit, or the error that it met."""
+    rows = []
+    for g, key in enumerate(keys):
+        if g in found and np.isfinite(found[g][0]).all():
+            beta, se = float(found[g][0][at]), float(found[g][1][at])
+            rows.append((key, sizes[g][0], beta, float(np.exp(beta)), se, normal_p(beta / se), None))
+        else:
+            rows.append((key, None, None, None, None, None, error(g)))
+    return df.sparkSession.createDataFrame(rows, f"{by} {df.schema[by].dataType.simpleString()}, n long, coef double, {ratio} double, se double, p_value double, error string")
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:

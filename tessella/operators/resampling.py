@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import fits
 from tessella.operators.ranking import average_rank
 
+#: Low bits of draws that tell rows of one range apart: the high ones make 4096 ranges.
+RANGE_BITS = 20
+
 
 def draw(*parts: str | Column) -> Column:
     """A whole number below 2**32 from md5 of the parts."""
@@ -24,22 +28,38 @@ def replicates(df: DataFrame, n: int, out: str = "rep") -> DataFrame:
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fold") -> DataFrame:
-    """Stratified folds from 0: rows of a label are dealt in turn, in the order of their draws."""
-    order = Window.partitionBy(label).orderBy(draw(seed, F.col(key)), key)
-    return df.withColumn(out, (F.row_number().over(order) - 1) % k)
+    """Stratified folds from 0: rows of a label are dealt in turn, in the order of their draws.
+
+    Places are counted inside ranges of draws and after the ranges before, so that no window holds a label.
+    """
+    rows = df.withColumn("__u", draw(seed, F.col(key))).withColumn("__cell", F.shiftright("__u", RANGE_BITS))
+    before = Window.partitionBy("__label").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = rows.groupBy(F.col(label).alias("__label"), F.col("__cell").alias("__of")).agg(F.count("*").alias("__n")).withColumnRenamed("__of", "__cell")
+    starts = starts.select("__label", F.col("__cell").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = rows.withColumn("__place", F.row_number().over(Window.partitionBy(label, "__cell").orderBy("__u", key)))
+    joined = inside.join(starts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__cell") == F.col("__of")))
+    return joined.withColumn(out, (F.col("__start") + F.col("__place") - 1) % k).select(*df.columns, out)
 
 
 def permutation_auc(df: DataFrame, key: str, label: str, value: str, reps: int, seed: str) -> DataFrame:
     """Observed AUC of a value for 0/1 labels, and the share of label permutations at least as far from one half.
 
-    A permutation gives label 1 to as many rows as have it, those with the smallest draws. Ranks are computed once.
+    A permutation gives label 1 to as many rows as have it, those with the smallest draws. Ranks are computed once. Ranges
+    of draws are summed whole; only the range of a replicate in which label 1 ends has its rows put in order.
     """
-    rows = average_rank(df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(key, label, value), [], value)
+    rows = fits.cut(average_rank(df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(key, label, value), [], value))
     n1, n0 = F.sum(F.col(label).cast("long")), F.sum(1 - F.col(label).cast("long"))
     observed = rows.agg(n1.alias("n1"), n0.alias("n0"), F.sum(F.col("avg_rank") * F.col(label)).alias("r"))
-    place = Window.partitionBy("rep").orderBy(draw(seed, F.col("rep"), F.col(key)), key)
-    permuted = replicates(rows, reps).withColumn("place", F.row_number().over(place)).crossJoin(F.broadcast(observed.select("n1", "n0")))  # one row
-    sums = permuted.groupBy("rep").agg(F.first("n1").alias("n1"), F.first("n0").alias("n0"), F.sum(F.when(F.col("place") <= F.col("n1"), F.col("avg_rank")).otherwise(0.0)).alias("r"))
+    drawn = replicates(rows, reps).withColumn("__u", draw(seed, F.col("rep"), F.col(key))).withColumn("__cell", F.shiftright("__u", RANGE_BITS))
+    before = Window.partitionBy("rep").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    cells = drawn.groupBy("rep", "__cell").agg(F.count("*").alias("n"), F.sum("avg_rank").alias("s")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    cells = fits.cut(cells.crossJoin(F.broadcast(observed.select("n1", "n0"))))  # one row
+    whole = cells.groupBy("rep").agg(F.first("n1").alias("n1"), F.first("n0").alias("n0"), F.sum(F.when(F.col("before") + F.col("n") <= F.col("n1"), F.col("s")).otherwise(0.0)).alias("whole"))
+    edge = cells.where("before < n1 AND before + n > n1").select("rep", "__cell", (F.col("n1") - F.col("before")).alias("__need"))
+    place = Window.partitionBy("rep", "__cell").orderBy("__u", key)
+    last = drawn.join(F.broadcast(edge), ["rep", "__cell"]).withColumn("place", F.row_number().over(place))  # a row a replicate
+    last = last.where(F.col("place") <= F.col("__need")).groupBy("rep").agg(F.sum("avg_rank").alias("rest"))
+    sums = whole.join(last, "rep", "left").withColumn("r", F.col("whole") + F.coalesce("rest", F.lit(0.0)))
     auc = F.round((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")), 9)
     null = sums.select("rep", auc.alias("null_auc"))
     one = observed.select("n1", "n0", auc.alias("auc"))

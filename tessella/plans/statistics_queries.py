@@ -333,12 +333,7 @@ def cox_per_feature(spark, d):
 @query()
 def logistic_by_source(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("source", "quality", F.log1p("n_chars").alias("x"))
-
-    def kernel(own):
-        beta, se = kernels.logistic_fit(own["quality"].to_numpy(float), own[["x"]].to_numpy(float), 1e-3)
-        return [(len(own), float(beta[1]), float(np.exp(beta[1])), float(se[1]), kernels.normal_p(beta[1] / se[1]))]
-
-    return kernels.by_group(rows, ["source"], "source string, n long, coef double, odds_ratio double, se double, p_value double, error string", kernel)
+    return kernels.logistic_by_group(rows, "source", "quality", "x", 1e-3)
 
 
 @query()
