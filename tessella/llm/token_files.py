@@ -30,6 +30,8 @@ from tessella.llm.tokens import encoder, portions
 MAGIC = int.from_bytes(b"TESSBIT1", "little")
 #: Ids a block, a multiple of 64, and ids a shard, which bounds a task's memory.
 BLOCK, SHARD = 1 << 16, 1 << 22
+#: Tasks that read shards back before a task gets several shards.
+READERS = 4096
 
 MANIFEST = "part int, shard int, path string, docs long, tokens long, bytes long"
 
@@ -123,7 +125,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Documents of the shards: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (uint32 bytes)."""
+    """Documents of the shards: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (uint32 bytes).
+
+    The manifest, a row a shard, says how many tasks read: one a shard up to ``READERS``, beyond that some shards each.
+    Documents come back with the keys they were written with, null ones and repeated rows too; an empty manifest, that of
+    an empty table, gives an empty result.
+    """
+    tasks = manifest.count()
+    tasks = max(1, min(tasks, max(READERS, tasks // 16)))
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     first = manifest.withColumn("first", F.coalesce(F.sum("tokens").over(order), F.lit(0).cast("long")))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -139,7 +148,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     own = [ids[starts[i] : starts[i + 1]].tobytes() for i in range(lo, hi)]
                     yield store.batch(schema, doc_id=keys, start=starts[lo:hi] + first, n_tokens=np.diff(starts[lo : hi + 1]), ids=own)
 
-    return first.select("path", "first").repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return first.select("path", "first").repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:

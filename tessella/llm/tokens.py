@@ -2,7 +2,9 @@
 
 No token of the two public tokenizers used here spans the place between a character that isn't white space and an ASCII
 white-space character, so a text's ids are those of its chunks in order. Texts with other white space, for which that
-doesn't hold in general, are encoded whole. Vocabulary files are named by path and never copied.
+doesn't hold in general, are encoded whole, and so are texts that hold the string of an added token, such as
+``<|endoftext|>``, which the file turns into that token's id wherever it stands. Vocabulary files are named by path and
+never copied.
 """
 
 from __future__ import annotations
@@ -40,14 +42,17 @@ class _Numbers(dict):
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizer file. ``drops_space``: the tokenizer ignores white space, so chunks leave it out."""
+    """Encodes texts as a tokenizer file does. ``drops_space``: the tokenizer ignores white space, so chunks leave it out."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # Added tokens that are looked for in the normalised text can come from other strings, so every text counts as odd.
+        self.whole = any(t.normalized for t in added)
         self.largest = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
         spaced = [self._ids(x) for x in ("a b", " a\n b", "a")]
         self.drops_space = spaced[0] == spaced[1] == spaced[2] + self._ids("b")
@@ -56,6 +61,10 @@ class ChunkEncoder:
         self.mark = self._ids(self.between)
         self._forget()
 
+    def _odd(self, text: str) -> bool:
+        """Whether a text's ids may differ from those of its chunks."""
+        return self.whole or any(x in text for x in self.added) or ODD_SPACE.search(text) is not None
+
     def _forget(self) -> None:
         self.numbers = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
@@ -103,9 +112,10 @@ class ChunkEncoder:
         number, get, counts, odd = [], self.numbers.__getitem__, [], {}
         for i, text in enumerate(texts):
             text = text or ""
-            own = self.split(text)
-            if ODD_SPACE.search(text):
+            if self._odd(text):
                 odd[i], own = np.array([*self._ids(text), end], "<u4"), []
+            else:
+                own = self.split(text)
             number.extend(map(get, own))
             counts.append(len(own))
         self._learn()

@@ -13,7 +13,7 @@ from tests.llm.test_simhash import plain_components
 import corpus_pipeline
 from tessella.llm import store
 from tessella.llm.queries import BYTE_TOKENIZER, tokenizer_path
-from tessella.llm.tokens import encoder
+from tokenizers import Tokenizer
 
 
 def near(rows):
@@ -100,7 +100,7 @@ def test_mixing_stage(results):
 
 
 def test_packing_stage(results):
-    enc, want = encoder(tokenizer_path(BYTE_TOKENIZER)).tokenizer, Counter()
+    enc, want = Tokenizer.from_file(tokenizer_path(BYTE_TOKENIZER)), Counter()
     for i, t in pairs(results[4]):
         n = len(enc.encode(t or "", add_special_tokens=False).ids) + 1
         first = n % 1024 or 1024
