@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
-#: Words whose hashes a worker remembers, and their bytes in all.
-MOST_WORDS, MOST_BYTES = 400_000, 12_000_000
-
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    """Word to its hash of 63 bits, computed when first met. Distinct words are taken for different hashes throughout."""
-
-    def __init__(self):
-        super().__init__()
-        self.bytes = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self.bytes += len(word)
-        found = self[word] = xxhash.xxh64_intdigest(word) >> 1
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Hashes of words in order."""
-        if len(self) > MOST_WORDS or self.bytes > MOST_BYTES:
-            self.clear()
-            self.bytes = 0
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well-spread 63-bit values of 64-bit ones."""
     x = (x ^ (x >> np.uint64(30))) * _MIX
@@ -42,18 +16,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
 
 
-#: By byte: whether it is white space, and the value that stands for it, the same for both cases of A to Z.
+#: By byte: whether it is white space, the value that stands for it, and the same for both cases of A to Z.
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
-_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+_FOLDED = _VALUES.copy()
+_FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+#: Bytes beyond which a word gets its XXH64: polynomials modulo 2**64 are weak on long patterns.
+LONG = 1000
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """63-bit hashes of the words of all texts in order, A-Z as a-z, and each text's number of words.
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of the words of all texts in order, with ``fold`` A-Z as a-z, and each text's number of words.
 
     A word's hash is a polynomial of its bytes' values modulo 2**64, mixed, so that whole batches are hashed at once.
     """
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    joined = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(joined, np.uint8)
     inside = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     starts, lengths = edge[::2], edge[1::2] - edge[::2]
@@ -65,7 +43,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(lengths.max()), _FACTOR))
         place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        return mixed(np.add.reduceat(_VALUES[raw[inside]] * powers[place], first)).astype(np.int64), counts
+        found = mixed(np.add.reduceat((_FOLDED if fold else _VALUES)[raw[inside]] * powers[place], first)).astype(np.int64)
+    for i in np.flatnonzero(lengths > LONG):
+        word = joined[starts[i] : starts[i] + lengths[i]]
+        found[i] = xxhash.xxh64_intdigest(word.lower() if fold else word) >> 1
+    return found, counts
 
 
 def runs(values: np.ndarray, length: int) -> np.ndarray:

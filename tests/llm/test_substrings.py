@@ -9,7 +9,8 @@ import pytest
 from tests.llm.conftest import DOCS, prose
 
 from tessella.llm import substrings
-from tessella.llm.words import runs, sliding
+from tessella.llm.queries import op8_substring_dedup
+from tessella.llm.words import runs, sliding, word_hashes
 
 
 def plain(rows, length=35):
@@ -30,7 +31,7 @@ def found(df, **more):
     return sorted(repr(tuple(r)) for r in substrings.remove(df, digest=True, **more).collect())
 
 
-@pytest.mark.parametrize("most", [128, 2])
+@pytest.mark.parametrize("most", [1 << 14, 2])
 def test_planted_passages(spark, most):
     passage, other = prose(1, 60), prose(2, 37)
     rows = [(i, f"{prose(100 + i, 50)} {passage} {prose(200 + i, 30)}") for i in range(12)]
@@ -40,6 +41,51 @@ def test_planted_passages(spark, most):
     assert found(df, most=most) == plain(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 14, 1])
+def test_passages_that_differ_in_one_word_stay(spark, most):
+    # The two ids agree in the low 32 bits of their XXH64.
+    a, b = prose(7, 35).split(), prose(7, 35).split()
+    a[18], b[18] = "id24909", "id65039"
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, "other " + " ".join(a[:34]) + " end"), (4, " ".join(a[1:]) + " id65039")]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), most=most) == plain(rows) and "True" not in str(plain(rows))
+    assert all(r["n_removed"] == 0 for r in substrings.remove(spark.createDataFrame(rows[:2], "doc_id long, text string"), most=most).collect())
+
+
+def test_templates_with_many_ids(spark):
+    words = prose(8, 60).split()
+    rows = [(i, " ".join([*words[:20], f"id{i}", *words[20:40], f"no{i % 7}", *words[40:]])) for i in range(150)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+
+
+def test_equal_hashes_of_different_words_make_no_factor(monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = rng.integers(0, 1 << 60, (6, 58)).astype(np.uint64)
+    rows[1], rows[3], rows[4] = rows[0], rows[2], rows[0]
+    rows[4, 40:] = rows[5, 40:]
+    monkeypatch.setattr(substrings, "runs", lambda x, n: np.zeros((len(x), x.shape[1] - n + 1), np.uint64))
+    full = np.full(6, 23)
+    marked = substrings.repeated_factors(np.array([1, 1, 1, 1, 1, 2]), rows, full, full, 35, 12)
+    want = np.zeros((6, 24), bool)
+    want[:4], want[4, :6] = True, True
+    assert (marked == want).all()
+
+
+def test_query(spark, messy, tmp_path):
+    messy.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    assert sorted(repr(tuple(r)) for r in op8_substring_dedup(spark, str(tmp_path)).collect()) == plain(rows)
+
+
+def test_long_words_are_told_apart():
+    pattern = [b"a"]
+    for _ in range(12):
+        pattern = [pattern[0] + pattern[0].translate(bytes.maketrans(b"ab", b"ba"))]
+    one, other = pattern[0], pattern[0].translate(bytes.maketrans(b"ab", b"ba"))
+    h, counts = word_hashes([one + b" x " + other, b"A a"])
+    assert h[0] != h[2] and h[3] == h[4] and counts.tolist() == [3, 2]
+    assert len(set(word_hashes([b"A a"], fold=False)[0].tolist())) == 2
+
+
 def test_messy(spark, messy, empty):
     rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
     assert found(messy) == plain(rows)
