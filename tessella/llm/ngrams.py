@@ -32,8 +32,8 @@ from tessella.llm.words import word_hashes
 
 #: The token that ends each text: no word holds a line end.
 END = xxhash.xxh64_intdigest(b"\n") >> 1
-#: Least count of a stored pair or triple, discount, and the quantiser: bits, and log10 a step.
-LEAST, DISCOUNT, BITS, STEP = 2, 0.75, 12, 0.002
+#: Discount, and the quantiser: bits, and log10 a step.
+DISCOUNT, BITS, STEP = 0.75, 12, 0.002
 #: Entries of a level's shard, which bounds what a task that writes it holds.
 LEVEL_SHARD = 1 << 20
 #: Characters looked up at once, which bounds a task's arrays.
@@ -67,7 +67,7 @@ class LevelShard:
 
     @classmethod
     def build(cls, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
-        """The words to store for entries in order of context and symbol."""
+        """The words to store for entries in order of context and symbol; ``count`` may be empty where nothing extends them."""
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         own = context[first]
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
@@ -91,29 +91,34 @@ class LevelShard:
 
 @dataclass
 class Level:
-    """A level's shards in order. A context whose successors span shards is listed with its first position and whole mass."""
+    """A level's shards in order, by the first context and symbol of each.
 
-    firsts: list[tuple[int, int]]
-    lasts: list[int]
+    A context whose successors span shards is listed in ``split`` (in order), with its first position and whole mass.
+    """
+
+    contexts_at: np.ndarray
+    symbols_at: np.ndarray
     paths: list[str]
     ranks: np.ndarray
     n: int
-    split_start: dict[int, int]
-    split_mass: dict[int, float]
+    split: np.ndarray
+    split_start: np.ndarray
+    split_mass: np.ndarray
 
     def _deal(self, context: np.ndarray, symbol: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Which queries each shard answers."""
-        lead = np.array([c for c, _ in self.firsts], np.int64)
+        """Which queries each shard answers; shards without a query cost nothing."""
+        lead = self.contexts_at
         at = np.searchsorted(lead, context, side="right") - 1
-        # Within contexts that begin several shards the symbol decides.
-        for i in range(len(lead) - 1, 0, -1):
-            c, s = self.firsts[i]
-            back = (at == i) & (context == c) & (symbol < s)
-            at[back] = i - 1
-        for i in range(len(lead)):
-            own = np.flatnonzero(at == i)
-            if len(own):
-                yield i, own
+        # Within contexts that begin a shard the symbol decides.
+        some = np.flatnonzero((at >= 0) & (lead[np.maximum(at, 0)] == context))
+        some = some[np.argsort(context[some], kind="stable")]
+        for own in np.split(some, np.flatnonzero(np.diff(context[some])) + 1) if len(some) else ():
+            lo, hi = np.searchsorted(lead, context[own[0]], side="left"), np.searchsorted(lead, context[own[0]], side="right")
+            at[own] = lo - 1 + np.searchsorted(self.symbols_at[lo:hi], symbol[own], side="right")
+        order = np.argsort(at, kind="stable")
+        order = order[np.searchsorted(at[order], 0) :]
+        for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else ():
+            yield int(at[own[0]]), own
 
     def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of entries (-1 where absent) and their probabilities (0 where absent)."""
@@ -122,7 +127,7 @@ class Level:
         for i, own in self._deal(context[known], symbol[known]):
             own = known[own]
             shard = opened(self.paths[i], LevelShard.load)
-            c = shard.contexts.find(context[own] - self.firsts[i][0])
+            c = shard.contexts.find(context[own] - self.contexts_at[i])
             ok = (c >= 0) & (symbol[own] < shard.span)
             own, c = own[ok], c[ok]
             place = shard.successors.find(c * shard.span + symbol[own])
@@ -139,41 +144,41 @@ class Level:
         for i, own in self._deal(context[known], np.full(len(known), 1 << 62)):
             own = known[own]
             shard = opened(self.paths[i], LevelShard.load)
-            c = shard.contexts.find(context[own] - self.firsts[i][0])
+            c = shard.contexts.find(context[own] - self.contexts_at[i])
             own, c = own[c >= 0], c[c >= 0]
             start[own] = shard.pointers.get(c).astype(np.int64) + self.ranks[i]
             mass[own] = shard.masses[c]
-        for c in self.split_start:
-            start[context == c], mass[context == c] = self.split_start[c], self.split_mass[c]
+        if len(self.split):
+            place = np.minimum(np.searchsorted(self.split, context), len(self.split) - 1)
+            own = self.split[place] == context
+            start[own], mass[own] = self.split_start[place[own]], self.split_mass[place[own]]
         return start, mass
 
 
-def _write_level(rows: DataFrame, path: str, context_counts, shard: int = LEVEL_SHARD) -> Level:
-    """Write entries ``key`` (context and symbol in one long) with ``n``; the driver gathers a row a shard."""
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
+def _write_level(rows: DataFrame, path: str, context_counts, shard: int = LEVEL_SHARD, counted: bool = True) -> Level:
+    """Write entries ``c``, ``s`` (context and symbol) with ``n``, which is stored where ``counted``; the driver gathers a row a shard."""
+    ordered = rows.repartitionByRange("c", "s").sortWithinPartitions("c", "s")
     kind = "part int, n long, c0 long, s0 long, c1 long, mass0 double, mass1 double, path string"
     schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("c0", pa.int64()), ("s0", pa.int64()), ("c1", pa.int64()), ("mass0", pa.float64()), ("mass1", pa.float64()), ("path", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, keys, counts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, number, waiting, held = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            nonlocal number, keys, counts, held
-            key, n = np.concatenate(keys), np.concatenate(counts)
-            context, symbol = key >> 32, key & 0xFFFFFFFF
+            nonlocal number, waiting, held
+            context, symbol, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
             codes = quantise((n - DISCOUNT) / context_counts(context))
             uri = f"{path}/part-{part:06d}-{number:06d}.lvl"
-            parts = LevelShard.build(context, symbol, n, codes)
+            parts = LevelShard.build(context, symbol, n if counted else n[:0], codes)
             masses = parts[1].view(np.float64)
             store.write_shard(uri, [np.ascontiguousarray(x).tobytes() for x in parts])
-            row = store.batch(schema, part=[part], n=[len(key)], c0=[int(context[0])], s0=[int(symbol[0])], c1=[int(context[-1])], mass0=[float(masses[0])], mass1=[float(masses[-1])], path=[uri])
-            number, keys, counts, held = number + 1, [], [], 0
+            row = store.batch(schema, part=[part], n=[len(n)], c0=[int(context[0])], s0=[int(symbol[0])], c1=[int(context[-1])], mass0=[float(masses[0])], mass1=[float(masses[-1])], path=[uri])
+            number, waiting, held = number + 1, [], 0
             return row
 
         for b in batches:
             if b.num_rows:
-                keys.append(b.column(0).to_numpy())
-                counts.append(b.column(1).to_numpy())
+                waiting.append([b.column(i).to_numpy() for i in range(3)])
                 held += b.num_rows
                 if held >= shard:
                     yield flush()
@@ -192,7 +197,9 @@ def _write_level(rows: DataFrame, path: str, context_counts, shard: int = LEVEL_
                 own = opened(a["path"], LevelShard.load)
                 start[c], mass[c] = int(own.pointers.get(np.array([own.contexts.n - 1]))[0]) + int(ranks[i]), a["mass1"]
             mass[c] += b["mass0"]
-    return Level([(r["c0"], r["s0"]) for r in found], [r["c1"] for r in found], [r["path"] for r in found], ranks, int(counts.sum()), start, mass)
+    split = sorted(start)
+    lead = (np.array([r[x] for r in found], np.int64) for x in ("c0", "s0"))
+    return Level(*lead, [r["path"] for r in found], ranks, int(counts.sum()), np.array(split, np.int64), np.array([start[c] for c in split], np.int64), np.array([mass[c] for c in split]))
 
 
 @dataclass
@@ -247,10 +254,9 @@ class Tokens:
     def pairs(self) -> None:
         """Of each token and the one before it: the pair's position in level 2, its probability, and its context's start and mass."""
         before = self._previous(self.ids, -1)
-        key = np.where((before >= 0) & (self.ids >= 0), before << 32 | self.ids, -1)
-        self.distinct_pairs, self.pair_where = np.unique(key, return_inverse=True)
-        own = self.distinct_pairs
-        self.distinct_at, p = self.trie.pairs.find(np.where(own >= 0, own >> 32, -1), own & 0xFFFFFFFF)
+        unknown = (before < 0) | (self.ids < 0)
+        context, symbol, self.pair_where, _ = distinct_pairs(np.where(unknown, -1, before), np.where(unknown, -1, self.ids))
+        self.distinct_at, p = self.trie.pairs.find(context, symbol)
         self.at, self.pair_p = self.distinct_at[self.pair_where], p[self.pair_where]
         start, mass = self.trie.pairs.contexts(self.distinct)
         self.start, self.mass = self._previous(start[self.where], -1), self._previous(mass[self.where], 0.0)
@@ -267,15 +273,28 @@ class Tokens:
         return self._previous(mass[self.pair_where], 0.0)
 
 
-def train(docs: DataFrame, path: str, text: str = "text", least: int = LEAST) -> Trie:
-    """A trie of all texts. Pairs and triples of at least ``least`` occurrences are stored; all texts are counted whole.
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of whole numbers from -1 on in order, which of them each pair is, and how often each occurs."""
+    width = int(b.max(initial=0)) + 2
+    if int(a.max(initial=0)) + 2 < (1 << 62) // width:
+        key, where, n = np.unique((a + 1) * width + b + 1, return_inverse=True, return_counts=True)
+        return key // width - 1, key % width - 1, where, n
+    order = np.lexsort((b, a))
+    new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
+    where = np.empty(len(a), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return a[order][new], b[order][new], where, np.bincount(where)
+
+
+def train(docs: DataFrame, path: str, text: str = "text") -> Trie:
+    """A trie of all texts: every word, pair and triple, counted whole.
 
-    Three passes count words, then pairs of words that occur often enough, then triples of pairs that do; each counts
-    within its batches before the shuffle. A word more than 2**31 times or as many distinct words would overflow the
-    keys and raise an error.
+    Three passes count words, then pairs of words, then triples as a pair and a successor of its last word; each counts
+    within its batches before the shuffle, and a key is two longs, so no number of words or pairs is too large. Null and
+    empty texts are an end alone; repeated rows count each; an empty table gives levels without entries.
     """
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
 
     def counting(keys_of):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,38 +303,33 @@ def train(docs: DataFrame, path: str, text: str = "text", least: int = LEAST) ->
                 for lo, hi in portions(own, PORTION):
                     found.append(keys_of(*tokens_of(own[lo:hi])))
                 if found:
-                    key, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield store.batch(schema, key=key, n=n)
+                    c, s, _, n = distinct_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    yield store.batch(schema, c=c, s=s, n=n)
 
         # Keys are distinct within a batch, so the sums are left to the far side of the shuffle.
-        return texts.mapInArrow(count, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+        return texts.mapInArrow(count, "c long, s long, n long").repartition("c", "s").groupBy("c", "s").agg(F.sum("n").alias("n"))
 
-    words = write_sorted(counting(lambda tokens, bounds: tokens), f"{path}/words", "key", "n")
-    if words.n >= 1 << 31:
-        raise ValueError("more distinct words than keys hold")
+    words = write_sorted(counting(lambda tokens, bounds: (np.zeros(len(tokens), np.int64), tokens)), f"{path}/words", "s", "n")
     trie = Trie(words, None, None)
 
-    def pair_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def pair_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = Tokens.of(trie, tokens, bounds)
-        ids = np.where(found.counts >= least, found.ids, -1)
-        before = found._previous(ids, -1)
-        some = (before >= 0) & (ids >= 0)
-        return before[some] << 32 | ids[some]
+        before = found._previous(found.ids, -1)
+        some = (before >= 0) & (found.ids >= 0)
+        return before[some], found.ids[some]
 
     def word_counts(ids: np.ndarray) -> np.ndarray:
         distinct, where = np.unique(ids, return_inverse=True)
         return _column_at(words, distinct)[where]
 
-    trie.pairs = _write_level(counting(pair_keys).where(F.col("n") >= least), f"{path}/pairs", word_counts)
-    if trie.pairs.n >= 1 << 31:
-        raise ValueError("more distinct pairs than keys hold")
+    trie.pairs = _write_level(counting(pair_keys), f"{path}/pairs", word_counts)
 
-    def triple_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def triple_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = Tokens.of(trie, tokens, bounds)
         found.pairs()
         context, relative = found.triples()
         some = context >= 0
-        return context[some] << 32 | relative[some]
+        return context[some], relative[some]
 
     def pair_counts(positions: np.ndarray) -> np.ndarray:
         distinct, where = np.unique(positions, return_inverse=True)
@@ -326,7 +340,7 @@ def train(docs: DataFrame, path: str, text: str = "text", least: int = LEAST) ->
             out[own] = gather(*opened(trie.pairs.paths[i], LevelShard.load).counts, distinct[own] - trie.pairs.ranks[i])
         return out[where]
 
-    trie.triples = _write_level(counting(triple_keys).where(F.col("n") >= least), f"{path}/triples", pair_counts)
+    trie.triples = _write_level(counting(triple_keys), f"{path}/triples", pair_counts, counted=False)
     return trie
 
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from tests.llm.conftest import prose
 
 from tessella.llm import ngrams, shards, store
+from tessella.llm.queries import op3_lm_scoring
 
 
 def tokens(text):
@@ -22,7 +24,6 @@ def plain(train, rows):
         c.update(w)
         c2.update(zip(w, w[1:]))
         c3.update(zip(w, w[1:], w[2:]))
-    c2, c3 = ({k: n for k, n in x.items() if n >= 2} for x in (c2, c3))
     total, distinct = sum(c.values()), len(c)
     q = lambda p: 10 ** (-ngrams.STEP * math.ceil(-math.log10(p) / ngrams.STEP - 1e-9))
     a2 = {k: q((n - 0.75) / c[k[0]]) for k, n in c2.items()}
@@ -65,11 +66,11 @@ def test_contexts_that_span_shards(spark, monkeypatch):
     texts = [" ".join(f"the w{(i * 7 + k) % 40} the x{k % 3}" for k in range(60)) for i in range(8)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     write = ngrams._write_level
-    monkeypatch.setattr(ngrams, "_write_level", lambda rows, path, counts: write(rows, path, counts, shard=5))
+    monkeypatch.setattr(ngrams, "_write_level", lambda rows, path, counts, **more: write(rows, path, counts, shard=5, **more))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
         trie = ngrams.train(df, store.fresh_path(spark, "test-split"))
-        assert len(trie.pairs.paths) > 8 and trie.pairs.split_start
+        assert len(trie.pairs.paths) > 8 and len(trie.pairs.split)
         check(ngrams.score(df, trie).collect(), plain(texts, list(enumerate(texts))))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -88,6 +89,24 @@ def test_probabilities_add_up(spark):
         assert p.reshape(len(words), -1)[:, -1].sum() == pytest.approx(1.0, abs=1e-9)
 
 
+@pytest.mark.parametrize("largest", [9, 1 << 40])
+def test_distinct_pairs_of_any_size(largest):
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(-1, 5, 500) * (largest // 9), rng.integers(-1, 5, 500) * (largest // 9)
+    a, b = np.maximum(a, -1), np.maximum(b, -1)
+    x, y, where, n = ngrams.distinct_pairs(a, b)
+    assert Counter(zip(a.tolist(), b.tolist())) == dict(zip(zip(x.tolist(), y.tolist()), n.tolist())) and sorted(zip(x, y)) == list(zip(x, y))
+    assert (x[where] == a).all() and (y[where] == b).all() and len(ngrams.distinct_pairs(a[:0], b[:0])[0]) == 0
+
+
+def test_query(spark, messy, tmp_path):
+    messy.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    train = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    out = op3_lm_scoring(spark, str(tmp_path)).drop("held_out").where("doc_id IS NOT NULL").collect()
+    check(out, plain(train, [r for r in rows if r[0] is not None]))
+
+
 def test_nothing_to_learn(spark, empty):
     trie = ngrams.train(empty, store.fresh_path(spark, "test-empty"))
     df = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
