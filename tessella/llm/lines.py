@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import store
 
-#: Share of a host's pages above which a line is boilerplate, and pages that it must be on at least.
-RATIO, LEAST_PAGES = 0.1, 5
+#: Share of a host's pages above which a line is boilerplate.
+RATIO = 0.1
+#: Hosts with more than this share of all pages, fewer than its inverse, are joined apart from the rest.
+HOT = 0.001
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host: str = "source", text: str = "text") -> DataFrame:
-    """Hashes of boilerplate lines by host: ``host, lines``, a row a host that has any.
+def _hashes(text: str) -> Column:
+    """Hashes of a text's lines that aren't blank."""
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
 
-    A line counts once a page; its pages are divided by all pages of the host, those without text too. A host's array
-    holds at most (distinct lines a page, on average) / ``ratio`` entries. Blank lines never count.
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, host: str = "source", text: str = "text") -> DataFrame:
+    """Hashes of boilerplate lines by host: ``host, lines, share``, a row a host that has any, with its share of all pages.
+
+    A line counts once a page; its pages are divided by all pages of the host, those without text too, and a line that
+    exceeds ``ratio`` is boilerplate if it repeats, on two pages at least: what one page alone holds is its own text. A
+    host's array holds at most (distinct lines a page, on average) / ``ratio`` entries. Blank lines never count; a null
+    host is a host of its own; an empty table gives an empty result.
     """
     own = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
     totals = own.groupBy("host").agg(F.count("*").alias("pages")).select(F.col("host").alias("of"), "pages")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    each = own.select("host", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("line"))
-    counted = each.groupBy("host", "line").agg(F.count("*").alias("on_pages")).where(F.col("on_pages") >= least_pages)
+    every = totals.agg(F.sum("pages").alias("every"))
+    each = own.select("host", F.explode(F.array_distinct(_hashes("text"))).alias("line"))
+    counted = each.groupBy("host", "line").agg(F.count("*").alias("on_pages")).where("on_pages > 1")
     often = counted.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("on_pages") > F.lit(float(ratio)) * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("line").alias("lines"))
+    found = often.groupBy("host").agg(F.collect_set("line").alias("lines"), F.max("pages").alias("pages"))
+    return found.crossJoin(F.broadcast(every)).select("host", "lines", (F.col("pages") / F.col("every")).alias("share"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host: str = "source", text: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source", text: str = "text", hot: float = HOT) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_dropped`` added.
 
     Other lines, blank ones too, stay in order. A null text stays null with 0 lines; an empty one has one blank line; a
     null host is a host of its own; repeated rows are pages of their own; a text may lose all its lines and is then empty.
     Columns called ``n_lines`` or ``n_dropped`` are replaced. An empty table gives an empty result.
+
+    Texts of hosts with a share of more than ``hot`` of all pages stay where they are: those hosts' lines, at most (lines a
+    page, on average over all pages) / (``hot`` * ``ratio``) hashes, are broadcast. The others meet their lines by host, and
+    none of them has more pages than that share.
     """
-    found = store.materialize(boilerplate(docs, ratio, least_pages, host, text), "boilerplate")
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.join(found, F.col(host).eqNullSafe(F.col("__host")), "left")
+    found = store.materialize(boilerplate(docs, ratio, host, text), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__lines"), "share")
+    same = F.col(host).eqNullSafe(F.col("__host"))
+    often, rare = (found.where(x).drop("share") for x in (F.col("share") > hot, F.col("share") <= hot))
+    joined = docs.join(F.broadcast(often), same).unionByName(docs.join(F.broadcast(often), same, "left_anti").join(rare, same, "left"))
+    # The page's own boilerplate lines are found by hashing, so that each line is looked up among these few.
+    own = F.array_intersect(_hashes(text), F.coalesce("__lines", F.array().cast("array<bigint>")))
     split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("__lines", F.xxhash64(x)))
-    left = F.when(F.col("__lines").isNull(), split).otherwise(kept)
-    joined = joined.withColumn("__left", left)
-    size = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
-    lines = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(size(F.split(text, "\n")))
-    dropped = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(size(F.split(text, "\n")) - size(F.col("__left")))
-    cleaned = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n"))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], lines.alias("n_lines"), dropped.alias("n_dropped"))
+    left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("__own", F.xxhash64(x)))
+    joined = joined.withColumn("__own", own).withColumn("__left", left)
+    size = lambda x: F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    cleaned = F.array_join("__left", "\n")
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], size(split).alias("n_lines"), (size(split) - size(F.col("__left"))).alias("n_dropped"))

@@ -126,7 +126,7 @@ often AS (
   SELECT c.source, c.line FROM (
     SELECT source, line, count(DISTINCT page) AS on_pages FROM parts WHERE trim(line) <> '' GROUP BY source, line) c
   JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.on_pages >= 5 AND c.on_pages > 0.1::DOUBLE * t.n),
+  WHERE c.on_pages > 1 AND c.on_pages > 0.1::DOUBLE * t.n),
 kept AS (
   SELECT p.page, count(*) AS n_lines, count(*) FILTER (o.line IS NOT NULL) AS n_dropped,
          coalesce(string_agg(p.line, chr(10) ORDER BY p.place) FILTER (o.line IS NULL), '') AS text

@@ -69,25 +69,33 @@ def test_mix_of_nothing(spark, empty):
     assert [r["taken"] for r in mixing.mix(blank).collect()] == [0, 0]
 
 
-def plain_lines(rows, ratio, least):
+def plain_lines(rows, ratio):
     pages, on = Counter(), Counter()
     for _, text, host in rows:
         pages[host] += 1
         if text is not None:
             on.update((host, x) for x in set(text.split("\n")) if x.strip(" "))
-    bad = {k for k, n in on.items() if n >= least and n > ratio * pages[k[0]]}
+    bad = {k for k, n in on.items() if n > 1 and n > ratio * pages[k[0]]}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in bad)) for i, t, h in rows]
 
 
 def test_line_dedup(spark, messy):
     rows = [(i, f"menu\nown {i}\n\nfooter\nrare", "h" if i % 3 else None) for i in range(40)] + [(100, None, "h"), (101, "", "h"), (102, "menu", "other"), (103, "menu\nmenu", "h"), (103, "menu\nmenu", "h"), (104, " \n", "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit(1)).withColumn("n_lines", F.lit("x"))
-    out = lines.drop_boilerplate(df, 0.5, 3)
-    assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in out.collect()])) == sorted(map(repr, plain_lines(rows, 0.5, 3)))
+    for hot in (0.0, 0.1, 1.0):
+        out = lines.drop_boilerplate(df, 0.5, hot=hot)
+        assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in out.collect()])) == sorted(map(repr, plain_lines(rows, 0.5)))
     assert out.where("doc_id = 103").first()["n_dropped"] == 2
     assert lines.drop_boilerplate(messy).count() == messy.count() and lines.drop_boilerplate(messy.where("false")).count() == 0
 
 
+def test_lines_of_small_hosts(spark):
+    rows = [(i, f"menu\nown {i}\n\nfooter {i % 2}", "four") for i in range(4)] + [(9, "menu\nown", "one"), (10, "menu\nx\nx", "two"), (11, "menu\ny", "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df).collect()}
+    assert out == {0: "own 0\n", 1: "own 1\n", 2: "own 2\n", 3: "own 3\n", 9: "menu\nown", 10: "x\nx", 11: "y"}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
