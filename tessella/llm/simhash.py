@@ -3,7 +3,8 @@
 Fingerprints are compared in tiles, with numpy exclusive-or and bit counts. A tile holds fingerprints whose segments have
 the same population counts; two fingerprints within ``radius`` bits differ by at most ``radius`` in the sum over segments,
 so all other pairs of tiles are skipped. Tiles of more than ``tile`` fingerprints are split, and each task gets one tile
-and the tiles near it, a bounded number of rows.
+and the tiles near it, a bounded number of rows. Inside a task rows are in order of their population counts, and blocks
+whose counts differ by more than the radius are skipped again.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ TILE = 1 << 15
 AREA = 1 << 18
 #: Texts of at most so many shingles have bits that tie often, and are compared within EXTRA more bits.
 SMALL, EXTRA = 16, 6
+#: Candidate pairs a row that are verified in a first round.
+ROUND = 8
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -89,16 +92,24 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "do
 
 
 def _compare(own: np.ndarray, guests: np.ndarray, own_size: np.ndarray, guest_size: np.ndarray, radius: int, ratio: float, inside: bool):
-    """Pairs of positions within ``radius`` bits and ``ratio`` of sizes, at most ``AREA`` of them at a time."""
+    """Pairs of positions within ``radius`` bits and ``ratio`` of sizes, at most ``AREA`` of them at a time.
+
+    Both sides are in order of their bits set; a block of rows meets only guests whose number of them is within the radius.
+    """
     step = max(1, AREA // max(1, len(guests)))
+    own_bits, guest_bits = population(own), population(guests)
     for lo in range(0, len(own), step):
         rows = own[lo : lo + step]
-        other = guests[lo:] if inside else guests
+        begin = lo if inside else int(np.searchsorted(guest_bits, own_bits[lo] - radius, side="left"))
+        end = int(np.searchsorted(guest_bits, own_bits[lo + len(rows) - 1] + radius, side="right"))
+        if end <= begin:
+            continue
+        other = guests[begin:end]
         apart = np.zeros((len(rows), len(other)), np.uint8)
         for w in range(own.shape[1]):
             apart += np.bitwise_count(rows[:, w][:, None] ^ other[:, w][None, :])
         i, j = np.nonzero(apart <= radius)
-        i, j = i + lo, j + lo * inside
+        i, j = i + lo, j + begin
         if ratio:
             a, b = own_size[i], guest_size[j]
             near = np.minimum(a, b) >= ratio * np.maximum(a, b)
@@ -109,6 +120,11 @@ def _compare(own: np.ndarray, guests: np.ndarray, own_size: np.ndarray, guest_si
             yield i, j
 
 
+def population(fingerprints: np.ndarray) -> np.ndarray:
+    """The bits set in each row of words."""
+    return np.bitwise_count(fingerprints).sum(axis=1, dtype=np.int64)
+
+
 def pair_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A number from 0 to below 1 by the hash of each pair."""
     h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -116,7 +132,7 @@ def pair_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE, window: tuple[float, float] | None = None) -> DataFrame:
+def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE, window: tuple[float, float] | None = None, count: bool = False) -> DataFrame:
     """Links ``a, b`` among rows of ``node``, ``size`` and distinct fingerprints ``fp0`` ...: a spanning set of all that are near.
 
     Near are fingerprints that differ in at most ``radius`` bits and, with ``size_ratio``, whose sizes' ratio is at least
@@ -124,7 +140,8 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
     even where all are near to all; no two near rows stay unjoined.
 
     With ``window``, the near pairs themselves are returned whose own hash lies in that part of 0 to 1 and whose rows
-    differ in ``label``, a column of ``rows``.
+    differ in ``label``, a column of ``rows``. With ``count`` as well, only their numbers: ``a`` is k where the hash is from
+    2**-k to below twice that, ``b`` how many.
     """
     words = [c for c in rows.columns if re.fullmatch(r"fp\d+", c)]
     if size_ratio:
@@ -162,7 +179,7 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
     def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         is_own = group["own"]
         fp = np.stack([group[w].view(np.uint64) for w in words], axis=1)
-        order = np.concatenate([np.flatnonzero(is_own), np.flatnonzero(~is_own)])
+        order = np.lexsort((population(fp), ~is_own))
         n, fp, size, node = int(is_own.sum()), fp[order], group["size"][order], group["node"][order]
         if window:
             label, pairs = group["label"][order], []
@@ -173,7 +190,11 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
                 # Few shingles make ties of bits frequent: SMALL texts have the whole radius, others less.
                 near = (label[i] != label[j]) & (share >= window[0]) & (share < window[1])
                 near &= (np.maximum(size[i], size[j]) <= SMALL) | (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= radius - EXTRA)
-                pairs.append((a[near], b[near]))
+                if count:
+                    k, n = np.unique(np.minimum(np.ceil(-np.log2(np.maximum(share[near], 2.0**-50))), 50).astype(np.int64), return_counts=True)
+                    pairs.append((k, n))
+                else:
+                    pairs.append((a[near], b[near]))
         labels = Labels(len(node))
         join = some if window else labels.join
         if group["sub"][0] == group["bundle"][0]:
@@ -254,7 +275,8 @@ def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str
 
     Candidates are near fingerprints of the sets of shingles. They are verified in rounds, each over a larger part of the
     pairs by their hash, and only between rows that earlier rounds haven't joined: in the end every candidate pair is
-    verified or joined, while the pairs of a large group of near copies are never all listed.
+    verified or joined, while the pairs of a large group of near copies are never all listed. The parts follow from counts
+    of the candidates, at most ``ROUND`` a row to begin with; where there are few, one round has them all.
     """
     found = store.materialize(fingerprints(docs, words, bits, key, text, distinct=True), "simhash-fingerprints")
     kinds = [c for c in found.columns if c.startswith("fp")] + ["size"]
@@ -263,17 +285,23 @@ def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str
     rows = store.materialize(rows, "simhash-distinct")
     n, lo, links = rows.count(), 0.0, None
     labels = rows.select("node", F.col("node").alias("label"))
-    hi = min(1.0, 8 / max(n, 1))
+    radius = bit_radius(similarity, bits) + EXTRA
+    counts = link(rows.withColumn("label", F.monotonically_increasing_id()), radius, similarity, tile, (0.0, 1.0), count=True)
+    by_share = {r["a"]: r["n"] for r in counts.groupBy("a").agg(F.sum("b").alias("n")).collect()}
+    # The largest power of two below which the pairs are few enough for one round.
+    exponent = 0
+    while exponent < 50 and sum(v for k, v in by_share.items() if k > exponent) > ROUND * max(n, 1000):
+        exponent += 1
+    hi = 2.0**-exponent
     while lo < 1.0:
-        hi = 1.0 if hi > 0.5 else hi
         labelled = rows.join(labels.distinct(), "node")
-        pairs = store.materialize(link(labelled, bit_radius(similarity, bits) + EXTRA, similarity, tile, (lo, hi)).where("a <> b").distinct(), "simhash-pairs")
+        pairs = store.materialize(link(labelled, radius, similarity, tile, (lo, hi)).where("a <> b").distinct(), "simhash-pairs")
         if not pairs.isEmpty():
             joined = store.materialize(jaccard(docs, pairs, words, similarity, key, text), "simhash-links")
             links = joined if links is None else links.unionByName(joined)
             label = components(links)
             labels = store.materialize(rows.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "simhash-labels")
-        lo, hi = hi, hi * 16
+        lo, hi = hi, min(1.0, hi * 16)
     of = rows.join(labels.distinct(), "node").select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.col("label").alias("component_id"))
     return found.join(of, [F.col(k) == F.col(f"of_{k}") for k in kinds]).select("doc_id", "component_id")
 
@@ -292,4 +320,7 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 128, similarity: float
     twice = store.materialize(docs.groupBy(F.col(key).alias("__twice")).count().where("count > 1 AND __twice IS NOT NULL").select("__twice"), "simhash-repeated")
     single = kept.join(twice, F.col(key) == F.col("__twice"), "left_anti")
     repeated = kept.join(twice, F.col(key) == F.col("__twice"), "left_semi")
-    return single.unionByName(repeated.dropDuplicates([key]))
+    # Which of the rows with one key stays must not depend on how they are dealt out.
+    order = [F.xxhash64(F.col(text)), *(F.xxhash64(F.col(c)) for c, kind in docs.dtypes if c != text and "map<" not in kind)]
+    least = repeated.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("__row")).select("__row.*")
+    return single.unionByName(least)
