@@ -1,14 +1,18 @@
 """Lossless WebP for media columns: a reader of the whole VP8L format, and a writer of 8-bit samples.
 
 The reader follows RFC 9649: prefix codes in groups, back-references, the colour cache, and the inverse of the predictor,
-cross-colour, subtract-green and palette transforms. The writer stores samples in the green channel with prefix codes of
-one length, so that the literals of such an image are read in a few vectorised steps; images with other codes are read
-symbol by symbol.
+cross-colour, subtract-green and palette transforms. An image with one group of codes is parsed at every bit position at
+once: what would be read there and where the next symbol would begin; following those jumps from the first bit, sixteen
+symbols a step, gives the symbols of the image. Images with several groups are read symbol by symbol.
+
+The writer stores samples in the green channel with prefix codes of their frequencies and back-references to earlier
+pixels, and samples of at most 16 values as a palette with several pixels in one.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,10 +46,19 @@ class Bits:
             return 0
         if self.at + n > 8 * len(self.data):
             raise ValueError("the image ends early")
+        value = self.peek(n)
+        self.at += n
+        return value
+
+    def peek(self, n: int) -> int:
+        """The next ``n`` bits, zeros beyond the end."""
         byte = self.at >> 3
-        value = int.from_bytes(self.data[byte : byte + (n + 14 >> 3)], "little") >> (self.at & 7)
+        return int.from_bytes(self.data[byte : byte + (n + 14 >> 3)], "little") >> (self.at & 7) & ((1 << n) - 1)
+
+    def skip(self, n: int) -> None:
         self.at += n
-        return value & ((1 << n) - 1)
+        if self.at > 8 * len(self.data):
+            raise ValueError("the image ends early")
 
 
 def reversed_bits(code: int, n: int) -> int:
@@ -54,54 +67,69 @@ def reversed_bits(code: int, n: int) -> int:
 
 
 @lru_cache(maxsize=16)
-def _backwards(n: int) -> list[int]:
+def _backwards(n: int) -> np.ndarray:
     """All codes of ``n`` bits, each the other way round."""
-    return [reversed_bits(i, n) for i in range(1 << n)]
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
 
 
 class Prefix:
-    """A canonical prefix code: a table by (length, bits as read) to the symbol."""
+    """A canonical prefix code by the lengths of its symbols' codes."""
 
-    def __init__(self, lengths: list[int]):
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
-        if not used:
+    def __init__(self, lengths: np.ndarray):
+        lengths = np.asarray(lengths, np.int64)
+        used = np.flatnonzero(lengths)
+        if not len(used):
             raise ValueError("a prefix code without symbols")
-        self.only = used[0][1] if len(used) == 1 else None
-        self.table: dict[tuple[int, int], int] = {}
-        self.width = used[-1][0] if used[0][0] == used[-1][0] else None
-        self.symbols = [s for _, s in used]
-        code, last = 0, used[0][0]
-        for n, s in used:
-            code <<= n - last
-            last = n
-            self.table[n, code] = s
-            code += 1
-        if self.only is None and code != 1 << last:
+        self.symbols = used[np.argsort(lengths[used], kind="stable")]
+        self.lengths = lengths[self.symbols]
+        self.only = int(used[0]) if len(used) == 1 else None
+        self.bits = 0 if self.only is not None else int(self.lengths[-1])
+        if self.only is None and int((1 << (self.bits - self.lengths)).sum()) != 1 << self.bits:
             raise ValueError("a prefix code that isn't complete")
+        self._table: list[int] | None = None
+
+    def table(self) -> np.ndarray:
+        """By the next ``bits`` bits, the symbol that they begin with, times 16, and its length."""
+        if self.only is not None:
+            return np.array([self.only << 4], np.int32)
+        ordered = np.repeat((self.symbols << 4 | self.lengths).astype(np.int32), 1 << (self.bits - self.lengths))
+        return ordered[_backwards(self.bits)]
+
+    def codes(self, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+        """By symbol, its code as written and the code's length."""
+        code, size = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
+        if self.only is None:
+            first = np.cumsum(1 << (self.bits - self.lengths)) - (1 << (self.bits - self.lengths))
+            code[self.symbols], size[self.symbols] = _backwards(self.bits)[first], self.lengths
+        return code, size
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        code = n = 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (s := self.table.get((n, code))) is not None:
-                return s
-
-    def fixed(self) -> tuple[int, np.ndarray] | None:
-        """Bits a symbol and the symbols by bits as packed, where all codes have one length of at most 8."""
-        if self.only is not None:
-            return 0, np.array([self.only], np.uint16)
-        if self.width is None or self.width > 8:
-            return None
-        return self.width, np.array(self.symbols, np.uint16)[_backwards(self.width)]
+        if self._table is None:
+            self._table = self.table().tolist()
+        found = self._table[bits.peek(self.bits)]
+        bits.skip(found & 15)
+        return found >> 4
+
+
+@lru_cache(maxsize=512)
+def _single(symbol: int) -> Prefix:
+    """The code of one symbol."""
+    return Prefix(np.arange(symbol + 1) == symbol)
 
 
 def _read_prefix(bits: Bits, symbols: int) -> Prefix:
     lengths = [0] * symbols
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
+        first = bits.read(8 if wide else 1)
+        if not two:
+            return _single(first)
+        lengths[first] = 1
         if two:
             lengths[bits.read(8)] = 1
         return Prefix(lengths)
@@ -111,8 +139,13 @@ def _read_prefix(bits: Bits, symbols: int) -> Prefix:
     code = Prefix(of_lengths)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     at, last = 0, 8
-    if code.width == 1 and code.only is None and max(code.symbols) < 16 and most >= symbols:
-        return Prefix([code.symbols[int(x)] for x in reversed(format(bits.read(symbols), f"0{symbols}b"))])
+    if len(code.symbols) == 16 and code.bits == 4 and code.symbols[-1] == 15:
+        # All lengths have codes of four bits: they are read at once.
+        most = min(most, symbols)
+        nibbles = np.frombuffer(bits.read(4 * most).to_bytes(most // 2 + 1, "little"), np.uint8)
+        lengths = np.zeros(symbols, np.int64)
+        lengths[:most] = _backwards(4)[np.stack([nibbles & 15, nibbles >> 4], axis=1).reshape(-1)[:most]]
+        return Prefix(lengths)
     while at < symbols and most > 0:
         most -= 1
         n = code.read(bits)
@@ -137,22 +170,123 @@ def _long_value(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _unpack_fixed(bits: Bits, width: int, n: int) -> np.ndarray:
-    """``n`` values of ``width`` bits, as packed."""
-    if not width:
-        return np.zeros(n, np.uint8)
-    first, out = bits.at, np.empty(n, np.uint8)
-    bits.at += n * width
-    if bits.at > 8 * len(bits.data):
-        raise ValueError("the image ends early")
-    data = np.frombuffer(bits.data, np.uint8)
-    for lo in range(0, n, 1 << 20):
-        hi = min(n, lo + (1 << 20))
-        a, b = first + lo * width, first + hi * width
-        own = np.unpackbits(data[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a]
-        rows = np.zeros((hi - lo, 8), np.uint8)
-        rows[:, :width] = own.reshape(hi - lo, width)
-        out[lo:hi] = np.packbits(rows, axis=1, bitorder="little")[:, 0]
+#: Bytes whose bit positions are parsed at once.
+PARSED = 1 << 16
+
+
+@lru_cache(maxsize=4)
+def _near_distances(width: int) -> np.ndarray:
+    """By distance code less 1, the distance in pixels of the near ones."""
+    near = np.array(NEAR, np.int64)
+    return np.maximum(1, near[:, 0] + near[:, 1] * width)
+
+
+def _long_values(symbol: np.ndarray, window: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distance codes of their symbols, whose further bits begin at ``at``, and where those end."""
+    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    more = window[at].astype(np.int64) & ((1 << extra) - 1)
+    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, at + extra
+
+
+def _symbols(bits: Bits, group: list[Prefix], n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The symbols that make ``n`` pixels, in runs: green symbols, pixels of literals, lengths and distance codes, places in the image."""
+    green, red, blue, alpha, distance = ((x.table(), (1 << x.bits) - 1) for x in group)
+    data = np.concatenate([np.frombuffer(bits.data, np.uint8), np.zeros(32, np.uint8)]).astype(np.uint32)
+    at = 0
+    while at < n:
+        if bits.at >= 8 * len(bits.data):
+            raise ValueError("the image ends early")
+        byte = bits.at >> 3
+        raw = data[byte : byte + PARSED + 19]
+        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        # 25 bits from every bit on; a symbol with all its further bits takes less than 12 bytes.
+        window = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+        end = 8 * (len(words) - 15)
+        found = green[0][window[:end] & green[1]]
+        symbol, after = found >> 4, np.arange(end) + (found & 15)
+        constant, plain, several = 0, None, []
+        for (table, mask), shift in ((red, 16), (blue, 0), (alpha, 24)):
+            if mask:
+                plain = np.flatnonzero(symbol < 256) if plain is None else plain
+                channel = np.zeros(end, np.int32)
+                channel[plain] = table[window[after[plain]] & mask]
+                after[plain] += channel[plain] & 15
+                several.append((channel, shift))
+            else:
+                constant |= (int(table[0]) >> 4) << shift
+
+        def copy_of(own: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Lengths, distance codes and ends of back-references from the place after their length symbols on."""
+            length, to = _long_values(symbol[own] - 256, window, begin)
+            code = distance[0][window[to] & distance[1]]
+            return length, *_long_values(code >> 4, window, to + (code & 15))
+
+        copies = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTHS))
+        if len(copies):
+            after[copies] = copy_of(copies, after[copies])[2]
+        # Sixteen symbols a step from the first one, then all between them side by side.
+        jump = np.append(np.minimum(after, end), end)
+        one = jump
+        for _ in range(4):
+            jump = jump[jump]
+        heads, place, view = [], bits.at & 7, memoryview(jump)
+        while place < end:
+            heads.append(place)
+            place = view[place]
+        rows = np.empty((16, len(heads)), np.int64)
+        rows[0] = heads
+        for k in range(1, 16):
+            rows[k] = one[rows[k - 1]]
+        own = rows.T.reshape(-1)
+        own = own[: np.searchsorted(own, end)]
+        kind = symbol[own]
+        length, back = np.ones(len(own), np.int64), np.zeros(len(own), np.int64)
+        copies = np.flatnonzero((kind >= 256) & (kind < 256 + LENGTHS))
+        if len(copies):
+            length[copies], back[copies], _ = copy_of(own[copies], own[copies] + (found[own[copies]] & 15))
+        ends = np.cumsum(length) + at
+        last = int(np.searchsorted(ends, n))
+        own, kind, length, back, ends = (x[: last + 1] for x in (own, kind, length, back, ends))
+        pixel = kind.astype(np.uint32) << np.uint32(8) | np.uint32(constant)
+        for channel, shift in several:
+            pixel |= (channel[own] >> 4).astype(np.uint32) << np.uint32(shift)
+        bits.at = 8 * byte + int(after[own[-1]])
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the image ends early")
+        yield kind, pixel, length, back, ends - length
+        at = int(ends[-1])
+    if at > n:
+        raise ValueError("a back-reference outside the image")
+
+
+def _cache_slot(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+
+
+def _one_group(bits: Bits, group: list[Prefix], width: int, n: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image with one group of codes: literals of a run at once, back-references and cached colours in order."""
+    if group[0].only is not None and all(c.only is not None for c in group[1:4]):
+        if group[0].only >= 256:
+            raise ValueError("an image without literals")
+        red, blue, alpha = (c.only for c in group[1:4])
+        return np.full(n, alpha << 24 | red << 16 | group[0].only << 8 | blue, np.uint32)
+    out, near = np.zeros(n, np.uint32), _near_distances(width)
+    cache, cached_to = np.zeros(1 << cache_bits, np.uint32), 0
+    for symbol, pixel, length, back, place in _symbols(bits, group, n):
+        literal = symbol < 256
+        out[place[literal]] = pixel[literal]
+        distance = np.where(back > len(NEAR), back - len(NEAR), near[np.clip(back, 1, len(NEAR)) - 1])
+        events = np.flatnonzero(~literal)
+        for s, m, d, p in zip(*(x[events].tolist() for x in (symbol, length, distance, place)), strict=True):
+            if s < 256 + LENGTHS:
+                if d > p or p + m > n:
+                    raise ValueError("a back-reference outside the image")
+                out[p : p + m] = out[p - d : p - d + m] if d >= m else np.resize(out[p - d : p], m)
+            else:
+                # The cache holds the last pixel of each slot so far.
+                cache[_cache_slot(out[cached_to:p], cache_bits)] = out[cached_to:p]
+                cached_to = p
+                out[p] = cache[s - 256 - LENGTHS]
     return out
 
 
@@ -169,11 +303,8 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cached = 1 << cache_bits if cache_bits else 0
     codes = [[_read_prefix(bits, n) for n in (256 + LENGTHS + cached, 256, 256, 256, DISTANCES)] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and max(codes[0][0].symbols) < 256:
-        if (green := codes[0][0].fixed()) and all(c.only is not None for c in codes[0][1:4]):
-            red, blue, alpha = (c.only for c in codes[0][1:4])
-            literals = green[1][_unpack_fixed(bits, green[0], n)].astype(np.uint32)
-            return literals << 8 | np.uint32(alpha << 24 | red << 16 | blue)
+    if groups == 1 and (codes[0][0].bits or all(c.only is not None for c in codes[0][:4])):
+        return _one_group(bits, codes[0], width, n, cache_bits)
     out, at, cache = [0] * n, 0, [0] * cached
     while at < n:
         group = codes[tiles[(at // width >> tile_bits) * across + (at % width >> tile_bits)] if tiles else 0]
@@ -228,26 +359,14 @@ def _clip(x):
 
 
 def _predict(mode: int, left, top, right, corner):
-    """The predicted pixel from its neighbours: left, top, top right and top left."""
+    """The predicted pixel from its neighbours: left, top, top right and top left, for the modes that need the left one."""
     match mode:
-        case 1:
-            return left
-        case 2:
-            return top
-        case 3:
-            return right
-        case 4:
-            return corner
         case 5:
             return _half(_half(left, right), top)
         case 6:
             return _half(left, corner)
         case 7:
             return _half(left, top)
-        case 8:
-            return _half(corner, top)
-        case 9:
-            return _half(top, right)
         case 10:
             return _half(_half(left, corner), _half(top, right))
         case 11:
@@ -257,25 +376,43 @@ def _predict(mode: int, left, top, right, corner):
         case 13:
             mean = _half(left, top)
             return [_clip(m + int((m - c) / 2)) for m, c in zip(mean, corner, strict=True)]
-    return [255, 0, 0, 0]
+    raise ValueError("a mode that needs no pixel to the left")
+
+
+#: Modes that need no pixel of their own row, by the neighbours that they average.
+_ABOVE = {2: "t", 3: "r", 4: "c", 8: "ct", 9: "tr"}
 
 
 def _add_predicted(argb: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    rest, across = _channels(argb).tolist(), -(-width >> bits)
-    modes = (modes >> 8 & 15).tolist()
-    for at in range(width * height):
-        y, x = divmod(at, width)
-        if not at:
-            guess = [255, 0, 0, 0]
-        elif not y:
-            guess = rest[at - 1]
-        elif not x:
-            guess = rest[at - width]
-        else:
-            # The pixel to the top right of a row's last one is the row's first one, which follows in scan order.
-            guess = _predict(modes[(y >> bits) * across + (x >> bits)], rest[at - 1], rest[at - width], rest[at - width + 1], rest[at - width - 1])
-        rest[at] = [(a + b) & 0xFF for a, b in zip(rest[at], guess, strict=True)]
-    return _join(np.array(rest, np.int32).reshape(-1, 4))
+    """Rows from the top on; stretches of a row that need only the row above, or sums from the left, are added at once."""
+    rest, across = _channels(argb).reshape(height, width, 4), -(-width >> bits)
+    modes = (modes >> 8 & 15).reshape(-1, across).tolist()
+    rest[0, 0] += (255, 0, 0, 0)
+    rest[0] = np.cumsum(rest[0], axis=0) & 0xFF
+    for y in range(1, height):
+        above, row = rest[y - 1], rest[y]
+        # The pixel to the top right of a row's last one is the row's first one, which follows in scan order.
+        row[0] = (row[0] + above[0]) & 0xFF
+        right = np.concatenate([above[1:], row[:1]])
+        for tile in range(across):
+            lo, hi, mode = max(1, tile << bits), min(width, (tile + 1) << bits), modes[y >> bits][tile]
+            if lo >= hi:
+                continue
+            sides = {"t": above[lo:hi], "r": right[lo:hi], "c": above[lo - 1 : hi - 1]}
+            if mode == 1:
+                row[lo:hi] = (np.cumsum(row[lo:hi], axis=0) + row[lo - 1]) & 0xFF
+            elif mode in _ABOVE:
+                own = [sides[k] for k in _ABOVE[mode]]
+                row[lo:hi] = (row[lo:hi] + (sum(own) >> (len(own) - 1))) & 0xFF
+            elif mode in (0, 14, 15):
+                row[lo:hi, 0] = (row[lo:hi, 0] + 255) & 0xFF
+            else:
+                left = row[lo - 1].tolist()
+                for x, t, r, c in zip(range(lo, hi), *(sides[k].tolist() for k in "trc"), strict=True):
+                    guess = _predict(mode, left, t, r, c)
+                    left = [(a + b) & 0xFF for a, b in zip(row[x].tolist(), guess, strict=True)]
+                    row[x] = left
+    return _join(rest.reshape(-1, 4))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -359,6 +496,16 @@ def decode_webp(data: bytes) -> np.ndarray:
     raise ValueError("no lossless image")
 
 
+def files(data: bytes) -> list[bytes]:
+    """WebP files that follow one another."""
+    found, at = [], 0
+    while at < len(data):
+        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        found.append(data[at : at + size + (size & 1)])
+        at += len(found[-1])
+    return found
+
+
 class BitWriter:
     """Writes bits from the lowest of each byte on."""
 
@@ -380,44 +527,175 @@ def container(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + pad) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * pad
 
 
+#: Longest code that the writer makes; pixels that it compares to find matches, and the shortest and longest match written.
+MOST_BITS, MATCH, LEAST_LENGTH, MOST_LENGTH = 12, 8, 16, 4096
+#: Largest distance that a symbol can tell.
+MOST_DISTANCE = (1 << 20) - len(NEAR)
+
+
+def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """Lengths of a complete prefix code near the symbols' information: rounded up, then shortened while there is room, the frequent ones first."""
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) == 1:
+        lengths[used] = 1
+        return lengths
+    own = counts[used]
+    n = np.clip(np.ceil(np.log2(own.sum() / own) - 1e-9), 1, most).astype(np.int64)
+    order = np.argsort(-own, kind="stable")
+    sizes, room = n[order].tolist(), (1 << most) - int((1 << (most - n)).sum())
+    at = len(sizes) - 1
+    while room < 0:  # rounding the longest codes down to ``most`` took too much
+        at = at if sizes[at] < most else next(i for i in range(len(sizes) - 1, -1, -1) if sizes[i] < most)
+        room += 1 << (most - sizes[at] - 1)
+        sizes[at] += 1
+    for rounds in range(most):
+        if not room:
+            break
+        for i, size in enumerate(sizes):
+            if size > 1 and 1 << (most - size) <= room:
+                room -= 1 << (most - size)
+                sizes[i] = size - 1
+    n[order] = sizes
+    lengths[used] = n
+    return lengths
+
+
+def _split_value(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, number of further bits and those bits of lengths or distance codes from 1 on."""
+    x = value - 1
+    extra = np.where(x < 4, 0, np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 2)
+    return np.where(x < 4, x, 2 * extra + (x >> extra)), extra, x & ((1 << extra) - 1)
+
+
+def matches(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of pixels that repeat earlier ones: the longest stretches of one distance, from the left."""
+    none = (np.zeros(0, np.int64),) * 3
+    n = len(flat) - MATCH + 1
+    if n < 2:
+        return none
+    words, size = flat.astype(np.uint64), 1
+    while size < MATCH:
+        words = words[:-size] | words[size:] << np.uint64(8 * size)
+        size *= 2
+    key = ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    before = np.full(n, -1)
+    before[order[1:]] = np.where(words[order[1:]] == words[order[:-1]], order[:-1], -1)
+    distance = np.where((before >= 0) & (np.arange(n) - before <= MOST_DISTANCE), np.arange(n) - before, 0)
+    first = np.flatnonzero(np.diff(distance, prepend=0))
+    runs = np.diff(np.append(first, n))
+    some = (distance[first] > 0) & (runs > LEAST_LENGTH - MATCH)
+    first, runs = first[some], runs[some]
+    place, length, end = [], [], 0
+    for a, r in zip(first.tolist(), runs.tolist()):
+        stop = a + r + MATCH - 1
+        a = max(a, end)
+        while stop - a >= LEAST_LENGTH:
+            m = min(stop - a, MOST_LENGTH)
+            place.append(a)
+            length.append(m)
+            a = end = a + m
+    at = np.array(place, np.int64)
+    return at, np.array(length, np.int64), distance[np.minimum(at, n - 1)] if len(at) else none[2]
+
+
+def _joined_bits(head: np.ndarray, value: np.ndarray, size: np.ndarray) -> bytes:
+    """Bits of a head, then values of up to 57 bits each, one after another."""
+    value, size = np.concatenate([head.astype(np.uint64), value.astype(np.uint64)]), np.concatenate([np.ones(len(head), np.int64), size])
+    value, size = value[size > 0], size[size > 0]
+    end = np.cumsum(size)
+    word, shift = (end - size) >> 6, ((end - size) & 63).astype(np.uint64)
+    out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+    over = np.flatnonzero(shift.astype(np.int64) + size > 64)
+    out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+    return out.tobytes()[: -(-int(end[-1]) // 8)]
+
+
+def _put_single(out: BitWriter, symbol: int) -> None:
+    """Write the code of one symbol below 256, which takes no bits."""
+    wide = int(symbol > 1)
+    out.put(1 | wide << 2 | symbol << 3, 11 if wide else 4)
+
+
+def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a prefix code for counts by symbol; its codes and their lengths by symbol."""
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        _put_single(out, int(used[0]) if len(used) else 0)
+        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    lengths = code_lengths(counts)
+    out.put(0, 1)  # code lengths follow, each in a code of four bits
+    out.put(15, 4)
+    for i in CODE_LENGTH_ORDER:
+        out.put(4 if i < 16 else 0, 3)
+    most = max(2, int(used[-1]) + 1)
+    if most < len(counts):
+        out.put(1, 1)  # no code lengths beyond the last symbol that has one
+        out.put(4, 3)
+        out.put(most - 2, 10)
+    else:
+        out.put(0, 1)
+    nibbles = _backwards(4)[np.append(lengths[:most], 0)]
+    packed = (nibbles[: most + most % 2 : 2] | nibbles[1 : most + 1 : 2] << 4).astype(np.uint8) if most % 2 == 0 else np.append(nibbles[: most - 1 : 2] | nibbles[1:most:2] << 4, nibbles[most - 1]).astype(np.uint8)
+    out.put(int.from_bytes(packed.tobytes(), "little"), 4 * most)
+    return Prefix(lengths).codes(len(counts))
+
+
 def encode_gray(samples: np.ndarray) -> bytes:
     """A lossless WebP file of (height, width) 8-bit samples, in the green channel of opaque pixels.
 
-    The bytes that occur, and as many others as make their number a power of two, get codes of one length.
+    At most 16 different samples become a palette, several to a pixel. Pixels that repeat earlier ones are
+    back-references; the codes follow the frequencies of the image's own symbols.
     """
     height, width = samples.shape
-    flat = np.ascontiguousarray(samples, np.uint8).reshape(-1)
-    present = np.bincount(flat, minlength=256) > 0
-    n_bits = max(1, int(present.sum() - 1).bit_length())
-    chosen = np.sort(np.concatenate([np.flatnonzero(present), np.flatnonzero(~present)[: (1 << n_bits) - int(present.sum())]]))
+    pixels = np.ascontiguousarray(samples, np.uint8)
+    values = np.flatnonzero(np.bincount(pixels.reshape(-1), minlength=256))
     out = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
         out.put(value, n)
-    out.put(0, 1)  # code lengths follow, coded by a code of two symbols: 0 and n_bits
-    out.put(15, 4)
-    for i in CODE_LENGTH_ORDER:
-        out.put(int(i in (0, n_bits)), 3)
-    out.put(0, 1)
-    has = np.zeros(256 + LENGTHS, np.uint8)
-    has[chosen] = 1
-    out.put(int.from_bytes(np.packbits(has, bitorder="little").tobytes(), "little"), len(has))
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha and distance: one symbol, no bits
-        wide = symbol > 1
-        for value, n in ((1, 1), (0, 1), (int(wide), 1), (symbol, 8 if wide else 1)):
+    if len(values) <= 16:
+        for value, n in ((1, 1), (PALETTE, 2), (len(values) - 1, 8), (0, 1)):
             out.put(value, n)
-    table = np.zeros(256, np.uint8)
-    table[chosen] = _backwards(n_bits)
-    parts = [out.array()]
-    left, done = parts[0], []
-    for lo in range(0, len(flat), 1 << 20):
-        codes = table[flat[lo : lo + (1 << 20)]]
-        own = np.unpackbits(codes[:, None], axis=1, bitorder="little", count=n_bits).reshape(-1)
-        left = np.concatenate([left, own])
-        whole = len(left) & ~7
-        done.append(np.packbits(left[:whole], bitorder="little").tobytes())
-        left = left[whole:]
-    done.append(np.packbits(left, bitorder="little").tobytes())
-    return container(b"".join(done))
+        # The palette itself: an image of one row, each colour less the one before; only the green differs.
+        green = np.diff(values, prepend=0)
+        code, size = _put_code(out, np.bincount(green, minlength=256 + LENGTHS))
+        _put_single(out, 0)
+        _put_single(out, 0)
+        opaque, opaque_size = _put_code(out, np.bincount([255, *[0] * (len(values) - 1)], minlength=256))
+        _put_single(out, 0)
+        for g, a in zip(green.tolist(), [255, *[0] * (len(values) - 1)]):
+            out.put(int(code[g]), int(size[g]))
+            out.put(int(opaque[a]), int(opaque_size[a]))
+        down = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+        index = np.searchsorted(values, pixels)
+        padded = np.zeros((height, -(-width >> down) << down), np.int64)
+        padded[:, :width] = index
+        pixels = (padded.reshape(height, -1, 1 << down) << (np.arange(1 << down) * (8 >> down))).sum(axis=2).astype(np.uint8)
+    out.put(0, 1)  # no more transforms
+    flat = pixels.reshape(-1)
+    place, length, distance = matches(flat)
+    copied = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(copied, place, 1)
+    np.add.at(copied, place + length, -1)
+    literal = np.flatnonzero(np.cumsum(copied)[:-1] == 0)
+    symbol, extra, more = _split_value(length)
+    far, far_extra, far_more = _split_value(distance + len(NEAR))
+    out.put(0, 1)  # no colour cache
+    out.put(0, 1)  # one group of codes
+    code, size = _put_code(out, np.bincount(np.concatenate([flat[literal], 256 + symbol]), minlength=256 + LENGTHS))
+    for only in (0, 0, 255):  # red, blue and alpha
+        _put_single(out, only)
+    far_code, far_size = _put_code(out, np.bincount(far, minlength=DISTANCES))
+    value, n = code[256 + symbol], size[256 + symbol]
+    for v, k in ((more, extra), (far_code[far], far_size[far]), (far_more, far_extra)):
+        value, n = value | v << n, n + k
+    order = np.argsort(np.concatenate([literal, place]), kind="stable")
+    value = np.concatenate([code[flat[literal]], value])[order]
+    n = np.concatenate([size[flat[literal]], n])[order]
+    return container(_joined_bits(out.array(), value, n))
 
 
 def samples_of(argb: np.ndarray) -> np.ndarray:

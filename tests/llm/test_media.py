@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tests.llm.conftest import prose
 
 from tessella.llm import media, webp
+from tessella.llm.queries import op10_media_columns
 
 
 class Writer(webp.BitWriter):
@@ -210,18 +212,73 @@ def test_near_distances_are_the_formats():
     assert len(webp.NEAR) == len(set(webp.NEAR)) == 120
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.binary(max_size=700))
-def test_gray_round_trip(data):
-    payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
-    stored = webp.encode_gray(media.to_image(payload))
-    assert webp.samples_of(webp.decode_webp(stored)).tobytes() == payload
-
-
-def test_wide_payloads():
-    payload = np.random.default_rng(0).integers(0, 256, 64 * 16384 + 64, dtype=np.uint8).tobytes()
-    image = media.to_image(payload)
-    assert image.shape[1] == 128 and webp.samples_of(webp.decode_webp(webp.encode_gray(image))).tobytes()[: len(payload)] == payload
+def padded(data):
+    return data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.binary(max_size=700), st.lists(st.sampled_from([b"", b"a", b"the same words again ", b"\xff" * 40, b"0123456789abcdef"]), max_size=60).map(b"".join)))
+def test_round_trip(data):
+    assert media.from_media(media.to_media(padded(data))).tobytes() == padded(data)
+
+
+@pytest.mark.parametrize("kind", ["random", "words", "zeros", "two", "far", "steps"])
+def test_round_trip_of_long_payloads(kind, monkeypatch):
+    rng = np.random.default_rng(0)
+    words = [bytes(rng.integers(97, 123, 7, dtype=np.uint8)) for _ in range(300)]
+    block = rng.integers(0, 256, 40_000, dtype=np.uint8).tobytes()
+    data = {"random": block * 1, "words": b" ".join(words[i] for i in rng.integers(0, 300, 30_000)), "zeros": b"", "two": bytes(rng.integers(0, 2, 90_000, dtype=np.uint8)), "far": block + bytes(rng.integers(0, 256, 300_000, dtype=np.uint8)) + block, "steps": bytes(range(256)) * 400}[kind]
+    for parsed in (1 << 16, 700):
+        monkeypatch.setattr(webp, "PARSED", parsed)
+        stored = media.to_media(padded(data))
+        assert media.from_media(stored).tobytes() == padded(data)
+    assert len(stored) < {"random": 1.05, "words": 0.5, "zeros": 2, "two": 0.2, "far": 0.95, "steps": 0.1}[kind] * len(padded(data))
+
+
+def test_payloads_of_several_images():
+    payload = np.random.default_rng(0).integers(0, 9, 64 * 100, dtype=np.uint8).tobytes()
+    stored = media.to_media(payload, image=64 * 30)
+    assert len(webp.files(stored)) == 4 and media.from_media(stored).tobytes() == payload
+    long = np.random.default_rng(1).integers(0, 200, media.IMAGE + 64, dtype=np.uint8).tobytes()
+    assert len(webp.files(media.to_media(long))) == 2 and media.from_media(media.to_media(long)).tobytes() == long
+
+
+@pytest.mark.parametrize("counts", [[5], [1, 1], [1] * 300, [2**k for k in range(40)], [1000000] + [1] * 270, [3, 0, 0, 9, 1]])
+def test_code_lengths_are_complete(counts):
+    lengths = webp.code_lengths(np.array(counts))
+    assert ((lengths > 0) == (np.array(counts) > 0)).all() and lengths.max() <= webp.MOST_BITS
+    assert len([c for c in counts if c]) == 1 or (2.0 ** -lengths[lengths > 0]).sum() == 1
+
+
+def test_the_query_reads_codes_references_and_palettes(spark, monkeypatch):
+    """What the writer's files hold: codes of several lengths, back-references, palettes."""
+    text = (prose(3, 400) + " " + prose(3, 400)).encode()
+    codes, kinds = [], []
+    read, symbols, look = webp._read_prefix, webp._symbols, webp._look_up
+    monkeypatch.setattr(webp, "_read_prefix", lambda *a: codes.append(read(*a)) or codes[-1])
+    monkeypatch.setattr(webp, "_symbols", lambda *a: (kinds.append(x[0]) or x for x in symbols(*a)))
+    monkeypatch.setattr(webp, "_look_up", lambda *a: kinds.append("palette") or look(*a))
+    assert media.from_media(media.to_media(padded(text))).tobytes() == padded(text)
+    assert len(set(codes[0].lengths.tolist())) > 3 and (kinds[0] >= 256).any() and (kinds[0] < 256).any()
+    assert media.from_media(media.to_media(padded(b"abab" * 50))).tobytes() == padded(b"abab" * 50) and "palette" in kinds
+
+
+def test_query(spark, messy, tmp_path):
+    messy.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op10_media_columns(spark, str(tmp_path)).collect()
+    key = lambda r: repr(r)
+    want = []
+    for r in messy.collect():
+        raw = (r["text"] or "").encode()
+        p = padded(raw)
+        want.append((r["doc_id"], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+    got = [(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_null_media(spark):
+    df = spark.createDataFrame([(1, 3, 64, None)], "doc_id long, n_bytes long, payload_bytes long, media binary")
+    assert [tuple(r) for r in media.read_media(df).collect()] == [(1, 3, *[None] * 7)]
 
 
 @pytest.mark.parametrize("data", [b"", b"RIFF\0\0\0\0WEBP", b"RIFF\4\0\0\0WEBPVP8L\5\0\0\0\x2f\0\0\0\0"])
