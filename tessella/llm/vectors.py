@@ -22,6 +22,8 @@ from tessella.llm.components import Labels, components
 
 #: Principal dimensions of the grid, vectors a block, and those an interval is compared at.
 DIMENSIONS, BLOCK, LEAF = 6, 256, 64
+#: Blocks that meet in one task.
+MEETING = 2048
 #: What rounding may add to distances.
 SLACK = 1e-6
 
@@ -151,18 +153,32 @@ def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float, blo
     return store.materialize(order.mapInArrow(cut, "block long, label string, dim int, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"), "ego-blocks")
 
 
-def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
+def _near_blocks(blocks: DataFrame, epsilon: float, most: int = MEETING) -> DataFrame:
     """Pairs of blocks ``a <= b`` of one label and length whose boxes are within epsilon.
 
-    Blocks meet by the stripes of epsilon's width that they touch on the first two dimensions, each pair in one of them.
+    Blocks meet by the stripes of epsilon's width that they touch on leading dimensions, each pair in one meeting. A label
+    with more blocks uses more dimensions, one for each power of ten, so that meetings stay small where its vectors spread;
+    a meeting of more than ``most`` blocks is dealt to several tasks: one side in parts, the other to each of them.
     """
-    stripe = lambda bound, i: F.coalesce(F.floor(F.try_element_at(bound, F.lit(i + 1)) / F.lit(epsilon)), F.lit(0)).cast("int")
-    touched = blocks.select("block", "label", "dim", "lo", "hi", *[stripe(F.col("lo"), i).alias(f"s{i}") for i in (0, 1)], *[F.sequence(stripe(F.col("lo"), i), stripe(F.col("hi"), i) + 1).alias(f"all{i}") for i in (0, 1)])
-    touched = touched.withColumn("t0", F.explode("all0")).withColumn("t1", F.explode("all1")).drop("all0", "all1")
-    a, b = touched.alias("a"), touched.alias("b")
-    keys = ["label", "dim", "t0", "t1"]
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    on += [F.col("a.block") <= F.col("b.block")] + [F.col(f"a.t{i}") == F.greatest(F.col(f"a.s{i}"), F.col(f"b.s{i}")) for i in (0, 1)]
+    boxes = blocks.select("block", "label", "dim", "lo", "hi")
+    depth = boxes.groupBy("label", "dim").agg(F.greatest(F.lit(1), F.ceil(F.log10(F.count("*")))).alias("depth")).select(F.col("label").alias("of_label"), F.col("dim").alias("of_dim"), "depth")
+    touched = boxes.join(depth, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim"))).drop("of_label", "of_dim")
+    stripe = lambda bound, i: F.coalesce(F.floor(F.try_element_at(bound, F.lit(i + 1)) / F.lit(epsilon * (1 + SLACK))), F.lit(0)).cast("int")
+    places = range(DIMENSIONS)
+    for i in places:
+        used = F.lit(i) < F.col("depth")
+        touched = touched.withColumn(f"s{i}", F.when(used, stripe(F.col("lo"), i)).otherwise(0))
+        touched = touched.withColumn(f"t{i}", F.explode(F.when(used, F.sequence(stripe(F.col("lo"), i), stripe(F.col("hi"), i) + 1)).otherwise(F.array(F.lit(0)))))
+    keys = ["label", "dim", *(f"t{i}" for i in places)]
+    meeting = F.xxhash64(*keys)
+    touched = store.materialize(touched.withColumn("meeting", meeting), "ego-stripes")
+    parts = touched.groupBy("meeting").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts")).withColumnRenamed("meeting", "of")
+    touched = touched.join(parts, F.col("meeting") == F.col("of")).drop("of")
+    a = touched.withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")).alias("a")
+    b = touched.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("meeting", "part")]
+    on += [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.block") <= F.col("b.block")]
+    on += [F.col(f"a.t{i}") == F.greatest(F.col(f"a.s{i}"), F.col(f"b.s{i}")) for i in places]
     gaps = F.zip_with(
         F.zip_with("a.lo", "b.hi", lambda x, y: x - y), F.zip_with("b.lo", "a.hi", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)
     )

@@ -578,7 +578,9 @@ def matches(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while size < MATCH:
         words = words[:-size] | words[size:] << np.uint64(8 * size)
         size *= 2
-    key = ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+    # Keys of 16 bits sort fastest and are enough for few places.
+    wide = n > 1 << 15
+    key = ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32 if wide else 48)).astype(np.uint32 if wide else np.uint16)
     order = np.argsort(key, kind="stable")
     before = np.full(n, -1)
     before[order[1:]] = np.where(words[order[1:]] == words[order[:-1]], order[:-1], -1)

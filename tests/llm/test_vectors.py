@@ -5,6 +5,7 @@ import pytest
 from tests.llm.test_simhash import plain_components
 
 from tessella.llm import vectors
+from tessella.llm.queries import op7_embedding_near_dedup
 
 
 def plain(rows, cosine):
@@ -45,6 +46,26 @@ def test_links(spark, block):
     assert sorted(found(df, block=block)) == sorted(plain(rows, 0.98))
 
 
+@pytest.mark.parametrize("most", [1, 5, 2048])
+def test_blocks_meet_once_and_all(spark, most):
+    rng = np.random.default_rng(2)
+    boxes = []
+    for i in range(150):
+        lo = rng.uniform(-1, 1, 6)
+        boxes.append((i, "x" if i % 4 else "y", 6, lo.tolist(), (lo + rng.choice([0.05, 0.3], 6)).tolist()))
+    df = spark.createDataFrame(boxes, "block long, label string, dim int, lo array<double>, hi array<double>")
+    gap = lambda a, b: sum(max(0, x - w, y - v) ** 2 for x, v, y, w in zip(a[3], a[4], b[3], b[4], strict=True))
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] <= b[0] and a[1] == b[1] and gap(a, b) <= 0.25 * (1 + 1e-6) + 1e-6)
+    assert sorted(map(tuple, vectors._near_blocks(df, 0.5, most).collect())) == want and len(want) > 300
+
+
+def test_query(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)], int(i % 2)) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, op7_embedding_near_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect())) == sorted(plain(rows, 0.98))
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [None, 1.0], 1), (10, [], 1), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.001], 1), (12, [1.0, 0.001], 1), (13, [1e-30, 0.0], 1), (14, [3e38, 0.0], 1)]
