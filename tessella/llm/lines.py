@@ -51,12 +51,14 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source"
     same = F.col(host).eqNullSafe(F.col("__host"))
     often, rare = (found.where(x).drop("share") for x in (F.col("share") > hot, F.col("share") <= hot))
     joined = docs.join(F.broadcast(often), same).unionByName(docs.join(F.broadcast(often), same, "left_anti").join(rare, same, "left"))
-    # The page's own boilerplate lines are found by hashing, so that each line is looked up among these few.
+    # The page's own boilerplate lines are found by hashing, so that each line is looked up among these few. An exploded
+    # array of one keeps what was worked out for a page from being worked out again for each of its lines.
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
     own = F.array_intersect(_hashes(text), F.coalesce("__lines", F.array().cast("array<bigint>")))
-    split = F.split(text, "\n")
-    left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("__own", F.xxhash64(x)))
-    joined = joined.withColumn("__own", own).withColumn("__left", left)
+    joined = once(joined, "__page", F.struct(F.split(text, "\n").alias("all"), own.alias("own")))
+    left = F.filter("__page.all", lambda x: (F.trim(x) == "") | ~F.array_contains("__page.own", F.xxhash64(x)))
+    joined = once(joined, "__left", F.when(F.size("__page.own") > 0, left).otherwise(F.col("__page.all")))
     size = lambda x: F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    cleaned = F.array_join("__left", "\n")
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], size(split).alias("n_lines"), (size(split) - size(F.col("__left"))).alias("n_dropped"))
+    n, cleaned = size("__page.all"), F.array_join("__left", "\n")
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], n.alias("n_lines"), (n - size("__left")).alias("n_dropped"))
