@@ -8,8 +8,11 @@ it is a successor search relative to that context. Beside each entry lie its cou
 
 Probabilities are interpolated with absolute discounting: an entry has (count - D) / count of its context, rounded down to
 a step of the quantiser, and what a context's entries leave of 1 weighs the next shorter context; level 1 is the additive
-estimate of a word. So probabilities over all words add up to 1, quantised or not. Levels are written by range, a shard a
-task, and mapped into memory by the tasks that score.
+estimate of a word. So probabilities over all words add up to 1, quantised or not.
+
+A level is counted in one shuffle: tasks count their texts' keys in order and hand on blocks of them by range, with bounds
+from a sample of the keys; the tasks of the ranges add them up and write shards, which the tasks that score map into
+memory.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import store
 from tessella.llm.bits import EliasFano, gather
-from tessella.llm.shards import SortedShards, load_packed, load_set, opened, packed, write_sorted
+from tessella.llm.shards import MANIFEST, SortedShards, load_packed, load_set, opened, packed, sets_of, sorted_shards
 from tessella.llm.tokens import portions
 from tessella.llm.words import word_hashes
 
@@ -38,6 +41,8 @@ DISCOUNT, BITS, STEP = 0.75, 12, 0.002
 LEVEL_SHARD = 1 << 20
 #: Characters looked up at once, which bounds a task's arrays.
 PORTION = 2_000_000
+#: Tokens that a task counts before it hands on blocks, entries that one adds up at once, and keys that the driver samples.
+COUNTED, HELD, SAMPLED = 1 << 20, 1 << 21, 1 << 17
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -155,37 +160,123 @@ class Level:
         return start, mass
 
 
-def _write_level(rows: DataFrame, path: str, context_counts, shard: int = LEVEL_SHARD, counted: bool = True) -> Level:
-    """Write entries ``c``, ``s`` (context and symbol) with ``n``, which is stored where ``counted``; the driver gathers a row a shard."""
-    ordered = rows.repartitionByRange("c", "s").sortWithinPartitions("c", "s")
+def _block(c: np.ndarray, s: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts by key, in order of the keys, in the fewest bytes a column."""
+    columns = []
+    for x in (np.diff(c, prepend=c[0]), s, n):
+        kind = next(t for t in ("<u1", "<u2", "<u4", "<i8") if int(x.max()) <= np.iinfo(t).max)
+        columns.append(x.astype(kind))
+    return b"".join([np.array([len(c), c[0], *(x.itemsize for x in columns)], "<i8").tobytes(), *(x.tobytes() for x in columns)])
+
+
+def _unblock(data: bytes) -> list[np.ndarray]:
+    n, first, *sizes = np.frombuffer(data, "<i8", 5).tolist()
+    columns, at = [], 40
+    for size in sizes:
+        columns.append(np.frombuffer(data, "<i8" if size == 8 else f"<u{size}", n, at).astype(np.int64))
+        at += size * n
+    return [np.cumsum(columns[0]) + first, *columns[1:]]
+
+
+def _added(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Counts of several blocks by key, in order, equal keys added up."""
+    c, s, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    width = int(s.max()) + 1
+    order = np.argsort(c * width + s, kind="stable") if int(c.max()) < (1 << 62) // width else np.lexsort((s, c))
+    c, s = c[order], s[order]
+    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])]))
+    return [c[first], s[first], np.add.reduceat(n[order], first)]
+
+
+def _keys(keys_of, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        own = b.column(0).to_pylist()
+        for lo, hi in portions(own, PORTION):
+            yield keys_of(*tokens_of(own[lo:hi]))
+
+
+class Counting:
+    """Counts keys ``c, s`` of all texts by range: ``keys_of`` gives those of tokens and the bounds of their texts."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts = texts
+        chars, docs = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+        self.docs, self.tokens = docs, chars // 6 + docs + 1
+        self.parts = max(1, -(-self.tokens // HELD), min(64, self.tokens // (1 << 15)))
+
+    def bounds(self, keys_of) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that cut all into ranges of about equal sizes, from a sample whose size doesn't grow."""
+        share = min(1.0, max(SAMPLED / self.tokens, 200 / max(1, self.docs)))
+        step = max(1, int(share * self.tokens) // SAMPLED)
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c, s in _keys(keys_of, batches):
+                yield pa.RecordBatch.from_arrays([pa.array(c[::step]), pa.array(s[::step])], names=["c", "s"])
+
+        found = self.texts.sample(share, seed=1).mapInArrow(some, "c long, s long").toArrow()
+        c, s = (found.column(i).to_numpy() for i in (0, 1))
+        order = np.lexsort((s, c))[np.linspace(0, len(c), self.parts, endpoint=False, dtype=np.int64)[1:]] if len(c) else np.zeros(0, np.int64)
+        c, s, _, _ = distinct_pairs(c[order], s[order])
+        return c, s
+
+    def counts(self, keys_of, bounds: tuple[np.ndarray, np.ndarray], write, kind: str) -> DataFrame:
+        """What ``write`` makes of each range's keys and counts, which it gets as sorted arrays."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, held = [], 0
+
+            def blocks() -> pa.RecordBatch:
+                c, s, n = _added(found)
+                at = np.searchsorted(c, bounds[0], side="left")
+                to = np.searchsorted(c, bounds[0], side="right")
+                cuts = [0, *(a + int(np.searchsorted(s[a:b], v)) if b > a else a for a, b, v in zip(at.tolist(), to.tolist(), bounds[1].tolist())), len(c)]
+                rows = [(i, _block(c[a:b], s[a:b], n[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "block"])
+
+            for c, s in _keys(keys_of, batches):
+                if len(c):
+                    found.append([c, s, np.ones(len(c), np.int64)])
+                    held += len(c)
+                if held >= COUNTED:
+                    yield blocks()
+                    found, held = [], 0
+            if held:
+                yield blocks()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting, held, least = [], 0, HELD
+            for b in batches:
+                for x in b.column(0):
+                    waiting.append(_unblock(x.as_py()))
+                    held += len(waiting[-1][0])
+                    if held >= least:
+                        waiting = [_added(waiting)]
+                        held = len(waiting[0][0])
+                        least = max(HELD, 2 * held)
+            if waiting:
+                yield from write(*_added(waiting))
+
+        sent = self.texts.mapInArrow(count, "range int, block binary")
+        return sent.repartitionById(len(bounds[0]) + 1, "range").select("block").mapInArrow(add, kind)
+
+
+def _write_level(counting: Counting, keys_of, path: str, context_counts, shard: int = LEVEL_SHARD, counted: bool = True) -> Level:
+    """Count and write a level's entries, contexts and symbols; counts are stored where ``counted``. The driver gathers a row a shard."""
     kind = "part int, n long, c0 long, s0 long, c1 long, mass0 double, mass1 double, path string"
     schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("c0", pa.int64()), ("s0", pa.int64()), ("c1", pa.int64()), ("mass0", pa.float64()), ("mass1", pa.float64()), ("path", pa.string())])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, waiting, held = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush():
-            nonlocal number, waiting, held
-            context, symbol, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+    def write(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, at in enumerate(range(0, len(columns[0]), shard)):
+            context, symbol, n = (x[at : at + shard] for x in columns)
             codes = quantise((n - DISCOUNT) / context_counts(context))
             uri = f"{path}/part-{part:06d}-{number:06d}.lvl"
             parts = LevelShard.build(context, symbol, n if counted else n[:0], codes)
             masses = parts[1].view(np.float64)
             store.write_shard(uri, [np.ascontiguousarray(x).tobytes() for x in parts])
-            row = store.batch(schema, part=[part], n=[len(n)], c0=[int(context[0])], s0=[int(symbol[0])], c1=[int(context[-1])], mass0=[float(masses[0])], mass1=[float(masses[-1])], path=[uri])
-            number, waiting, held = number + 1, [], 0
-            return row
+            yield store.batch(schema, part=[part], n=[len(n)], c0=[int(context[0])], s0=[int(symbol[0])], c1=[int(context[-1])], mass0=[float(masses[0])], mass1=[float(masses[-1])], path=[uri])
 
-        for b in batches:
-            if b.num_rows:
-                waiting.append([b.column(i).to_numpy() for i in range(3)])
-                held += b.num_rows
-                if held >= shard:
-                    yield flush()
-        if held:
-            yield flush()
-
-    found = sorted(ordered.mapInArrow(write, kind).collect(), key=lambda r: (r["c0"], r["s0"]))
+    found = sorted(counting.counts(keys_of, counting.bounds(keys_of), write, kind).collect(), key=lambda r: (r["c0"], r["s0"]))
     counts = np.array([r["n"] for r in found], np.int64)
     ranks = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
     start: dict[int, int] = {}
@@ -290,26 +381,14 @@ def train(docs: DataFrame, path: str, text: str = "text") -> Trie:
     """A trie of all texts: every word, pair and triple, counted whole.
 
     Three passes count words, then pairs of words, then triples as a pair and a successor of its last word; each counts
-    within its batches before the shuffle, and a key is two longs, so no number of words or pairs is too large. Null and
+    within its tasks before the shuffle, and a key is two longs, so no number of words or pairs is too large. Null and
     empty texts are an end alone; repeated rows count each; an empty table gives levels without entries.
     """
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    schema = pa.schema([("c", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
-
-    def counting(keys_of):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own, found = b.column(0).to_pylist(), []
-                for lo, hi in portions(own, PORTION):
-                    found.append(keys_of(*tokens_of(own[lo:hi])))
-                if found:
-                    c, s, _, n = distinct_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                    yield store.batch(schema, c=c, s=s, n=n)
-
-        # Keys are distinct within a batch, so the sums are left to the far side of the shuffle.
-        return texts.mapInArrow(count, "c long, s long, n long").repartition("c", "s").groupBy("c", "s").agg(F.sum("n").alias("n"))
-
-    words = write_sorted(counting(lambda tokens, bounds: (np.zeros(len(tokens), np.int64), tokens)), f"{path}/words", "s", "n")
+    counting = Counting(docs.select(F.col(text).cast("string").alias("text")))
+    # Words' hashes are even, so no sample is needed.
+    even = np.arange(1, counting.parts, dtype=object) * (1 << 63) // counting.parts
+    even = (even.astype(np.int64), np.zeros(len(even), np.int64))
+    words = sorted_shards(counting.counts(lambda tokens, bounds: (tokens, np.zeros(len(tokens), np.int64)), even, lambda c, s, n: sets_of(iter([(c, n)]), f"{path}/words"), MANIFEST))
     trie = Trie(words, None, None)
 
     def pair_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +401,7 @@ def train(docs: DataFrame, path: str, text: str = "text") -> Trie:
         distinct, where = np.unique(ids, return_inverse=True)
         return _column_at(words, distinct)[where]
 
-    trie.pairs = _write_level(counting(pair_keys), f"{path}/pairs", word_counts)
+    trie.pairs = _write_level(counting, pair_keys, f"{path}/pairs", word_counts)
 
     def triple_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = Tokens.of(trie, tokens, bounds)
@@ -340,7 +419,7 @@ def train(docs: DataFrame, path: str, text: str = "text") -> Trie:
             out[own] = gather(*opened(trie.pairs.paths[i], LevelShard.load).counts, distinct[own] - trie.pairs.ranks[i])
         return out[where]
 
-    trie.triples = _write_level(counting(triple_keys), f"{path}/triples", pair_counts, counted=False)
+    trie.triples = _write_level(counting, triple_keys, f"{path}/triples", pair_counts, counted=False)
     return trie
 
 

@@ -83,33 +83,47 @@ def load_set(words: np.ndarray):
     return sequence, load_packed(words, at)[0]
 
 
+MANIFEST = "part int, first long, n long, total long, path string"
+
+
+def sets_of(arrays: Iterator[tuple[np.ndarray, np.ndarray]], path: str, shard: int = SHARD) -> Iterator[pa.RecordBatch]:
+    """Write a task's keys and values, which come in order of the keys, as shards; a manifest row each."""
+    schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("path", pa.string())])
+    part, number, waiting, held = TaskContext.get().partitionId(), 0, [], 0
+
+    def flush(k: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        uri = f"{path}/part-{part:06d}-{number:06d}.set"
+        store.write_shard(uri, [x.tobytes() for x in (*EliasFano.build(k - k[0]).parts(), *packed(v))])
+        return store.batch(schema, part=[part], first=[int(k[0])], n=[len(k)], total=[int(v.sum())], path=[uri])
+
+    for k, v in arrays:
+        waiting.append((k, v))
+        held += len(k)
+        if held >= shard:
+            k, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            for at in range(0, held - shard + 1, shard):
+                yield flush(k[at : at + shard], v[at : at + shard])
+                number += 1
+            waiting = [(k[held - held % shard :], v[held - held % shard :])]
+            held %= shard
+    if held:
+        yield flush(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+
+def sorted_shards(manifest: DataFrame) -> SortedShards:
+    """The set of the shards of a manifest; the driver gathers its rows, one a shard."""
+    found = sorted(manifest.collect(), key=lambda r: r["first"])
+    counts = np.array([r["n"] for r in found], np.int64)
+    return SortedShards(np.array([r["first"] for r in found], np.int64), [r["path"] for r in found], np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64), int(counts.sum()), sum(r["total"] for r in found))
+
+
 def write_sorted(table: DataFrame, path: str, key: str, value: str | None = None, shard: int = SHARD) -> SortedShards:
     """Write distinct non-negative keys with a non-negative value each. The driver gathers a row a shard."""
     rows = table.select(key, *([value] if value else []))
     ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
-    schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("path", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, keys, values, held = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def flush():
-            nonlocal number, keys, values, held
-            k, v = np.concatenate(keys), np.concatenate(values)
-            uri = f"{path}/part-{part:06d}-{number:06d}.set"
-            store.write_shard(uri, [x.tobytes() for x in (*EliasFano.build(k - k[0]).parts(), *packed(v))])
-            number, keys, values, held = number + 1, [], [], 0
-            return store.batch(schema, part=[part], first=[int(k[0])], n=[len(k)], total=[int(v.sum())], path=[uri])
-
-        for b in batches:
-            if b.num_rows:
-                keys.append(b.column(0).to_numpy())
-                values.append(b.column(1).to_numpy() if value else np.zeros(b.num_rows, np.int64))
-                held += b.num_rows
-                if held >= shard:
-                    yield flush()
-        if held:
-            yield flush()
-
-    found = sorted(ordered.mapInArrow(write, "part int, first long, n long, total long, path string").collect(), key=lambda r: r["first"])
-    counts = np.array([r["n"] for r in found], np.int64)
-    return SortedShards(np.array([r["first"] for r in found], np.int64), [r["path"] for r in found], np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64), int(counts.sum()), sum(r["total"] for r in found))
+        arrays = ((b.column(0).to_numpy(), b.column(1).to_numpy() if value else np.zeros(b.num_rows, np.int64)) for b in batches if b.num_rows)
+        yield from sets_of(arrays, path, shard)
+
+    return sorted_shards(ordered.mapInArrow(write, MANIFEST))

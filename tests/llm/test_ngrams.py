@@ -66,7 +66,7 @@ def test_contexts_that_span_shards(spark, monkeypatch):
     texts = [" ".join(f"the w{(i * 7 + k) % 40} the x{k % 3}" for k in range(60)) for i in range(8)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     write = ngrams._write_level
-    monkeypatch.setattr(ngrams, "_write_level", lambda rows, path, counts, **more: write(rows, path, counts, shard=5, **more))
+    monkeypatch.setattr(ngrams, "_write_level", lambda *a, **more: write(*a, shard=5, **more))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
         trie = ngrams.train(df, store.fresh_path(spark, "test-split"))
@@ -89,6 +89,21 @@ def test_probabilities_add_up(spark):
         assert p.reshape(len(words), -1)[:, -1].sum() == pytest.approx(1.0, abs=1e-9)
 
 
+def test_ranges_and_blocks(spark, messy, monkeypatch):
+    """Many ranges, blocks handed on often and added up often."""
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    monkeypatch.setattr(ngrams, "HELD", 300)
+    monkeypatch.setattr(ngrams, "COUNTED", 200)
+    monkeypatch.setattr(ngrams, "PORTION", 1000)
+    trie = ngrams.train(messy, store.fresh_path(spark, "test-ranges"))
+    assert len(trie.pairs.paths) > 20 and len(trie.words.paths) > 20
+    check(ngrams.score(messy, trie).collect(), plain([t for _, t in rows], rows))
+    for top in (3, 1 << 10, 1 << 40):
+        rng = np.random.default_rng(0)
+        block = ngrams._added([[rng.integers(0, top, 50), rng.integers(0, top, 50), rng.integers(1, top, 50)] for _ in range(3)])
+        assert all((x == y).all() for x, y in zip(block, ngrams._unblock(ngrams._block(*block)), strict=True))
+
+
 @pytest.mark.parametrize("largest", [9, 1 << 40])
 def test_distinct_pairs_of_any_size(largest):
     rng = np.random.default_rng(0)
