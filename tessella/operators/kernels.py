@@ -174,13 +174,22 @@ def coefficients(df: DataFrame, by: str, keys: list, sizes: dict, found: dict, a
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance of a vector column, from sums by pair of components."""
-    size = df.select(F.size(vector).alias("n")).where("n > 0").agg(F.max("n")).first()[0] or 0
+    """Rows, mean and covariance of a vector column, from sums by pair of components.
+
+    Rows whose vector is null or empty, or holds null, NaN or infinity, are left out of all sums, so every row counts
+    whole or not at all; vectors of different lengths are an error.
+    """
+    least, most = df.select(F.size(vector).alias("n")).where("n > 0").agg(F.min("n"), F.max("n")).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} components")
+    size = most or 0
+    whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    df = df.where((F.size(vector) > 0) & whole)
 
     def sums(batches):
         total = np.zeros(1 + size + size * size)
         for b in batches:
-            x = np.array([v for v in b[vector] if v is not None and len(v) == size], float).reshape(-1, size)
+            x = np.array([np.asarray(v, float) for v in b[vector]], float).reshape(-1, size)
             total += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).reshape(-1)])
         yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 

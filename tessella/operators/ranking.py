@@ -25,21 +25,56 @@ def bucket(value: Column, bounds: list[float]) -> Column:
     return halve(0, len(bounds))
 
 
-def running(df: DataFrame, by: list[str], order: str, amount: str, out: str, ranges: int = RANGES) -> DataFrame:
+def range_bounds(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
+    """Approximate quantiles of a column, which cut it into about ``ranges`` ranges of equal sizes."""
+    values = df.select(F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    return sorted(set(values.approxQuantile("v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) or []))
+
+
+def running(df: DataFrame, by: list[str], order: str, amount: str, out: str, ranges: int = RANGES, pick=None) -> DataFrame:
     """``df`` with the sum of ``amount`` over rows before each in ascending ``order``; ``order`` is distinct within ``by``.
 
-    Without ``by``, the order is cut at approximate quantiles, so that no window spans the table.
+    The order is cut at approximate quantiles of all rows, so that no window spans the table or a frequent ``by``: sums
+    inside a range are added to those of the ranges before it. With ``pick`` (``F.min`` or ``F.max``) the extreme of the
+    row and all after it is given instead.
     """
-    before = lambda keys, column: Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    if by:
-        return df.withColumn(out, F.coalesce(F.sum(amount).over(before(by, order)), F.lit(0)))
-    bounds = sorted(set(df.select(F.col(order).cast("double").alias("v")).where("v IS NOT NULL").approxQuantile("v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) or []))
+    back = pick is not None
+    how = pick or F.sum
+    bounds = range_bounds(df, order, ranges)
     dealt = df.withColumn("__range", bucket(F.col(order).cast("double"), bounds) if bounds else F.lit(0))
-    sums = dealt.groupBy("__range").agg(F.sum(amount).alias("__sum"))
-    sums = sums.select("__range", F.coalesce(F.sum("__sum").over(before([], "__range")), F.lit(0)).alias("__start"))
-    inside = dealt.withColumn("__inside", F.coalesce(F.sum(amount).over(before(["__range"], order)), F.lit(0)))
-    joined = inside.join(F.broadcast(sums), "__range")  # a row a range, at most RANGES
-    return joined.withColumn(out, F.col("__start") + F.col("__inside")).drop("__range", "__start", "__inside")
+    place = lambda c: F.desc(c) if back else F.asc(c)
+    window = lambda keys, c, last: Window.partitionBy(*keys).orderBy(place(c)).rowsBetween(Window.unboundedPreceding, last)
+    of = [f"__of{i}" for i in range(len(by))]
+    sums = dealt.groupBy(*[F.col(c).alias(o) for c, o in zip(by, of, strict=True)], F.col("__range").alias("__at")).agg(how(amount).alias("__sum"))
+    sums = sums.withColumn("__start", how("__sum").over(window(of, "__at", -1))).drop("__sum")  # a row a range and key
+    inside = dealt.withColumn("__inside", how(amount).over(window([*by, "__range"], order, 0 if back else -1)))
+    same = F.col("__range") == F.col("__at")
+    for c, o in zip(by, of, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    joined = inside.join(sums if by else F.broadcast(sums), same)  # a row a range, at most RANGES
+    value = F.least("__start", "__inside") if pick is F.min else F.greatest("__start", "__inside") if back else F.coalesce("__start", F.lit(0)) + F.coalesce("__inside", F.lit(0))
+    return joined.withColumn(out, value).drop("__range", "__at", "__start", "__inside", *of)
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles by group, a column for each of ``at``, from counts by distinct value: nothing is buffered whole.
+
+    Nulls don't count; a group of nulls alone has no row.
+    """
+    placed = value_ranks(df, by, value)
+    sizes = placed.groupBy(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).agg(F.sum("n").alias("__total"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    joined = placed.join(sizes, same) if by else placed.crossJoin(F.broadcast(sizes))  # one row
+    v, found = F.col(value).cast("double"), []
+    for q in at.values():
+        place = F.lit(float(q)) * (F.col("__total") - 1)
+        holds = lambda p: F.max(F.when((F.col("below") <= p) & (p < F.col("below") + F.col("n")), v))
+        low, high = holds(F.floor(place)), holds(F.ceil(place))
+        share = F.max(place - F.floor(place))
+        found.append(F.when(share > 0, low + (high - low) * share).otherwise(low))
+    return joined.groupBy(*by).agg(*[f.alias(name) for name, f in zip(at, found, strict=True)])
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -60,23 +95,33 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str = "avg_rank"
 
 
 def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q_value", id_column: str | None = None) -> DataFrame:
-    """Benjamini-Hochberg q-values within families; rows without p get none and don't count."""
+    """Benjamini-Hochberg q-values within families; rows without p get none and don't count.
+
+    Rows with one p have one q, from the last of their places, so q-values follow from counts by distinct p and a running
+    minimum over ranges of them. ``id_column`` is kept for callers; ties need no order.
+    """
     by = by or []
-    some = df.where(F.col(p).isNotNull())
-    rank = Window.partitionBy(*by).orderBy(F.col(p).asc(), *([F.col(id_column)] if id_column else []))
-    whole = Window.partitionBy(*by)
-    tail = Window.partitionBy(*by).orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scaled = some.withColumn("__rank", F.row_number().over(rank)).withColumn("__n", F.count("*").over(whole))
-    scaled = scaled.withColumn("__raw", F.col(p) * F.col("__n") / F.col("__rank"))
-    done = scaled.withColumn(out, F.least(F.lit(1.0), F.min("__raw").over(tail))).drop("__rank", "__n", "__raw")
-    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    some = df.where(F.col(p).isNotNull() & ~F.isnan(p))
+    counts = value_ranks(some, by, p)
+    totals = counts.groupBy(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(by)]).agg(F.sum("n").alias("__n"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__of{i}"))
+    scaled = counts.join(totals, same) if by else counts.crossJoin(F.broadcast(totals))  # one row
+    scaled = scaled.select(*by, p, (F.col(p) * F.col("__n") / (F.col("below") + F.col("n"))).alias("__raw"))
+    lowest = running(scaled, by, p, "__raw", "__q", pick=F.min)
+    keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col(f"l.{p}") == F.col(f"r.{p}")]
+    condition = keys[0]
+    for k in keys[1:]:
+        condition = condition & k
+    return df.alias("l").join(lowest.alias("r"), condition, "left").select("l.*", F.when(F.col("r.__q").isNotNull(), F.least(F.lit(1.0), F.col("r.__q"))).alias(out))
 
 
 def quantile_bounds(df: DataFrame, value: str, bins: int) -> list[float]:
     """Linear-interpolated inner quantiles of a column, duplicates dropped."""
-    at = [i / bins for i in range(1, bins)]
-    row = df.agg(F.percentile(value, F.array(*[F.lit(x) for x in at])).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    at = {f"q{i}": i / bins for i in range(1, bins)}
+    row = exact_quantiles(df, [], value, at).first()
+    return sorted({x for x in row if x is not None}) if row else []
 
 
 def qcut(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups with one item that meet in one task.
+MEETING = 1000
+
+
 def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in ``order``, which must end in a tie-breaker."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -21,10 +25,14 @@ def keep_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A one-to-one join; duplicate keys on either side are an error."""
-    for side, df in (("left", left), ("right", right)):
-        if df.groupBy(*on).count().where("count > 1").limit(1).count():
-            raise ValueError(f"keys {on} repeat on the {side} side")
+    """A one-to-one join; keys that repeat on either side, or are null, are an error. One job checks both sides."""
+    null = F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    keys = [df.select(*on).groupBy(*on).agg(F.count("*").alias("__n")).select(F.lit(side).alias("side"), F.when(null, "are null").when(F.col("__n") > 1, "repeat").alias("fault")) for side, df in (("left", left), ("right", right))]
+    faults = keys[0].unionByName(keys[1]).where("fault IS NOT NULL").distinct().orderBy("side", "fault").collect()  # four at most
+    if faults:
+        raise ValueError("; ".join(f"keys {on} {r['fault']} on the {r['side']} side" for r in faults))
     return left.join(right, on, how)
 
 
@@ -55,12 +63,22 @@ def at_least(df: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def top_with_forced(df: DataFrame, k: int, order: list[Column], forced: Column) -> DataFrame:
-    """The first ``k`` rows, and all that are forced, marked by ``is_top`` and ``is_forced``."""
-    top = df.orderBy(*order).limit(k).withColumn("is_top", F.lit(True))
-    more = df.where(forced).withColumn("is_top", F.lit(False))
-    both = top.unionByName(more).withColumn("is_forced", forced)
-    rest = [c for c in both.columns if c != "is_top"]
-    return both.groupBy(*rest).agg(F.max("is_top").alias("is_top"))
+    """The first ``k`` rows, and all that are forced, marked by ``is_top`` and ``is_forced``; equal rows stay rows of their own.
+
+    Rows are first told apart by a number, of which the top ones are few; the others only meet their forced mark.
+    """
+    marked = df.withColumn("is_forced", F.coalesce(forced, F.lit(False)))
+    top = marked.orderBy(*order).limit(k)
+    # The last of the top rows tells which of the others are beyond it; equal ones are counted, not merged.
+    counts = top.groupBy(*marked.columns).agg(F.count("*").alias("__n"))
+    same = F.lit(True)
+    for c in marked.columns:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    first = marked.where("is_forced").groupBy(*marked.columns).agg(F.count("*").alias("__all"))
+    rest = first.alias("l").join(F.broadcast(counts.alias("r")), same, "left")  # at most k rows
+    rest = rest.select("l.*", (F.col("l.__all") - F.coalesce("r.__n", F.lit(0))).alias("__more")).where("__more > 0")
+    rest = rest.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__more")))).drop("__all", "__more", "__each")
+    return top.withColumn("is_top", F.lit(True)).unionByName(rest.withColumn("is_top", F.lit(False)))
 
 
 def union_first(frames: list[DataFrame], keys: list[str], order: list[Column]) -> DataFrame:
@@ -76,8 +94,12 @@ def set_scores(members: DataFrame, group: str, item: str) -> DataFrame:
     """Overlap, Jaccard index and F1 of all pairs of groups that share an item; counts meet by item, not by pairs of groups."""
     own = members.select(group, item).distinct()
     sizes = own.groupBy(group).agg(F.count("*").alias("size"))
-    a, b = own.select(F.col(group).alias("a"), item), own.select(F.col(group).alias("b"), item)
-    shared = a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    # An item of many groups meets in parts: one side's groups in one part each, the other side's in all.
+    often = own.groupBy(F.col(item).alias("__item")).agg(F.ceil(F.count("*") / F.lit(MEETING)).cast("int").alias("__parts"))
+    parted = own.join(often, F.col(item) == F.col("__item")).drop("__item")
+    a = parted.select(F.col(group).alias("a"), item, F.pmod(F.xxhash64(group), F.col("__parts")).cast("int").alias("__part"))
+    b = parted.select(F.col(group).alias("b"), item, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+    shared = a.join(b, [item, "__part"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
     sized = shared.join(sizes.select(F.col(group).alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col(group).alias("b"), F.col("size").alias("size_b")), "b")
     both = F.col("size_a") + F.col("size_b")
     return sized.withColumn("jaccard", F.col("overlap") / (both - F.col("overlap"))).withColumn("f1", 2 * F.col("overlap") / both)
@@ -139,9 +161,11 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
-def collapse(df: DataFrame, keys: list[str], value: str, policy: str = "sum") -> DataFrame:
-    """One row a key by ``policy``: sum, mean, max, or drop_all for keys that repeat."""
+def collapse(df: DataFrame, keys: list[str], value: str, policy: str = "sum", order: list[str] | None = None) -> DataFrame:
+    """One row a key by ``policy``: sum, mean, max, first in ``order``, or drop_all for keys that repeat."""
     if policy == "drop_all":
         return keep_unique(df, keys).select(*keys, value)
+    if policy == "first":
+        return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(value))
     how = {"sum": F.sum, "mean": F.avg, "max": F.max}[policy]
     return df.groupBy(*keys).agg(how(value).alias(value))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.ranking import average_rank, value_ranks
+from tessella.operators import fits
+from tessella.operators.ranking import average_rank, exact_quantiles, running, value_ranks
 
 
 def finite(x: str | Column) -> Column:
@@ -34,7 +35,7 @@ def unpivot_vector(df: DataFrame, key: list[str], vector: str) -> DataFrame:
 def zscore(df: DataFrame, by: list[str], value: str, out: str = "z", ddof: int = 1) -> DataFrame:
     """z-scores within groups: missing values get the median first; groups without spread are dropped."""
     sd = F.stddev_samp if ddof else F.stddev_pop
-    median = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("__median"))
+    median = exact_quantiles(df, by, value, {"__median": 0.5})
     filled = df.join(median, by).withColumn(value, F.coalesce(value, "__median")).drop("__median")
     stats = filled.groupBy(*by).agg(F.avg(value).alias("__mean"), sd(value).alias("__sd")).where("__sd > 0")
     return filled.join(stats, by).withColumn(out, (F.col(value) - F.col("__mean")) / F.col("__sd")).drop("__mean", "__sd")
@@ -76,10 +77,9 @@ def residuals(df: DataFrame, y: str, x: str, by: list[str], train: Column | None
 
 def robust_spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median absolute deviation, else IQR/1.349, else the population deviation: the first that is positive."""
-    first = df.groupBy(*by).agg(
-        F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.25)).alias("__q1"), F.percentile(value, F.lit(0.75)).alias("__q3"), F.stddev_pop(value).alias("__sd"),
-    )
-    mad = df.join(first.select(*by, "median"), by).groupBy(*by).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5))).alias("__mad"))
+    first = exact_quantiles(df, by, value, {"median": 0.5, "__q1": 0.25, "__q3": 0.75}).join(df.groupBy(*by).agg(F.stddev_pop(value).alias("__sd")), by)
+    away = df.join(first.select(*by, "median"), by).withColumn("__away", F.abs(F.col(value) - F.col("median")))
+    mad = exact_quantiles(away, by, "__away", {"__mad": 0.5}).withColumn("__mad", 1.4826 * F.col("__mad"))
     iqr = (F.col("__q3") - F.col("__q1")) / 1.349
     spread = F.when(F.col("__mad") > 0, F.col("__mad")).when(iqr > 0, iqr).otherwise(F.col("__sd"))
     return first.join(mad, by).select(*by, "median", spread.alias("spread"))
@@ -138,8 +138,6 @@ def mann_whitney(df: DataFrame, label: Column, value: str, by: list[str] | None
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Average precision over descending distinct scores, from counts by score."""
-    from tessella.operators.ranking import running
-
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     counts = rows.groupBy((-F.col(score)).alias("__order")).agg(F.sum(F.col(label).cast("long")).alias("hits"), F.count("*").alias("n"))
     placed = running(running(counts, [], "__order", "hits", "__hits"), [], "__order", "n", "__n")
@@ -167,9 +165,9 @@ def kaplan_meier(df: DataFrame, time: str, event: Column, by: list[str]) -> Data
 def logrank(df: DataFrame, time: str, event: Column, group: Column) -> DataFrame:
     """Two-group log-rank statistic; ``group`` is true for the rows whose deaths are observed."""
     cells = df.withColumn("__e", event).withColumn("__g", group.cast("int")).where(F.col(time).isNotNull())
-    cells = cells.groupBy(time).agg(F.sum("__e").alias("d"), F.sum(F.col("__e") * F.col("__g")).alias("d1"), F.count("*").alias("n"), F.sum("__g").alias("n1"))
-    left = Window.orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a time
-    risk = cells.select("d", "d1", F.sum("n").over(left).cast("double").alias("r"), F.sum("n1").over(left).cast("double").alias("r1")).where("d > 0")
+    cells = cells.groupBy((-F.col(time)).alias("__back")).agg(F.sum("__e").alias("d"), F.sum(F.col("__e") * F.col("__g")).alias("d1"), F.count("*").alias("n"), F.sum("__g").alias("n1"))
+    left = running(running(cells, [], "__back", "n", "__r"), [], "__back", "n1", "__r1")
+    risk = left.select("d", "d1", (F.col("__r") + F.col("n")).cast("double").alias("r"), (F.col("__r1") + F.col("n1")).cast("double").alias("r1")).where("d > 0")
     expected = F.col("d") * F.col("r1") / F.col("r")
     variance = F.when(F.col("r") > 1, F.col("d") * F.col("r1") / F.col("r") * (1 - F.col("r1") / F.col("r")) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
     one = risk.agg(F.sum("d1").cast("long").alias("observed"), F.sum(expected).alias("expected"), F.sum(variance).alias("variance"))
@@ -178,23 +176,9 @@ def logrank(df: DataFrame, time: str, event: Column, group: Column) -> DataFrame
 
 
 def concordance(df: DataFrame, time: str, event: Column, risk: str) -> DataFrame:
-    """Harrell's C for a risk of few levels: pairs are counted from cells of time, event and risk, never listed.
+    """Harrell's C of any risk, from counts of equal rows: pairs are counted by ranges of times and risks, never listed.
 
     A pair compares a death with a row of a later time, or of the same time without a death; equal risks count half.
     """
-    cells = df.select(F.col(time).alias("t"), event.cast("int").alias("e"), F.col(risk).alias("r")).where("t IS NOT NULL AND r IS NOT NULL").groupBy("t", "e", "r").agg(F.count("*").alias("n"))
-    levels = cells.select("r").distinct()
-    times = cells.select("t").distinct()
-    # At each time, the rows of each level that a death then is compared with.
-    dense = times.crossJoin(levels)  # times by levels, far fewer than rows
-    per = cells.groupBy("t", "r").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(0)).alias("d"))
-    dense = dense.join(per, ["t", "r"], "left").fillna(0, ["n", "d"])
-    later = Window.partitionBy("r").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    compared = dense.select("t", F.col("r").alias("other"), (F.coalesce(F.sum("n").over(later), F.lit(0)) + F.col("n") - F.col("d")).alias("m"))
-    deaths = cells.where("e = 1").select("t", "r", F.col("n").alias("d"))
-    pairs = deaths.join(compared, "t").agg(
-        F.sum(F.col("d") * F.col("m")).alias("comparable"),
-        F.sum(F.when(F.col("r") > F.col("other"), F.col("d") * F.col("m")).otherwise(0)).alias("concordant"),
-        F.sum(F.when(F.col("r") == F.col("other"), F.col("d") * F.col("m")).otherwise(0)).alias("tied"),
-    )
-    return pairs.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied") / 2, F.col("comparable")))
+    cells = df.select(F.lit(0).alias("g"), F.col(time).alias("t"), event.cast("int").alias("e"), F.col(risk).alias("r")).where("t IS NOT NULL AND r IS NOT NULL AND e IS NOT NULL")
+    return fits.concordance(cells.groupBy("g", "t", "e", "r").agg(F.count("*").alias("n")), "t", "e", "r").drop("g")

@@ -27,6 +27,8 @@ def test_validated_join_refuses_repeated_keys(spark):
     with pytest.raises(ValueError):
         relational.validated_join(one, two, ["k"])
     assert relational.validated_join(one, two.limit(1), ["k"]).count() == 1
+    with pytest.raises(ValueError, match="null"):
+        relational.validated_join(one, spark.createDataFrame([(None, "b")], "k int, y string"), ["k"])
 
 
 def test_nearest_join_takes_the_smaller_on_ties(spark):
@@ -199,3 +201,88 @@ def test_nearest_in_blocks(spark, monkeypatch):
     np.fill_diagonal(c, -np.inf)
     got = {(r["query"], r["place"]): r["neighbor"] for r in neighbors.nearest(df.where("k % 10 = 0"), df, "k", "v", 3).collect()}
     assert got == {(q, p + 1): int(np.argsort(-c[q])[p]) for q in (0, 10, 20, 30) for p in range(3)}
+
+
+def test_running_sums_and_extremes_within_keys(spark):
+    data = [(k, i, (i * 7919) % 101) for k in ("a", "b", None) for i in range(300 if k == "a" else 5)]
+    df = spark.createDataFrame(data, "k string, i int, n long")
+    sums = {(r["k"], r["i"]): r["s"] for r in ranking.running(df, ["k"], "i", "n", "s", ranges=9).collect()}
+    least = {(r["k"], r["i"]): r["s"] for r in ranking.running(df, ["k"], "i", "n", "s", ranges=9, pick=F.min).collect()}
+    for k, i, _ in data:
+        assert sums[k, i] == sum(n for q, j, n in data if q == k and j < i)
+        assert least[k, i] == min(n for q, j, n in data if q == k and j >= i)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(0)
+    data = [("a", float(x)) for x in rng.integers(0, 40, 200)] + [("b", 3.0), ("b", None), ("c", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    found = {r["g"]: r for r in ranking.exact_quantiles(df, ["g"], "v", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect()}
+    own = [v for g, v in data if g == "a"]
+    assert [found["a"][c] for c in ("low", "mid", "top")] == pytest.approx(list(np.quantile(own, [0.05, 0.5, 1.0]))) and found["b"]["mid"] == 3.0 and "c" not in found
+    whole = ranking.exact_quantiles(df, [], "v", {"mid": 0.3}).first()["mid"]
+    assert whole == pytest.approx(np.quantile([v for _, v in data if v is not None], 0.3))
+
+
+def test_bh_with_ties_and_families(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, i % 3, float(np.round(rng.uniform(), 1))) for i in range(60)] + [(99, 0, None)]
+    got = {r["i"]: r["q_value"] for r in ranking.bh_adjust(spark.createDataFrame(data, "i int, f int, p double"), "p", ["f"]).collect()}
+    assert got[99] is None and len(got) == 61
+    for f in range(3):
+        own = sorted((p, i) for i, g, p in data if g == f and p is not None)
+        q, low = {}, 1.0
+        for rank in range(len(own), 0, -1):
+            low = min(low, own[rank - 1][0] * len(own) / rank)
+            q[own[rank - 1][1]] = low
+        for p, i in own:
+            assert got[i] == pytest.approx(min(q[j] for r, j in own if r == p))
+
+
+def test_top_with_forced_keeps_equal_rows(spark):
+    df = spark.createDataFrame([(1, 5), (1, 5), (1, 5), (2, 4), (3, 1)], "k int, v int")
+    out = relational.top_with_forced(df, 2, [F.desc("v")], F.col("k").isin(1, 3))
+    assert rows(out.select("k", "v", "is_top", "is_forced"), "k", F.desc("is_top")) == [(1, 5, True, True), (1, 5, True, True), (1, 5, False, True), (3, 1, False, True)]
+
+
+def test_set_scores_with_an_item_of_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(relational, "MEETING", 3)
+    sets = {g: {0, g, g + 1} for g in range(10)}
+    df = spark.createDataFrame([(g, i) for g, s in sets.items() for i in s] * 2, "g int, i int")
+    got = {(r["a"], r["b"]): r["overlap"] for r in relational.set_scores(df, "g", "i").collect()}
+    assert got == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+
+
+def test_moments_count_rows_whole_or_not(spark):
+    df = spark.createDataFrame([([2.0, 1.0],), ([None, 1.0],), ([1.0, float("nan")],), (None,), ([],), ([4.0, 3.0],)], "x array<double>")
+    n, mean, cov = kernels.moments(df, "x")
+    assert n == 2 and mean.tolist() == [3.0, 2.0] and cov.tolist() == [[2.0, 2.0], [2.0, 2.0]]
+    with pytest.raises(ValueError):
+        kernels.moments(df.unionByName(spark.createDataFrame([([1.0],)], "x array<double>")), "x")
+
+
+def test_concordance_of_continuous_risks(spark):
+    rng = np.random.default_rng(2)
+    t, e, r = rng.integers(1, 40, 300), rng.integers(0, 2, 300), rng.normal(size=300).round(1)
+    df = spark.createDataFrame([(int(a), bool(b), float(c)) for a, b, c in zip(t, e, r)] + [(None, True, 1.0)], "t int, e boolean, r double")
+    assert statistics.concordance(df, "t", F.col("e"), "r").first()["c_index"] == pytest.approx(kernels.concordance(t, e, r))
+
+
+def test_percent_spellings(spark):
+    said = {"95": 95, "0,5": 50, "12,5%": 12.5, "90-100": 95, "90\u2013100%": 95, "90 to 100": 95, "0.5%": 0.5, "-5": None, "120": None, "n/a": None, None: None, "10 %": 10, "1": 100}
+    df = spark.createDataFrame([(k,) for k in said], "x string")
+    assert {r["x"]: r["p"] for r in df.select("x", text.percent(F.col("x")).alias("p")).collect()} == said
+
+
+def test_identifiers_and_lists(spark):
+    df = spark.createDataFrame([("ENSG0001.7", "AB007x012", "b:2; a:1;a:3;:4;c:x", ["NA", "", "7", "12"], "Event: 1, time=3.5"), (" tp53 ", "none", None, None, "time 3"), ("12-x y", None, "", [None, "x"], None)], "i string, p string, l string, a array<string>, t string")
+    out = df.select(
+        text.identifier(F.col("i")).alias("i"), text.first_number(F.col("p")).alias("f"), text.last_number(F.col("p")).alias("n"), text.head(F.col("p")).alias("h"), text.pairs(F.col("l")).alias("l"),
+        text.first_filled(F.col("a")).alias("a"), text.largest_number(F.col("a")).alias("m"), text.time_and_event(F.col("t")).alias("t"), text.row_text([F.col("p"), F.col("l")]).alias("r"), text.is_placeholder(F.col("i")).alias("b"),
+    ).collect()
+    assert tuple(out[0]["i"]) == ("ensembl", "ENSG0001") and tuple(out[1]["i"]) == ("symbol", "TP53") and tuple(out[2]["i"]) == ("raw", "12-x y")
+    assert [r["f"] for r in out] == ["7", None, None] and [r["n"] for r in out] == ["12", None, None] and out[0]["h"] == "AB7"
+    assert out[0]["l"] == {"b": 2.0, "a": 3.0} and out[1]["l"] is None and out[2]["l"] == {}
+    assert [r["a"] for r in out] == ["7", None, "x"] and [r["m"] for r in out] == [12.0, None, None]
+    assert tuple(out[0]["t"]) == (3.5, 1) and out[1]["t"] is None and [r["b"] for r in out] == [True, False, False]
+    assert out[2]["r"] == "nan | " and out[1]["r"] == "none | nan"
