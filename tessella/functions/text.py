@@ -114,6 +114,14 @@ def largest_number(x: Column) -> Column:
     return F.array_max(F.filter(F.transform(x, lambda p: p.try_cast("double")), lambda p: p.isNotNull() & ~F.isnan(p)))
 
 
+def vital_endpoint(visits: Column, dead: str) -> tuple[Column, Column]:
+    """``event`` and ``time`` of a list of visits (``vital``, ``days``): the first day of death, else the last day seen."""
+    deaths = F.filter(visits, lambda v: v["vital"] == dead)
+    event = F.when(F.size(visits) > 0, F.size(deaths) > 0)
+    time = F.when(event, F.array_min(F.transform(deaths, lambda v: v["days"]))).otherwise(F.array_max(F.transform(visits, lambda v: v["days"])))
+    return event.alias("event"), time.cast("long").alias("time")
+
+
 def row_text(columns: list[Column], between: str = " | ") -> Column:
     """All columns as one text; a null is ``nan``."""
     return F.array_join(F.array(*[F.coalesce(c.cast("string"), F.lit("nan")) for c in columns]), between)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,14 +187,14 @@ def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
     whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     df = df.where((F.size(vector) > 0) & whole)
 
-    def sums(batches):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 + size + size * size)
         for b in batches:
-            x = np.array([np.asarray(v, float) for v in b[vector]], float).reshape(-1, size)
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
             total += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).reshape(-1)])
-        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
 
-    found = df.select(vector).mapInPandas(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    found = df.select(F.col(vector).cast("array<double>")).mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     total = np.zeros(1 + size + size * size)
     for r in found:
         total[r["i"]] = r["v"]
