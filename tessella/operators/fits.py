@@ -7,7 +7,6 @@ range of times or of risks and in a grid of ranges, never listed; no task holds
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.cuts import cut
 from tessella.operators.ranking import RANGES, bucket
 
 #: Deaths, with their shares of ties, that a task adds up in one step.
@@ -23,17 +23,6 @@ STEP = 1 << 16
 STRIP, MOST = 100_000, 256
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back; a local folder only where that is unset in local mode."""
-    spark = df.sparkSession
-    at, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "local")
-    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{(at or 'file:///tmp/checkpoints/tessella').rstrip('/')}/fits-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_values(cells: DataFrame, values: dict[int, np.ndarray], names: list[str]) -> DataFrame:
     """``cells`` of the groups ``g`` in ``values`` with their values as columns."""
     rows = [(g, *map(float, v)) for g, v in values.items()]

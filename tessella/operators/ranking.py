@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.cuts import cut
+
 #: Ranges of a whole-table ranking; a range holds about that share of the distinct values.
 RANGES = 64
 
@@ -31,16 +33,18 @@ def range_bounds(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]
     return sorted(set(values.approxQuantile("v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) or []))
 
 
-def running(df: DataFrame, by: list[str], order: str, amount: str, out: str, ranges: int = RANGES, pick=None) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, amount: str, out: str, ranges: int = RANGES, pick=None, bounds: list[float] | None = None) -> DataFrame:
     """``df`` with the sum of ``amount`` over rows before each in ascending ``order``; ``order`` is distinct within ``by``.
 
     The order is cut at approximate quantiles of all rows, so that no window spans the table or a frequent ``by``: sums
     inside a range are added to those of the ranges before it. With ``pick`` (``F.min`` or ``F.max``) the extreme of the
-    row and all after it is given instead.
+    row and all after it is given instead. ``bounds`` of ranges that are known already save a job.
     """
     back = pick is not None
     how = pick or F.sum
-    bounds = range_bounds(df, order, ranges)
+    if bounds is None:
+        df = cut(df)
+        bounds = range_bounds(df, order, ranges)
     dealt = df.withColumn("__range", bucket(F.col(order).cast("double"), bounds) if bounds else F.lit(0))
     place = lambda c: F.desc(c) if back else F.asc(c)
     window = lambda keys, c, last: Window.partitionBy(*keys).orderBy(place(c)).rowsBetween(Window.unboundedPreceding, last)
@@ -77,15 +81,24 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, floa
     return joined.groupBy(*by).agg(*[f.alias(name) for name, f in zip(at, found, strict=True)])
 
 
+def value_counts(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, list[float]]:
+    """Rows by distinct value, written once, and the bounds of ranges of them."""
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")))
+    return counts, range_bounds(counts, value)
+
+
 def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """A row for each distinct value: ``n`` rows, ``below`` rows with smaller values, and ``avg_rank`` of its rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running(counts, by, value, "n", "below")
+    counts, bounds = value_counts(df, by, value)
+    ranked = running(counts, by, value, "n", "below", bounds=bounds)
     return ranked.withColumn("avg_rank", F.col("below") + (F.col("n") + 1) / 2)
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str = "avg_rank") -> DataFrame:
-    """``df`` with average ranks, ties shared; rows without a value get none."""
+    """``df`` with average ranks, ties shared; rows without a value get none.
+
+    Rows meet their ranks by value, so a value must come out the same whenever it is worked out: a stored one, or one cut.
+    """
     ranks = value_ranks(df, by, value)
     keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col(f"l.{value}") == F.col(f"r.{value}")]
     condition = keys[0]
@@ -101,15 +114,17 @@ def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q_
     minimum over ranges of them. ``id_column`` is kept for callers; ties need no order.
     """
     by = by or []
+    df = cut(df)  # a p-value summed anew may differ in its last bit, and its rows meet by it
     some = df.where(F.col(p).isNotNull() & ~F.isnan(p))
-    counts = value_ranks(some, by, p)
+    counts, bounds = value_counts(some, by, p)
+    counts = running(counts, by, p, "n", "below", bounds=bounds)
     totals = counts.groupBy(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(by)]).agg(F.sum("n").alias("__n"))
     same = F.lit(True)
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__of{i}"))
     scaled = counts.join(totals, same) if by else counts.crossJoin(F.broadcast(totals))  # one row
     scaled = scaled.select(*by, p, (F.col(p) * F.col("__n") / (F.col("below") + F.col("n"))).alias("__raw"))
-    lowest = running(scaled, by, p, "__raw", "__q", pick=F.min)
+    lowest = running(scaled, by, p, "__raw", "__q", pick=F.min, bounds=bounds)
     keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col(f"l.{p}") == F.col(f"r.{p}")]
     condition = keys[0]
     for k in keys[1:]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import fits
-from tessella.operators.ranking import average_rank, exact_quantiles, running, value_ranks
+from tessella.operators.cuts import cut
+from tessella.operators.ranking import average_rank, exact_quantiles, range_bounds, running, value_ranks
 
 
 def finite(x: str | Column) -> Column:
@@ -140,7 +141,9 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Average precision over descending distinct scores, from counts by score."""
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     counts = rows.groupBy((-F.col(score)).alias("__order")).agg(F.sum(F.col(label).cast("long")).alias("hits"), F.count("*").alias("n"))
-    placed = running(running(counts, [], "__order", "hits", "__hits"), [], "__order", "n", "__n")
+    counts = cut(counts)
+    bounds = range_bounds(counts, "__order")
+    placed = running(running(counts, [], "__order", "hits", "__hits", bounds=bounds), [], "__order", "n", "__n", bounds=bounds)
     precision = (F.col("__hits") + F.col("hits")) / (F.col("__n") + F.col("n"))
     return placed.agg(F.sum("n").alias("n"), F.sum("hits").alias("positives"), F.try_divide(F.sum(precision * F.col("hits")), F.sum("hits")).alias("average_precision"))
 
@@ -166,7 +169,9 @@ def logrank(df: DataFrame, time: str, event: Column, group: Column) -> DataFrame
     """Two-group log-rank statistic; ``group`` is true for the rows whose deaths are observed."""
     cells = df.withColumn("__e", event).withColumn("__g", group.cast("int")).where(F.col(time).isNotNull())
     cells = cells.groupBy((-F.col(time)).alias("__back")).agg(F.sum("__e").alias("d"), F.sum(F.col("__e") * F.col("__g")).alias("d1"), F.count("*").alias("n"), F.sum("__g").alias("n1"))
-    left = running(running(cells, [], "__back", "n", "__r"), [], "__back", "n1", "__r1")
+    cells = cut(cells)
+    bounds = range_bounds(cells, "__back")
+    left = running(running(cells, [], "__back", "n", "__r", bounds=bounds), [], "__back", "n1", "__r1", bounds=bounds)
     risk = left.select("d", "d1", (F.col("__r") + F.col("n")).cast("double").alias("r"), (F.col("__r1") + F.col("n1")).cast("double").alias("r1")).where("d > 0")
     expected = F.col("d") * F.col("r1") / F.col("r")
     variance = F.when(F.col("r") > 1, F.col("d") * F.col("r1") / F.col("r") * (1 - F.col("r1") / F.col("r")) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
