@@ -31,8 +31,8 @@ TILE = 1 << 15
 AREA = 1 << 18
 #: Texts of at most so many shingles have bits that tie often, and are compared within EXTRA more bits.
 SMALL, EXTRA = 16, 6
-#: Candidate pairs a row that are verified in a first round.
-ROUND = 8
+#: Candidate pairs a row that are verified in a first round, and how much larger each later part of the pairs is.
+ROUND, GROWTH = 0.25, 16
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -140,7 +140,7 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
     even where all are near to all; no two near rows stay unjoined.
 
     With ``window``, the near pairs themselves are returned whose own hash lies in that part of 0 to 1 and whose rows
-    differ in ``label``, a column of ``rows``. With ``count`` as well, only their numbers: ``a`` is k where the hash is from
+    differ in ``label``, a column of ``rows``, with their labels ``la`` and ``lb``. With ``count`` as well, only their numbers: ``a`` is k where the hash is from
     2**-k to below twice that, ``b`` how many.
     """
     words = [c for c in rows.columns if re.fullmatch(r"fp\d+", c)]
@@ -174,9 +174,10 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
     sent = dealt.withColumn("to", F.explode(F.concat(own.cast(kind), F.coalesce(same.cast(kind), F.array().cast(kind)), F.coalesce(other.cast(kind), F.array().cast(kind)))))
     sent = sent.select(F.col("to.cell").alias("cell"), F.col("to.sub").alias("sub"), F.col("to.bundle").alias("bundle"), F.col("to.own").alias("own"), "node", "size", *words, *(["label"] if window else []))
     grouped = sent.repartition("cell", "sub", "bundle").sortWithinPartitions("cell", "sub", "bundle")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["a", "b"] + (["la", "lb"] if window and not count else [])
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         is_own = group["own"]
         fp = np.stack([group[w].view(np.uint64) for w in words], axis=1)
         order = np.lexsort((population(fp), ~is_own))
@@ -185,7 +186,9 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
             label, pairs = group["label"][order], []
 
             def some(i: np.ndarray, j: np.ndarray) -> None:
-                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                turn = node[i] > node[j]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                a, b = node[i], node[j]
                 share = pair_share(a, b)
                 # Few shingles make ties of bits frequent: SMALL texts have the whole radius, others less.
                 near = (label[i] != label[j]) & (share >= window[0]) & (share < window[1])
@@ -194,7 +197,7 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
                     k, n = np.unique(np.minimum(np.ceil(-np.log2(np.maximum(share[near], 2.0**-50))), 50).astype(np.int64), return_counts=True)
                     pairs.append((k, n))
                 else:
-                    pairs.append((a[near], b[near]))
+                    pairs.append((a[near], b[near], label[i][near], label[j][near]))
         labels = Labels(len(node))
         join = some if window else labels.join
         if group["sub"][0] == group["bundle"][0]:
@@ -204,19 +207,19 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
             for i, j in _compare(fp[:n], fp[lo : lo + (1 << 14)], size[:n], size[lo : lo + (1 << 14)], radius, size_ratio, False):
                 join(i, j + lo)
         if window:
-            return tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
+            return tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in range(len(names)))
         moved = labels.label != np.arange(len(node))
         return node[moved], node[labels.label[moved]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("cell", "sub", "bundle", "own", "node", "size", *words, *(["label"] if window else []))
-        for group in store.groups(batches, names, 3):
+        read = ("cell", "sub", "bundle", "own", "node", "size", *words, *(["label"] if window else []))
+        for group in store.groups(batches, read, 3):
             if group["own"].any() and len(group["own"]) > 1:
-                a, b = compare(group)
-                if len(a):
-                    yield store.batch(schema, a=a, b=b)
+                found = compare(group)
+                if len(found[0]):
+                    yield store.batch(schema, **dict(zip(names, found, strict=True)))
 
-    return grouped.mapInArrow(each, "a long, b long")
+    return grouped.mapInArrow(each, ", ".join(f"{n} long" for n in names))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, size_ratio: float = 0.0, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -255,19 +258,20 @@ def jaccard(docs: DataFrame, pairs: DataFrame, words: int, least: float, key: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "own"])
 
     found = store.materialize(rows.mapInArrow(sets, "node long, own binary"), "simhash-sets")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("x", "y", "a", "b", *more)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for x, y in zip(b.column(0), b.column(1), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 joint = np.sort(np.concatenate([x, y]))
                 shared = int((joint[1:] == joint[:-1]).sum())
                 near.append(shared >= least * (len(joint) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield b.select(["a", "b", *more]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(verify, ", ".join(f"{n} long" for n in ("a", "b", *more)))
 
 
 def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -283,8 +287,8 @@ def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str
     rows = found.groupBy(*kinds).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
     # Rows of equal fingerprints and sizes, the same key's among them, are taken as one.
     rows = store.materialize(rows, "simhash-distinct")
-    n, lo, links = rows.count(), 0.0, None
-    labels = rows.select("node", F.col("node").alias("label"))
+    n, lo = rows.count(), 0.0
+    labels = rows.select("node", F.col("node").alias("label")).distinct()
     radius = bit_radius(similarity, bits) + EXTRA
     counts = link(rows.withColumn("label", F.monotonically_increasing_id()), radius, similarity, tile, (0.0, 1.0), count=True)
     by_share = {r["a"]: r["n"] for r in counts.groupBy("a").agg(F.sum("b").alias("n")).collect()}
@@ -294,15 +298,14 @@ def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str
         exponent += 1
     hi = 2.0**-exponent
     while lo < 1.0:
-        labelled = rows.join(labels.distinct(), "node")
+        labelled = rows.join(labels, "node")
         pairs = store.materialize(link(labelled, radius, similarity, tile, (lo, hi)).where("a <> b").distinct(), "simhash-pairs")
         if not pairs.isEmpty():
-            joined = store.materialize(jaccard(docs, pairs, words, similarity, key, text), "simhash-links")
-            links = joined if links is None else links.unionByName(joined)
-            label = components(links)
-            labels = store.materialize(rows.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "simhash-labels")
-        lo, hi = hi, min(1.0, hi * 16)
-    of = rows.join(labels.distinct(), "node").select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.col("label").alias("component_id"))
+            # What is joined now are the labels of earlier rounds, so the links of a large group aren't gone through again.
+            joined = components(jaccard(docs, pairs, words, similarity, key, text).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).withColumnRenamed("node", "node_")
+            labels = store.materialize(labels.join(joined, F.col("label") == F.col("node_"), "left").select("node", F.coalesce("component", "label").alias("label")), "simhash-labels")
+        lo, hi = hi, min(1.0, hi * GROWTH)
+    of = rows.join(labels, "node").select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.col("label").alias("component_id"))
     return found.join(of, [F.col(k) == F.col(f"of_{k}") for k in kinds]).select("doc_id", "component_id")
 
 
