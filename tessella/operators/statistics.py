@@ -28,6 +28,30 @@ def normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+# The coefficients of Acklam's rational approximation to the inverse normal distribution, to 1.15e-9.
+INVERSE_NORMAL = {
+    "a1": -3.969683028665376e01, "a2": 2.209460984245205e02, "a3": -2.759285104469687e02, "a4": 1.383577518672690e02, "a5": -3.066479806614716e01, "a6": 2.506628277459239e00,
+    "b1": -5.447609879822406e01, "b2": 1.615858368580409e02, "b3": -1.556989798598866e02, "b4": 6.680131188771972e01, "b5": -1.328068155288572e01,
+    "c1": -7.784894002430293e-03, "c2": -3.223964580411365e-01, "c3": -2.400758277161838e00, "c4": -2.549732539343734e00, "c5": 4.374664141464968e00, "c6": 2.938163982698783e00,
+    "d1": 7.784695709041462e-03, "d2": 3.224671290700398e-01, "d3": 2.445134137142996e00, "d4": 3.754408661907416e00,
+}
+
+
+def inverse_normal(p: Column) -> Column:
+    """The normal quantile of a share between 0 and 1, by a rational approximation in the middle and one in the tails."""
+
+    def horner(letter: str, n: int, x: Column, last: float | None = None) -> Column:
+        out = F.lit(INVERSE_NORMAL[f"{letter}1"])
+        for i in range(2, n + 1):
+            out = out * x + F.lit(INVERSE_NORMAL[f"{letter}{i}"])
+        return out if last is None else out * x + F.lit(last)
+
+    q, r = F.sqrt(-2 * F.ln(F.least(p, 1 - p))), (p - 0.5) * (p - 0.5)
+    tail = horner("c", 6, q) / horner("d", 4, q, 1.0)
+    middle = horner("a", 6, r) * (p - 0.5) / horner("b", 5, r, 1.0)
+    return F.when(p < 0.02425, tail).when(p > 1 - 0.02425, -tail).otherwise(middle)
+
+
 def unpivot_vector(df: DataFrame, key: list[str], vector: str) -> DataFrame:
     """A row for each component: ``feature`` from 0 and ``value``."""
     return df.select(*key, F.posexplode(vector).alias("feature", "value")).withColumn("value", F.col("value").cast("double"))

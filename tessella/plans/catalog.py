@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.plans import evidence_queries, relational_queries, selection_queries, statistics_queries, text_queries
+from tessella.plans import evidence_queries, model_queries, relational_queries, selection_queries, statistics_queries, text_queries
 
 FLAGSHIP = "feature_association_fdr"
-_PARTS = (relational_queries, statistics_queries, selection_queries, text_queries, evidence_queries)
+_PARTS = (relational_queries, statistics_queries, selection_queries, text_queries, evidence_queries, model_queries)
 
 
 def queries() -> dict:

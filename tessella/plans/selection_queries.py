@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.operators import fits, kernels, neighbors, selection, statistics
+from tessella.operators.ranking import average_rank
 from tessella.plans.relational_queries import table
 from tessella.plans.statistics_queries import LONG_SQL, components, survival
 
@@ -105,24 +106,26 @@ def cohort_subspaces(spark, d):
     return spark.createDataFrame(found, "cohort_a int, cohort_b int, similarity double, rank_a double, rank_b double")
 
 
-@query()
-def rank_gaussian(spark, d):
-    """Inverse normal of average ranks, clipped at 1e-6."""
-    from statistics import NormalDist
+_INVERSE = """CASE WHEN p < 0.02425 THEN (((((c1*q+c2)*q+c3)*q+c4)*q+c5)*q+c6) / ((((d1*q+d2)*q+d3)*q+d4)*q+1)
+  WHEN p > 1 - 0.02425::DOUBLE THEN -(((((c1*q+c2)*q+c3)*q+c4)*q+c5)*q+c6) / ((((d1*q+d2)*q+d3)*q+d4)*q+1)
+  ELSE (((((a1*r+a2)*r+a3)*r+a4)*r+a5)*r+a6)*(p-0.5) / (((((b1*r+b2)*r+b3)*r+b4)*r+b5)*r+1) END"""
+for _name, _value in statistics.INVERSE_NORMAL.items():
+    _INVERSE = _INVERSE.replace(_name, f"({_value!r}::DOUBLE)")
 
-    from tessella.operators.ranking import average_rank
 
+@query(f"""WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS value, unnest(range(len(embedding)))::INT AS feature FROM embeddings),
+s AS (SELECT vec_id, feature, (rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE - 0.5) / count(*) OVER (PARTITION BY feature) AS share FROM l),
+p AS (SELECT vec_id, feature, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, share)) AS p FROM s), q AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS q, (p - 0.5) * (p - 0.5) AS r FROM p),
+g AS (SELECT vec_id, feature, {_INVERSE} AS g FROM q)
+SELECT vec_id, feature, round((g - avg(g) OVER (PARTITION BY feature)) / stddev_samp(g) OVER (PARTITION BY feature), 6) AS z FROM g""")
+def rank_gaussian(spark, d):
+    """Inverse normal of average ranks, clipped at 1e-6, standardised again."""
     ranked = average_rank(components(spark, d).select("vec_id", "feature", "value"), ["feature"], "value")
     sizes = ranked.groupBy("feature").agg(F.count("*").alias("n"))
     share = (F.col("avg_rank") - 0.5) / F.col("n")
-    rows = ranked.join(sizes, "feature").select("vec_id", "feature", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share)).alias("share"))
-
-    def inverse(batches):
-        normal = NormalDist().inv_cdf
-        for b in batches:
-            yield b[["vec_id", "feature"]].assign(z=b["share"].map(normal))
-
-    return rows.mapInPandas(inverse, "vec_id long, feature int, z double")
+    rows = ranked.join(sizes, "feature").select("vec_id", "feature", statistics.inverse_normal(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share))).alias("g"))
+    sums = rows.groupBy("feature").agg(F.avg("g").alias("m"), F.stddev_samp("g").alias("s"))
+    return rows.join(sums, "feature").select("vec_id", "feature", F.round(F.try_divide(F.col("g") - F.col("m"), F.col("s")), 6).alias("z"))
 
 
 @query("""WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS value, unnest(range(len(embedding)))::INT AS feature FROM embeddings),
