@@ -274,5 +274,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise, cut and pack all documents: a row a piece, see :func:`pieces` and :func:`pack`."""
+    """Tokenise, cut and pack all documents: a row a piece, see :func:`pieces` and :func:`pack`.
+
+    Null and empty texts are their end id alone; long ones are several pieces; ties of length, repeated rows and rows with a
+    null key are pieces of their own. An empty table gives an empty result.
+    """
     return pack(pieces(docs, tokenizer, end_id, capacity), capacity)

@@ -7,7 +7,8 @@ Only where that is unset and Spark runs in one local process is a folder under t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,45 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/tessella"
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables and shards written inside the block when it ends well, but for the files of results passed to what it yields.
+
+    Such results must be written tables: what is deleted can't be worked out again. Outside such blocks whatever an
+    operator wrote stays until the shared folder is cleared, as its result may be read at any later time.
+    """
+    first, files = len(_made), []
+
+    def keep(result: DataFrame) -> DataFrame:
+        files.extend(result.inputFiles())
+        return result
+
+    yield keep
+    for path in _made[first:]:
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in files):
+            fs, own = filesystem(path)
+            if fs.get_file_info(own).type == pafs.FileType.Directory:
+                fs.delete_dir(own)
+    del _made[first:]
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a written table in the shared folder that nothing reads any more."""
+    shared = shared_dir(table.sparkSession).removeprefix("file://")
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        fs, own = filesystem(path)
+        if shared in path and fs.get_file_info(own).type == pafs.FileType.Directory:
+            fs.delete_dir(own)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -130,3 +130,11 @@ def test_all_stages_take_messy_tables(spark, messy):
         assert out.count() >= 1, name
         if name != "best_fit_packing":
             assert out.columns == messy.columns
+
+
+def test_run_keeps_its_result_alone(spark, messy, tmp_path, monkeypatch):
+    messy.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{shared}")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 3 and len([p for p in shared.iterdir()]) == 1
