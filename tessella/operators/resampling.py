@@ -84,10 +84,24 @@ def bootstrap_mean(df: DataFrame, by: list[str], key: str, value: str, reps: int
     return means.groupBy(*by).agg(F.count("mean").alias("reps"), q(0.025).alias("low"), q(0.5).alias("mid"), q(0.975).alias("high"))
 
 
-def random_panels(df: DataFrame, by: list[str], key: str, size: int, reps: int, seed: str) -> DataFrame:
-    """For each replicate, the ``size`` rows of each group with the smallest draws."""
-    order = Window.partitionBy(*by, "rep").orderBy(draw(seed, F.col("rep"), F.col(key)), key)
-    return replicates(df, reps).withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= size).drop("__place")
+def random_panels(df: DataFrame, by: list[str], key: str, size: int | str, reps: int, seed: str) -> DataFrame:
+    """For each replicate, the ``size`` rows of each group with the smallest draws; ``size`` may be a column of ``df``.
+
+    Ranges of draws are counted first; rows of ranges beyond a panel's last one go unsorted, and places are counted inside
+    ranges, so that no window holds a group.
+    """
+    most = F.lit(size) if isinstance(size, int) else F.col(size)
+    rows = replicates(df, reps).withColumn("__u", draw(seed, F.col("rep"), F.col(key))).withColumn("__cell", F.shiftright("__u", RANGE_BITS))
+    of = [f"__of{i}" for i in range(len(by))]
+    cells = rows.groupBy(*[F.col(c).alias(o) for c, o in zip(by, of, strict=True)], F.col("rep").alias("__rep"), F.col("__cell").alias("__at")).agg(F.count("*").alias("__n"), F.max(most).alias("__most"))
+    before = Window.partitionBy(*of, "__rep").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    cells = cells.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__start < __most").drop("__n", "__most")
+    same = (F.col("rep") == F.col("__rep")) & (F.col("__cell") == F.col("__at"))
+    for c, o in zip(by, of, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    inside = Window.partitionBy(*by, "rep", "__cell").orderBy("__u", key)
+    placed = rows.join(cells, same).withColumn("__place", F.col("__start") + F.row_number().over(inside))
+    return placed.where(F.col("__place") <= most).select(*df.columns, "rep")
 
 
 def leave_one_out(df: DataFrame, unit: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.operators import relational
+from tessella.operators.ranking import exact_quantiles
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,12 +87,13 @@ def nearest_size_join(spark, d):
   min(l_quantity) AS low, max(l_quantity) AS high, round(avg((l_discount > 0.05)::INT::DOUBLE), 6) AS discounted, count(DISTINCT l_suppkey) AS suppliers
 FROM lineitem GROUP BY 1, 2""")
 def group_summary_quantiles(spark, d):
-    q = lambda at: F.round(F.percentile("l_extendedprice", F.lit(at)), 4)
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+    keys = ["l_returnflag", "l_linestatus"]
+    q = exact_quantiles(table(spark, d, "lineitem"), keys, "l_extendedprice", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    sums = table(spark, d, "lineitem").groupBy(*keys).agg(
         F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("sd_price"),
-        q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"),
-        F.round(F.avg((F.col("l_discount") > 0.05).cast("double")), 6).alias("discounted"), F.countDistinct("l_suppkey").alias("suppliers"),
+        F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round(F.avg((F.col("l_discount") > 0.05).cast("double")), 6).alias("discounted"), F.countDistinct("l_suppkey").alias("suppliers"),
     )
+    return sums.join(q.select(*keys, *[F.round(c, 4).alias(c) for c in ("q05", "q50", "q95")]), keys)
 
 
 @query("""SELECT l_linestatus, round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS mean_a, round(avg(l_quantity) FILTER (l_returnflag = 'N'), 6) AS mean_n,
@@ -220,7 +222,7 @@ def detection_filter(spark, d):
 SELECT l_orderkey, total, total < 0.1 * mid AS low_depth FROM t, m""")
 def low_depth_flag(spark, d):
     totals = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("total"))
-    mid = totals.agg(F.percentile("total", F.lit(0.5)).alias("mid"))
+    mid = exact_quantiles(totals, [], "total", {"mid": 0.5})
     return totals.crossJoin(F.broadcast(mid)).select("l_orderkey", "total", (F.col("total") < 0.1 * F.col("mid")).alias("low_depth"))  # one row
 
 

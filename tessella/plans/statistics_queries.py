@@ -89,9 +89,8 @@ def matched_random_panels(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
     binned = ranking.qcut(ranking.qcut(part, "p_retailprice", 4, "a"), "p_size", 4, "b").withColumn("bin", F.concat_ws("_", F.col("a").cast("string"), F.col("b").cast("string")))
     want = binned.where("p_brand = 'Brand#3'").groupBy("bin").agg(F.count("*").alias("n"))
-    pool = resampling.replicates(binned.where("p_brand <> 'Brand#3'").join(want, "bin"), 5)
-    order = Window.partitionBy("bin", "rep").orderBy(resampling.draw("panel", F.col("rep"), F.col("p_partkey")), "p_partkey")
-    return pool.withColumn("p", F.row_number().over(order)).where("p <= n").select("rep", "bin", "p_partkey")
+    pool = binned.where("p_brand <> 'Brand#3'").join(want, "bin")
+    return resampling.random_panels(pool, ["bin"], "p_partkey", "n", 5, "panel").select("rep", "bin", "p_partkey")
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)

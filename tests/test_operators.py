@@ -286,3 +286,14 @@ def test_identifiers_and_lists(spark):
     assert [r["a"] for r in out] == ["7", None, "x"] and [r["m"] for r in out] == [12.0, None, None]
     assert tuple(out[0]["t"]) == (3.5, 1) and out[1]["t"] is None and [r["b"] for r in out] == [True, False, False]
     assert out[2]["r"] == "nan | " and out[1]["r"] == "none | nan"
+
+
+def test_random_panels_take_the_smallest_draws(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 3 if i % 3 else None, 2 + (i % 3)) for i in range(90)], "i long, g int, n int")
+    for bits in (20, 29):
+        monkeypatch.setattr(resampling, "RANGE_BITS", bits)
+        drawn = {(r["rep"], r["i"]): r["u"] for r in resampling.replicates(df, 4).select("rep", "i", resampling.draw("s", F.col("rep"), F.col("i")).alias("u")).collect()}
+        got = sorted((r["rep"], r["g"] or 0, r["i"]) for r in resampling.random_panels(df, ["g"], "i", "n", 4, "s").collect())
+        want = sorted((rep, g, i) for rep in range(1, 5) for g in range(3) for i in sorted((i for i in range(90) if i % 3 == g), key=lambda i: (drawn[rep, i], i))[: 2 + g])
+        assert got == want
+    assert resampling.random_panels(df, [], "i", 5, 2, "s").count() == 10
