@@ -45,11 +45,13 @@ def unpack(words: np.ndarray, width: int, n: int) -> np.ndarray:
 def gather(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     """The values at any positions, without unpacking the others."""
     bit = at.astype(np.int64) * width
-    word, shift = bit >> 6, (bit & 63).astype(U64)
-    low = words[word] >> shift
-    after = words[np.minimum(word + 1, len(words) - 1)]
-    high = np.where(shift + U64(width) > U64(64), after << ((U64(64) - shift) & U64(63)), U64(0))
-    return (low | high) & U64((1 << width) - 1)
+    word, shift = bit >> 6, bit & 63
+    out = words[word] >> shift.view(U64)
+    over = np.flatnonzero(shift > 64 - width)
+    if len(over):
+        out[over] |= words[word[over] + 1] << (64 - shift[over]).view(U64)
+    out &= U64((1 << width) - 1)
+    return out
 
 
 def _bytes_of(byte: int) -> np.uint64:
@@ -57,6 +59,7 @@ def _bytes_of(byte: int) -> np.uint64:
     return U64(byte * 0x0101010101010101)
 
 
+_ONES, _ODD, _PAIRS, _LOW, _TOP = (_bytes_of(b) for b in (0x01, 0x55, 0x33, 0x0F, 0x80))
 #: By rank and byte, the position of the byte's set bit number ``rank``.
 _SELECT = np.zeros((8, 256), np.uint8)
 for _byte in range(256):
@@ -67,13 +70,13 @@ for _byte in range(256):
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The position of the set bit number ``rank`` (from 0) of each word: running bit counts of its bytes tell the byte, a table the rest."""
     rank = rank.astype(U64)
-    sums = word - ((word >> U64(1)) & _bytes_of(0x55))
-    sums = (sums & _bytes_of(0x33)) + ((sums >> U64(2)) & _bytes_of(0x33))
-    sums = ((sums + (sums >> U64(4))) & _bytes_of(0x0F)) * _bytes_of(1)
-    full = (((rank * _bytes_of(1)) | _bytes_of(0x80)) - sums) & _bytes_of(0x80)
+    sums = word - ((word >> U64(1)) & _ODD)
+    sums = (sums & _PAIRS) + ((sums >> U64(2)) & _PAIRS)
+    sums = ((sums + (sums >> U64(4))) & _LOW) * _ONES
+    full = (((rank * _ONES) | _TOP) - sums) & _TOP
     at = np.bitwise_count(full).astype(U64) << U64(3)
     left = rank - (((sums << U64(8)) >> at) & U64(0xFF))
-    return at.astype(np.int64) + _SELECT[left, (word >> at) & U64(0xFF)]
+    return at.view(np.int64) + _SELECT[left.view(np.int64), ((word >> at) & U64(0xFF)).view(np.int64)]
 
 
 class EliasFano:
@@ -107,24 +110,27 @@ class EliasFano:
 
     def _entries(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First entry and end of the entries with each high part: the ones between the zeros that bound it."""
-        first, last = np.full(len(part), self.n, np.int64), np.full(len(part), self.n, np.int64)
-        known = np.flatnonzero(part <= self._zeros[-1])
-        rank = part[known] - 1
+        top = self._zeros[-1]
+        rank = np.minimum(part, top) - 1
         word = np.searchsorted(self._zeros, rank, side="right") - 1
-        begin = np.where(rank >= 0, word * 64 + _select_in_word(~self.high[word], np.maximum(rank - self._zeros[word], 0)) + 1, 0)
-        first[known] = begin - rank - 1
+        begin = np.where(rank >= 0, (word << 6) + _select_in_word(~self.high[word], np.maximum(rank - self._zeros[word], 0)) + 1, 0)
+        first = begin - rank - 1
         # The entries of one part are few: the next zero mostly lies in the same word.
-        word = np.minimum(begin >> 6, len(self.high) - 1)
-        rest = ~self.high[word] >> (begin & 63).astype(U64)
-        rest[begin >> 6 >= len(self.high)] = 0
-        near = rest != 0
-        length = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
-        last[known] = np.where(near, first[known] + length, self.n)
-        far = known[~near & (part[known] < self._zeros[-1])]
+        word = begin >> 6
+        outside = word >= len(self.high)
+        rest = ~self.high[np.minimum(word, len(self.high) - 1)] >> (begin & 63).view(U64)
+        rest[outside] = 0
+        last = first + np.bitwise_count((rest & (~rest + U64(1))) - U64(1))
+        far = np.flatnonzero(rest == 0)
         if len(far):
+            last[far] = self.n
+            far = far[part[far] < top]
             rank = part[far]
             word = np.searchsorted(self._zeros, rank, side="right") - 1
             last[far] = word * 64 + _select_in_word(~self.high[word], rank - self._zeros[word]) - rank
+        beyond = part > top
+        if beyond.any():
+            first[beyond] = last[beyond] = self.n
         return first, last
 
     def get(self, at: np.ndarray) -> np.ndarray:
@@ -158,16 +164,27 @@ class EliasFano:
         return self._bounds(values)[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The position of each value, -1 where it is absent."""
+        """A position of each value, -1 where it is absent."""
         values = np.asarray(values, U64)
         if not self.n or not len(values):
             return np.full(len(values), -1, np.int64)
-        at, _, last, rest = self._bounds(values)
-        ok = at < last
-        if self.low_width:
-            some = np.flatnonzero(ok)
-            ok[some] = gather(self.low, self.low_width, at[some]) == rest[some]
-        return np.where(ok, at, -1)
+        lo, hi = self._entries((values >> U64(self.low_width)).astype(np.int64))
+        if not self.low_width:
+            return np.where(lo < hi, lo, -1)
+        at = np.full(len(values), -1, np.int64)
+        # Halving, with those that are found or ruled out left behind.
+        left = np.flatnonzero(lo < hi)
+        lo, hi, rest = lo[left], hi[left], values[left] & U64((1 << self.low_width) - 1)
+        while len(left):
+            mid = (lo + hi) >> 1
+            low = gather(self.low, self.low_width, mid)
+            hit = low == rest
+            at[left[hit]] = mid[hit]
+            below = low < rest
+            lo, hi = np.where(below, mid + 1, lo), np.where(below, hi, mid)
+            on = np.flatnonzero((lo < hi) & ~hit)
+            left, lo, hi, rest = left[on], lo[on], hi[on], rest[on]
+        return at
 
     def parts(self) -> list[np.ndarray]:
         """The arrays to store; ``load`` takes them back."""

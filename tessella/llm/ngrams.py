@@ -40,7 +40,7 @@ DISCOUNT, BITS, STEP = 0.75, 12, 0.002
 #: Entries of a level's shard, which bounds what a task that writes it holds.
 LEVEL_SHARD = 1 << 20
 #: Characters looked up at once, which bounds a task's arrays.
-PORTION = 2_000_000
+PORTION = 3_000_000
 #: Tokens that a task counts before it hands on blocks, entries that one adds up at once, and keys that the driver samples.
 COUNTED, HELD, SAMPLED = 1 << 20, 1 << 21, 1 << 17
 
@@ -132,7 +132,10 @@ class Level:
         for i, own in self._deal(context[known], symbol[known]):
             own = known[own]
             shard = opened(self.paths[i], LevelShard.load)
-            c = shard.contexts.find(context[own] - self.contexts_at[i])
+            # Neighbouring queries often have one context: it is looked up once.
+            asked = context[own] - self.contexts_at[i]
+            first = np.flatnonzero(np.diff(asked, prepend=-1))
+            c = np.repeat(shard.contexts.find(asked[first]), np.diff(np.append(first, len(asked))))
             ok = (c >= 0) & (symbol[own] < shard.span)
             own, c = own[ok], c[ok]
             place = shard.successors.find(c * shard.span + symbol[own])
@@ -443,7 +446,9 @@ def token_probabilities(trie: Trie, tokens: np.ndarray, bounds: np.ndarray) -> t
         found.pairs()
         p = found.pair_p + (1.0 - found.mass) * p
         if trie.triples and trie.triples.n:
-            _, own = trie.triples.find(*found.triples())
+            # In order, distinct queries touch neighbouring words of the shards.
+            context, symbol, where, _ = distinct_pairs(*found.triples())
+            own = trie.triples.find(context, symbol)[1][where]
             p = own + (1.0 - found.triple_masses()) * p
     return found.counts, base, p
 
