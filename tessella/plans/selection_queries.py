@@ -137,7 +137,10 @@ def nearest_by_correlation(spark, d):
     return found.select("query", "neighbor", F.round("r", 6).alias("r"), "place")
 
 
-@query()
+@query("""WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS value, unnest(range(len(embedding)))::INT AS feature FROM embeddings),
+c AS (SELECT q.vec_id AS query, r.vec_id AS neighbor, corr(q.value, r.value) AS r FROM l q JOIN l r ON q.feature = r.feature AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+b AS (SELECT query, max(round(r, 12)) AS r FROM c GROUP BY 1), t(threshold) AS (VALUES (0.995::DOUBLE), (0.985), (0.98), (0.9))
+SELECT count(*) AS queries, threshold, count(*) FILTER (r >= threshold) AS found FROM b, t GROUP BY threshold""")
 def overlap_fingerprint(spark, d):
     """How many of the queries have a row at each threshold of correlation, which would show shared samples."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -148,7 +151,10 @@ def overlap_fingerprint(spark, d):
     return one.selectExpr("queries", f"stack({len(at)}, " + ", ".join(f"{t}D, at{i}" for i, t in enumerate(at)) + ") AS (threshold, found)")
 
 
-@query()
+@query("""WITH c AS (SELECT c_nationkey AS k, avg(c_acctbal) AS a FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, avg(s_acctbal) AS b FROM supplier GROUP BY 1),
+d AS (SELECT n_regionkey, a - b AS diff FROM nation JOIN c ON n_nationkey = c.k JOIN s ON n_nationkey = s.k),
+g AS (SELECT n_regionkey, count(*) FILTER (diff > 0) AS positive, count(*) FILTER (diff <> 0) AS n FROM d GROUP BY 1)
+SELECT n_regionkey, positive, n, least(1.0::DOUBLE, 2 * list_sum([factorial(n::INT)::DOUBLE / (factorial(i::INT) * factorial((n - i)::INT)) FOR i IN range(0, least(positive, n - positive) + 1)]) / pow(2, n)) AS p_value, NULL::VARCHAR AS error FROM g""")
 def paired_sign_test(spark, d):
     """Two-sided binomial sign test of customers' against suppliers' mean balance by region of nations."""
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("unit"), "n_regionkey")
