@@ -31,8 +31,8 @@ TILE = 1 << 15
 AREA = 1 << 18
 #: Texts of at most so many shingles have bits that tie often, and are compared within EXTRA more bits.
 SMALL, EXTRA = 16, 6
-#: Candidate pairs a row that are verified in a first round, and how much larger each later part of the pairs is.
-ROUND, GROWTH = 0.25, 16
+#: Candidate pairs a row that a round of verification aims at.
+ROUND = 0.25
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -300,11 +300,14 @@ def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str
     while lo < 1.0:
         labelled = rows.join(labels, "node")
         pairs = store.materialize(link(labelled, radius, similarity, tile, (lo, hi)).where("a <> b").distinct(), "simhash-pairs")
-        if not pairs.isEmpty():
+        listed = pairs.count()
+        if listed:
             # What is joined now are the labels of earlier rounds, so the links of a large group aren't gone through again.
             joined = components(jaccard(docs, pairs, words, similarity, key, text).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).withColumnRenamed("node", "node_")
             labels = store.materialize(labels.join(joined, F.col("label") == F.col("node_"), "left").select("node", F.coalesce("component", "label").alias("label")), "simhash-labels")
-        lo, hi = hi, min(1.0, hi * GROWTH)
+        # The next part is sized by what this one listed; where rows get joined, fewer come than its share of all pairs.
+        growth = 2.0 ** math.floor(math.log2(max(2.0, 1 + ROUND * max(n, 1000) * (hi - lo) / (hi * max(listed, 1)))))
+        lo, hi = hi, min(1.0, hi * growth)
     of = rows.join(labels, "node").select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.col("label").alias("component_id"))
     return found.join(of, [F.col(k) == F.col(f"of_{k}") for k in kinds]).select("doc_id", "component_id")
 
