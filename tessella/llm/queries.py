@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, lines, media, mixing, ngrams, packing, simhash, store, substrings, token_files, vectors
+from tessella.llm import decontaminate, langid, lines, media, mixing, ngrams, packing, simhash, store, substrings, token_files, vectors
 
 #: Names of tokenizer files in the installed package of public tokenizers.
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -86,6 +86,15 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.write_media(documents(spark, sf_dir)), pixels=False)
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in windows of 10 words of the benchmark, and the items that they come from."""
+    found = decontaminate.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words=10)
+    return found.select(
+        "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -138,6 +147,32 @@ FROM pages d LEFT JOIN kept k ON d.page = k.page
 """
 
 
+LEAKS_SQL = r"""
+WITH cut AS (
+  SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)),
+places AS (SELECT r, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM cut),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE text IS NOT NULL),
+starts AS (
+  SELECT item_id, words, least(10, len(words)) AS n, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS i
+  FROM items WHERE len(words) > 0),
+wins AS (SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS win FROM starts),
+sizes AS (SELECT DISTINCT n FROM wins),
+runs AS (
+  SELECT p.r, p.i, s.n, array_to_string(c.words[p.i:p.i + s.n - 1], ' ') AS win
+  FROM places p JOIN cut c ON p.r = c.r JOIN sizes s ON p.i + s.n - 1 <= len(c.words)
+  WHERE p.word IN (SELECT split_part(win, ' ', 1) FROM wins)),
+hits AS (SELECT u.r, u.i, u.n, w.item_id FROM runs u JOIN wins w ON u.n = w.n AND u.win = w.win),
+marks AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS place FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT c.doc_id, len(c.words)::BIGINT AS n_words, coalesce(m.n_hit, 0)::BIGINT AS n_hit, coalesce(k.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(k.ids, '')) AS items_sha256, coalesce(m.n_hit, 0) > 0 AS contaminated
+FROM cut c LEFT JOIN marks m ON c.r = m.r LEFT JOIN named k ON c.r = k.r
+"""
+
+
 def queries() -> dict:
     """Queries by name."""
     return {
@@ -151,9 +186,10 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_media_columns": op10_media_columns,
+        "op12_benchmark_decontamination": op12_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express."""
-    return {"op5_line_dedup": LINES_SQL, "op6_mix_sources": MIX_SQL}
+    return {"op5_line_dedup": LINES_SQL, "op6_mix_sources": MIX_SQL, "op12_benchmark_decontamination": LEAKS_SQL}

@@ -16,8 +16,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
 
 
-#: By byte: whether it is white space, the value that stands for it, and the same for both cases of A to Z.
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: By byte: whether it is white space; below, the value that stands for it, and the same for both cases of A to Z.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: By byte: whether it is ASCII but neither a letter nor a digit.
+MARKS = np.isin(np.arange(256), [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
 _FOLDED = _VALUES.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
@@ -25,14 +27,15 @@ _FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
 LONG = 1000
 
 
-def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], fold: bool = True, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """63-bit hashes of the words of all texts in order, with ``fold`` A-Z as a-z, and each text's number of words.
 
+    ``breaks`` tells by byte what stands between words, the line feed among it.
     A word's hash is a polynomial of its bytes' values modulo 2**64, mixed, so that whole batches are hashed at once.
     """
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined, np.uint8)
-    inside = ~_SPACE[raw]
+    inside = ~breaks[raw]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     starts, lengths = edge[::2], edge[1::2] - edge[::2]
     text_starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
