@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, langid, lines, media, mixing, ngrams, packing, simhash, store, substrings, token_files, vectors
+from tessella.llm import conversations, decontaminate, langid, lines, media, mixing, ngrams, packing, simhash, store, substrings, token_files, vectors
 
 #: Names of tokenizer files in the installed package of public tokenizers.
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -86,6 +86,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.write_media(documents(spark, sf_dir)), pixels=False)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults: their faults, the cheapest repair, its cost and a digest of what it gives."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversations.repair(conversations.damage(rows))
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    kept, digest = found.report.withColumnRenamed("conv_id", "of"), conversations.digests(found.blocks).withColumnRenamed("conv_id", "repaired")
+    every = rows.select("conv_id").distinct().join(kept, F.col("conv_id").eqNullSafe(F.col("of")), "left").join(digest, F.col("conv_id").eqNullSafe(F.col("repaired")), "left")
+    return every.select("conv_id", *[c.alias(n) for n, c in zero.items()], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in windows of 10 words of the benchmark, and the items that they come from."""
     found = decontaminate.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words=10)
@@ -186,6 +196,7 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_media_columns": op10_media_columns,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_benchmark_decontamination": op12_benchmark_decontamination,
     }
 
