@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import conversations, decontaminate, langid, lines, media, mixing, ngrams, packing, simhash, store, substrings, token_files, vectors
+from tessella.llm import conversations, decontaminate, langid, lines, media, mixing, ngrams, packing, simhash, spelling, store, substrings, token_files, vectors
 
 #: Names of tokenizer files in the installed package of public tokenizers.
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -105,6 +105,12 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with planted slips, and the words one edit away that they may stand for."""
+    words = spelling.vocabulary(documents(spark, sf_dir), least_length=5, least_count=3, change=spelling.planted)
+    return spelling.group_variants(words, ratio=2)
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -198,6 +204,7 @@ def queries() -> dict:
         "op10_media_columns": op10_media_columns,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_benchmark_decontamination": op12_benchmark_decontamination,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
