@@ -16,10 +16,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import store
+from tessella.llm.names import free, quoted
 from tessella.llm.words import mixed
 
 UNKNOWN = "und"
@@ -264,6 +265,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     language; a text of letters of which nothing is known gets the first language and an even score. The two columns
     replace any of their names.
     """
+    guess = free(docs, "guess")
+    names = [q for c, q in zip(docs.columns, quoted(docs)) if c.lower() not in ("lang_pred", "score")]
+    return docs.withColumn(guess, _guessed(docs, model, text)).select(*names, F.col(guess)["lang_pred"].alias("lang_pred"), F.col(guess)["score"].alias("score"))
+
+
+def _guessed(docs: DataFrame, model: Model, text: str) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -271,15 +278,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, odds = shared.value.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(odds, dtype=float)})
 
-    guessed = F.pandas_udf(guess, "lang_pred string, score double")(F.col(text).cast("string"))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__guess", guessed).select(*names, F.col("__guess.lang_pred").alias("lang_pred"), F.col("__guess.score").alias("score"))
+    return F.pandas_udf(guess, "lang_pred string, score double")(F.col(text).cast("string"))
 
 
-def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """Documents whose language is known with at least ``least_score``; the columns of ``docs``."""
-    names = docs.columns
-    own = {n: f"__own_{n}" for n in ("lang_pred", "score") if n in names}
-    scored = predict(docs.withColumnsRenamed(own), model).withColumnsRenamed({"lang_pred": "__lang", "score": "__score"})
-    scored = scored.withColumnsRenamed({v: k for k, v in own.items()})
-    return scored.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*names)
+def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5, text: str = "text") -> DataFrame:
+    """Documents whose language is known with at least ``least_score``; the columns of ``docs``, of any name.
+
+    Null, empty and letterless texts go; repeated rows all stay or all go; an empty table stays empty.
+    """
+    guess = free(docs, "guess")
+    scored = docs.withColumn(guess, _guessed(docs, model, text))
+    return scored.where((F.col(guess)["lang_pred"] != UNKNOWN) & (F.col(guess)["score"] >= least_score)).select(*quoted(docs))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import store
+from tessella.llm.names import free, quoted
 
 #: Share of a host's pages above which a line is boilerplate.
 RATIO = 0.1
@@ -47,18 +48,20 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source"
     page, on average over all pages) / (``hot`` * ``ratio``) hashes, are broadcast. The others meet their lines by host, and
     none of them has more pages than that share.
     """
-    found = store.materialize(boilerplate(docs, ratio, host, text), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__lines"), "share")
-    same = F.col(host).eqNullSafe(F.col("__host"))
-    often, rare = (found.where(x).drop("share") for x in (F.col("share") > hot, F.col("share") <= hot))
+    of, own_lines, page, left = (free(docs, n) for n in ("host", "lines", "page", "left_lines"))
+    found = store.materialize(boilerplate(docs, ratio, host, text), "boilerplate")
+    often, rare = (found.where(x).select(F.col("host").alias(of), F.col("lines").alias(own_lines)) for x in (F.col("share") > hot, F.col("share") <= hot))
+    same = F.col(host).eqNullSafe(F.col(of))
     joined = docs.join(F.broadcast(often), same).unionByName(docs.join(F.broadcast(often), same, "left_anti").join(rare, same, "left"))
     # The page's own boilerplate lines are found by hashing, so that each line is looked up among these few. An exploded
     # array of one keeps what was worked out for a page from being worked out again for each of its lines.
     once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
-    own = F.array_intersect(_hashes(text), F.coalesce("__lines", F.array().cast("array<bigint>")))
-    joined = once(joined, "__page", F.struct(F.split(text, "\n").alias("all"), own.alias("own")))
-    left = F.filter("__page.all", lambda x: (F.trim(x) == "") | ~F.array_contains("__page.own", F.xxhash64(x)))
-    joined = once(joined, "__left", F.when(F.size("__page.own") > 0, left).otherwise(F.col("__page.all")))
+    own = F.array_intersect(_hashes(text), F.coalesce(own_lines, F.array().cast("array<bigint>")))
+    joined = once(joined, page, F.struct(F.split(text, "\n").alias("all"), own.alias("own")))
+    every, own = F.col(page)["all"], F.col(page)["own"]
+    rest = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains(own, F.xxhash64(x)))
+    joined = once(joined, left, F.when(F.size(own) > 0, rest).otherwise(every))
     size = lambda x: F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    n, cleaned = size("__page.all"), F.array_join("__left", "\n")
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], n.alias("n_lines"), (n - size("__left")).alias("n_dropped"))
+    names = [(c, q) for c, q in zip(docs.columns, quoted(docs)) if c.lower() not in ("n_lines", "n_dropped")]
+    n, cleaned = size(every), F.array_join(left, "\n")
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(q) for c, q in names], n.alias("n_lines"), (n - size(left)).alias("n_dropped"))

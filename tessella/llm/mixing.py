@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import store
+from tessella.llm.names import free, quoted
 
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,17 +93,15 @@ def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     A document cut in part keeps its first words, joined by single spaces. Documents that the mix doesn't take go; those
     without words stay once. Columns are those of ``docs``.
     """
-    names = docs.columns
-    share = plan.groupBy("doc_id", "source", "tie").agg(F.sum("taken").alias("__mix_taken"), F.count("*").alias("__mix_rows"), F.max("size").alias("__mix_size"))
-    share = share.select(F.col("doc_id").alias("__mix_doc"), F.col("source").alias("__mix_source"), F.col("tie").alias("__mix_tie"), "__mix_taken", "__mix_rows", "__mix_size")
-    on = F.col("doc_id").eqNullSafe(F.col("__mix_doc")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.xxhash64("text") == F.col("__mix_tie"))
+    doc, of, same, taken, rows, size, piece = (free(docs, n) for n in ("mix_doc", "mix_source", "mix_tie", "mix_taken", "mix_rows", "mix_size", "mix_piece"))
+    share = plan.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(of), F.col("tie").alias(same)).agg(F.sum("taken").alias(taken), F.count("*").alias(rows), F.max("size").alias(size))
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(same))
     # Equal rows share what was taken of them: each takes an equal part, whole copies first.
-    each = F.expr("__mix_taken DIV __mix_rows")
-    copies = F.when(F.col("__mix_size") == 0, F.lit(1)).otherwise(F.expr("(__mix_taken DIV __mix_rows) DIV __mix_size"))
-    left = F.when(F.col("__mix_size") == 0, F.lit(0)).otherwise(each - copies * F.col("__mix_size"))
-    joined = docs.join(share, on).withColumn("__mix_copies", copies.cast("int")).withColumn("__mix_left", left.cast("int"))
+    each = F.expr(f"{taken} DIV {rows}")
+    copies = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.expr(f"({taken} DIV {rows}) DIV {size}")).cast("int")
+    left = F.when(F.col(size) == 0, F.lit(0)).otherwise(each - copies * F.col(size)).cast("int")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    pieces = F.concat(F.array_repeat(F.col("text"), F.col("__mix_copies")), F.when(F.col("__mix_left") > 0, F.array(F.array_join(F.slice(words, 1, F.col("__mix_left")), " "))).otherwise(F.array().cast("array<string>")))
+    pieces = F.concat(F.array_repeat(F.col("text"), copies), F.when(left > 0, F.array(F.array_join(F.slice(words, 1, left), " "))).otherwise(F.array().cast("array<string>")))
     # A row without text is kept once: its only piece is null.
-    mixed = joined.withColumn("__mix_piece", F.explode(pieces))
-    return mixed.select(*[F.col("__mix_piece").alias(n) if n == "text" else F.col(n) for n in names])
+    mixed = docs.join(share, on).withColumn(piece, F.explode(pieces))
+    return mixed.select(*[F.col(piece).alias(n) if n == "text" else F.col(q) for n, q in zip(docs.columns, quoted(docs))])

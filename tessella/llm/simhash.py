@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import store
+from tessella.llm.names import free
 from tessella.llm.components import Labels, components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -29,10 +30,12 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 TILE = 1 << 15
 #: Pairs whose bits are counted in one step, which bounds what a task holds where all of them are near.
 AREA = 1 << 18
-#: Texts of at most so many shingles have bits that tie often, and are compared within EXTRA more bits.
-SMALL, EXTRA = 16, 6
-#: Candidate pairs a row that a round of verification aims at.
-ROUND = 0.25
+#: Bits added to the radius of a similarity, as ties of bits are frequent in texts of few shingles.
+EXTRA = 6
+#: Shingles a tile, where their sets are compared too.
+SHINGLES = 4_000_000
+#: Counts of shingles by part of their hash that bound what two sets share, and the sets too large for them.
+BUCKETS, UNCOUNTED = 256, 1 << 15
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -61,22 +64,25 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
-    """``doc_id``, ``size`` (shingles, with ``distinct`` each counted once) and ``fp0``, ``fp1`` ... (64 bits each, as long) of each row's whole text.
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "doc_id", text: str = "text", seed: int | None = None) -> DataFrame:
+    """``doc_id``, ``size`` (shingles) and ``fp0``, ``fp1`` ... (64 bits each, as long) of each row's whole text.
 
     A text without words, or null, has size 0 and fingerprint zero. The second and later 64 bits hash the first ones'
-    hashes again.
+    hashes again. With ``seed`` each shingle counts once, and ``shingles`` has 32 bits of each, sorted, as that seed gives them.
     """
     n = bits // 64
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), *((f"fp{i}", pa.int64()) for i in range(n))])
+    more = [] if seed is None else [("shingles", pa.binary())]
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), *((f"fp{i}", pa.int64()) for i in range(n)), *more])
     factor = np.uint64(0x9E3779B97F4A7C15)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, found = [], []
+            sizes, found, sets = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
-                h = np.unique(h) if distinct else h
+                if seed is not None:
+                    h = np.unique(h)
+                    sets.append(short_hashes(h, seed).tobytes())
                 sizes.append(len(h))
                 row = [majority(h)]
                 for _ in range(1, n):
@@ -85,10 +91,16 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "do
                     row.append(majority(h))
                 found.append(row)
             table = np.array(found, np.uint64).reshape(-1, n).view(np.int64)
-            yield store.batch(schema, doc_id=b.column(0), size=sizes, **{f"fp{i}": table[:, i] for i in range(n)})
+            yield store.batch(schema, doc_id=b.column(0), size=sizes, **{f"fp{i}": table[:, i] for i in range(n)}, **({"shingles": sets} if more else {}))
 
     names = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return names.mapInArrow(each, ", ".join(["doc_id long", "size long", *(f"fp{i} long" for i in range(n))]))
+    return names.mapInArrow(each, ", ".join(["doc_id long", "size long", *(f"fp{i} long" for i in range(n)), *(["shingles binary"] if more else [])]))
+
+
+def short_hashes(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """32 bits of each hash, other ones for another seed, sorted."""
+    h = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+    return np.sort((h >> np.uint64(32)).astype(np.uint32))
 
 
 def _compare(own: np.ndarray, guests: np.ndarray, own_size: np.ndarray, guest_size: np.ndarray, radius: int, ratio: float, inside: bool):
@@ -125,23 +137,65 @@ def population(fingerprints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fingerprints).sum(axis=1, dtype=np.int64)
 
 
-def pair_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number from 0 to below 1 by the hash of each pair."""
-    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-
-
-def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE, window: tuple[float, float] | None = None, count: bool = False) -> DataFrame:
+class Sets:
+    """Sets of shingles of a task's rows, by 32 bits of each, as one array."""
+
+    def __init__(self, sets: np.ndarray, size: np.ndarray, least: float):
+        self.flat = np.frombuffer(b"".join(sets.tolist()), np.uint32)
+        self.size, self.least = size, least
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        owner = np.repeat(np.arange(len(size)) * BUCKETS, size)
+        self.counts = np.bincount(owner + (self.flat & np.uint32(BUCKETS - 1)), minlength=BUCKETS * len(size)).reshape(-1, BUCKETS).astype(np.uint16)
+        self.marks = np.zeros(1 << 16, np.uint8)
+
+    def of(self, i: int) -> np.ndarray:
+        """The set of a row."""
+        return self.flat[self.start[i] : self.start[i + 1]]
+
+    def _least(self, i: int, j: np.ndarray) -> np.ndarray:
+        """How many shingles row ``i`` must share with each row ``j``."""
+        return np.ceil(self.least / (1 + self.least) * (self.size[i] + self.size[j]) - 1e-6).astype(np.int64)
+
+    def near(self, i: int, j: np.ndarray) -> np.ndarray:
+        """The rows ``j`` whose similarity with row ``i`` may reach ``least``, by ever closer bounds of what they share.
+
+        The first are minima of counts, then shingles that agree in 16 bits, then in 32, so that no row is missed.
+        """
+        need = self._least(i, j)
+        if self.size[i] < UNCOUNTED:
+            step = max(1, AREA * 16 // BUCKETS)
+            bound = [np.minimum(self.counts[i], self.counts[j[lo : lo + step]]).sum(axis=1, dtype=np.int64) for lo in range(0, len(j), step)]
+            near = (np.concatenate(bound) >= need) | (self.size[j] >= UNCOUNTED)
+            j, need = j[near], need[near]
+        if not len(j):
+            return j
+        own = self.of(i)
+        if len(j) > 1:
+            mark = own >> np.uint32(16)
+            self.marks[mark] = 1
+            near = np.fromiter((np.count_nonzero(self.marks[self.of(k) >> np.uint32(16)]) for k in j.tolist()), np.int64, len(j)) >= need
+            self.marks[mark] = 0
+            j, need = j[near], need[near]
+        shared = np.fromiter((self._shared(own, self.of(k)) for k in j.tolist()), np.int64, len(j))
+        return j[shared >= need]
+
+    @staticmethod
+    def _shared(own: np.ndarray, other: np.ndarray) -> int:
+        if not len(own):
+            return 0
+        place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+        return int(np.count_nonzero(own[place] == other))
+
+
+def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE, similarity: float = 0.0) -> DataFrame:
     """Links ``a, b`` among rows of ``node``, ``size`` and distinct fingerprints ``fp0`` ...: a spanning set of all that are near.
 
     Near are fingerprints that differ in at most ``radius`` bits and, with ``size_ratio``, whose sizes' ratio is at least
     that. From each comparison of tiles only the links that join its rows are returned, so their number follows the rows
     even where all are near to all; no two near rows stay unjoined.
 
-    With ``window``, the near pairs themselves are returned whose own hash lies in that part of 0 to 1 and whose rows
-    differ in ``label``, a column of ``rows``, with their labels ``la`` and ``lb``. With ``count`` as well, only their numbers: ``a`` is k where the hash is from
-    2**-k to below twice that, ``b`` how many.
+    With ``similarity``, near are those besides whose sets, in a column ``shingles``, may have that Jaccard similarity. A link
+    is then a pair that is near itself.
     """
     words = [c for c in rows.columns if re.fullmatch(r"fp\d+", c)]
     if size_ratio:
@@ -153,11 +207,14 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
         coordinates = coordinates[:4] if len(words) == 1 else [sum(coordinates[i :: 4], F.lit(0)) for i in range(4)]
         steps = itertools.product(range(-radius, radius + 1), repeat=4)
         offsets = [o for o in steps if sum(map(abs, o)) <= radius and o >= (0, 0, 0, 0)]
+    extra = ["shingles"] if similarity else []
     base = 1 << 12
     cell = sum(((c + F.lit(radius)).cast("long") * F.lit(base ** (len(coordinates) - 1 - i)) for i, c in enumerate(coordinates)), F.lit(0).cast("long"))
     steps = [sum(o * base ** (len(offset) - 1 - i) for i, o in enumerate(offset)) for offset in offsets]
     placed = rows.withColumn("cell", cell)
-    cells = store.materialize(placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("subs")), "simhash-cells")
+    parts = F.ceil(F.count("*") / F.lit(tile))
+    parts = F.greatest(parts, F.ceil(F.sum("size") / F.lit(SHINGLES))) if similarity else parts
+    cells = store.materialize(placed.groupBy("cell").agg(parts.cast("int").alias("subs")), "simhash-cells")
     # For each cell: its own parts, and the cells to which its rows go as guests.
     near = cells.withColumn("step", F.explode(F.array(*[F.lit(s).cast("long") for s in steps]))).select(F.col("cell").alias("host"), F.col("subs").alias("host_subs"), (F.col("cell") + F.col("step")).alias("near_cell"))
     near = near.join(cells.select(F.col("cell").alias("c"), F.col("subs").alias("near_subs")), F.col("near_cell") == F.col("c"))
@@ -165,61 +222,57 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
     guests = near.where("host <> near_cell").groupBy("near_cell").agg(F.collect_list(F.struct("host", "host_subs")).alias("hosts"))
     plan = cells.join(hosts, F.col("cell") == F.col("host")).drop("host").join(guests, F.col("cell") == F.col("near_cell"), "left").drop("near_cell")
     plan = store.materialize(plan.withColumnRenamed("cell", "at"), "simhash-plan")
-    dealt = placed.join(plan, F.col("cell") == F.col("at")).withColumn("sub", F.pmod(F.xxhash64("node", F.lit(7)), F.col("subs")).cast("int"))
+    # With a ratio of sizes there are fewer cells than steps of it up to the largest size: a few hundred.
+    dealt = placed.join(F.broadcast(plan) if size_ratio else plan.hint("merge"), F.col("cell") == F.col("at")).withColumn("sub", F.pmod(F.xxhash64("node", F.lit(7)), F.col("subs")).cast("int"))
     # A group is a part of a cell (cell, sub) and a bundle: of each near cell the part with the bundle's number.
     own = F.transform(F.sequence(F.lit(0), F.col("bundles") - 1), lambda g: F.struct(F.col("cell").alias("cell"), F.col("sub").alias("sub"), g.alias("bundle"), F.lit(True).alias("own")))
     same = F.when(F.col("sub") > 0, F.transform(F.sequence(F.lit(0), F.col("sub") - 1), lambda s: F.struct(F.col("cell").alias("cell"), s.alias("sub"), F.col("sub").alias("bundle"), F.lit(False).alias("own"))))
     other = F.flatten(F.transform("hosts", lambda h: F.transform(F.sequence(F.lit(0), h["host_subs"] - 1), lambda s: F.struct(h["host"].alias("cell"), s.alias("sub"), F.col("sub").alias("bundle"), F.lit(False).alias("own")))))
     kind = "array<struct<cell:bigint,sub:int,bundle:int,own:boolean>>"
     sent = dealt.withColumn("to", F.explode(F.concat(own.cast(kind), F.coalesce(same.cast(kind), F.array().cast(kind)), F.coalesce(other.cast(kind), F.array().cast(kind)))))
-    sent = sent.select(F.col("to.cell").alias("cell"), F.col("to.sub").alias("sub"), F.col("to.bundle").alias("bundle"), F.col("to.own").alias("own"), "node", "size", *words, *(["label"] if window else []))
+    sent = sent.select(F.col("to.cell").alias("cell"), F.col("to.sub").alias("sub"), F.col("to.bundle").alias("bundle"), F.col("to.own").alias("own"), "node", "size", *words, *extra)
     grouped = sent.repartition("cell", "sub", "bundle").sortWithinPartitions("cell", "sub", "bundle")
-    names = ["a", "b"] + (["la", "lb"] if window and not count else [])
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         is_own = group["own"]
         fp = np.stack([group[w].view(np.uint64) for w in words], axis=1)
         order = np.lexsort((population(fp), ~is_own))
         n, fp, size, node = int(is_own.sum()), fp[order], group["size"][order], group["node"][order]
-        if window:
-            label, pairs = group["label"][order], []
-
-            def some(i: np.ndarray, j: np.ndarray) -> None:
-                turn = node[i] > node[j]
-                i, j = np.where(turn, j, i), np.where(turn, i, j)
-                a, b = node[i], node[j]
-                share = pair_share(a, b)
-                # Few shingles make ties of bits frequent: SMALL texts have the whole radius, others less.
-                near = (label[i] != label[j]) & (share >= window[0]) & (share < window[1])
-                near &= (np.maximum(size[i], size[j]) <= SMALL) | (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= radius - EXTRA)
-                if count:
-                    k, n = np.unique(np.minimum(np.ceil(-np.log2(np.maximum(share[near], 2.0**-50))), 50).astype(np.int64), return_counts=True)
-                    pairs.append((k, n))
-                else:
-                    pairs.append((a[near], b[near], label[i][near], label[j][near]))
         labels = Labels(len(node))
-        join = some if window else labels.join
+        if similarity:
+            sets, links = Sets(group["shingles"][order], size, similarity), []
+
+            def join(i: np.ndarray, j: np.ndarray) -> None:
+                for lo, hi in zip(starts := [0, *(np.flatnonzero(np.diff(i)) + 1).tolist()], [*starts[1:], len(i)]):
+                    k, others = int(i[lo]), j[lo:hi]
+                    others = others[labels.label[others] != labels.label[k]]
+                    if len(others) and len(near := sets.near(k, others)):
+                        # One link for each of the groups that row k joins.
+                        near = near[np.unique(labels.label[near], return_index=True)[1]]
+                        labels.join(np.full(len(near), k), near)
+                        links.append((node[np.full(len(near), k)], node[near]))
+        else:
+            join = labels.join
         if group["sub"][0] == group["bundle"][0]:
             for i, j in _compare(fp[:n], fp[:n], size[:n], size[:n], radius, size_ratio, True):
                 join(i, j)
         for lo in range(n, len(fp), 1 << 14):
             for i, j in _compare(fp[:n], fp[lo : lo + (1 << 14)], size[:n], size[lo : lo + (1 << 14)], radius, size_ratio, False):
                 join(i, j + lo)
-        if window:
-            return tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in range(len(names)))
+        if similarity:
+            return tuple(np.concatenate([np.zeros(0, np.int64), *(x[side] for x in links)]) for side in range(2))
         moved = labels.label != np.arange(len(node))
         return node[moved], node[labels.label[moved]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = ("cell", "sub", "bundle", "own", "node", "size", *words, *(["label"] if window else []))
-        for group in store.groups(batches, read, 3):
+        for group in store.groups(batches, ("cell", "sub", "bundle", "own", "node", "size", *words, *extra), 3):
             if group["own"].any() and len(group["own"]) > 1:
-                found = compare(group)
-                if len(found[0]):
-                    yield store.batch(schema, **dict(zip(names, found, strict=True)))
+                a, b = compare(group)
+                if len(a):
+                    yield store.batch(schema, a=a, b=b)
 
-    return grouped.mapInArrow(each, ", ".join(f"{n} long" for n in names))
+    return grouped.mapInArrow(each, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, size_ratio: float = 0.0, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -277,39 +330,27 @@ def jaccard(docs: DataFrame, pairs: DataFrame, words: int, least: float, key: st
 def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """``doc_id`` and ``component_id`` of each row with a key, over links of an exact Jaccard similarity of at least ``similarity``.
 
-    Candidates are near fingerprints of the sets of shingles. They are verified in rounds, each over a larger part of the
-    pairs by their hash, and only between rows that earlier rounds haven't joined: in the end every candidate pair is
-    verified or joined, while the pairs of a large group of near copies are never all listed. The parts follow from counts
-    of the candidates, at most ``ROUND`` a row to begin with; where there are few, one round has them all.
+    Candidates are near fingerprints of the sets of shingles. The task that finds them bounds what their sets share, by 32
+    bits a shingle at last, joins rows whose bound allows the similarity, and hands on the pairs that did so, fewer than its
+    rows. These are verified by whole hashes. A pair that fails, where different shingles agreed in 32 bits, might
+    have hidden another one: then all is done again with other bits.
+
+    Texts without words, null ones among them, are alike; rows of equal fingerprints and as many shingles, repeated rows among
+    them, are taken as one; rows with one key are one document. An empty table gives an empty result.
     """
-    found = store.materialize(fingerprints(docs, words, bits, key, text, distinct=True), "simhash-fingerprints")
-    kinds = [c for c in found.columns if c.startswith("fp")] + ["size"]
-    rows = found.groupBy(*kinds).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
-    # Rows of equal fingerprints and sizes, the same key's among them, are taken as one.
-    rows = store.materialize(rows, "simhash-distinct")
-    n, lo = rows.count(), 0.0
-    labels = rows.select("node", F.col("node").alias("label")).distinct()
-    radius = bit_radius(similarity, bits) + EXTRA
-    counts = link(rows.withColumn("label", F.monotonically_increasing_id()), radius, similarity, tile, (0.0, 1.0), count=True)
-    by_share = {r["a"]: r["n"] for r in counts.groupBy("a").agg(F.sum("b").alias("n")).collect()}
-    # The largest power of two below which the pairs are few enough for one round.
-    exponent = 0
-    while exponent < 50 and sum(v for k, v in by_share.items() if k > exponent) > ROUND * max(n, 1000):
-        exponent += 1
-    hi = 2.0**-exponent
-    while lo < 1.0:
-        labelled = rows.join(labels, "node")
-        pairs = store.materialize(link(labelled, radius, similarity, tile, (lo, hi)).where("a <> b").distinct(), "simhash-pairs")
-        listed = pairs.count()
-        if listed:
-            # What is joined now are the labels of earlier rounds, so the links of a large group aren't gone through again.
-            joined = components(jaccard(docs, pairs, words, similarity, key, text).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).withColumnRenamed("node", "node_")
-            labels = store.materialize(labels.join(joined, F.col("label") == F.col("node_"), "left").select("node", F.coalesce("component", "label").alias("label")), "simhash-labels")
-        # The next part is sized by what this one listed; where rows get joined, fewer come than its share of all pairs.
-        growth = 2.0 ** math.floor(math.log2(max(2.0, 1 + ROUND * max(n, 1000) * (hi - lo) / (hi * max(listed, 1)))))
-        lo, hi = hi, min(1.0, hi * growth)
-    of = rows.join(labels, "node").select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.col("label").alias("component_id"))
-    return found.join(of, [F.col(k) == F.col(f"of_{k}") for k in kinds]).select("doc_id", "component_id")
+    for seed in itertools.count():
+        found = store.materialize(fingerprints(docs, words, bits, key, text, seed), "simhash-fingerprints")
+        kinds = [c for c in found.columns if c.startswith("fp")] + ["size"]
+        distinct = store.materialize(found.groupBy(*kinds).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "simhash-distinct")
+        # The row of the smallest key brings its set along; others of equal fingerprints and sizes have the same.
+        rows = found.where("doc_id IS NOT NULL").groupBy(*kinds).agg(F.min("doc_id").alias("node"), F.min_by("shingles", "doc_id").alias("shingles"))
+        links = store.materialize(link(rows, bit_radius(similarity, bits) + EXTRA, similarity, tile, similarity).where("a <> b").distinct(), "simhash-links")
+        verified = store.materialize(jaccard(docs, links, words, similarity, key, text), "simhash-verified")
+        if verified.count() == links.count():
+            break
+    label = distinct.join(components(verified), "node", "left")
+    label = label.select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.coalesce("component", "node").alias("component_id"))
+    return found.join(label, [F.col(k) == F.col(f"of_{k}") for k in kinds]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, bits: int = 128, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,13 +361,15 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 128, similarity: float
     stay. Of rows with one key one stays.
     """
     found = similar(docs, words, bits, similarity, key, text)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    gone, again, of, row = (free(docs, n) for n in ("dropped", "twice", "of_key", "whole_row"))
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     dropped = store.materialize(dropped, "simhash-dropped")
-    kept = docs.join(dropped, F.col(key) == F.col("__dropped"), "left_anti")
-    twice = store.materialize(docs.groupBy(F.col(key).alias("__twice")).count().where("count > 1 AND __twice IS NOT NULL").select("__twice"), "simhash-repeated")
-    single = kept.join(twice, F.col(key) == F.col("__twice"), "left_anti")
-    repeated = kept.join(twice, F.col(key) == F.col("__twice"), "left_semi")
+    kept = docs.join(dropped, F.col(key) == F.col(gone), "left_anti")
+    twice = docs.groupBy(F.col(key).alias(again)).agg(F.count("*").alias(of)).where((F.col(of) > 1) & F.col(again).isNotNull())
+    twice = store.materialize(twice.select(again), "simhash-repeated")
+    single = kept.join(twice, F.col(key) == F.col(again), "left_anti")
+    repeated = kept.join(twice, F.col(key) == F.col(again), "left_semi")
     # Which of the rows with one key stays must not depend on how they are dealt out.
     order = [F.xxhash64(F.col(text)), *(F.xxhash64(F.col(c)) for c, kind in docs.dtypes if c != text and "map<" not in kind)]
-    least = repeated.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("__row")).select("__row.*")
+    least = repeated.groupBy(F.col(key).alias(of)).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias(row)).select(f"{row}.*")
     return single.unionByName(least)

@@ -26,7 +26,9 @@ def messy(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, DOCS)
-    clashing = ("size", "tie", "score_", "node", "n", "words", "key", "part", "label", "target", "host", "lines", "range", "of", "component", "h", "rank", "start", "piece")
+    # fmt: off
+    clashing = ("size", "tie", "score_", "node", "n", "words", "key", "part", "label", "target", "host", "lines", "range", "of", "component", "h", "rank", "start", "piece", "held_out", "lang_pred", "score", "taken", "fp0", "component_id", "n_lines", "n_removed", "sequence_id", "__lang", "__score", "__host", "__lines", "__dropped", "__twice", "__mix_doc", "__mix_tie", "__mix_size", "dropped", "twice", "of_key", "whole_row")
+    # fmt: on
     return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clashing)])
 
 

@@ -100,7 +100,8 @@ def test_lines_of_small_hosts(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.queries()[name](spark, SF)
     columns = sorted(df.columns)
     rows = [tuple(r) for r in df.select(*columns).collect()]

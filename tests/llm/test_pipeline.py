@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from tests.llm.conftest import DOCS, prose
 from tests.llm.test_mixing_lines import plain_lines, targets
 from tests.llm.test_simhash import plain_components
@@ -17,20 +16,13 @@ from tokenizers import Tokenizer
 
 
 def near(rows):
-    """Groups of documents of near fingerprints of 128 bits, by all pairs."""
-    mask, prints = (1 << 64) - 1, {}
+    """Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by all pairs."""
+    sets = {}
     for i, t in rows:
         words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 5]), 42) for k in range(max(1, len(words) - 4))] if words else []
-        value = 0
-        for w in range(2):
-            if w:
-                hashes = [((h ^ h >> 29) * 0x9E3779B97F4A7C15) & mask for h in hashes]
-                hashes = [h ^ h >> 32 for h in hashes]
-            value |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << 64 * w
-        prints[i] = (value, len(hashes))
-    pairs = [(i, j) for i in prints for j in prints if i < j and (prints[i][0] ^ prints[j][0]).bit_count() <= 25 and min(prints[i][1], prints[j][1]) >= 0.8 * max(prints[i][1], prints[j][1])]
-    return plain_components(prints, pairs)
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    pairs = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return plain_components(sets, pairs)
 
 
 @pytest.fixture(scope="module")

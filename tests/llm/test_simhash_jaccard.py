@@ -2,14 +2,16 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import DOCS, prose
 from tests.llm.test_simhash import plain_components
 
 from tessella.llm import simhash
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 16])
-def test_groups_are_those_of_exact_jaccard(spark, tile):
+@pytest.mark.parametrize("tile, shingles", [(simhash.TILE, simhash.SHINGLES), (16, simhash.SHINGLES), (simhash.TILE, 1500)])
+def test_groups_are_those_of_exact_jaccard(spark, monkeypatch, tile, shingles):
+    monkeypatch.setattr(simhash, "SHINGLES", shingles)
     rng = np.random.default_rng(5)
     texts = [prose(70, 120), prose(70, 120) + " " + prose(70, 120)]
     for k in range(8):
@@ -27,5 +29,38 @@ def test_groups_are_those_of_exact_jaccard(spark, tile):
     assert want[1] == 0 and len(set(want.values())) > 9
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df, 5, 128, 0.8, tile=tile).collect()}
     assert got == want
-    if tile == simhash.TILE:
+    if (tile, shingles) == (simhash.TILE, simhash.SHINGLES):
         assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
+
+
+def test_pairs_that_agree_in_short_hashes_alone_are_told_apart(spark, monkeypatch):
+    """With a few bits a shingle at first, pairs fail and all is done again with more."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(1, 60) + " end"
+    df = spark.createDataFrame([(1, a, "en", "a", 1), (2, b, "en", "a", 1), (3, c, "en", "a", 1)], DOCS)
+    found = simhash.fingerprints(df, 5, 128, seed=0)
+    coarse = found.withColumn("shingles", F.when(F.col("size") > 0, F.expr("cast(repeat('0000', size) as binary)")))
+    rows = coarse.withColumnRenamed("doc_id", "node")
+    links = simhash.link(rows, 128, 0.8, similarity=0.8)
+    assert len({frozenset(r) for r in links.collect()}) == 2
+    original, calls = simhash.link, []
+
+    def link(rows, *args, **more):
+        calls.append(1)
+        return original(rows.withColumn("shingles", F.expr("cast(repeat('0000', size) as binary)")) if len(calls) == 1 else rows, *args, **more)
+
+    monkeypatch.setattr(simhash, "link", link)
+    monkeypatch.setattr(simhash, "bit_radius", lambda *_: 122)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, 5, 128, 0.8).collect()} == {1: 1, 2: 2, 3: 1} and len(calls) == 2
+
+
+def test_bounds_never_miss(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < share], rng.integers(0, 1 << 62, int(extra), dtype=np.uint64)])) for share in (1, 0.99, 0.95, 0.9, 0.85, 0.8, 0.5) for extra in (0, 5, 40, 90)]
+    packed = np.array([simhash.short_hashes(s, 0).tobytes() for s in sets], object)
+    found = simhash.Sets(packed, np.array([len(s) for s in sets]), 0.8)
+    everyone = [set(s.tolist()) for s in sets]
+    for i in range(len(sets)):
+        others = np.array([j for j in range(len(sets)) if j != i])
+        want = [j for j in others.tolist() if len(everyone[i] & everyone[j]) >= 0.8 * len(everyone[i] | everyone[j])]
+        assert found.near(i, others).tolist() == want
