@@ -52,7 +52,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, the one at a source's budget cut to the words that fit.
 
-    Documents without words, null texts among them, are taken by no budget and go; a null source is the last one; ties and
+    Documents without words, null texts among them, weigh nothing and stay once; a null source is the last one; ties and
     repeated rows are told apart by hash. Extra columns of any name stay; an empty table stays empty.
     """
     return _recount(mixing.apply_mix(docs, mixing.mix(docs)), docs.columns)
