@@ -33,7 +33,7 @@ AREA = 1 << 18
 #: Bits added to the radius of a similarity, as ties of bits are frequent in texts of few shingles.
 EXTRA = 6
 #: Shingles a tile, where their sets are compared too.
-SHINGLES = 4_000_000
+SHINGLES = 8_000_000
 #: Counts of shingles by part of their hash that bound what two sets share, and the sets too large for them.
 BUCKETS, UNCOUNTED = 256, 1 << 15
 
@@ -64,14 +64,14 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "doc_id", text: str = "text", seed: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "doc_id", text: str = "text", short: int = 0) -> DataFrame:
     """``doc_id``, ``size`` (shingles) and ``fp0``, ``fp1`` ... (64 bits each, as long) of each row's whole text.
 
     A text without words, or null, has size 0 and fingerprint zero. The second and later 64 bits hash the first ones'
-    hashes again. With ``seed`` each shingle counts once, and ``shingles`` has 32 bits of each, sorted, as that seed gives them.
+    hashes again. With ``short`` each shingle counts once, and ``shingles`` has so many bits of each (16 or 64), sorted.
     """
     n = bits // 64
-    more = [] if seed is None else [("shingles", pa.binary())]
+    more = [("shingles", pa.binary())] if short else []
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), *((f"fp{i}", pa.int64()) for i in range(n)), *more])
     factor = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,9 +80,9 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "do
             sizes, found, sets = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
-                if seed is not None:
+                if short:
                     h = np.unique(h)
-                    sets.append(short_hashes(h, seed).tobytes())
+                    sets.append(short_hashes(h, short).tobytes())
                 sizes.append(len(h))
                 row = [majority(h)]
                 for _ in range(1, n):
@@ -97,10 +97,9 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, key: str = "do
     return names.mapInArrow(each, ", ".join(["doc_id long", "size long", *(f"fp{i} long" for i in range(n)), *(["shingles binary"] if more else [])]))
 
 
-def short_hashes(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """32 bits of each hash, other ones for another seed, sorted."""
-    h = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-    return np.sort((h >> np.uint64(32)).astype(np.uint32))
+def short_hashes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Sorted hashes, or the leading 16 bits of them."""
+    return np.sort(hashes) if bits == 64 else np.sort((hashes >> np.uint64(48)).astype(np.uint16))
 
 
 def _compare(own: np.ndarray, guests: np.ndarray, own_size: np.ndarray, guest_size: np.ndarray, radius: int, ratio: float, inside: bool):
@@ -138,20 +137,19 @@ def population(fingerprints: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Sets of shingles of a task's rows, by 32 bits of each, as one array."""
+    """Sets of shingles of a task's rows, by 16 or 64 bits of each, as one array."""
 
     def __init__(self, sets: np.ndarray, size: np.ndarray, least: float):
-        self.flat = np.frombuffer(b"".join(sets.tolist()), np.uint32)
+        packed = b"".join(sets.tolist())
+        self.whole = len(packed) == 8 * int(size.sum())
+        self.flat = np.frombuffer(packed, np.uint64 if self.whole else np.uint16)
         self.size, self.least = size, least
         self.start = np.concatenate([[0], np.cumsum(size)])
+        self.lead = (self.flat >> np.uint64(48)).astype(np.uint16) if self.whole else self.flat
         owner = np.repeat(np.arange(len(size)) * BUCKETS, size)
-        self.counts = np.bincount(owner + (self.flat & np.uint32(BUCKETS - 1)), minlength=BUCKETS * len(size)).reshape(-1, BUCKETS).astype(np.uint16)
+        self.counts = np.bincount(owner + (self.lead & np.uint16(BUCKETS - 1)), minlength=BUCKETS * len(size)).reshape(-1, BUCKETS).astype(np.uint16)
         self.marks = np.zeros(1 << 16, np.uint8)
 
-    def of(self, i: int) -> np.ndarray:
-        """The set of a row."""
-        return self.flat[self.start[i] : self.start[i + 1]]
-
     def _least(self, i: int, j: np.ndarray) -> np.ndarray:
         """How many shingles row ``i`` must share with each row ``j``."""
         return np.ceil(self.least / (1 + self.least) * (self.size[i] + self.size[j]) - 1e-6).astype(np.int64)
@@ -159,7 +157,7 @@ class Sets:
     def near(self, i: int, j: np.ndarray) -> np.ndarray:
         """The rows ``j`` whose similarity with row ``i`` may reach ``least``, by ever closer bounds of what they share.
 
-        The first are minima of counts, then shingles that agree in 16 bits, then in 32, so that no row is missed.
+        The first are minima of counts, then shingles that agree in 16 bits, so that no row is missed; whole hashes decide.
         """
         need = self._least(i, j)
         if self.size[i] < UNCOUNTED:
@@ -169,22 +167,19 @@ class Sets:
             j, need = j[near], need[near]
         if not len(j):
             return j
-        own = self.of(i)
-        if len(j) > 1:
-            mark = own >> np.uint32(16)
-            self.marks[mark] = 1
-            near = np.fromiter((np.count_nonzero(self.marks[self.of(k) >> np.uint32(16)]) for k in j.tolist()), np.int64, len(j)) >= need
-            self.marks[mark] = 0
-            j, need = j[near], need[near]
-        shared = np.fromiter((self._shared(own, self.of(k)) for k in j.tolist()), np.int64, len(j))
-        return j[shared >= need]
+        at = [slice(a, b) for a, b in zip(self.start[j].tolist(), self.start[j + 1].tolist())]
+        own = slice(self.start[i], self.start[i + 1])
+        self.marks[self.lead[own]] = 1
+        near = np.fromiter((np.count_nonzero(self.marks[self.lead[x]]) for x in at), np.int64, len(j)) >= need
+        self.marks[self.lead[own]] = 0
+        if self.whole:
+            near[near] = [self._shared(self.flat[own], self.flat[x]) >= n for x, n, ok in zip(at, need.tolist(), near) if ok]
+        return j[near]
 
     @staticmethod
     def _shared(own: np.ndarray, other: np.ndarray) -> int:
-        if not len(own):
-            return 0
-        place = np.minimum(np.searchsorted(own, other), len(own) - 1)
-        return int(np.count_nonzero(own[place] == other))
+        both = np.sort(np.concatenate([own, other]))
+        return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE, similarity: float = 0.0) -> DataFrame:
@@ -194,8 +189,8 @@ def link(rows: DataFrame, radius: int, size_ratio: float = 0.0, tile: int = TILE
     that. From each comparison of tiles only the links that join its rows are returned, so their number follows the rows
     even where all are near to all; no two near rows stay unjoined.
 
-    With ``similarity``, near are those besides whose sets, in a column ``shingles``, may have that Jaccard similarity. A link
-    is then a pair that is near itself.
+    With ``similarity``, near are those besides whose sets, in a column ``shingles``, may have that Jaccard similarity, or have
+    it where whole hashes are given. A link is then a pair that is near itself.
     """
     words = [c for c in rows.columns if re.fullmatch(r"fp\d+", c)]
     if size_ratio:
@@ -330,24 +325,33 @@ def jaccard(docs: DataFrame, pairs: DataFrame, words: int, least: float, key: st
 def similar(docs: DataFrame, words: int, bits: int, similarity: float, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """``doc_id`` and ``component_id`` of each row with a key, over links of an exact Jaccard similarity of at least ``similarity``.
 
-    Candidates are near fingerprints of the sets of shingles. The task that finds them bounds what their sets share, by 32
+    Candidates are near fingerprints of the sets of shingles. The task that finds them bounds what their sets share, by 16
     bits a shingle at last, joins rows whose bound allows the similarity, and hands on the pairs that did so, fewer than its
-    rows. These are verified by whole hashes. A pair that fails, where different shingles agreed in 32 bits, might
-    have hidden another one: then all is done again with other bits.
+    rows. These are verified by whole hashes. A pair that fails might have hidden another one of its group, so the
+    rows of such groups are compared once more, by whole hashes.
 
     Texts without words, null ones among them, are alike; rows of equal fingerprints and as many shingles, repeated rows among
     them, are taken as one; rows with one key are one document. An empty table gives an empty result.
     """
-    for seed in itertools.count():
-        found = store.materialize(fingerprints(docs, words, bits, key, text, seed), "simhash-fingerprints")
-        kinds = [c for c in found.columns if c.startswith("fp")] + ["size"]
-        distinct = store.materialize(found.groupBy(*kinds).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "simhash-distinct")
+    found = store.materialize(fingerprints(docs, words, bits, key, text, 16), "simhash-fingerprints")
+    kinds = [c for c in found.columns if c.startswith("fp")] + ["size"]
+    distinct = store.materialize(found.groupBy(*kinds).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "simhash-distinct")
+    radius = bit_radius(similarity, bits) + EXTRA
+
+    def linked(sets: DataFrame) -> DataFrame:
         # The row of the smallest key brings its set along; others of equal fingerprints and sizes have the same.
-        rows = found.where("doc_id IS NOT NULL").groupBy(*kinds).agg(F.min("doc_id").alias("node"), F.min_by("shingles", "doc_id").alias("shingles"))
-        links = store.materialize(link(rows, bit_radius(similarity, bits) + EXTRA, similarity, tile, similarity).where("a <> b").distinct(), "simhash-links")
-        verified = store.materialize(jaccard(docs, links, words, similarity, key, text), "simhash-verified")
-        if verified.count() == links.count():
-            break
+        rows = sets.where("doc_id IS NOT NULL").groupBy(*kinds).agg(F.min("doc_id").alias("node"), F.min_by("shingles", "doc_id").alias("shingles"))
+        return store.materialize(link(rows, radius, similarity, tile, similarity).where("a <> b").distinct(), "simhash-links")
+
+    links = linked(found)
+    verified = store.materialize(jaccard(docs, links, words, similarity, key, text), "simhash-verified")
+    if verified.count() < links.count():
+        groups = components(links)
+        groups = store.materialize(groups.unionByName(groups.select(F.col("component").alias("node"), "component")).distinct(), "simhash-groups")
+        failed = links.join(verified, ["a", "b"], "left_anti").select(F.col("a").alias("node"))
+        again = groups.join(groups.join(failed, "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("again"))
+        rest = docs.join(again.distinct(), F.col(key).cast("long") == F.col("again"), "left_semi")
+        verified = verified.unionByName(linked(fingerprints(rest, words, bits, key, text, 64)))
     label = distinct.join(components(verified), "node", "left")
     label = label.select(*[F.col(k).alias(f"of_{k}") for k in kinds], F.coalesce("component", "node").alias("component_id"))
     return found.join(label, [F.col(k) == F.col(f"of_{k}") for k in kinds]).select("doc_id", "component_id")

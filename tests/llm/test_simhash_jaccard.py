@@ -34,33 +34,35 @@ def test_groups_are_those_of_exact_jaccard(spark, monkeypatch, tile, shingles):
 
 
 def test_pairs_that_agree_in_short_hashes_alone_are_told_apart(spark, monkeypatch):
-    """With a few bits a shingle at first, pairs fail and all is done again with more."""
-    a, b, c = prose(1, 60), prose(2, 60), prose(1, 60) + " end"
-    df = spark.createDataFrame([(1, a, "en", "a", 1), (2, b, "en", "a", 1), (3, c, "en", "a", 1)], DOCS)
-    found = simhash.fingerprints(df, 5, 128, seed=0)
-    coarse = found.withColumn("shingles", F.when(F.col("size") > 0, F.expr("cast(repeat('0000', size) as binary)")))
-    rows = coarse.withColumnRenamed("doc_id", "node")
-    links = simhash.link(rows, 128, 0.8, similarity=0.8)
-    assert len({frozenset(r) for r in links.collect()}) == 2
-    original, calls = simhash.link, []
+    """Where all shingles agree in 16 bits, links fail, and their groups are compared by whole hashes."""
+    plain, original, calls = simhash.fingerprints, simhash.link, []
 
-    def link(rows, *args, **more):
-        calls.append(1)
-        return original(rows.withColumn("shingles", F.expr("cast(repeat('0000', size) as binary)")) if len(calls) == 1 else rows, *args, **more)
+    def coarse(docs, words, bits, key, text, short):
+        found = plain(docs, words, bits, key, text, short)
+        return found.withColumn("shingles", F.expr("cast(repeat('00', cast(size AS int)) AS binary)")) if short == 16 else found
 
+    def link(rows, *args):
+        calls.append(rows.count())
+        return original(rows, *args)
+
+    monkeypatch.setattr(simhash, "fingerprints", coarse)
     monkeypatch.setattr(simhash, "link", link)
     monkeypatch.setattr(simhash, "bit_radius", lambda *_: 122)
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, 5, 128, 0.8).collect()} == {1: 1, 2: 2, 3: 1} and len(calls) == 2
+    texts = [prose(1, 60), prose(2, 60), prose(1, 60) + " end", prose(3, 60), prose(4, 2000), None, "", prose(2, 60) + " end"]
+    df = spark.createDataFrame([(i + 1, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, 5, 128, 0.8).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 2}
+    assert calls == [7, 5]
 
 
-def test_bounds_never_miss(spark):
+@pytest.mark.parametrize("bits", [16, 64])
+def test_bounds_never_miss(bits):
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([base[rng.random(400) < share], rng.integers(0, 1 << 62, int(extra), dtype=np.uint64)])) for share in (1, 0.99, 0.95, 0.9, 0.85, 0.8, 0.5) for extra in (0, 5, 40, 90)]
-    packed = np.array([simhash.short_hashes(s, 0).tobytes() for s in sets], object)
-    found = simhash.Sets(packed, np.array([len(s) for s in sets]), 0.8)
+    base = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < share], rng.integers(0, 1 << 64, int(extra), dtype=np.uint64)])) for share in (1, 0.99, 0.95, 0.9, 0.85, 0.8, 0.5) for extra in (0, 5, 40, 90)]
+    found = simhash.Sets(np.array([simhash.short_hashes(s, bits).tobytes() for s in sets], object), np.array([len(s) for s in sets]), 0.8)
     everyone = [set(s.tolist()) for s in sets]
     for i in range(len(sets)):
         others = np.array([j for j in range(len(sets)) if j != i])
         want = [j for j in others.tolist() if len(everyone[i] & everyone[j]) >= 0.8 * len(everyone[i] | everyone[j])]
-        assert found.near(i, others).tolist() == want
+        got = found.near(i, others).tolist()
+        assert got == want if bits == 64 else set(got) >= set(want) and len(got) <= len(want) + 2
