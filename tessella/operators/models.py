@@ -11,11 +11,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import fits
+from tessella.operators import fits, nested
 from tessella.operators.cuts import cut
 from tessella.operators.kernels import normal_p
 from tessella.operators.ranking import average_rank, range_bounds, running
 from tessella.operators.resampling import draw, replicates
+from tessella.operators.riskblocks import RiskBlocks, Spec
 from tessella.operators.statistics import normal_tail
 
 #: The normal quantile of 0.975.
@@ -169,46 +170,19 @@ def adjusted_models(df: DataFrame, by: str, time: str, event: str, main: str, sp
 def conditional_cox(df: DataFrame, time: str, event: str, candidates: list[str], enter: float = 0.01, leave: float = 0.05, most: int = 25, penalty: float = 0.0) -> list[tuple[str, float, float]]:
     """Forward-backward selection by conditional Cox models: ``(column, coefficient, p)`` of those chosen.
 
-    A round fits every candidate beside the chosen ones at once, each a group of one table; the candidate with the least p
-    below ``enter`` joins, then chosen ones with a p above ``leave`` go, the weakest first. Ends when none joins, at
-    ``most``, or when a choice would come back.
+    A round fits every candidate beside the chosen ones at once; the candidate with the least p below ``enter`` joins, then
+    chosen ones with a p above ``leave`` go, the weakest first. Ends when none joins, after ``most`` rounds, or when a
+    choice would come back. Candidates without spread never join, and neither do models that don't settle.
     """
     complete = df.select(time, event, *candidates).dropna()
-    one = complete.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(candidates) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    good = [i for i, c in enumerate(candidates) if one["n"] >= 30 and (one[f"s{i}"] or 0) > 0]
-    z = cut(complete.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[((F.col(candidates[i]) - one[f"m{i}"]) / one[f"s{i}"]).alias(f"x{i}") for i in good]))
-
-    def fitted(models: dict[int, list[int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Models of equal size, each a group."""
-        size = len(next(iter(models.values())))
-        each = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), *[F.col(f"x{i}").alias(f"z{k}") for k, i in enumerate(own)]) for g, own in models.items()]))
-        cells = z.select("t", "e", each.alias("m")).select(F.col("m.g").alias("g"), "t", "e", F.lit(1).cast("long").alias("n"), *[F.col(f"m.z{k}").alias(f"z{k}") for k in range(size)])
-        return fits.cox(cells, {g: one["n"] for g in models}, "t", "e", [f"z{k}" for k in range(size)], penalty, rounds=25)
-
-    def p_of(found: tuple[np.ndarray, np.ndarray], k: int) -> float:
-        return normal_p(float(found[0][k] / found[1][k])) if np.isfinite(found[0]).all() and found[1][k] > 0 else 1.0
-
-    chosen: list[int] = []
-    seen = {()}
-    while len(chosen) < min(most, len(good)):
-        found = fitted({i: [*chosen, i] for i in good if i not in chosen})
-        p, best = min(((p_of(f, len(chosen)), i) for i, f in found.items()), default=(1.0, -1))
-        if p >= enter:
-            break
-        chosen.append(best)
-        while len(chosen) > 1:
-            own = fitted({0: chosen}).get(0)
-            worst, k = max((p_of(own, k), k) for k in range(len(chosen))) if own else (1.0, len(chosen) - 1)
-            if worst <= leave:
-                break
-            chosen.pop(k)
-        if tuple(sorted(chosen)) in seen:
-            break
-        seen.add(tuple(sorted(chosen)))
+    blocks = RiskBlocks(complete.select(F.col(time).alias("t"), F.col(event).alias("e"), F.array(*candidates).alias("x"), F.array(F.lit(1.0)).alias("w")), "t", "e", "x", "w")
+    if not blocks.n:
+        return []
+    chosen = nested.conditional(blocks, [0], [[*range(len(candidates))]], enter, leave, most, penalty)[0]
     if not chosen:
         return []
-    last = fitted({0: chosen})[0]
-    return [(candidates[i], float(last[0][k]), p_of(last, k)) for k, i in enumerate(chosen)]
+    last = blocks.fit([Spec(0, tuple(chosen), penalty)])[0]
+    return [(candidates[i], float(last.beta[k]), nested.wald(last, k)) for k, i in enumerate(chosen)]
 
 
 def proportional_hazards(df: DataFrame, by: str, time: str, event: str, x: str, penalty: float = 0.0) -> DataFrame:

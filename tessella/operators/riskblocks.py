@@ -89,10 +89,11 @@ def tied(total0, total1, dead0, dead1, deaths):
 class RiskBlocks:
     """Rows of a table with a time, an event, an array of features and one of weights, packed for many Cox models.
 
-    Rows with a null time, event or feature, and those with features that aren't finite, are left out.
+    Rows with a null time, event or feature, and those with features that aren't finite, are left out. Features in
+    ``plain``, as those of categories, aren't scaled.
     """
 
-    def __init__(self, df: DataFrame, time: str, event: str, features: str, weights: str, block: int = BLOCK):
+    def __init__(self, df: DataFrame, time: str, event: str, features: str, weights: str, block: int = BLOCK, plain: tuple[int, ...] = ()):
         rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(features).cast("array<double>").alias("x"), F.col(weights).cast("array<double>").alias("w"))
         odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
         rows = cut(rows.where(F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("x").isNotNull() & ~odd))
@@ -113,7 +114,7 @@ class RiskBlocks:
             return pd.DataFrame([[b["part"].iloc[0], len(b), *(a.tobytes() for a in arrays)]], columns=["part", "rows", "t", "e", "x", "w"])
 
         packed = dealt.select("part", "chunk", "t", "e", "x", "w").groupBy("part", "chunk").applyInPandas(pack, "part long, rows long, t binary, e binary, x binary, w binary")
-        self.blocks = cut(packed)
+        self.blocks, self.plain = cut(packed), np.array(plain, int)
         self.spark = df.sparkSession
         self.parts = sorted(r[0] for r in self.blocks.select("part").distinct().collect())  # a row a range
         self.single = len(self.parts) == 1 and self.parts[0] % 2 == 0
@@ -265,6 +266,7 @@ class RiskBlocks:
             fit.mean, fit.scale = self.mean[spec.use][f], np.nan_to_num(self.scale[spec.use][f])
             # Spread that is only rounding is none.
             fit.scale[fit.scale <= 1e-12 * np.maximum(1.0, np.abs(fit.mean))] = 0.0
+            fit.scale[np.isin(f, self.plain) & (fit.scale > 0)] = 1.0
             good = np.flatnonzero(fit.scale > 0)
             if not len(good):
                 fit.error = "no_features"
@@ -318,6 +320,30 @@ class RiskBlocks:
                     fit.error = "singular"
         return fits
 
+    def correlations(self, models: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, np.ndarray]]:
+        """For each column of weights and features: the rows, and the correlations of the features and, last, of log(1 + time)."""
+        sent = [(use, np.array(f, int), np.nan_to_num(self.mean[use][list(f)])) for use, f in models]
+
+        def products(b: Block) -> np.ndarray:
+            done = []
+            for use, f, mean in sent:
+                z = np.column_stack([np.ones(len(b.t)), b.x[:, f] - mean, np.log1p(b.t)])
+                done.append(((z * b.w[:, use, None]).T @ z).ravel())
+            return np.concatenate(done)
+
+        out, at, v = [], 0, self._summed(products)
+        for use, f, _ in sent:
+            k = len(f) + 2
+            m = v[at : at + k * k].reshape(k, k)
+            at += k * k
+            cov = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / max(m[0, 0], 1)
+            sd = np.sqrt(np.maximum(np.diag(cov), 0))
+            sd = np.where(sd > 1e-12 * np.sqrt(np.diag(m)[1:] + 1e-300), sd, np.inf)
+            r = cov / np.outer(sd, sd)
+            np.fill_diagonal(r, 1.0)
+            out.append((int(m[0, 0]), r))
+        return out
+
     def risks(self, models: dict[int, tuple[Fit, int]]) -> DataFrame:
         """``g, t, e, n, risk`` of the rows that each model's column of test weights has."""
         sent = [(g, use, np.array(fit.spec.features, int), fit.raw) for g, (fit, use) in models.items()]

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.operators import fits, kernels, models, ranking, relational, resampling, selection, statistics
+from tessella.operators import kernels, models, nested, ranking, relational, resampling, selection, statistics
 from tessella.operators.cuts import cut
 from tessella.plans.relational_queries import table
 from tessella.plans.statistics_queries import LONG_SQL, TAIL_SQL, components, survival
@@ -50,10 +50,10 @@ def adjusted_cox_models(spark, d):
 @query()
 def conditional_cox_selection(spark, d):
     """Components that enter and stay in conditional Cox models of the orders with the same number."""
-    first = 12
-    x = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(first)])
-    joined = x.join(_orders(spark, d).select(F.col("o_orderkey").alias("vec_id"), "days", "dead"), "vec_id")
-    chosen = models.conditional_cox(joined, "days", "dead", [f"f{i}" for i in range(first)], 0.1, 0.2, 10)
+    rows = _profiles(spark, d)
+    most = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    wide = rows.select("days", "dead", *[F.get("x", F.lit(i)).alias(f"f{i}") for i in range(most)])
+    chosen = models.conditional_cox(wide, "days", "dead", [f"f{i}" for i in range(most)], 0.1, 0.2, 10)
     return spark.createDataFrame([(i, *c) for i, c in enumerate(chosen)], "place int, feature string, coef double, p_value double")
 
 
@@ -307,33 +307,42 @@ def module_capture(spark, d):
     return spark.createDataFrame(found, "module int, length double, captured double, max_cosine double")
 
 
+def _profiles(spark, d):
+    """Embeddings with the times, events and covariates of the orders of the same number."""
+    orders = survival(spark, d).select(
+        F.col("o_orderkey").alias("vec_id"), F.col("days").cast("double").alias("days"), F.col("dead").cast("int").alias("dead"), "grp", F.log1p("price").alias("price"), (F.col("price") % 97).alias("age"), (F.col("price") % 13).alias("rate")
+    )
+    return table(spark, d, "embeddings").join(orders, "vec_id").withColumn("x", F.col("embedding").cast("array<double>"))
+
+
+@query()
+def elastic_net_cox(spark, d):
+    """Elastic-net Cox models of all components by outer fold, tuned on three inner folds over twelve penalties; a row a fold and selected component."""
+    rows = _profiles(spark, d)
+    most = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    tested = nested.nested_folds(rows, "vec_id", "days", "dead", "x")
+    found = nested.elastic_nets(tested, [tuple(range(most))] * tested.outer)
+    c = nested.held_out(tested, {f: (fit, tested.test(f)) for f, (_, fit, _, _) in enumerate(found)})
+    out = []
+    for f, (tuned, fit, chosen, note) in enumerate(found):
+        beta = dict(zip(fit.spec.features, fit.beta.tolist()))
+        for place, feature in enumerate(chosen or [None]):
+            out.append((f, tuned["penalizer"], tuned["l1_ratio"], tuned["mean_inner_c"], place, feature, beta.get(feature), len(chosen), c[f], fit.settled, note))
+    return spark.createDataFrame(out, "fold int, penalizer double, l1_ratio double, mean_inner_c double, place int, feature int, coef double, selected int, c_index double, settled boolean, note string")
+
+
 @query()
 def method_benchmark(spark, d):
-    """Selection methods compared on held-out folds: features chosen on the training rows, a ridge Cox model of them, its concordance on the others.
-
-    The rows are counted once; folds of a method are groups of one fit.
-    """
-    first = 10
-    rows = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(first)])
-    rows = cut(rows.join(_orders(spark, d).select(F.col("o_orderkey").alias("vec_id"), "days", "dead"), "vec_id").withColumn("fold", (F.col("vec_id") % 3).cast("int")).dropna())
-    names = [f"f{i}" for i in range(first)]
-    chosen: dict[tuple[str, int], list[int]] = {}
-    for fold in (0, 1, 2):
-        vector = rows.where(F.col("fold") != fold).select(F.array(*names, F.log1p("days")).alias("x"))
-        n, r = selection.correlations(vector, "x")
-        top = [int(i) for i in np.argsort(-np.abs(r[first, :first]), kind="stable")[:3]]
-        chosen["top", fold], chosen["all", fold] = top, list(range(first))
-        chosen["iamb", fold] = selection.iamb(r, n, first, 0.2) or top[:1]
-        chosen["grow_shrink", fold] = selection.grow_shrink(r, n, first, 0.2) or top[:1]
-    groups = {key: g for g, key in enumerate(chosen)}
-    # A feature that a method left out is 0 in its group, where the ridge keeps its coefficient at 0.
-    specs = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(fold).alias("out"), *[F.lit(float(i in own)).alias(f"k{i}") for i in range(first)]) for (m, fold), g in groups.items() for own in [chosen[m, fold]]])
-    each = rows.select("fold", "days", "dead", *names, F.explode(specs).alias("s")).select(F.col("s.g").alias("g"), (F.col("fold") == F.col("s.out")).alias("held"), "days", "dead", *[(F.col(n) * F.col(f"s.k{i}") * 10).alias(n) for i, n in enumerate(names)])
-    cells = cut(each.withColumn("n", F.lit(1).cast("long")))
-    sizes = {r["g"]: r["n"] for r in cells.where("NOT held").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    betas = fits.cox(cells.where("NOT held"), sizes, "days", "dead", names, 0.05, rounds=20)
-    test = fits.with_values(cells.where("held"), {g: b for g, (b, _) in betas.items()}, [f"b{i}" for i in range(first)])
-    test = test.withColumn("risk", F.round(sum((F.col(f"b{i}") * F.col(n) for i, n in enumerate(names)), F.lit(0.0)), 9))
-    c = {r["g"]: r["c_index"] for r in fits.concordance(test, "days", "dead", "risk").collect()}
-    found = [(m, fold, len(chosen[m, fold]), c.get(g)) for (m, fold), g in groups.items()]
-    return spark.createDataFrame(found, "method string, fold int, features int, c_index double")
+    """Eight ways of selecting components compared on five held-out folds and two endpoints, selection and tuning inside the training rows."""
+    rows = _profiles(spark, d)
+    priorities = sorted(r[0] for r in rows.select("grp").where("grp IS NOT NULL").distinct().collect())  # a row a priority
+    most = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    clinical = [F.col("price"), F.col("age"), F.col("rate"), *[F.coalesce(F.col("grp") == g, F.lit(False)).cast("double") for g in priorities[1:]]]
+    rows = rows.withColumn("x", F.concat("x", F.array(*clinical))).withColumn("late", (F.col("dead") == 1) & (F.col("days") > 365))
+    places = tuple(range(most, most + len(clinical)))
+    out = []
+    for endpoint, event in (("dead", "dead"), ("dead_late", "late")):
+        tested = nested.nested_folds(rows, "vec_id", "days", event, "x", seed=f"nested-{endpoint}", plain=places[3:])
+        for r in nested.benchmark(tested, most, places):
+            out.append((endpoint, r["fold"], r["method"], len(r["selected"]), ";".join(map(str, r["selected"])), r["c_index"], r["error"], r.get("penalizer"), r.get("l1_ratio")))
+    return spark.createDataFrame(out, "endpoint string, fold int, method string, n_selected int, selected string, c_index double, error string, penalizer double, l1_ratio double")
