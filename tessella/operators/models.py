@@ -15,8 +15,8 @@ from tessella.operators import fits, nested
 from tessella.operators.cuts import cut
 from tessella.operators.kernels import normal_p
 from tessella.operators.ranking import average_rank, range_bounds, running
-from tessella.operators.resampling import draw, replicates
-from tessella.operators.riskblocks import RiskBlocks, Spec
+from tessella.operators.resampling import draw, poisson, replicates
+from tessella.operators.riskblocks import Fit, RiskBlocks, Spec
 from tessella.operators.statistics import normal_tail
 
 #: The normal quantile of 0.975.
@@ -248,10 +248,7 @@ def bootstrap_auc(df: DataFrame, key: str, label: str, value: str, reps: int, se
 
     A replicate's AUC comes from weights summed by distinct value and label and running sums over values.
     """
-    u = (draw(seed, F.col("rep"), F.col(key)) + 0.5) / float(1 << 32)
-    # Cumulative probabilities of a Poisson variable of mean 1.
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    weight = sum(((u > F.lit(s)).cast("long") for s in steps), F.lit(0).cast("long"))
+    weight = poisson(seed, F.col("rep"), F.col(key))
     rows = replicates(df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(key, label, F.col(value).cast("double").alias("v")), reps).withColumn("w", weight)
     cells = cut(rows.groupBy("rep", "v").agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("a"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("b")))
     below = running(cells, ["rep"], "v", "b", "under", bounds=range_bounds(cells, "v"))
@@ -259,3 +256,103 @@ def bootstrap_auc(df: DataFrame, key: str, label: str, value: str, reps: int, se
     auc = sums.select("rep", F.round(F.try_divide(F.col("u"), F.col("n1") * F.col("n0")), 9).alias("auc"))
     q = lambda at: F.percentile("auc", F.lit(at))  # noqa: E731  # a value a replicate
     return auc.agg(F.count("auc").alias("reps"), q(0.025).alias("low"), q(0.5).alias("mid"), q(0.975).alias("high"), F.avg((F.col("auc") > 0.5).cast("double")).alias("share_above"))
+
+
+def _interval(values: list[float]) -> tuple[float | None, float | None]:
+    """The 2.5 and 97.5 percentiles by linear interpolation."""
+    return (float(np.quantile(values, 0.025)), float(np.quantile(values, 0.975))) if values else (None, None)
+
+
+def bootstrap_cox(df: DataFrame, key: str, time: str, event: str, score: str, covariates: list[str], reps: int, seed: str, penalty: float = 0.05, least_deaths: int = 5, most: float = 20.0) -> dict:
+    """A score's hazard and its concordance, with percentile intervals over bootstraps and the share of coefficients above 0.
+
+    Each replicate takes every row, dead and censored ones alike, a Poisson number of times by md5 of seed, replicate and
+    key; all replicates are columns of weights of one table. Scores and covariates are z-scored over all rows. The concordance has
+    a fixed direction: that larger scores die earlier. Replicates with few deaths, that don't settle, or whose coefficient
+    exceeds ``most``, aren't counted. Incomplete rows are left out; without enough rows everything is null.
+    """
+    xs = [score, *covariates]
+    rows = df.select(F.col(key).alias("id"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)]).dropna()
+    one = rows.agg(*[f(f"x{i}").alias(f"{n}{i}") for i in range(len(xs)) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z = F.array(*[F.coalesce(F.try_divide(F.col(f"x{i}") - F.lit(one[f"m{i}"]), F.lit(one[f"s{i}"])), F.lit(0.0)) for i in range(len(xs))])
+    weights = F.array(F.lit(1.0), *[poisson(seed, F.lit(r), F.col("id")).cast("double") for r in range(1, reps + 1)])
+    blocks = RiskBlocks(rows.select("t", "e", z.alias("x"), weights.alias("w")), "t", "e", "x", "w", plain=tuple(range(len(xs))))
+    out = dict.fromkeys(("coef", "hazard_ratio", "low", "high", "probability_positive", "c_index", "c_low", "c_high"))
+    fits_ = blocks.fit([Spec(u, tuple(range(len(xs))), penalty) for u in range(reps + 1)], least=30) if blocks.n else []
+    good = [f for f in fits_ if not f.error and f.settled and f.events >= least_deaths]
+    if not good or good[0].spec.use:
+        return out | {"n": int(blocks.n), "valid": 0, "c_valid": 0}
+    coefs = [float(f.beta[0]) for f in good[1:] if abs(f.beta[0]) <= most]
+    # The score itself is the risk.
+    risk = {u: (Fit(Spec(u, (0,)), beta=np.ones(1), scale=np.ones(1)), u) for u in range(reps + 1)}
+    c = {r["g"]: r["c_index"] for r in fits.concordance(blocks.risks(risk), "t", "e", "risk").collect() if r["c_index"] is not None}  # a row a replicate
+    own = [v for u, v in c.items() if u]
+    low, high = (None if v is None else math.exp(v) for v in _interval(coefs))
+    c_low, c_high = _interval(own)
+    coef = float(good[0].beta[0])
+    return out | {
+        "n": int(blocks.n), "coef": coef, "hazard_ratio": math.exp(coef), "low": low, "high": high, "probability_positive": sum(b > 0 for b in coefs) / len(coefs) if coefs else None,
+        "valid": len(coefs), "c_index": c.get(0), "c_low": c_low, "c_high": c_high, "c_valid": len(own),
+    }
+
+
+def bootstrap_logistic(df: DataFrame, key: str, label: str, score: str, covariates: list[str], reps: int, seed: str, ridge: float = 1e-6, most: float = 20.0) -> dict:
+    """A score's odds ratio with percentile intervals over bootstraps and the share of coefficients above 0.
+
+    Replicates are drawn as in ``bootstrap_cox`` and are groups of one fit of counts. Replicates of one label alone, or whose
+    coefficient exceeds ``most``, aren't counted.
+    """
+    xs = [score, *covariates]
+    rows = df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)]).dropna()
+    one = rows.agg(F.count("*").alias("n"), *[f(f"x{i}").alias(f"{n}{i}") for i in range(len(xs)) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z = [F.coalesce(F.try_divide(F.col(f"x{i}") - F.lit(one[f"m{i}"]), F.lit(one[f"s{i}"])), F.lit(0.0)).alias(f"z{i}") for i in range(len(xs))]
+    every = rows.select("id", "y", *z).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    drawn = every.withColumn("n", F.when(F.col("g") == 0, F.lit(1).cast("long")).otherwise(poisson(seed, F.col("g"), F.col("id"))))
+    names = [f"z{i}" for i in range(len(xs))]
+    cells = cut(drawn.where("n > 0").groupBy("g", "y", *names).agg(F.sum("n").alias("n")))
+    both = [r[0] for r in cells.groupBy("g").agg(F.countDistinct("y").alias("k")).where("k > 1").select("g").orderBy("g").collect()]  # a row a replicate
+    found = fits.logistic(cells, both, "y", names, ridge)
+    coefs = [float(b[1]) for g, (b, _) in sorted(found.items()) if g and np.isfinite(b).all() and abs(b[1]) <= most]
+    low, high = (None if v is None else math.exp(v) for v in _interval(coefs))
+    coef = float(found[0][0][1]) if 0 in found else None
+    return {"n": one["n"], "coef": coef, "odds_ratio": None if coef is None else math.exp(coef), "low": low, "high": high, "probability_positive": sum(b > 0 for b in coefs) / len(coefs) if coefs else None, "valid": len(coefs)}
+
+
+def permutation_concordance(df: DataFrame, key: str, time: str, event: str, score: str, reps: int, seed: str) -> DataFrame:
+    """Harrell's C of a score, larger ones dying earlier, and its p-values over permutations of time and event together.
+
+    One row: ``n, c_index, reps, null_mean, p_one_sided, p_two_sided``; p is (1 + those at least as far) / (1 + all). Every
+    permutation is a group of one count of pairs.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(score).cast("double").alias("r")).dropna()
+    null = permute_outcomes(rows, "id", ["t", "e"], reps, seed).select(F.col("rep").cast("int").alias("g"), "t", "e", "r")
+    every = rows.select(F.lit(0).alias("g"), "t", "e", "r").unionByName(null)
+    found = fits.concordance(every.groupBy("g", "t", "e", "r").agg(F.count("*").alias("n")), "t", "e", "r")
+    one = found.agg(F.max(F.when(F.col("g") == 0, F.col("c_index"))).alias("c_index"), F.collect_list(F.when(F.col("g") > 0, F.col("c_index"))).alias("null"))  # a value a permutation
+    return one.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).select("n", "c_index", *_null_columns("c_index", lambda x: x - 0.5))
+
+
+def permutation_kruskal(df: DataFrame, key: str, group: str, value: str, reps: int, seed: str) -> DataFrame:
+    """Kruskal and Wallis' H and its p-value over permutations of the groups: ``n, h, reps, null_mean, p_one_sided``.
+
+    Ranks don't change, so they are worked out once; a permutation is a sum of ranks by group.
+    """
+    ranked = average_rank(df.select(F.col(key).alias("id"), F.col(group).alias("grp"), F.col(value).alias("v")).dropna(), [], "v", "rank")
+    ranked = cut(ranked.select("id", "grp", "rank"))
+    null = permute_outcomes(ranked, "id", ["grp"], reps, seed).select("rep", "grp", "rank")
+    sums = ranked.select(F.lit(0).alias("rep"), "grp", "rank").unionByName(null).groupBy("rep", "grp").agg(F.sum("rank").alias("r"), F.count("*").alias("k"))
+    tie = ranked.groupBy("rank").agg(F.count("*").alias("c")).agg(F.sum(F.expr("cast(c AS double) * c * c - c")).alias("ties"), F.sum("c").alias("n"))
+    n = F.col("n").cast("double")
+    h = sums.groupBy("rep").agg(F.sum(F.col("r") * F.col("r") / F.col("k")).alias("s")).crossJoin(F.broadcast(tie))  # one row
+    h = h.select("rep", "n", F.round(F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n)), 9).alias("h"))
+    one = h.agg(F.max("n").alias("n"), F.max(F.when(F.col("rep") == 0, F.col("h"))).alias("h"), F.collect_list(F.when(F.col("rep") > 0, F.col("h"))).alias("null"))  # a value a permutation
+    return one.select("n", "h", *_null_columns("h")[:3])
+
+
+def _null_columns(observed: str, centred=None) -> list[Column]:
+    """What the values of permutations in the array ``null`` say of the observed one."""
+    count = F.size("null")
+    mean = F.try_divide(F.aggregate("null", F.lit(0.0), lambda a, x: a + x), count)
+    share = lambda test: F.when(F.col(observed).isNotNull(), (1 + F.size(F.filter("null", test))) / (1 + count))
+    out = [count.cast("long").alias("reps"), mean.alias("null_mean"), share(lambda x: x >= F.col(observed)).alias("p_one_sided")]
+    return out + ([share(lambda x: F.abs(centred(x)) >= F.abs(centred(F.col(observed)))).alias("p_two_sided")] if centred else [])

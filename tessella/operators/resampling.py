@@ -27,6 +27,14 @@ def replicates(df: DataFrame, n: int, out: str = "rep") -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
+def poisson(*parts: str | Column) -> Column:
+    """A Poisson count of mean 1 from md5 of the parts: how often a bootstrap takes a row."""
+    u = (draw(*parts) + 0.5) / float(1 << 32)
+    # Cumulative probabilities of a Poisson variable of mean 1.
+    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+    return sum(((u > F.lit(s)).cast("long") for s in steps), F.lit(0).cast("long"))
+
+
 def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fold") -> DataFrame:
     """Stratified folds from 0: rows of a label are dealt in turn, in the order of their draws.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,11 +95,41 @@ def module_scores(z: DataFrame, weights: DataFrame, sample: str, feature: str, l
     return sums.join(sizes, "module").where(enough).drop("__size")
 
 
-def residuals(df: DataFrame, y: str, x: str, by: list[str], train: Column | None = None, out: str = "residual") -> DataFrame:
-    """Residuals of a straight line fitted within groups, on the training rows where given."""
-    rows = df.where(train) if train is not None else df
-    fits = rows.groupBy(*by).agg(F.regr_slope(y, x).alias("__slope"), F.regr_intercept(y, x).alias("__at"))
-    return df.join(fits, by).withColumn(out, F.col(y) - F.col("__at") - F.col("__slope") * F.col(x)).drop("__slope", "__at")
+def residuals(df: DataFrame, y: str, x: str | list[str], by: list[str], train: Column | None = None, out: str = "residual", scaled: bool = False, least: int = 2) -> DataFrame:
+    """Residuals of ``y`` on one or more covariates, fitted by least squares within groups, on the training rows where given.
+
+    One aggregate gives the covariances of all groups; each group's normal equations are solved in columns, without the
+    driver. Covariates that others determine add nothing. ``scaled`` divides by the deviation of the training rows' residuals,
+    as a z-score. Residuals are null for rows with a null or infinite value, in groups with fewer than ``least`` complete
+    training rows, and, where scaled, in groups without spread.
+    """
+    xs, used = [x] if isinstance(x, str) else list(x), df.columns
+    number = [F.col(c).cast("double") for c in [y, *xs]]
+    complete = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in number])
+    fitted = complete & train if train is not None else complete
+    v = [F.when(fitted, c) for c in number]
+    k = len(xs)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    fits = df.groupBy(*by).agg(F.count_if(fitted).alias("__n"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(v)], *[F.covar_samp(v[i], v[j]).alias(f"__c{i}_{j}") for i, j in pairs])
+    # The symmetric factorisation L D L', the covariates' one after another, then the coefficients from the last to the first.
+    for i in range(1, k + 1):
+        gone = [F.col(f"__l{i}_{h}") * F.col(f"__l{i}_{h}") * F.col(f"__d{h}") for h in range(1, i)]
+        fits = fits.withColumn(f"__d{i}", sum((-g for g in gone), F.col(f"__c{i}_{i}")))
+        fits = fits.withColumn(f"__d{i}", F.when(F.col(f"__d{i}") > 1e-10 * F.col(f"__c{i}_{i}"), F.col(f"__d{i}")))
+        for j in range(i + 1, k + 1):
+            rest = sum((-F.col(f"__l{j}_{h}") * F.col(f"__l{i}_{h}") * F.col(f"__d{h}") for h in range(1, i)), F.col(f"__c{i}_{j}"))
+            fits = fits.withColumn(f"__l{j}_{i}", F.coalesce(rest / F.col(f"__d{i}"), F.lit(0.0)))
+        fits = fits.withColumn(f"__z{i}", sum((-F.col(f"__l{i}_{h}") * F.col(f"__z{h}") * F.col(f"__d{h}") for h in range(1, i)), F.col(f"__c0_{i}")))
+        fits = fits.withColumn(f"__z{i}", F.coalesce(F.col(f"__z{i}") / F.col(f"__d{i}"), F.lit(0.0))).withColumn(f"__d{i}", F.coalesce(f"__d{i}", F.lit(0.0)))
+    for i in range(k, 0, -1):
+        fits = fits.withColumn(f"__b{i}", sum((-F.col(f"__l{j}_{i}") * F.col(f"__b{j}") for j in range(i + 1, k + 1)), F.col(f"__z{i}")))
+    left = sum((-F.col(f"__z{i}") * F.col(f"__z{i}") * F.col(f"__d{i}") for i in range(1, k + 1)), F.col("__c0_0"))
+    spread = F.when(left > 1e-12 * F.col("__c0_0"), F.sqrt(left)) if scaled else F.lit(1.0)
+    fits = fits.select(*[F.col(c).alias(f"__of_{c}") for c in by], *[f"__m{i}" for i in range(k + 1)], *[f"__b{i}" for i in range(1, k + 1)], F.when(F.col("__n") >= least, spread).alias("__spread"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], F.lit(True))
+    line = sum((F.col(f"__b{i + 1}") * (number[i + 1] - F.col(f"__m{i + 1}")) for i in range(k)), F.lit(0.0))
+    joined = df.join(fits, same) if by else df.crossJoin(F.broadcast(fits))  # one row
+    return joined.withColumn(out, F.when(complete, (number[0] - F.col("__m0") - line) / F.col("__spread"))).select(*[c for c in used if c != out], out)
 
 
 def robust_spread(df: DataFrame, by: list[str], value: str) -> DataFrame:

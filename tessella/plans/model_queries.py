@@ -134,6 +134,55 @@ def bootstrap_auc_interval(spark, d):
     return found.select("reps", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high", "share_above")])
 
 
+@query()
+def bootstrap_cox_interval(spark, d):
+    """The price's hazard among orders beside a covariate, its interval over bootstraps, how often it is positive, and Harrell's C alike."""
+    found = models.bootstrap_cox(_orders(spark, d), "o_orderkey", "days", "dead", "price", ["age"], 20, "cox")
+    return spark.createDataFrame([tuple(found[c.split()[0]] for c in _BOOTSTRAP.split(", "))], _BOOTSTRAP)
+
+
+_BOOTSTRAP = "n long, coef double, hazard_ratio double, low double, high double, probability_positive double, valid int, c_index double, c_low double, c_high double, c_valid int"
+_ODDS = "n long, coef double, odds_ratio double, low double, high double, probability_positive double, valid int"
+
+
+@query()
+def bootstrap_logistic_interval(spark, d):
+    """The odds of quality by length and toxicity, their interval over bootstraps, and how often they are positive."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("length", F.log1p("n_chars"))
+    found = models.bootstrap_logistic(rows, "doc_id", "quality", "length", ["toxic"], 20, "odds")
+    return spark.createDataFrame([tuple(found[c.split()[0]] for c in _ODDS.split(", "))], _ODDS)
+
+
+@query("""WITH x AS (SELECT user_id AS id, max(value) AS t, max((event_type = 'error')::INT) AS e, count(*)::DOUBLE AS r FROM events WHERE user_id % 5 = 0 GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY id) AS at FROM x),
+p AS (SELECT rep, t, e, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('order|' || rep || '|' || id), 1, 8))::BIGINT, id) AS at FROM x, (SELECT unnest(range(1, 21)) AS rep)),
+m AS (SELECT 0 AS rep, t, e, r FROM x UNION ALL SELECT p.rep, p.t, p.e, n.r FROM p JOIN n ON p.at = n.at),
+c AS (SELECT a.rep, sum(CASE WHEN a.r > b.r THEN 1.0::DOUBLE WHEN a.r = b.r THEN 0.5 ELSE 0 END) / count(*) AS c FROM m a JOIN m b ON a.rep = b.rep AND a.e = 1 AND (a.t < b.t OR (a.t = b.t AND b.e = 0)) GROUP BY 1),
+o AS (SELECT c AS o FROM c WHERE rep = 0)
+SELECT (SELECT count(*) FROM x) AS n, round(any_value(o), 6) AS c_index, count(*) AS reps, round(avg(c), 6) AS null_mean, round((1 + count(*) FILTER (c >= o)) / (1 + count(*))::DOUBLE, 6) AS p_one_sided,
+       round((1 + count(*) FILTER (abs(c - 0.5) >= abs(o - 0.5))) / (1 + count(*))::DOUBLE, 6) AS p_two_sided FROM c, o WHERE rep > 0""")
+def permutation_c_index(spark, d):
+    """Whether users with more events have an early error, by Harrell's C and permutations of its outcome."""
+    users = table(spark, d, "events").where("user_id % 5 = 0").groupBy(F.col("user_id").alias("id")).agg(F.max("value").alias("t"), F.max((F.col("event_type") == "error").cast("int")).alias("e"), F.count("*").cast("double").alias("r"))
+    found = models.permutation_concordance(users, "id", "t", "e", "r", 20, "order")
+    return found.select("n", F.round("c_index", 6).alias("c_index"), "reps", *[F.round(c, 6).alias(c) for c in ("null_mean", "p_one_sided", "p_two_sided")])
+
+
+@query("""WITH x AS (SELECT event_id AS id, event_type AS g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS r FROM events),
+n AS (SELECT *, row_number() OVER (ORDER BY id) AS at FROM x),
+p AS (SELECT rep, g, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('kruskal|' || rep || '|' || id), 1, 8))::BIGINT, id) AS at FROM x, (SELECT unnest(range(1, 21)) AS rep)),
+m AS (SELECT 0 AS rep, g, r FROM x UNION ALL SELECT p.rep, p.g, n.r FROM p JOIN n ON p.at = n.at),
+t AS (SELECT sum(c::DOUBLE * c * c - c) AS ties, sum(c)::DOUBLE AS n FROM (SELECT count(*) AS c FROM x GROUP BY r)),
+h AS (SELECT rep, round((12 / (any_value(n) * (any_value(n) + 1)) * sum(q) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (any_value(n) * any_value(n) * any_value(n) - any_value(n))), 9) AS h
+  FROM (SELECT rep, g, sum(r) * sum(r) / count(*) AS q FROM m GROUP BY 1, 2), t GROUP BY 1),
+o AS (SELECT h AS o FROM h WHERE rep = 0)
+SELECT (SELECT count(*) FROM x) AS n, round(any_value(o), 6) AS h, count(*) AS reps, round(avg(h), 6) AS null_mean, round((1 + count(*) FILTER (h >= o)) / (1 + count(*))::DOUBLE, 6) AS p_one_sided FROM h, o WHERE rep > 0""")
+def permutation_kruskal_h(spark, d):
+    """Whether the events' values differ by type, by permutations of the types over ranks that stay."""
+    found = models.permutation_kruskal(table(spark, d, "events"), "event_id", "event_type", "value", 20, "kruskal")
+    return found.select("n", F.round("h", 6).alias("h"), "reps", *[F.round(c, 6).alias(c) for c in ("null_mean", "p_one_sided")])
+
+
 @query("""WITH s AS (SELECT p_retailprice, rep, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('null|' || rep || '|' || p_partkey), 1, 8))::BIGINT, p_partkey) AS p FROM part, (SELECT unnest(range(1, 41)) AS rep)),
 nul AS (SELECT avg(p_retailprice) AS m FROM s WHERE p <= 50 GROUP BY rep), o AS (SELECT avg(p_retailprice) AS m FROM part WHERE p_brand = 'Brand#2')
 SELECT round(avg(nul.m), 6) AS mean, round(quantile_cont(nul.m, 0.5), 6) AS median, round(quantile_cont(nul.m, 0.9), 6) AS q90, round(quantile_cont(nul.m, 0.95), 6) AS q95, round(max(nul.m), 6) AS most, round(avg((nul.m <= o.m)::INT::DOUBLE), 6) AS observed_percentile FROM nul, o""")

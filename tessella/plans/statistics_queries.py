@@ -132,6 +132,33 @@ def residualize_from_train(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round("residual", 3).alias("residual"))
 
 
+_TWO = """f AS (SELECT *, sxx * szz - sxz * sxz AS det FROM s),
+b AS (SELECT *, (sxy * szz - szy * sxz) / det AS bx, (szy * sxx - sxy * sxz) / det AS bz FROM f)"""
+
+
+@query(f"""WITH s AS (SELECT l_returnflag, avg(l_extendedprice) AS my, avg(l_quantity) AS mx, avg(l_discount) AS mz, var_samp(l_quantity) AS sxx, var_samp(l_discount) AS szz, covar_samp(l_quantity, l_discount) AS sxz,
+  covar_samp(l_quantity, l_extendedprice) AS sxy, covar_samp(l_discount, l_extendedprice) AS szy, var_samp(l_extendedprice) AS syy FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1),
+{_TWO}
+SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 4 <> 0 AS trained, round((l_extendedprice - my - bx * (l_quantity - mx) - bz * (l_discount - mz)) / sqrt(syy - bx * sxy - bz * szy), 6) AS z
+FROM lineitem JOIN b ON lineitem.l_returnflag = b.l_returnflag""")
+def crossfit_residuals(spark, d):
+    """Prices less what quantity and discount say of them, fitted and scaled on the training rows of a return flag."""
+    rows = statistics.residuals(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"], F.col("l_orderkey") % 4 != 0, "z", scaled=True, least=30)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") % 4 != 0).alias("trained"), F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH l AS ({LONG_SQL}), w AS (SELECT l.vec_id, l.feature, l.value, l.label::DOUBLE AS x, k.value AS z FROM l JOIN l k ON l.vec_id = k.vec_id AND k.feature = 0 WHERE l.feature > 0),
+s AS (SELECT feature, avg(value) AS my, avg(x) AS mx, avg(z) AS mz, var_samp(x) AS sxx, var_samp(z) AS szz, covar_samp(x, z) AS sxz, covar_samp(x, value) AS sxy, covar_samp(z, value) AS szy, var_samp(value) AS syy FROM w GROUP BY 1),
+{_TWO}
+SELECT vec_id, w.feature, round((value - my - bx * (x - mx) - bz * (z - mz)) / sqrt(syy - bx * sxy - bz * szy), 6) AS z FROM w JOIN b ON w.feature = b.feature""")
+def feature_residuals(spark, d):
+    """Every component less what the label and the first component say of it, as z-scores, all components in one aggregate."""
+    long = components(spark, d)
+    first = table(spark, d, "embeddings").select(F.col("vec_id").alias("of"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    rows = long.where("feature > 0").join(first, F.col("vec_id") == F.col("of"))
+    return statistics.residuals(rows, "value", ["label", "first"], ["feature"], out="z", scaled=True, least=10).select("vec_id", "feature", F.round("z", 6).alias("z"))
+
+
 @query(f"""WITH l AS ({LONG_SQL}), a AS (SELECT feature, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, stddev_pop(value) AS s FROM l GROUP BY 1),
 m AS (SELECT l.feature, 1.4826::DOUBLE * quantile_cont(abs(value - med), 0.5) AS mad FROM l JOIN a ON l.feature = a.feature GROUP BY 1)
 SELECT a.feature, round(med, 6) AS median, round(CASE WHEN mad > 0 THEN mad WHEN (q3 - q1) / 1.349 > 0 THEN (q3 - q1) / 1.349 ELSE s END, 6) AS spread FROM a JOIN m ON a.feature = m.feature""")
