@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.operators import kernels, models, nested, ranking, relational, resampling, selection, statistics
+from tessella.operators import factors, kernels, models, nested, ranking, relational, resampling, selection, statistics
 from tessella.operators.cuts import cut
 from tessella.plans.relational_queries import table
 from tessella.plans.statistics_queries import LONG_SQL, TAIL_SQL, components, survival
@@ -395,3 +395,49 @@ def method_benchmark(spark, d):
         for r in nested.benchmark(tested, most, places):
             out.append((endpoint, r["fold"], r["method"], len(r["selected"]), ";".join(map(str, r["selected"])), r["c_index"], r["error"], r.get("penalizer"), r.get("l1_ratio")))
     return spark.createDataFrame(out, "endpoint string, fold int, method string, n_selected int, selected string, c_index double, error string, penalizer double, l1_ratio double")
+
+
+@query()
+def group_factor_model(spark, d):
+    """A sparse factor model of the components with three cohorts as groups: each factor's share of each cohort's variance, and its activity at 1 %."""
+    rows = table(spark, d, "embeddings").select((F.col("label") % 3).alias("cohort"), F.col("embedding").cast("array<double>").alias("x")).where("cohort IS NOT NULL")
+    model = factors.fit(rows, "cohort", "x", 8, rounds=60, tolerance=1e-4)
+    shares = [(j, int(g), 100 * float(model.r2[i, j]), float(model.inclusion[:, j].mean()), model.settled) for i, g in enumerate(model.groups) for j in range(model.weights.shape[1])]
+    long = spark.createDataFrame(shares, "factor int, cohort int, r2 double, included double, settled boolean")
+    active = factors.activity(long, model.groups, (1.0,), group="cohort").select(F.col("factor").alias("of"), "activity_class", "active_count")
+    return long.join(active, F.col("factor") == F.col("of")).drop("of")
+
+
+_SHARES = """SELECT feature AS factor, (label % 3)::INT AS cohort, 100.0::DOUBLE * v / sum(v) OVER (PARTITION BY label % 3) AS r2
+FROM (SELECT feature, label % 3 AS label, var_pop(value) AS v FROM l GROUP BY 1, 2)"""
+_ACTIVE = f"""s AS ({_SHARES}), w AS (SELECT factor, threshold, list_filter([CASE WHEN max(r2) FILTER (cohort = 0) >= threshold THEN 0 END, CASE WHEN max(r2) FILTER (cohort = 1) >= threshold THEN 1 END,
+  CASE WHEN max(r2) FILTER (cohort = 2) >= threshold THEN 2 END], lambda x: x IS NOT NULL) AS own, min(r2) AS lo, max(r2) AS hi, avg(r2) AS mid FROM s, (SELECT unnest([1.4, 1.55, 1.7]::DOUBLE[]) AS threshold) GROUP BY 1, 2)"""
+
+
+def _shares(spark, d):
+    """Each component's share of its cohort's variance, in percent."""
+    long = components(spark, d).withColumn("cohort", (F.col("label") % 3).cast("int"))
+    each = long.groupBy("feature", "cohort").agg(F.var_pop("value").alias("v"))
+    total = each.groupBy(F.col("cohort").alias("of")).agg(F.sum("v").alias("total"))
+    return each.join(total, F.col("cohort") == F.col("of")).select(F.col("feature").alias("factor"), "cohort", (100 * F.col("v") / F.col("total")).alias("r2"))
+
+
+@query(f"""WITH l AS ({LONG_SQL}), {_ACTIVE}
+SELECT factor, threshold, len(own) AS active_count, array_to_string(own, ';') AS active_groups,
+       CASE WHEN len(own) = 3 THEN 'ubiquitous_shared' WHEN len(own) = 2 THEN 'partially_shared' WHEN len(own) = 1 THEN 'group_specific' ELSE 'inactive' END AS activity_class,
+       round(lo, 6) AS least_r2, round(hi, 6) AS largest_r2, round(mid, 6) AS mean_r2, round(hi - lo, 6) AS r2_range FROM w""")
+def factor_activity(spark, d):
+    """Where each component is active, by its share of each cohort's variance at three thresholds."""
+    found = factors.activity(_shares(spark, d), [0, 1, 2], (1.4, 1.55, 1.7), group="cohort")
+    rounded = [F.round(c, 6).alias(c) for c in ("least_r2", "largest_r2", "mean_r2", "r2_range")]
+    return found.select("factor", "threshold", F.col("active_count").cast("long").alias("active_count"), "active_groups", "activity_class", *rounded)
+
+
+@query(f"""WITH l AS ({LONG_SQL}), {_ACTIVE}, a AS (SELECT factor, len(own) AS n, list_contains(own, 2) AS has FROM w WHERE threshold = 1.55),
+r AS (SELECT factor, unnest(list_filter(['all_retained', CASE WHEN n >= 2 THEN 'shared_two_or_more' END, CASE WHEN n = 3 THEN 'ubiquitous_all_groups' END, CASE WHEN n = 2 THEN 'partially_shared' END,
+  CASE WHEN n >= 2 AND NOT has THEN 'shared_without_2' END, CASE WHEN n >= 2 AND has THEN 'shared_with_2' END, CASE WHEN n = 1 AND has THEN '2_specific' END], lambda x: x IS NOT NULL)) AS subspace FROM a)
+SELECT subspace, factor, (row_number() OVER (PARTITION BY subspace ORDER BY factor) - 1)::INT AS place FROM r""")
+def factor_subspaces(spark, d):
+    """Which components span the shared, partly shared and specific subspaces, the last cohort being the special one."""
+    active = factors.activity(_shares(spark, d), [0, 1, 2], (1.55,), group="cohort")
+    return factors.subspaces(active, [0, 1, 2], "2")
