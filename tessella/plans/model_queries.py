@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.operators import factors, kernels, models, nested, ranking, relational, resampling, selection, statistics
+from tessella.operators import factors, kernels, models, modules, nested, ranking, relational, resampling, selection, statistics
 from tessella.operators.cuts import cut
 from tessella.plans.relational_queries import table
 from tessella.plans.statistics_queries import LONG_SQL, TAIL_SQL, components, survival
@@ -293,32 +293,47 @@ def correlation_distance(spark, d):
     return spark.createDataFrame([(round(float(np.linalg.norm(a - b)) / len(a), 6),)], "frobenius double")
 
 
-def _spearman_matrix(spark, d, most: int) -> tuple[int, np.ndarray]:
-    """Rank correlations of the first components: ranks by component, then sums of products by row."""
-    long = components(spark, d).where(F.col("feature") < most).select("vec_id", "feature", "value")
-    ranked = ranking.average_rank(long, ["feature"], "value")
-    wide = ranked.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "avg_rank"))).alias("m"))  # a row's components
-    vector = F.array(*[F.try_element_at("m", F.lit(i)) for i in range(most)])
-    return selection.correlations(wide.select(vector.alias("x")), "x")
+def _spearman_matrix(spark, d):
+    """Rows and rank correlations of all components."""
+    _, found = modules.rank_correlations(components(spark, d).withColumn("all", F.lit(0)), "vec_id", "feature", "value", "all")
+    return found.get(0, (0, np.zeros((0, 0))))
 
 
 @query()
 def spearman_modules(spark, d):
     """Modules of components by average linkage of absolute rank correlations, cut at 0.70, of at least four."""
-    _, r = _spearman_matrix(spark, d, 32)
+    _, r = _spearman_matrix(spark, d)
     found = kernels.average_linkage(1 - np.abs(r), 0.70)
     return spark.createDataFrame(_modules(found, 4), "feature long, module long, size long")
 
 
 @query()
 def blind_modules(spark, d):
-    """Modules by signed rank correlations, cut at the critical one of p = 0.01, of at least five, numbered by size."""
-    n, r = _spearman_matrix(spark, d, 32)
-    critical = np.tanh(2.5758293035489004 / np.sqrt(max(n - 3, 1)))
-    found = kernels.average_linkage(1 - r, 1 - critical)
+    """Modules by signed rank correlations, cut at the critical one of p = 0.01 by Student's t, of at least five, numbered by size."""
+    n, r = _spearman_matrix(spark, d)
+    found = kernels.average_linkage(1 - r, 1 - modules.critical_correlation(n))
     return spark.createDataFrame(_modules(found, 5), "feature long, module long, size long")
 
 
+@query()
+def subsample_stability(spark, d):
+    """How well modules of components, at p = 0.1 and of three or more, are found again in 80 % of the rows."""
+    found = modules.subsample_stability(components(spark, d), "vec_id", "feature", "value", reps=10, share=0.8, seed="stability", p=0.1, least=3)
+    names = "module int, n_features int, reps int, median_clusterable double, median_jaccard double, q05_jaccard double, median_f1 double, share_jaccard_half double, share_f1_half double"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in names.split(", ")) for r in found], names)
+
+
+@query()
+def module_preservation(spark, d):
+    """Z summaries of four sets of components of even labels among those of odd labels, over 200 permutations."""
+    rows = table(spark, d, "embeddings").select((F.col("label") % 2).alias("cohort"), F.col("embedding").cast("array<double>").alias("x"))
+    (_, reference), (_, test) = (selection.correlations(rows.where(F.col("cohort") == c), "x") for c in (0, 1))
+    own = {f"M{m}": [i for i in range(len(test)) if i % 4 == m and i < 48] for m in range(4)}
+    found = modules.module_preservation(spark, reference, test, own)
+    names = ["module string", "n_features int", *[f"{c} double" for c in ("z_summary", "z_density", "z_connectivity", "median_rank", *modules.DENSITY, *modules.CONNECTIVITY)]]
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in names) for r in found], ", ".join(names))
+
+
 def _modules(found: np.ndarray, least: int) -> pd.DataFrame:
     """Modules of at least ``least`` features, numbered from 1 by size and first feature; 0 for the others."""
     sizes = np.bincount(found)
