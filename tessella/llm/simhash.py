@@ -36,6 +36,8 @@ EXTRA = 6
 SHINGLES = 8_000_000
 #: Counts of shingles by part of their hash that bound what two sets share, and the sets too large for them.
 BUCKETS, UNCOUNTED = 256, 1 << 15
+#: Shingles counted in one step.
+COUNTED = 500_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -146,8 +148,13 @@ class Sets:
         self.size, self.least = size, least
         self.start = np.concatenate([[0], np.cumsum(size)])
         self.lead = (self.flat >> np.uint64(48)).astype(np.uint16) if self.whole else self.flat
-        owner = np.repeat(np.arange(len(size)) * BUCKETS, size)
-        self.counts = np.bincount(owner + (self.lead & np.uint16(BUCKETS - 1)), minlength=BUCKETS * len(size)).reshape(-1, BUCKETS).astype(np.uint16)
+        self.counts = np.zeros((len(size), BUCKETS), np.uint16)
+        edges = np.searchsorted(self.start, np.arange(0, self.start[-1] + COUNTED, COUNTED))
+        for lo, hi in zip(edges[:-1].tolist(), np.minimum(edges[1:], len(size)).tolist()):
+            if hi > lo:
+                part = self.lead[self.start[lo] : self.start[hi]] & np.uint16(BUCKETS - 1)
+                owner = np.repeat(np.arange(hi - lo) * BUCKETS, size[lo:hi])
+                self.counts[lo:hi] = np.bincount(owner + part, minlength=BUCKETS * (hi - lo)).reshape(-1, BUCKETS)
         self.marks = np.zeros(1 << 16, np.uint8)
 
     def _least(self, i: int, j: np.ndarray) -> np.ndarray:
