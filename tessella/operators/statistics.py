@@ -243,3 +243,41 @@ def concordance(df: DataFrame, time: str, event: Column, risk: str) -> DataFrame
     """
     cells = df.select(F.lit(0).alias("g"), F.col(time).alias("t"), event.cast("int").alias("e"), F.col(risk).alias("r")).where("t IS NOT NULL AND r IS NOT NULL AND e IS NOT NULL")
     return fits.concordance(cells.groupBy("g", "t", "e", "r").agg(F.count("*").alias("n")), "t", "e", "r").drop("g")
+
+
+def split_half(long: DataFrame, row: str, feature: str, value: str, members: DataFrame, seed: str = "split", most: int = 12, reps: int = 200) -> DataFrame:
+    """How alike the signed mean scores of two halves of a module are: a row a module, over splits of its features.
+
+    ``members`` are ``module, feature, weight``; a weight's sign turns its feature, 0 as +1. Modules of up to ``most`` features are
+    split in all ways with half of them, rounded down, on one side; larger ones ``reps`` times, by md5. Correlations of the
+    halves come from the module's covariances, so rows are read once. Rows that lack a feature of a module aren't counted
+    there; modules of one feature have no split and no row; a split without spread counts for nothing.
+    """
+    own = members.groupBy("module", "feature").agg(F.first("weight").alias("weight"))
+    known = long.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(row).alias("row"), F.col(feature).alias("of"), F.col(value).cast("double").alias("v"))
+    place = F.row_number().over(Window.partitionBy("module").orderBy("feature")) - 1  # a module's features
+    sizes = own.groupBy(F.col("module").alias("m")).agg(F.count("*").cast("int").alias("size")).where("size > 1")
+    own = cut(own.join(sizes, F.col("module") == F.col("m")).select("module", "feature", F.when(F.col("weight") < 0, -1.0).otherwise(1.0).alias("sign"), place.cast("int").alias("i"), "size"))
+    wide = known.join(F.broadcast(own), F.col("of") == F.col("feature")).groupBy("module", "row").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("i", (F.col("v") * F.col("sign")).alias("v")))).alias("x"))
+    wide = wide.where(F.size("x") == F.col("size")).select("module", F.transform("x", lambda e: e["v"]).alias("x"))
+    pairs = wide.select("module", F.posexplode("x").alias("i", "a"), "x").select("module", "i", "a", F.posexplode("x").alias("j", "b"))
+    cov = cut(pairs.groupBy("module", "i", "j").agg(F.covar_samp("a", "b").alias("c")))
+    few = own.where((F.col("size") <= most) & (F.col("i") == 0)).select("module", "size", F.explode(F.expr("sequence(0, shiftleft(1, size) - 1)")).alias("split")).where(F.bit_count("split") == F.floor(F.col("size") / 2))
+    few = few.select("module", "split", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).withColumn("first", F.expr("shiftright(split, i) & 1") == 1)
+    drawn = own.where(F.col("size") > most).withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    order = Window.partitionBy("module", "split").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("module").cast("string"), "split", "i")))  # a module's features
+    many = drawn.select("module", "split", "i", (F.row_number().over(order) <= F.floor(F.col("size") / 2)).alias("first"))
+    splits = few.unionByName(many)
+    a, b = splits.alias("a"), splits.alias("b")
+    both = cov.alias("c").join(a, (F.col("c.module") == F.col("a.module")) & (F.col("c.i") == F.col("a.i")))
+    both = both.join(b, (F.col("c.module") == F.col("b.module")) & (F.col("c.j") == F.col("b.i")) & (F.col("a.split") == F.col("b.split")))
+    one, two = F.col("a.first"), F.col("b.first")
+    sums = both.groupBy(F.col("c.module").alias("module"), F.col("a.split").alias("split")).agg(*[F.sum(F.when(test, F.col("c.c")).otherwise(0.0)).alias(n) for n, test in (("aa", one & two), ("bb", ~one & ~two), ("ab", one & ~two))])
+    r = sums.select("module", "split", F.round(F.when((F.col("aa") > 1e-12) & (F.col("bb") > 1e-12), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))), 9).alias("r"))
+    share = lambda test: F.avg(F.when(F.col("r").isNotNull(), test.cast("double")))
+    found = r.groupBy("module").agg(
+        F.count("r").alias("splits"), F.avg("r").alias("mean_r"), *[F.percentile("r", F.lit(q)).alias(n) for n, q in (("q05", 0.05), ("median_r", 0.5), ("q95", 0.95))],
+        share(F.col("r") > 0).alias("share_positive"), share(F.col("r") > 0.3).alias("share_above"),
+    )
+    kind = F.when(F.col("size") <= most, "all_balanced_splits").otherwise("drawn_balanced_splits")
+    return found.join(sizes, F.col("module") == F.col("m")).select("module", "size", kind.alias("method"), *[c for c in found.columns if c != "module"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import kernels, ranking, resampling, statistics
 from tessella.plans.relational_queries import table
+from tessella.sources import tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -392,3 +393,37 @@ def correlation_modules(spark, d):
     modules = kernels.average_linkage(1 - np.abs(cov / np.outer(sd, sd)), 0.7)
     sizes = np.bincount(modules)
     return spark.createDataFrame(pd.DataFrame({"feature": np.arange(len(modules)), "module": modules, "size": sizes[modules]}))
+
+
+@query(f"""WITH l AS ({LONG_SQL}), z AS (SELECT vec_id, feature, (value - avg(value) OVER (PARTITION BY feature)) / stddev_samp(value) OVER (PARTITION BY feature) AS z FROM l),
+w AS (SELECT f::INT AS feature, 'M' || (f % 6) AS module, CASE WHEN f % 3 = 0 THEN -1 ELSE 1 END AS sign, (f // 6)::INT AS i, CASE WHEN f % 6 < 4 THEN 11 ELSE 10 END AS size FROM (SELECT unnest(range(64)) AS f)),
+s AS (SELECT vec_id, module, i, z * sign AS v FROM z JOIN w ON z.feature = w.feature),
+c AS (SELECT a.module, a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.module = b.module GROUP BY 1, 2, 3),
+k AS (SELECT module, size, split FROM (SELECT DISTINCT module, size FROM w), (SELECT unnest(range(2048)) AS split) WHERE split < (1 << size) AND bit_count(split::BIGINT) = size // 2),
+t AS (SELECT c.module, any_value(k.size) AS size, split, sum(CASE WHEN (split >> i) & 1 = 1 AND (split >> j) & 1 = 1 THEN c.c ELSE 0 END) AS aa, sum(CASE WHEN (split >> i) & 1 = 0 AND (split >> j) & 1 = 0 THEN c.c ELSE 0 END) AS bb,
+  sum(CASE WHEN (split >> i) & 1 = 1 AND (split >> j) & 1 = 0 THEN c.c ELSE 0 END) AS ab FROM c JOIN k ON c.module = k.module GROUP BY 1, 3),
+r AS (SELECT module, size, round(ab / sqrt(aa * bb), 9) AS r FROM t)
+SELECT module, size::INT AS size, 'all_balanced_splits' AS method, count(*) AS splits, round(avg(r), 6) AS mean_r, round(quantile_cont(r, 0.05), 6) AS q05, round(quantile_cont(r, 0.5), 6) AS median_r, round(quantile_cont(r, 0.95), 6) AS q95,
+       round(avg((r > 0)::INT::DOUBLE), 6) AS share_positive, round(avg((r > 0.3)::INT::DOUBLE), 6) AS share_above FROM r GROUP BY 1, 2""")
+def balanced_split_reliability(spark, d):
+    """How alike the scores of two halves of six modules of components are, over all balanced splits."""
+    z = statistics.zscore(components(spark, d), ["feature"], "value").select("vec_id", "feature", "z")
+    f = F.col("id").cast("int")
+    weights = spark.range(64).select(F.concat(F.lit("M"), (f % 6).cast("string")).alias("module"), f.alias("feature"), F.when(f % 3 == 0, -1.0).otherwise(1.0).alias("weight"))
+    found = statistics.split_half(z, "vec_id", "feature", "z", weights)
+    return found.select("module", "size", "method", "splits", *[F.round(c, 6).alias(c) for c in ("mean_r", "q05", "median_r", "q95", "share_positive", "share_above")])
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, count(*) OVER () AS total, p_size FROM part),
+e AS (SELECT id, unnest([id * 2 % total, (id * 3 + 1) % total]) AS child FROM n WHERE p_size > 20),
+walk AS (SELECT 1 AS id UNION SELECT e.child FROM walk JOIN e ON walk.id = e.id JOIN n ON e.child = n.id)
+SELECT n.id::VARCHAR AS name, 'part ' || n.id AS label FROM walk JOIN n ON walk.id = n.id WHERE p_size <= 20""")
+def dataset_tree_leaves(spark, d):
+    """The leaves of a listing of datasets that lead to one another, and in circles, from the first one."""
+    part = table(spark, d, "part")
+    total = part.agg(F.count("*").alias("total"))
+    listing = part.crossJoin(F.broadcast(total))  # one row
+    ids = F.array((F.col("p_partkey") * 2) % F.col("total"), (F.col("p_partkey") * 3 + 1) % F.col("total"))
+    children = F.when(F.col("p_size") > 20, F.transform(ids, lambda x: x.cast("string")))
+    listing = listing.select(F.col("p_partkey").cast("string").alias("name"), F.concat(F.lit("part "), "p_partkey").alias("label"), children.alias("children"))
+    return tables.leaves(listing, "1").select("name", "label")

@@ -101,3 +101,26 @@ def test_permuted_concordance_and_kruskal_of_odd_tables(spark, rows):
     assert lost["c_index"] is None and lost["p_one_sided"] is None
     none = models.permutation_kruskal(df.where("false"), "id", "y", "a", 2, "s").first()
     assert none["h"] is None and none["p_one_sided"] is None
+
+
+@pytest.mark.parametrize("most", [12, 3])
+def test_split_halves(spark, most):
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 6)) + rng.normal(size=(40, 1))
+    x[:, 1] *= -1
+    long = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(40) for j in range(6)] + [(99, 0, 1.0)], "id int, f int, v double")
+    members = spark.createDataFrame([("m", 0, 1.0), ("m", 1, -2.0), ("m", 2, 0.0), ("m", 3, 1.0), ("m", 4, 3.0), ("pair", 0, 1.0), ("pair", 5, 1.0), ("one", 2, 1.0)], "module string, feature int, weight double")
+    got = {r["module"]: r for r in statistics.split_half(long, "id", "f", "v", members, "s", most, 7).collect()}
+    assert set(got) == {"m", "pair"}
+    own = x[:, :5] * [1, -1, 1, 1, 1]
+    if most == 12:
+        firsts = list(combinations(range(5), 2))
+    else:
+        firsts = [sorted(range(5), key=lambda i: hashlib.md5(f"s|m|{k}|{i}".encode()).hexdigest())[:2] for k in range(1, 8)]
+    r = [np.corrcoef(own[:, list(f)].mean(axis=1), own[:, [i for i in range(5) if i not in f]].mean(axis=1))[0, 1] for f in firsts]
+    assert got["m"]["splits"] == len(r) and got["m"]["mean_r"] == pytest.approx(np.mean(r), abs=1e-8)
+    assert [got["m"][c] for c in ("q05", "median_r", "q95")] == pytest.approx(np.quantile(r, [0.05, 0.5, 0.95]).tolist(), abs=1e-8)
+    assert got["m"]["share_above"] == np.mean(np.array(r) > 0.3) and got["m"]["method"].startswith("all" if most == 12 else "drawn")
+    assert got["pair"]["mean_r"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 5])[0, 1], abs=1e-8)
