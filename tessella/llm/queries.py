@@ -189,6 +189,35 @@ FROM cut c LEFT JOIN marks m ON c.r = m.r LEFT JOIN named k ON c.r = k.r
 """
 
 
+VECTORS_SQL = r"""
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND coalesce(list_max(list_transform(embedding, lambda v: abs(v))), 0) > 0 AS good
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.good AND b.good AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM vecs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degrees AS (SELECT a, count(DISTINCT b) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(d.n_links, 0)::BIGINT AS n_links, p.component_id, v.vec_id = p.component_id AS kept
+FROM vecs v JOIN parts p ON v.vec_id = p.a LEFT JOIN degrees d ON v.vec_id = d.a
+"""
+
+
+SUBSTRINGS_SQL = r"""
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+starts AS (SELECT r, unnest(range(1, len(words) - 33)) AS i FROM cut WHERE len(words) >= 35),
+wins AS (SELECT s.r, s.i, md5(array_to_string(c.words[s.i:s.i + 34], ' ')) AS win FROM starts s JOIN cut c ON s.r = c.r),
+twice AS (SELECT r, i FROM wins WHERE win IN (SELECT win FROM wins GROUP BY win HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM twice),
+lists AS (SELECT r, list(i) AS own FROM gone GROUP BY r)
+SELECT c.doc_id, len(c.words)::BIGINT AS n_words, coalesce(len(g.own), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN g.own IS NULL THEN c.words ELSE list_filter(c.words, lambda w, k: NOT list_contains(g.own, k)) END, ' ')) AS kept_sha256
+FROM cut c LEFT JOIN lists g ON c.r = g.r
+"""
+
+
 def queries() -> dict:
     """Queries by name."""
     return {
@@ -210,4 +239,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express."""
-    return {"op5_line_dedup": LINES_SQL, "op6_mix_sources": MIX_SQL, "op12_benchmark_decontamination": LEAKS_SQL}
+    return {"op5_line_dedup": LINES_SQL, "op6_mix_sources": MIX_SQL, "op7_embedding_near_dedup": VECTORS_SQL, "op8_substring_dedup": SUBSTRINGS_SQL, "op12_benchmark_decontamination": LEAKS_SQL}
