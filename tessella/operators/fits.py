@@ -43,7 +43,10 @@ def grouped(df: DataFrame, by: str, xs: list[str], train: Column | None = None)
 
 
 def newton(groups: list[int], k: int, sums: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]], ridge: dict[int, float], rounds: int, tolerance: float, most: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Coefficients and standard errors by group; groups that have settled leave the later rounds."""
+    """Coefficients and standard errors by group; groups that have settled leave the later rounds.
+
+    Groups that haven't after all rounds are left out, as singular ones are.
+    """
     beta, done = {g: np.zeros(k) for g in groups}, {}
     for _ in range(rounds):
         if not beta:
@@ -56,12 +59,13 @@ def newton(groups: list[int], k: int, sums: Callable[[dict[int, np.ndarray]], di
                 step, spread = np.linalg.solve(info, score), np.linalg.inv(info)
             except np.linalg.LinAlgError:
                 del beta[g]
+                done.pop(g, None)
                 continue
             beta[g] = beta[g] + np.clip(step, -most, most)
             done[g] = beta[g], np.sqrt(np.diag(spread))
             if not np.abs(step).max() >= tolerance:
                 del beta[g]
-    return done
+    return {g: fit for g, fit in done.items() if g not in beta}
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:

@@ -158,7 +158,7 @@ def logistic_by_group(df: DataFrame, by: str, label: str, value: str, ridge: flo
     keys, sizes, numbered = fits.grouped(df.select(by, label, value), by, [value], known)
     cells = numbered.where(known).groupBy("g", label, value).agg(F.count("*").alias("n"))
     fit = [g for g, s in sizes.items() if s[0]]
-    found = fits.logistic(cells, fit, label, [value], ridge) if fit else {}
+    found = fits.logistic(cells, fit, label, [value], ridge, rounds=40) if fit else {}
     return coefficients(df, by, keys, sizes, found, 1, "odds_ratio", lambda g: "LinAlgError" if g in fit else "ValueError")
 
 

@@ -200,7 +200,7 @@ def proportional_hazards(df: DataFrame, by: str, time: str, event: str, x: str,
     rows = fits.with_values(cells, {g: [b[0]] for g, (b, _) in found.items()}, ["b"]).withColumn("w", F.col("n") * F.exp(F.col("b") * F.col("z")))
     per = rows.groupBy("g", (-F.col("t")).alias("back")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("z")).alias("wz"), F.sum(F.col("n") * F.col("e")).alias("d"), F.sum(F.col("n") * F.col("e") * F.col("z")).alias("dz"))
     per = cut(per)
-    bounds = range_bounds(per, "back")
+    bounds = range_bounds(per, "back", by=["g"])
     for c in ("w", "wz", "d"):
         per = running(per, ["g"], "back", c, f"{c}_before", bounds=bounds)
     at = per.where("d > 0").withColumn("r", F.col("dz") - F.col("d") * (F.col("wz") + F.col("wz_before")) / (F.col("w") + F.col("w_before")))
@@ -251,7 +251,7 @@ def bootstrap_auc(df: DataFrame, key: str, label: str, value: str, reps: int, se
     weight = poisson(seed, F.col("rep"), F.col(key))
     rows = replicates(df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(key, label, F.col(value).cast("double").alias("v")), reps).withColumn("w", weight)
     cells = cut(rows.groupBy("rep", "v").agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("a"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("b")))
-    below = running(cells, ["rep"], "v", "b", "under", bounds=range_bounds(cells, "v"))
+    below = running(cells, ["rep"], "v", "b", "under", bounds=range_bounds(cells, "v", by=["rep"]))
     sums = below.groupBy("rep").agg(F.sum(F.col("a") * (F.col("under") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"))
     auc = sums.select("rep", F.round(F.try_divide(F.col("u"), F.col("n1") * F.col("n0")), 9).alias("auc"))
     q = lambda at: F.percentile("auc", F.lit(at))  # noqa: E731  # a value a replicate

@@ -1,7 +1,8 @@
 """Ranks, quantile bins and multiplicity control.
 
-Ranks over a whole table come from counts by distinct value: values are dealt into ranges of about equal size, running sums
-inside each range are added to the counts of the ranges before it. No window holds more than a range, or one row a range.
+Groups of at most ``GROUP`` rows, which one count tells, are ranked by a window each. Beyond that ranks come from counts by
+distinct value: values are dealt into ranges of about equal size, running sums inside each range are added to the counts of
+the ranges before it. So no window holds more than ``GROUP`` rows, a range, or one row a range, and both ways give the same.
 """
 
 from __future__ import annotations
@@ -13,6 +14,14 @@ from tessella.operators.cuts import cut
 
 #: Ranges of a whole-table ranking; a range holds about that share of the distinct values.
 RANGES = 64
+#: Rows of a group up to which a window holds it.
+GROUP = 1 << 17
+
+
+def bounded(df: DataFrame, by: list[str]) -> bool:
+    """Whether no group has more than ``GROUP`` rows."""
+    most = df.groupBy(*by).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] if by else df.count()
+    return (most or 0) <= GROUP
 
 
 def bucket(value: Column, bounds: list[float]) -> Column:
@@ -27,8 +36,10 @@ def bucket(value: Column, bounds: list[float]) -> Column:
     return halve(0, len(bounds))
 
 
-def range_bounds(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
-    """Approximate quantiles of a column, which cut it into about ``ranges`` ranges of equal sizes."""
+def range_bounds(df: DataFrame, order: str, ranges: int = RANGES, by: list[str] | None = None) -> list[float]:
+    """Approximate quantiles of a column, which cut it into about ``ranges`` ranges of equal sizes; none where a window can hold each group."""
+    if bounded(df, by or []):
+        return []
     values = df.select(F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     return sorted(set(values.approxQuantile("v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) or []))
 
@@ -44,8 +55,12 @@ def running(df: DataFrame, by: list[str], order: str, amount: str, out: str, ran
     how = pick or F.sum
     if bounds is None:
         df = cut(df)
-        bounds = range_bounds(df, order, ranges)
-    dealt = df.withColumn("__range", bucket(F.col(order).cast("double"), bounds) if bounds else F.lit(0))
+        bounds = range_bounds(df, order, ranges, by)
+    if not bounds:
+        whole = Window.partitionBy(*by).orderBy(F.desc(order) if back else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0 if back else -1)
+        found = how(amount).over(whole)
+        return df.withColumn(out, found if back else F.coalesce(found, F.lit(0)))
+    dealt = df.withColumn("__range", bucket(F.col(order).cast("double"), bounds))
     place = lambda c: F.desc(c) if back else F.asc(c)
     window = lambda keys, c, last: Window.partitionBy(*keys).orderBy(place(c)).rowsBetween(Window.unboundedPreceding, last)
     of = [f"__of{i}" for i in range(len(by))]
@@ -65,12 +80,20 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, floa
 
     Nulls don't count; a group of nulls alone has no row.
     """
+    if bounded(df, by):
+        whole = Window.partitionBy(*by)
+        placed = df.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(whole.orderBy(value)) - 1).alias("below"), F.count("*").over(whole).alias("__total"), F.lit(1).alias("n"))
+        return _at_places(placed, by, value, at)
     placed = value_ranks(df, by, value)
     sizes = placed.groupBy(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).agg(F.sum("n").alias("__total"))
     same = F.lit(True)
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
-    joined = placed.join(sizes, same) if by else placed.crossJoin(F.broadcast(sizes))  # one row
+    return _at_places(placed.join(sizes, same) if by else placed.crossJoin(F.broadcast(sizes)), by, value, at)  # one row
+
+
+def _at_places(joined: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Quantiles from values with the rows below them, their own, and those of the group."""
     v, found = F.col(value).cast("double"), []
     for q in at.values():
         place = F.lit(float(q)) * (F.col("__total") - 1)
@@ -84,7 +107,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, floa
 def value_counts(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, list[float]]:
     """Rows by distinct value, written once, and the bounds of ranges of them."""
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")))
-    return counts, range_bounds(counts, value)
+    return counts, range_bounds(counts, value, by=by)
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -97,8 +120,11 @@ def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def average_rank(df: DataFrame, by: list[str], value: str, out: str = "avg_rank") -> DataFrame:
     """``df`` with average ranks, ties shared; rows without a value get none.
 
-    Rows meet their ranks by value, so a value must come out the same whenever it is worked out: a stored one, or one cut.
+    Rows of large groups meet their ranks by value, so a value must come out the same whenever it is worked out: a stored one, or
+    one cut.
     """
+    if bounded(df, by):
+        return df.withColumn(out, window_rank(by, value))
     ranks = value_ranks(df, by, value)
     keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col(f"l.{value}") == F.col(f"r.{value}")]
     condition = keys[0]
@@ -107,6 +133,13 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str = "avg_rank"
     return df.alias("l").join(ranks.alias("r"), condition, "left").select("l.*", F.col("r.avg_rank").alias(out))
 
 
+def window_rank(by: list[str], value: str) -> Column:
+    """The average rank of a value within its group, by windows over groups of a bounded size."""
+    known = F.when(F.col(value).isNotNull(), F.col(value))
+    ties = Window.partitionBy(*by, value)
+    return F.when(known.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(value))) + (F.count("*").over(ties) - 1) / 2)
+
+
 def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q_value", id_column: str | None = None) -> DataFrame:
     """Benjamini-Hochberg q-values within families; rows without p get none and don't count.
 
@@ -116,6 +149,13 @@ def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q_
     by = by or []
     df = cut(df)  # a p-value summed anew may differ in its last bit, and its rows meet by it
     some = df.where(F.col(p).isNotNull() & ~F.isnan(p))
+    if bounded(some, by):
+        has = F.col(p).isNotNull() & ~F.isnan(p)
+        own, whole = F.when(has, F.col(p)), Window.partitionBy(*by)
+        place = F.count(own).over(whole.orderBy(F.asc_nulls_last("__p")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        raw = df.withColumn("__p", own).withColumn("__raw", F.col("__p") * F.count("__p").over(whole) / place)
+        lowest = F.min("__raw").over(whole.orderBy(F.desc_nulls_last("__p")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return raw.withColumn(out, F.when(F.col("__p").isNotNull(), F.least(F.lit(1.0), lowest))).drop("__p", "__raw")
     counts, bounds = value_counts(some, by, p)
     counts = running(counts, by, p, "n", "below", bounds=bounds)
     totals = counts.groupBy(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(by)]).agg(F.sum("n").alias("__n"))

@@ -13,7 +13,10 @@ MEETING = 1000
 
 
 def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in ``order``, which must end in a tie-breaker."""
+    """One row for each key: the first in ``order``, which must end in a tie-breaker.
+
+    Spark keeps the first of each key in every task before the shuffle, so a frequent key's rows don't meet.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__place", F.row_number().over(w)).where("__place = 1").drop("__place")
 

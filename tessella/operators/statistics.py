@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import fits
 from tessella.operators.cuts import cut
-from tessella.operators.ranking import average_rank, exact_quantiles, range_bounds, running, value_ranks
+from tessella.operators.ranking import average_rank, bounded, exact_quantiles, range_bounds, running, value_ranks, window_rank
 
 
 def finite(x: str | Column) -> Column:
@@ -60,12 +60,25 @@ def unpivot_vector(df: DataFrame, key: list[str], vector: str) -> DataFrame:
 
 
 def zscore(df: DataFrame, by: list[str], value: str, out: str = "z", ddof: int = 1) -> DataFrame:
-    """z-scores within groups: missing values get the median first; groups without spread are dropped."""
+    """z-scores within groups: missing and infinite values get the median first; groups without spread are dropped.
+
+    Medians are worked out only where a value is missing, and of its groups alone.
+    """
     sd = F.stddev_samp if ddof else F.stddev_pop
-    median = exact_quantiles(df, by, value, {"__median": 0.5})
-    filled = df.join(median, by).withColumn(value, F.coalesce(value, "__median")).drop("__median")
-    stats = filled.groupBy(*by).agg(F.avg(value).alias("__mean"), sd(value).alias("__sd")).where("__sd > 0")
-    return filled.join(stats, by).withColumn(out, (F.col(value) - F.col("__mean")) / F.col("__sd")).drop("__mean", "__sd")
+    clean = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
+    rows = df.withColumn(value, clean)
+    lost = rows.where(F.col(value).isNull()).select(*by).distinct()
+    if by and not lost.isEmpty():
+        lost = cut(lost)
+        same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by]
+        own = lost.select(*[F.col(c).alias(f"__of_{c}") for c in by])
+        median = exact_quantiles(rows.join(own, same, "left_semi"), by, value, {"__median": 0.5}).select(*[F.col(c).alias(f"__of_{c}") for c in by], "__median")
+        rows = rows.join(median, same, "left").withColumn(value, F.coalesce(value, "__median")).drop("__median", *[f"__of_{c}" for c in by])
+    elif not by and not lost.isEmpty():
+        rows = rows.crossJoin(F.broadcast(exact_quantiles(rows, [], value, {"__median": 0.5}))).withColumn(value, F.coalesce(value, "__median")).drop("__median")  # one row
+    stats = rows.groupBy(*by).agg(F.avg(value).alias("__mean"), sd(value).alias("__sd")).where("__sd > 0")
+    joined = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))  # one row
+    return joined.withColumn(out, (F.col(value) - F.col("__mean")) / F.col("__sd")).drop("__mean", "__sd")
 
 
 def zscore_from_train(df: DataFrame, train: Column, by: list[str], value: str, out: str = "z") -> DataFrame:
@@ -145,7 +158,10 @@ def robust_spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 5) -> DataFrame:
     """Rank correlation within groups: ``n``, ``rho`` (null without spread or with few rows) and a normal p-value."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(rows, by, x, "__rx"), by, y, "__ry")
+    if bounded(rows, by):
+        ranked = rows.withColumns({"__rx": window_rank(by, x), "__ry": window_rank(by, y)})
+    else:
+        ranked = average_rank(average_rank(rows, by, x, "__rx"), by, y, "__ry")
     spread = (F.stddev_pop("__rx") > 0) & (F.stddev_pop("__ry") > 0) & (F.count("*") >= least)
     rho = (F.avg(F.col("__rx") * F.col("__ry")) - F.avg("__rx") * F.avg("__ry")) / (F.stddev_pop("__rx") * F.stddev_pop("__ry"))
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(spread, rho).alias("rho"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import kernels, ranking, resampling, statistics
+from tessella.operators import kernels, models, ranking, resampling, statistics
 from tessella.plans.relational_queries import table
 from tessella.sources import tables
 
@@ -360,7 +360,7 @@ def cox_per_feature(spark, d):
 @query()
 def logistic_by_source(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("source", "quality", F.log1p("n_chars").alias("x"))
-    return kernels.logistic_by_group(rows, "source", "quality", "x", 1e-3)
+    return models.intervals(kernels.logistic_by_group(rows, "source", "quality", "x", 1e-8), "odds_ratio")
 
 
 @query()

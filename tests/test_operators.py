@@ -297,3 +297,50 @@ def test_random_panels_take_the_smallest_draws(spark, monkeypatch):
         want = sorted((rep, g, i) for rep in range(1, 5) for g in range(3) for i in sorted((i for i in range(90) if i % 3 == g), key=lambda i: (drawn[rep, i], i))[: 2 + g])
         assert got == want
     assert resampling.random_panels(df, [], "i", 5, 2, "s").count() == 10
+
+
+def test_ranks_of_large_groups_are_those_of_small_ones(spark, monkeypatch):
+    import math
+    import random
+
+    from tessella.operators import ranking, statistics
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, float("nan") if i % 50 == 0 else 1.0, round(rng.random(), 1), rng.random()])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    some = df.where("v IS NOT NULL AND NOT isnan(v)")
+    clean = lambda out: sorted([tuple("nan" if isinstance(x, float) and math.isnan(x) else round(x, 12) if isinstance(x, float) else x for x in r) for r in out.collect()], key=str)
+
+    def results():
+        yield clean(ranking.average_rank(some, ["g"], "v"))
+        yield clean(ranking.average_rank(some, [], "v"))
+        yield clean(ranking.exact_quantiles(some, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 1.0}))
+        yield clean(ranking.exact_quantiles(some, [], "v", {"a": 0.33}))
+        yield clean(ranking.bh_adjust(df, "v", ["g"]))
+        yield clean(ranking.bh_adjust(df, "v"))
+        distinct = some.groupBy("g", "v").count()
+        yield clean(ranking.running(distinct, ["g"], "v", "count", "before"))
+        yield clean(ranking.running(distinct, ["g"], "v", "count", "least", pick=ranking.F.min))
+        yield clean(statistics.spearman(some.withColumn("w", ranking.F.col("id") % 7), ["g"], "v", "w"))
+
+    small = list(results())
+    monkeypatch.setattr(ranking, "GROUP", 10)
+    for one, other in zip(small, results(), strict=True):
+        assert one == other and one
+
+
+def test_z_scores_fill_missing_and_infinite_values(spark):
+    from tessella.operators import statistics
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 6.0), ("a", None), ("a", float("inf")), ("b", 1.0), ("b", 1.0), (None, 0.0), (None, 2.0), (None, float("nan"))], "g string, v double")
+    out = sorted(((r["g"] or "", round(r["v"], 6)) for r in statistics.zscore(df, ["g"], "v").collect()))
+    assert [x for x in out if x[0] == "a"] == [("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 2.0), ("a", 6.0)] and not any(x[0] == "b" for x in out)
+    assert statistics.zscore(df.where("g = 'a'"), [], "v").count() == 5
+
+
+def test_the_best_of_a_frequent_key_is_found_before_the_shuffle(spark):
+    from tessella.operators import relational
+
+    best = relational.keep_best(spark.range(100).selectExpr("id", "id % 2 AS k", "id % 7 AS v"), ["k"], [F.desc("v"), F.asc("id")])
+    assert sorted(r["id"] for r in best.collect()) == [6, 13]
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
