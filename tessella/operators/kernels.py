@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import fits
@@ -211,3 +211,22 @@ def principal_components(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray
     axes = axes[:, order]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
     return mean, axes, values[order] / max(values.sum(), 1e-300)
+
+
+def oriented_component(df: DataFrame, vector: str, reference: Column, out: str = "pc1") -> tuple[DataFrame, float, np.ndarray]:
+    """``df`` with the z-scored first component of a vector of z-scored components, its share of variance and its loadings.
+
+    The sign is the one that correlates with ``reference``, positive where it doesn't; rows with incomplete vectors have null.
+    """
+    n, mean, cov = moments(df, vector)
+    sd = np.sqrt(np.diag(cov))
+    scale = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)
+    values, axes = np.linalg.eigh(cov * np.outer(scale, scale))
+    axis = axes[:, -1] * (1 if axes[np.abs(axes[:, -1]).argmax(), -1] > 0 else -1)
+    weights = axis * scale / np.sqrt(max(values[-1], 1e-300))
+    whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & (F.size(vector) > 0)
+    line = F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(float(-mean @ weights)), lambda s, v: s + v)
+    scored = df.withColumn(out, F.when(whole, line)).withColumn("__reference", reference)
+    r = scored.agg(F.corr(out, "__reference")).first()[0]
+    sign = -1.0 if r is not None and r < 0 else 1.0
+    return scored.withColumn(out, sign * F.col(out)).drop("__reference"), float(values[-1] / max(values.sum(), 1e-300)), sign * axis

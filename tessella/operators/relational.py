@@ -172,3 +172,15 @@ def collapse(df: DataFrame, keys: list[str], value: str, policy: str = "sum", or
         return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(value))
     how = {"sum": F.sum, "mean": F.avg, "max": F.max}[policy]
     return df.groupBy(*keys).agg(how(value).alias(value))
+
+
+def pivot_unique(df: DataFrame, key: str, column: str, value: str, columns: list) -> DataFrame:
+    """A wide table with a column for each of ``columns``, null where a key lacks one; a key that has one twice is an error.
+
+    Nulls in ``column`` and names that aren't asked for are ignored; a null key is a key. One job looks for repeats.
+    """
+    rows = df.where(F.col(column).isin(columns))
+    twice = rows.groupBy(key, column).agg(F.count("*").alias("__n")).where("__n > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"{key} and {column} aren't unique")
+    return rows.groupBy(key).pivot(column, columns).agg(F.first(value))

@@ -49,6 +49,12 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fo
     return joined.withColumn(out, (F.col("__start") + F.col("__place") - 1) % k).select(*df.columns, out)
 
 
+def repeated_folds(df: DataFrame, key: str, label: str, k: int, reps: int, seed: str) -> DataFrame:
+    """Stratified folds of every repeat ``rep`` from 1, each by its own draws; a null label is a stratum of its own."""
+    rows = replicates(df, reps).withColumn("__id", F.concat_ws("|", "rep", key)).withColumn("__stratum", F.concat_ws("|", F.col("rep").cast("string"), F.coalesce(F.to_json(F.struct(label)), F.lit(""))))
+    return folds(rows, "__id", "__stratum", k, seed).drop("__id", "__stratum")
+
+
 def permutation_auc(df: DataFrame, key: str, label: str, value: str, reps: int, seed: str) -> DataFrame:
     """Observed AUC of a value for 0/1 labels, and the share of label permutations at least as far from one half.
 

@@ -31,8 +31,8 @@ def _blanket(spark, d, select, alpha):
     """Features selected for the log of a time, the last component of the vector."""
     time = survival(spark, d).select(F.col("o_orderkey").alias("vec_id"), F.log1p("days").alias("y"))
     rows = table(spark, d, "embeddings").join(time, "vec_id").select(F.concat(F.col("embedding").cast("array<double>"), F.array("y")).alias("x"))
-    n, r = selection.correlations(rows, "x")
-    target = len(r) - 1
+    r = selection.Rows(rows, "x")
+    n, target = r.n, len(r) - 1
     chosen = select(r, n, target, alpha)
     partial = [float(selection.partial_correlations(r, target, [c for c in chosen if c != x])[x]) for x in chosen]
     p = [selection.fisher_p(v, n, len(chosen) - 1) for v in partial]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import kernels, models, ranking, resampling, statistics
+from tessella.operators import kernels, models, ranking, relational, resampling, statistics
 from tessella.plans.relational_queries import table
 from tessella.sources import tables
 
@@ -427,3 +427,55 @@ def dataset_tree_leaves(spark, d):
     children = F.when(F.col("p_size") > 20, F.transform(ids, lambda x: x.cast("string")))
     listing = listing.select(F.col("p_partkey").cast("string").alias("name"), F.concat(F.lit("part "), "p_partkey").alias("label"), children.alias("children"))
     return tables.leaves(listing, "1").select("name", "label")
+
+
+@query("""SELECT doc_id, quality, rep, ((row_number() OVER (PARTITION BY rep, quality ORDER BY ('0x' || substr(md5('repeat|' || rep || '|' || doc_id), 1, 8))::BIGINT, doc_id) - 1) % 5)::INT AS fold
+FROM labels, (SELECT unnest(range(1, 4))::INT AS rep)""")
+def repeated_stratified_folds(spark, d):
+    """Three repeats of five stratified folds."""
+    found = resampling.repeated_folds(table(spark, d, "labels"), "doc_id", "quality", 5, 3, "repeat")
+    return found.select("doc_id", "quality", "rep", F.col("fold").cast("int").alias("fold"))
+
+
+@query(f"""WITH l AS ({LONG_SQL}),
+r AS (SELECT label % 2 AS family, feature, rank() OVER (PARTITION BY label % 2, feature ORDER BY value) + (count(*) OVER (PARTITION BY label % 2, feature, value) - 1) / 2.0::DOUBLE AS rx,
+             rank() OVER (PARTITION BY label % 2, feature ORDER BY label) + (count(*) OVER (PARTITION BY label % 2, feature, label) - 1) / 2.0::DOUBLE AS ry FROM l),
+c AS (SELECT family, feature, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY 1, 2),
+z AS (SELECT *, abs(rho * sqrt(n - 1)) / sqrt(2.0::DOUBLE) AS x FROM c), p AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * x) AS t FROM z),
+q AS (SELECT family, feature, {TAIL_SQL} AS p_value FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value, feature) AS k, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (ORDER BY p_value, family, feature) AS gk, count(*) OVER () AS gm FROM q)
+SELECT family, feature, round(least(1.0::DOUBLE, min(p_value * m / k) OVER (PARTITION BY family ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_family,
+       round(least(1.0::DOUBLE, min(p_value * gm / gk) OVER (ORDER BY gk DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_global FROM k""")
+def bh_families_and_global(spark, d):
+    """q-values within families beside those over all tests."""
+    rows = components(spark, d).withColumn("family", F.col("label") % 2)
+    found = ranking.bh_adjust(statistics.spearman(rows, ["family", "feature"], "value", "label"), "p_value", ["family"], "q_family")
+    both = ranking.bh_adjust(found, "p_value", out="q_global")
+    return both.select("family", "feature", F.round("q_family", 6).alias("q_family"), F.round("q_global", 6).alias("q_global"))
+
+
+@query("""SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS line_1, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS line_2, max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS line_3
+FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1""")
+def pivot_unique_lines(spark, d):
+    """The quantities of an order's first three lines side by side; lines are unique, which is checked."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    wide = relational.pivot_unique(lines, "l_orderkey", "l_linenumber", "l_quantity", [1, 2, 3])
+    return wide.select("l_orderkey", *[F.col(str(i)).alias(f"line_{i}") for i in (1, 2, 3)])
+
+
+@query()
+def oriented_module_component(spark, d):
+    """The first component of twelve components as a z-score that rises with their mean."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("x"))
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    scored, share, _ = kernels.oriented_component(rows, "x", mean)
+    return scored.select("vec_id", F.round("pc1", 6).alias("pc1"), F.round(F.lit(share), 6).alias("explained"))
+
+
+@query()
+def component_loadings(spark, d):
+    """Shares of variance and loadings of the five leading components."""
+    rows = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"))
+    _, axes, share = kernels.principal_components(rows, "x", 5)
+    found = [(k + 1, float(share[k]), i, float(axes[i, k])) for k in range(axes.shape[1]) for i in range(len(axes))]
+    return spark.createDataFrame(found, "component int, explained double, feature int, loading double")

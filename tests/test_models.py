@@ -113,3 +113,36 @@ def test_permuted_outcomes_move_together(spark):
         own = [r for r in out if r["rep"] == rep]
         assert sorted(r["t"] for r in own) == [i * 10 for i in range(40)] and all(r["e"] == 10 * r["t"] and r["x"] == -r["id"] for r in own)
         assert any(r["t"] != 10 * r["id"] for r in own)
+
+
+def test_components_and_their_signs(spark):
+    """Leading components against a singular value decomposition, oriented to a reference."""
+    from pyspark.sql import functions as F
+
+    from tessella.operators import kernels
+
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 1))
+    x = -base * [1, 2, 0.5, 1] + 0.4 * rng.normal(size=(60, 4)) + 3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(99, None)], "id int, x array<double>").repartition(3)
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    u, s, vt = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
+    score = u[:, 0] * np.sqrt(59)
+    for sign in (1, -1):
+        out, share, loadings = kernels.oriented_component(df, "x", sign * F.get("x", F.lit(1)))
+        got = {r["id"]: r["pc1"] for r in out.collect()}
+        want = score * np.sign(np.corrcoef(score, sign * x[:, 1])[0, 1])
+        assert got[99] is None and np.allclose([got[i] for i in range(60)], want, atol=1e-8)
+        assert share == pytest.approx(s[0] ** 2 / (s**2).sum()) and np.allclose(np.abs(loadings), np.abs(vt[0]), atol=1e-8) and np.sign(loadings[1]) == sign
+    _, axes, ratio = kernels.principal_components(df.where("id < 60"), "x", 2)
+    _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(ratio, s[:2] ** 2 / (s**2).sum()) and np.allclose(np.abs(axes.T), np.abs(vt[:2]), atol=1e-8)
+
+
+def test_unique_pivots(spark):
+    from tessella.operators import relational
+
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), (None, 1, 7), ("b", 9, 8), ("a", None, 1)], "k string, c int, v int")
+    assert sorted(map(tuple, relational.pivot_unique(df, "k", "c", "v", [1, 2]).collect()), key=str) == [("a", 5, 6), (None, 7, None)]
+    with pytest.raises(ValueError):
+        relational.pivot_unique(df.unionByName(df), "k", "c", "v", [1, 2])

@@ -344,3 +344,23 @@ def test_the_best_of_a_frequent_key_is_found_before_the_shuffle(spark):
     best = relational.keep_best(spark.range(100).selectExpr("id", "id % 2 AS k", "id % 7 AS v"), ["k"], [F.desc("v"), F.asc("id")])
     assert sorted(r["id"] for r in best.collect()) == [6, 13]
     assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blankets_from_rows_of_correlations(spark):
+    import numpy as np
+
+    from tessella.operators import selection
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 9))
+    x[:, 8] = x[:, 0] - 0.8 * x[:, 1] + 0.5 * x[:, 4] + rng.normal(size=400)
+    x[:, 5] = 3.0
+    df = spark.createDataFrame([(v,) for v in x.tolist()] + [([float("nan")] * 9,), (None,)], "x array<double>").repartition(3)
+    rows = selection.Rows(df, "x")
+    n, r = selection.correlations(df, "x")
+    assert rows.n == n == 400 and np.allclose(rows.rows([8, 2, 5]), r[[8, 2, 5]], atol=1e-12)
+    for select in (selection.iamb, selection.grow_shrink):
+        assert select(rows, n, 8, 0.01) == select(r, n, 8, 0.01) and {0, 1, 4} <= set(select(rows, n, 8, 0.01))
+    assert len(rows.known) < 9
+    with pytest.raises(ValueError):
+        selection.Rows(df.unionByName(spark.createDataFrame([([1.0],)], df.schema)), "x")
