@@ -137,21 +137,6 @@ def by_group(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[pd.D
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def cox_by_feature(df: DataFrame, feature: str, time: str, event: str, value: str, least: int = 30) -> DataFrame:
-    """Univariate Cox models of z-scored values by feature."""
-
-    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    known = number(time) & number(event) & number(value)
-    keys, sizes, numbered = fits.grouped(df.select(feature, time, event, F.col(value).cast("double").alias(value)), feature, [value], known)
-    fit = {g: s for g, s in sizes.items() if s[0] >= least and s[2][0] > 0}
-    found = {}
-    if fit:
-        scored = fits.with_values(numbered.where(known), {g: [s[1][0], s[2][0]] for g, s in fit.items()}, ["__mean", "__sd"])
-        cells = scored.select("g", time, event, ((F.col(value) - F.col("__mean")) / F.col("__sd")).alias("__z")).groupBy("g", time, event, "__z").agg(F.count("*").alias("n"))
-        found = fits.cox(cells, {g: s[0] for g, s in fit.items()}, time, event, ["__z"])
-    return coefficients(df, feature, keys, sizes, found, 0, "hazard_ratio", lambda g: "LinAlgError" if g in fit else "ValueError")
-
-
 def logistic_by_group(df: DataFrame, by: str, label: str, value: str, ridge: float) -> DataFrame:
     """Logistic models of a label by group, on the rows that have the label and the value."""
     known = F.col(label).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)

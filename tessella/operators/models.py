@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.operators import fits, nested
 from tessella.operators.cuts import cut
 from tessella.operators.kernels import normal_p
-from tessella.operators.ranking import average_rank, range_bounds, running
+from tessella.operators.ranking import average_rank, bh_adjust, range_bounds, running
 from tessella.operators.resampling import draw, poisson, replicates
 from tessella.operators.riskblocks import Fit, RiskBlocks, Spec
 from tessella.operators.statistics import normal_tail
@@ -356,3 +356,41 @@ def _null_columns(observed: str, centred=None) -> list[Column]:
     share = lambda test: F.when(F.col(observed).isNotNull(), (1 + F.size(F.filter("null", test))) / (1 + count))
     out = [count.cast("long").alias("reps"), mean.alias("null_mean"), share(lambda x: x >= F.col(observed)).alias("p_one_sided")]
     return out + ([share(lambda x: F.abs(centred(x)) >= F.abs(centred(F.col(observed)))).alias("p_two_sided")] if centred else [])
+
+
+def cox_screen(df: DataFrame, time: str, event: str, vector: str, least: int = 30) -> DataFrame:
+    """Univariate Cox models of every component of a vector, z-scored: ``feature, n, coef, hazard_ratio, se, p_value, error``.
+
+    All are models of the same passes over blocks of rows. A missing or infinite component leaves its row out of that model
+    alone; rows without a time, an event or a vector are left out of all. A component with fewer than ``least`` rows, without
+    spread, or whose model doesn't settle has an error and nulls; an empty table has no row.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(time).alias("t"), F.col(event).alias("e"), F.col(vector).cast("array<double>").alias("x"))
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    size, lost = rows.agg(F.max(F.size("x")), F.count_if(F.exists("x", odd))).first()
+    weights = F.transform("x", lambda v: F.when(odd(v), 0.0).otherwise(1.0)) if lost else F.array(F.lit(1.0))
+    blocks = RiskBlocks(rows.select("t", "e", F.transform("x", lambda v: F.when(odd(v), 0.0).otherwise(v)).alias("x"), weights.alias("w")), "t", "e", "x", "w")
+    found = blocks.fit([Spec(i if lost else 0, (i,)) for i in range(size or 0)], least=least) if blocks.n else []
+    made = []
+    for i, f in enumerate(found):
+        error = f.error or ("" if f.settled else "unsettled")
+        good = not error and np.isfinite(f.se[0]) and f.se[0] > 0
+        made.append((i, int(f.n), *((float(f.beta[0]), math.exp(f.beta[0]), float(f.se[0]), nested.wald(f, 0), None) if good else (None, None, None, None, error or "singular"))))
+    return df.sparkSession.createDataFrame(made, "feature int, n long, coef double, hazard_ratio double, se double, p_value double, error string")
+
+
+def permutation_screen(df: DataFrame, key: str, time: str, event: str, vector: str, reps: int, seed: str) -> DataFrame:
+    """How many univariate Cox models are significant, observed (``rep`` 0) and with time and event permuted together over the rows.
+
+    A row a replicate: ``rep, tested, least_p, n_p05, n_q10`` (by Benjamini and Hochberg within the replicate). The vectors that
+    permutations put beside an outcome become components of its row, so all models are of the same passes. Rows with a null
+    key are left out.
+    """
+    rows = cut(df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(vector).cast("array<double>").alias("x")).dropna())
+    size = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    moved = permute_outcomes(rows.withColumn("own", F.col("id")), "id", ["t", "e", "own"], reps, seed).select("own", "rep", "x")
+    sides = moved.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("rep", "x"))).alias("all"))  # a vector a replicate
+    wide = rows.join(sides, F.col("id") == F.col("own")).select("t", "e", F.concat("x", F.flatten(F.transform("all", lambda a: a["x"]))).alias("x"))
+    found = cox_screen(wide, "t", "e", "x").select((F.col("feature") / F.lit(max(size, 1))).cast("int").alias("rep"), "p_value").where("p_value IS NOT NULL")
+    adjusted = bh_adjust(found, "p_value", ["rep"])
+    return adjusted.groupBy("rep").agg(F.count("*").alias("tested"), F.min("p_value").alias("least_p"), F.count_if(F.col("p_value") < 0.05).alias("n_p05"), F.count_if(F.col("q_value") < 0.1).alias("n_q10"))

@@ -350,11 +350,20 @@ def rank_stability(spark, d):
     return ranked.groupBy("item").agg(F.min("place").alias("best"), F.max("place").alias("worst"), F.round(F.avg((F.col("place") == 1).cast("double")), 6).alias("first_share"))
 
 
+def _timed_vectors(spark, d):
+    times = survival(spark, d).select(F.col("o_orderkey").alias("vec_id"), F.col("days").cast("double").alias("days"), F.col("dead").cast("int").alias("dead"))
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).join(times, "vec_id")
+
+
 @query()
 def cox_per_feature(spark, d):
-    joined = components(spark, d).join(survival(spark, d).select(F.col("o_orderkey").alias("vec_id"), F.col("days").cast("double").alias("days"), F.col("dead").cast("int").alias("dead")), "vec_id")
-    found = kernels.cox_by_feature(joined, "feature", "days", "dead", "value")
-    return ranking.bh_adjust(found, "p_value", id_column="feature")
+    return ranking.bh_adjust(models.cox_screen(_timed_vectors(spark, d), "days", "dead", "x"), "p_value")
+
+
+@query()
+def permutation_screen(spark, d):
+    """Significant univariate Cox models of the components, observed and in ten permutations of the outcomes."""
+    return models.permutation_screen(_timed_vectors(spark, d), "vec_id", "days", "dead", "x", 10, "screen")
 
 
 @query()

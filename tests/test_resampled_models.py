@@ -124,3 +124,34 @@ def test_split_halves(spark, most):
     assert [got["m"][c] for c in ("q05", "median_r", "q95")] == pytest.approx(np.quantile(r, [0.05, 0.5, 0.95]).tolist(), abs=1e-8)
     assert got["m"]["share_above"] == np.mean(np.array(r) > 0.3) and got["m"]["method"].startswith("all" if most == 12 else "drawn")
     assert got["pair"]["mean_r"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 5])[0, 1], abs=1e-8)
+
+
+def test_screens_and_their_permutations(spark):
+    rng = np.random.default_rng(11)
+    n = 70
+    x = rng.normal(size=(n, 3))
+    t = np.ceil(rng.exponential(10, n) * np.exp(-0.9 * x[:, 0]))
+    e = (rng.random(n) < 0.8).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "t": t, "e": e, "x": x.tolist()}))
+
+    def fit(v, tt, ee):
+        z = ((v - v.mean()) / v.std(ddof=1))[:, None]
+        b = np.zeros(1)
+        for _ in range(40):
+            _, grad, info = plain(tt, ee, z, np.ones(len(v)), b)
+            b = b + grad / info[0]
+        return b[0], kernels.normal_p(b[0] * np.sqrt(info[0, 0]))
+
+    with_holes = df.withColumn("x", F.when(F.col("id") < 5, F.array(F.get("x", F.lit(0)), F.lit(None).cast("double"), F.get("x", F.lit(2)))).otherwise(F.col("x")))
+    got = {r["feature"]: r for r in models.cox_screen(with_holes, "t", "e", "x").collect()}
+    for i in range(3):
+        own = np.arange(n) >= (5 if i == 1 else 0)
+        b, p = fit(x[own, i], t[own], e[own])
+        assert got[i]["n"] == own.sum() and got[i]["coef"] == pytest.approx(b, abs=1e-6) and got[i]["p_value"] == pytest.approx(p, rel=1e-5) and got[i]["error"] is None
+    assert models.cox_screen(df.withColumn("x", F.array(F.lit(1.0))), "t", "e", "x").first()["error"] == "no_features"
+    assert models.cox_screen(df.where("false"), "t", "e", "x").count() == 0
+    null = {r["rep"]: r for r in models.permutation_screen(df, "id", "t", "e", "x", 2, "s").collect()}
+    for rep in range(3):
+        order = list(range(n)) if not rep else sorted(range(n), key=lambda i: (int(hashlib.md5(f"s|{rep}|{i}".encode()).hexdigest()[:8], 16), i))
+        p = [fit(x[:, i], t[order], e[order])[1] for i in range(3)]
+        assert null[rep]["tested"] == 3 and null[rep]["least_p"] == pytest.approx(min(p), rel=1e-4) and null[rep]["n_p05"] == sum(v < 0.05 for v in p)
