@@ -19,6 +19,7 @@ from tessella.operators.kernels import normal_p
 from tessella.operators.resampling import folds
 from tessella.operators.riskblocks import BLOCK, Fit, RiskBlocks, Spec
 
+# Fixed values.
 #: Penalties and shares of the absolute part that an elastic net is tuned over.
 GRID = tuple((penalty, share) for share in (0.5, 0.9, 1.0) for penalty in (0.01, 0.05, 0.1, 0.5))
 #: The ridge of scored models, and the least rows to train and to test on, and deaths to screen with.

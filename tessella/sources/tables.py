@@ -45,8 +45,8 @@ def read_samples(spark: SparkSession, path: str, schema: StructType | str) -> Da
     return spark.read.schema(schema).options(header=True).csv(path).withColumn("sample", name)
 
 
-#: Columns that name a gene, and those of values with their units, the first present one of each; files without one of these
-#: values have counts in their first numeric column.
+#: Columns that name a gene, and those of values with their units, the first present one of each; files without
+#: one of these values have counts in their first numeric column.
 SYMBOLS, VALUES, LABELS = ("gene_name", "gene_symbol", "symbol"), (("tpm_unstranded", "TPM"), ("unstranded", "counts")), ("gene_id", "gene_type")
 
 
