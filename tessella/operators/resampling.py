@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import fits
+from tessella.operators.cuts import cut
 from tessella.operators.ranking import average_rank
 
 #: Low bits of draws that tell rows of one range apart: the high ones make 4096 ranges.
@@ -23,8 +24,10 @@ def draw(*parts: str | Column) -> Column:
 
 
 def replicates(df: DataFrame, n: int, out: str = "rep") -> DataFrame:
-    """Each row once for each replicate from 1 to ``n``."""
-    return df.withColumn(out, F.explode(F.sequence(F.lit(1), F.lit(n))))
+    """Each row once for each replicate from 1 to ``n``; rows are dealt over tasks first, as a small table may be a file that one task reads."""
+    spark = df.sparkSession
+    dealt = df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    return dealt.withColumn(out, F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
 def poisson(*parts: str | Column) -> Column:
@@ -109,7 +112,8 @@ def random_panels(df: DataFrame, by: list[str], key: str, size: int | str, reps:
     of = [f"__of{i}" for i in range(len(by))]
     cells = rows.groupBy(*[F.col(c).alias(o) for c, o in zip(by, of, strict=True)], F.col("rep").alias("__rep"), F.col("__cell").alias("__at")).agg(F.count("*").alias("__n"), F.max(most).alias("__most"))
     before = Window.partitionBy(*of, "__rep").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    cells = cells.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__start < __most").drop("__n", "__most")
+    # Written, so that their size is known and few ranges go to the rows instead of all rows to the ranges.
+    cells = cut(cells.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__start < __most").drop("__n", "__most"))
     same = (F.col("rep") == F.col("__rep")) & (F.col("__cell") == F.col("__at"))
     for c, o in zip(by, of, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(o))
