@@ -38,8 +38,8 @@ def poisson(*parts: str | Column) -> Column:
     return sum(((u > F.lit(s)).cast("long") for s in steps), F.lit(0).cast("long"))
 
 
-def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fold") -> DataFrame:
-    """Stratified folds from 0: rows of a label are dealt in turn, in the order of their draws.
+def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fold", ties: str | None = None) -> DataFrame:
+    """Stratified folds from 0: rows of a label are dealt in turn, in the order of their draws, those of one draw by ``ties``, else by key.
 
     Places are counted inside ranges of draws and after the ranges before, so that no window holds a label.
     """
@@ -47,7 +47,7 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fo
     before = Window.partitionBy("__label").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = rows.groupBy(F.col(label).alias("__label"), F.col("__cell").alias("__of")).agg(F.count("*").alias("__n")).withColumnRenamed("__of", "__cell")
     starts = starts.select("__label", F.col("__cell").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = rows.withColumn("__place", F.row_number().over(Window.partitionBy(label, "__cell").orderBy("__u", key)))
+    inside = rows.withColumn("__place", F.row_number().over(Window.partitionBy(label, "__cell").orderBy("__u", ties or key)))
     joined = inside.join(starts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__cell") == F.col("__of")))
     return joined.withColumn(out, (F.col("__start") + F.col("__place") - 1) % k).select(*df.columns, out)
 
@@ -55,7 +55,8 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fo
 def repeated_folds(df: DataFrame, key: str, label: str, k: int, reps: int, seed: str) -> DataFrame:
     """Stratified folds of every repeat ``rep`` from 1, each by its own draws; a null label is a stratum of its own."""
     rows = replicates(df, reps).withColumn("__id", F.concat_ws("|", "rep", key)).withColumn("__stratum", F.concat_ws("|", F.col("rep").cast("string"), F.coalesce(F.to_json(F.struct(label)), F.lit(""))))
-    return folds(rows, "__id", "__stratum", k, seed).drop("__id", "__stratum")
+    # Rows of one draw go by the key itself: as text 10 comes before 9.
+    return folds(rows, "__id", "__stratum", k, seed, ties=key).drop("__id", "__stratum")
 
 
 def permutation_auc(df: DataFrame, key: str, label: str, value: str, reps: int, seed: str) -> DataFrame:
