@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tessella.operators import fits, nested
 from tessella.operators.cuts import cut
 from tessella.operators.kernels import normal_p
-from tessella.operators.ranking import average_rank, bh_adjust, range_bounds, running
-from tessella.operators.resampling import draw, poisson, replicates
+from tessella.operators.ranking import GROUP, RANGES, average_rank, bh_adjust, bucket, range_bounds, running
+from tessella.operators.resampling import RANGE_BITS, draw, poisson, replicates
 from tessella.operators.riskblocks import Fit, RiskBlocks, Spec
 from tessella.operators.statistics import normal_tail
 
@@ -223,24 +223,37 @@ def permute_outcomes(df: DataFrame, key: str, outcomes: list[str], reps: int, se
     Rows are numbered by key and by each replicate's draws, both inside ranges, and meet by number.
     """
     own = cut(df.where(F.col(key).isNotNull()))
-    plain = _placed(own.withColumn("rep", F.lit(0)), ["rep"], F.col(key).cast("double"), key).select("*").drop("rep")
-    drawn = _placed(replicates(own.select(key, *outcomes), reps), ["rep"], draw(seed, F.col("rep"), F.col(key)).cast("double"), key)
+    order = F.col(key).cast("double")
+    bounds = range_bounds(own.select(order.alias("__order")), "__order", max(RANGES, min(fits.MOST, own.count() // GROUP)))
+    plain = _placed(own, [], order, key, bucket(order, bounds) if bounds else F.lit(0))
+    drawn = placed_draws(replicates(own.select(key, *outcomes), reps), seed, key)
     moved = drawn.select("rep", F.col("place").alias("__at"), *[F.col(c).alias(f"__{c}") for c in outcomes])
-    joined = plain.join(moved, F.col("place") == F.col("__at"))
+    # The rows of all replicates needn't be put in order: a partition of the rows themselves is looked up by number.
+    joined = moved.join(plain.hint("shuffle_hash"), F.col("place") == F.col("__at"))
     return joined.select("rep", *[F.col(f"__{c}").alias(c) if c in outcomes else F.col(c) for c in df.columns])
 
 
-def _placed(rows: DataFrame, by: list[str], order: Column, key: str) -> DataFrame:
-    """Rows with ``place``, from 1 by ``order`` and key within ``by``."""
-    marked = cut(rows.withColumn("__order", order))
-    counts = marked.groupBy(*by, "__order").agg(F.count("*").alias("__n"))
-    before = running(counts, by, "__order", "__n", "__before").select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__order").alias("__of"), "__before")
-    same = F.col("__order") == F.col("__of")
-    for c in by:
-        same = same & (F.col(c) == F.col(f"__of_{c}"))
-    inside = Window.partitionBy(*by, "__order").orderBy(key)  # rows of one draw
-    joined = marked.withColumn("__inside", F.row_number().over(inside)).join(before, same)
-    return joined.withColumn("place", F.col("__before") + F.col("__inside")).select(*rows.columns, "place")
+def placed_draws(rows: DataFrame, seed: str, key: str) -> DataFrame:
+    """Rows with a replicate ``rep`` and their ``place`` in it, from 1 by draw and key."""
+    u = draw(seed, F.col("rep"), F.col(key))
+    return _placed(rows, ["rep"], u, key, F.shiftright(F.col("__order"), RANGE_BITS))
+
+
+def _placed(rows: DataFrame, by: list[str], order: Column, key: str, cell: Column) -> DataFrame:
+    """Rows with ``place``, from 1 by ``order`` and key within ``by``; ``cell`` is a range of the order, which may use it as ``__order``.
+
+    Places are counted inside ranges and after the ranges before; ranges are written, so that their size is known and they go to the rows.
+    """
+    marked = rows.withColumn("__order", order).withColumn("__cell", cell)
+    of = [f"__of_{c}" for c in by]
+    counts = marked.groupBy(*[F.col(c).alias(o) for c, o in zip(by, of, strict=True)], F.col("__cell").alias("__of")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*of).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = cut(counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"))
+    same = F.col("__cell") == F.col("__of")
+    for c, o in zip(by, of, strict=True):
+        same = same & (F.col(c) == F.col(o))
+    inside = marked.withColumn("__inside", F.row_number().over(Window.partitionBy(*by, "__cell").orderBy("__order", key)))
+    return inside.join(starts, same).withColumn("place", F.col("__start") + F.col("__inside")).select(*rows.columns, "place")
 
 
 def bootstrap_auc(df: DataFrame, key: str, label: str, value: str, reps: int, seed: str) -> DataFrame:

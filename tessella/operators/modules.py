@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessella.operators import models, ranking
 from tessella.operators.cuts import cut
 from tessella.operators.kernels import average_linkage
-from tessella.operators.resampling import draw, replicates
+from tessella.operators.resampling import replicates
 
 #: Features of one correlation matrix: 128 MB.
 MOST = 4096
@@ -108,7 +108,7 @@ def subsamples(df: DataFrame, key: str, reps: int, share: float, seed: str) -> D
     """
     own = cut(df.where(F.col(key).isNotNull()))
     most = max(10, round(share * own.count()))
-    placed = models._placed(replicates(own, reps), ["rep"], draw(seed, F.col("rep"), F.col(key)).cast("double"), key)
+    placed = models.placed_draws(replicates(own, reps), seed, key)
     return own.withColumn("rep", F.lit(0)).unionByName(placed.where(F.col("place") <= most).drop("place"))
 
 
