@@ -139,6 +139,8 @@ def residuals(df: DataFrame, y: str, x: str | list[str], by: list[str], train: C
     left = sum((-F.col(f"__z{i}") * F.col(f"__z{i}") * F.col(f"__d{i}") for i in range(1, k + 1)), F.col("__c0_0"))
     spread = F.when(left > 1e-12 * F.col("__c0_0"), F.sqrt(left)) if scaled else F.lit(1.0)
     fits = fits.select(*[F.col(c).alias(f"__of_{c}") for c in by], *[f"__m{i}" for i in range(k + 1)], *[f"__b{i}" for i in range(1, k + 1)], F.when(F.col("__n") >= least, spread).alias("__spread"))
+    # Written, so that their size is known: a few groups go to the rows, which would meet in as many tasks otherwise.
+    fits = cut(fits)
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], F.lit(True))
     line = sum((F.col(f"__b{i + 1}") * (number[i + 1] - F.col(f"__m{i + 1}")) for i in range(k)), F.lit(0.0))
     joined = df.join(fits, same) if by else df.crossJoin(F.broadcast(fits))  # one row
