@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessella.operators.cuts import cut
 
+#: Levels of a tree that are kept apart before they become one table.
+VISITS = 8
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark can read anything at a path or pattern."""
@@ -153,20 +158,24 @@ def leaves(listing: DataFrame, root: str, name: str = "name", children: str = "c
     ``listing`` has a row a dataset with its name, label and array of children's names; slashes at the ends of names don't count. A
     dataset is visited once, however many list it and though it leads back to itself, at its least depth; its label is its
     own, else that of its first parent by name, else its name. Children that aren't listed are leaves without rows and left out.
-    Each level of the tree is one join.
+    A level asks the listing and what was visited for its children's names; where these are few they go to both, and neither moves.
     """
     strip = lambda c: F.regexp_replace(c, "^/+|/+$", "")
     known = listing.select(strip(F.col(name)).alias("name"), F.nullif(F.trim(F.col(label)), F.lit("")).alias("label"), F.transform(F.coalesce(F.col(children), F.array().cast("array<string>")), strip).alias("children"))
     known = cut(known.groupBy("name").agg(F.min("label").alias("label"), F.flatten(F.collect_list("children")).alias("children")).withColumn("children", F.array_distinct(F.filter("children", lambda c: c.isNotNull() & (c != "")))))
     level = known.where(F.col("name") == root.strip("/")).select("name", F.coalesce("label", "name").alias("label"), "children", F.lit(0).alias("depth"))
-    visited = level = cut(level)
+    visited, depth = [level := cut(level)], 0
     while not level.isEmpty():
+        depth += 1
         asked = level.select(F.explode("children").alias("child"), F.struct(F.col("name").alias("parent"), F.col("label").alias("inherited")).alias("by"))
-        fresh = asked.groupBy("child").agg(F.min("by").alias("by")).join(visited, F.col("child") == F.col("name"), "left_anti")
-        found = fresh.join(known, F.col("child") == F.col("name"))
-        level = cut(found.select("name", F.coalesce("label", "by.inherited", "name").alias("label"), "children", F.lit(level.first()["depth"] + 1).alias("depth")))
-        visited = cut(visited.unionByName(level))
-    return visited.where(F.size("children") == 0).select("name", "label", "depth")
+        asked = cut(asked.groupBy("child").agg(F.min("by").alias("by")))
+        seen = cut(reduce(DataFrame.unionByName, [v.select(F.col("name").alias("seen")) for v in visited]).join(asked, F.col("seen") == F.col("child"), "left_semi"))
+        found = known.join(asked.join(seen, F.col("child") == F.col("seen"), "left_anti"), F.col("name") == F.col("child"))
+        level = cut(found.select("name", F.coalesce("label", "by.inherited", "name").alias("label"), "children", F.lit(depth).alias("depth")))
+        visited.append(level)
+        if len(visited) > VISITS:
+            visited = [cut(reduce(DataFrame.unionByName, visited))]
+    return reduce(DataFrame.unionByName, visited).where(F.size("children") == 0).select("name", "label", "depth")
 
 
 def read_header(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
