@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessella.operators.cuts import cut
 from tessella.operators.ranking import bucket
 
-#: Rows of a block.
-BLOCK = 50_000
+#: Rows of a block, and bytes of its features, which keep it smaller where there are many.
+BLOCK, BYTES = 50_000, 8 << 20
 #: Deaths of one time that are added up in a step.
 STEP = 1 << 20
 
@@ -99,6 +99,7 @@ class RiskBlocks:
         rows = cut(rows.where(F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("x").isNotNull() & ~odd))
         one = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("k"), F.max(F.size("w")).alias("u")).first()
         self.n, self.k, self.uses = one["n"], max(one["k"] or 0, 0), max(one["u"] or 0, 0)
+        block = min(block, max(1, BYTES // (8 * max(self.k, 1))))
         ranges = max(1, -(-self.n // block))
         bounds = sorted(set(rows.approxQuantile("t", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
         place = bucket(F.col("t"), bounds) if bounds else F.lit(0)
@@ -111,6 +112,9 @@ class RiskBlocks:
         def pack(b: pd.DataFrame) -> pd.DataFrame:
             b = b.sort_values("t", kind="stable")
             arrays = [b["t"].to_numpy(float), b["e"].to_numpy(float), *(np.stack([np.asarray(v, float) for v in b[c]]) for c in "xw")]
+            # Whole weights of a byte are kept as such; see ``unpack``.
+            if arrays[3].size and ((arrays[3] >= 0) & (arrays[3] < 256) & (arrays[3] % 1 == 0)).all():
+                arrays[3] = arrays[3].astype(np.uint8)
             return pd.DataFrame([[b["part"].iloc[0], len(b), *(a.tobytes() for a in arrays)]], columns=["part", "rows", "t", "e", "x", "w"])
 
         packed = dealt.select("part", "chunk", "t", "e", "x", "w").groupBy("part", "chunk").applyInPandas(pack, "part long, rows long, t binary, e binary, x binary, w binary")
@@ -127,15 +131,14 @@ class RiskBlocks:
             spread = self._summed(lambda b: np.concatenate([b.w[:, i] @ (b.x - np.nan_to_num(mean[i])) ** 2 for i in range(u)])).reshape(-1, k) if self.n else np.zeros((0, k))
             self.scale = np.sqrt(spread / np.maximum(self.total - 1, 0)[:, None])
 
-    def _each(self, work: Callable[[Block], Iterator[tuple]], kind: str) -> DataFrame:
+    def _each(self, work: Callable[[Block], Iterator[tuple | pd.DataFrame]], kind: str) -> DataFrame:
         names, k, u = [c.split()[0] for c in kind.split(", ")], self.k, self.uses
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples(index=False):
-                    found = list(work(Block(int(r.part), *(np.frombuffer(v).reshape(s) for v, s in zip((r.t, r.e, r.x, r.w), (-1, -1, (-1, k), (-1, u)))))))
-                    if found:
-                        yield pd.DataFrame(found, columns=names)
+                    for found in work(unpack(r, k, u)):
+                        yield found if isinstance(found, pd.DataFrame) else pd.DataFrame([found], columns=names)
 
         return self.blocks.mapInPandas(run, kind)
 
@@ -147,7 +150,7 @@ class RiskBlocks:
             total = None
             for b in batches:
                 for r in b.itertuples(index=False):
-                    own = work(Block(int(r.part), *(np.frombuffer(v).reshape(s) for v, s in zip((r.t, r.e, r.x, r.w), (-1, -1, (-1, k), (-1, u))))))
+                    own = work(unpack(r, k, u))
                     total = own if total is None else total + own
             if total is not None:
                 yield pd.DataFrame({"v": [total.tobytes()]})
@@ -348,11 +351,11 @@ class RiskBlocks:
         """``g, t, e, n, risk`` of the rows that each model's column of test weights has."""
         sent = [(g, use, np.array(fit.spec.features, int), fit.raw) for g, (fit, use) in models.items()]
 
-        def each(b: Block) -> Iterator[tuple]:
+        def each(b: Block) -> Iterator[pd.DataFrame]:
             for g, use, f, beta in sent:
                 own = np.flatnonzero(b.w[:, use] > 0)
-                risk = b.x[np.ix_(own, f)] @ beta
-                yield from zip([g] * len(own), b.t[own].tolist(), b.e[own].astype(int).tolist(), b.w[own, use].astype(int).tolist(), risk.tolist())
+                if len(own):
+                    yield pd.DataFrame({"g": g, "t": b.t[own], "e": b.e[own].astype(int), "n": b.w[own, use].astype(int), "risk": b.x[np.ix_(own, f)] @ beta})
 
         return self._each(each, "g int, t double, e int, n long, risk double")
 
@@ -408,6 +411,13 @@ class Block:
         return float(gone @ eta - logs), gone @ x - part, info, float(h.sum())
 
 
+def unpack(row, k: int, u: int) -> Block:
+    """The block of a packed row of ``k`` features and ``u`` weights, which are of 8 bytes or of one."""
+    t, e, x = (np.frombuffer(v).reshape(s) for v, s in zip((row.t, row.e, row.x), (-1, -1, (-1, k))))
+    w = np.frombuffer(row.w, np.uint8).astype(float) if len(row.w) == len(t) * u else np.frombuffer(row.w)
+    return Block(int(row.part), t, e, x, w.reshape(-1, u))
+
+
 def proximal_step(beta: np.ndarray, grad: np.ndarray, info: np.ndarray, l1: float, l2: float) -> np.ndarray:
     """The coefficients that maximise the quadratic model less ``l1`` times their sizes and ``l2`` times half their squares."""
     info = info + 1e-10 * np.eye(len(beta))
