@@ -381,15 +381,21 @@ def cox_screen(df: DataFrame, time: str, event: str, vector: str, least: int = 3
     rows = df.where(F.col(vector).isNotNull()).select(F.col(time).alias("t"), F.col(event).alias("e"), F.col(vector).cast("array<double>").alias("x"))
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     size, lost = rows.agg(F.max(F.size("x")), F.count_if(F.exists("x", odd))).first()
+    return _screen(rows, size or 0, bool(lost), least)
+
+
+def _screen(rows: DataFrame, size: int, lost: bool, least: int = 30) -> DataFrame:
+    """``cox_screen`` of ``t, e, x`` with vectors of ``size`` components, of which some are missing or infinite where ``lost``."""
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     weights = F.transform("x", lambda v: F.when(odd(v), 0.0).otherwise(1.0)) if lost else F.array(F.lit(1.0))
     blocks = RiskBlocks(rows.select("t", "e", F.transform("x", lambda v: F.when(odd(v), 0.0).otherwise(v)).alias("x"), weights.alias("w")), "t", "e", "x", "w")
-    found = blocks.fit([Spec(i if lost else 0, (i,)) for i in range(size or 0)], least=least) if blocks.n else []
+    found = blocks.fit([Spec(i if lost else 0, (i,)) for i in range(size)], least=least) if blocks.n else []
     made = []
     for i, f in enumerate(found):
         error = f.error or ("" if f.settled else "unsettled")
         good = not error and np.isfinite(f.se[0]) and f.se[0] > 0
         made.append((i, int(f.n), *((float(f.beta[0]), math.exp(f.beta[0]), float(f.se[0]), nested.wald(f, 0), None) if good else (None, None, None, None, error or "singular"))))
-    return df.sparkSession.createDataFrame(made, "feature int, n long, coef double, hazard_ratio double, se double, p_value double, error string")
+    return rows.sparkSession.createDataFrame(made, "feature int, n long, coef double, hazard_ratio double, se double, p_value double, error string")
 
 
 def permutation_screen(df: DataFrame, key: str, time: str, event: str, vector: str, reps: int, seed: str) -> DataFrame:
@@ -400,10 +406,13 @@ def permutation_screen(df: DataFrame, key: str, time: str, event: str, vector: s
     key are left out.
     """
     rows = cut(df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(vector).cast("array<double>").alias("x")).dropna())
-    size = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    size, lost = rows.agg(F.max(F.size("x")), F.count_if(F.exists("x", odd))).first()
+    size = size or 0
     moved = permute_outcomes(rows.withColumn("own", F.col("id")), "id", ["t", "e", "own"], reps, seed).select("own", "rep", "x")
     sides = moved.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("rep", "x"))).alias("all"))  # a vector a replicate
     wide = rows.join(sides, F.col("id") == F.col("own")).select("t", "e", F.concat("x", F.flatten(F.transform("all", lambda a: a["x"]))).alias("x"))
-    found = cox_screen(wide, "t", "e", "x").select((F.col("feature") / F.lit(max(size, 1))).cast("int").alias("rep"), "p_value").where("p_value IS NOT NULL")
+    # Permuted vectors are those of the rows, so what is known of these needs no pass over the wide ones.
+    found = _screen(wide, size * (1 + reps), bool(lost)).select((F.col("feature") / F.lit(max(size, 1))).cast("int").alias("rep"), "p_value").where("p_value IS NOT NULL")
     adjusted = bh_adjust(found, "p_value", ["rep"])
     return adjusted.groupBy("rep").agg(F.count("*").alias("tested"), F.min("p_value").alias("least_p"), F.count_if(F.col("p_value") < 0.05).alias("n_p05"), F.count_if(F.col("q_value") < 0.1).alias("n_q10"))

@@ -1,9 +1,9 @@
 """Many Cox models of one table at once, by Spark sums over blocks of rows in order of time.
 
-Rows are dealt once by ranges of times and packed into blocks; a frequent time is a range of its own, in as many blocks
-as it needs. A model is a column of whole weights (a fold's training rows, a bootstrap's counts), some of the features, and
+Rows are dealt once by ranges of times and packed into blocks; a time of more rows than a block is a range of its own, in as
+many blocks as it needs. A model is a column of whole weights (a fold's training rows, a bootstrap's counts), some of the features, and
 a penalty. Each evaluation is a few jobs without a shuffle, for all models together: sums by block for the risk sets of
-earlier blocks, then gradients, then Hessians. Newton steps are proximal (coordinate descent with soft thresholds on the
+earlier blocks, then gradients, then Hessians. Models of one feature are columns, worked out together in two jobs. Newton steps are proximal (coordinate descent with soft thresholds on the
 quadratic model), and a step that worsens the penalised likelihood is halved.
 
 The driver gets a row of sums a block and model, and matrices of the size of a model's features.
@@ -26,6 +26,8 @@ from tessella.operators.ranking import bucket
 BLOCK, BYTES = 50_000, 8 << 20
 #: Deaths of one time that are added up in a step.
 STEP = 1 << 20
+#: Numbers of a step over rows and models of one feature.
+CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,30 @@ def tied(total0, total1, dead0, dead1, deaths):
     return logs.sum(), (deaths[:, None] * a + h[:, None] * b).sum(axis=0), second, h, (total0 * h - deaths) / dead0
 
 
+def efron_lines(risk: np.ndarray, dead: np.ndarray, deaths: np.ndarray) -> np.ndarray:
+    """What the risk sets of death times take from log-likelihoods and gradients, and less what they give to the information, by model.
+
+    ``risk`` and ``dead`` are sums of weights, of features and of their squares by time and model, ``deaths`` counts by time and
+    model, or by time where all models have the same.
+    """
+    out = np.zeros((3, risk.shape[2]))
+    most = deaths.max(axis=1).astype(np.int64)
+    ends = np.cumsum(most)
+    step = max(1, CELLS // risk.shape[2])
+    for lo in range(0, int(ends[-1]), step):
+        one = np.arange(lo, min(lo + step, int(ends[-1])))
+        row = np.searchsorted(ends, one, side="right")
+        place, d = (one - ends[row] + most[row])[:, None], deaths[row]
+        there = place < d
+        phi, first, second = risk[:, row] - np.where(there, place / np.where(there, d, 1), 0.0) * dead[:, row]
+        # A model without this death may have nobody at risk.
+        phi = phi if there.all() else np.where(there, phi, 1.0)
+        mean = first / phi
+        for total, v in zip(out, (np.log(phi), mean, mean * mean - second / phi)):
+            total += v.sum(axis=0) if there.all() else np.where(there, v, 0.0).sum(axis=0)
+    return out
+
+
 class RiskBlocks:
     """Rows of a table with a time, an event, an array of features and one of weights, packed for many Cox models.
 
@@ -104,7 +130,9 @@ class RiskBlocks:
         bounds = sorted(set(rows.approxQuantile("t", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
         place = bucket(F.col("t"), bounds) if bounds else F.lit(0)
         alone = F.coalesce(F.get(F.array(*map(F.lit, bounds)), place) == F.col("t"), F.lit(False)) if bounds else F.lit(False)
-        placed = rows.withColumn("part", (2 * place + alone.cast("int")).cast("long"))
+        # A time that fits in a block stays with the range that it ends.
+        often = [r["p"] for r in rows.groupBy(place.alias("p"), alone.alias("a")).count().where(F.col("a") & (F.col("count") > block)).collect()] if bounds else []
+        placed = rows.withColumn("part", (2 * place + (alone & place.isin(often)).cast("int")).cast("long"))
         sizes = placed.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("chunks"))
         chunk = F.when(F.col("part") % 2 == 1, F.pmod(F.xxhash64("x", "e"), F.col("chunks"))).otherwise(0)
         dealt = placed.join(F.broadcast(sizes), "part").withColumn("chunk", chunk.cast("long"))  # a row a range
@@ -117,7 +145,9 @@ class RiskBlocks:
                 arrays[3] = arrays[3].astype(np.uint8)
             return pd.DataFrame([[b["part"].iloc[0], len(b), *(a.tobytes() for a in arrays)]], columns=["part", "rows", "t", "e", "x", "w"])
 
-        packed = dealt.select("part", "chunk", "t", "e", "x", "w").groupBy("part", "chunk").applyInPandas(pack, "part long, rows long, t binary, e binary, x binary, w binary")
+        # Tasks of about 64 MB, however many rows there are.
+        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.n * (self.k + self.uses) // (BYTES)))
+        packed = dealt.select("part", "chunk", "t", "e", "x", "w").repartition(tasks, "part", "chunk").groupBy("part", "chunk").applyInPandas(pack, "part long, rows long, t binary, e binary, x binary, w binary")
         self.blocks, self.plain = cut(packed), np.array(plain, int)
         self.spark = df.sparkSession
         self.parts = sorted(r[0] for r in self.blocks.select("part").distinct().collect())  # a row a range
@@ -172,6 +202,8 @@ class RiskBlocks:
         """Log-likelihood, gradient and information of each model at coefficients of the features as they are."""
         sent = [(g, spec.use, np.array(spec.features, int), beta) for g, (spec, beta) in models.items()]
         sizes = [len(f) for _, _, f, _ in sent]
+        if sent and max(sizes) == min(sizes) == 1:
+            return self._evaluate_lines(sent)
         out = {g: [0.0, np.zeros(k), np.zeros((k, k))] for (g, *_), k in zip(sent, sizes)}
         start = {p: None for p in self.parts}
         own: dict[int, list[tuple]] = {}
@@ -230,6 +262,31 @@ class RiskBlocks:
                 at += k * k
         return {g: tuple(v) for g, v in out.items()}
 
+    def _evaluate_lines(self, sent: list[tuple]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """``evaluate`` for models of one feature each; features are taken less their means, which changes nothing."""
+        m = len(sent)
+        use, at, beta = np.array([u for _, u, _, _ in sent]), np.array([f[0] for _, _, f, _ in sent]), np.array([b[0] for *_, b in sent], float)
+        mean = np.nan_to_num(self.mean[use, at])
+        out, start = np.zeros((3, m)), {}
+        if not self.single:
+            sums = {p: np.zeros((9 if p % 2 else 3, m)) for p in self.parts}
+            for part, packed in self._each(lambda b: iter([(b.part, b.line_totals(use, at, beta, mean).tobytes())]), "part long, v binary").collect():
+                sums[part] += np.frombuffer(bytes(packed)).reshape(-1, m)
+            later = np.zeros((3, m))
+            for p in reversed(self.parts):
+                start[p] = later
+                later = later + sums[p][:3]
+                if p % 2:
+                    # Times of their own: what they give follows from their sums.
+                    out += sums[p][[7, 8, 8]] * [[1], [1], [0]] - efron_lines(later[:, None], sums[p][3:6, None], sums[p][6:7])
+        single = self.single
+
+        def each(b: Block) -> np.ndarray:
+            return np.zeros(3 * m) if b.part % 2 else b.lines(use, at, beta, mean, None if single else start[b.part]).ravel()
+
+        out += self._summed(each).reshape(3, m)
+        return {g: (float(out[0, i]), out[1:2, i], out[2:3, i].reshape(1, 1)) for i, (g, *_) in enumerate(sent)}
+
     def _starts(self, sent: list[tuple], sizes: list[int]) -> tuple[dict, dict]:
         """By range: the risk sets of all later ranges, by model; and the sums of times that are ranges of their own."""
 
@@ -381,6 +438,47 @@ class Block:
         dead, gone = w * self.e, n * self.e
         return np.concatenate([[w.sum()], w @ x, [dead.sum()], dead @ x, [gone.sum(), gone @ eta], gone @ x])
 
+    def _columns(self, use: np.ndarray, at: np.ndarray, beta: np.ndarray, mean: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some models at a time: their places, and features, risks, counts and weights of the rows by model."""
+        width = max(1, CELLS // max(len(self.t), 1))
+        for lo in range(0, len(at), width):
+            own = slice(lo, lo + width)
+            x = self.x[:, at[own]] - mean[own]
+            eta = np.clip(x * beta[own], -500, 500)
+            n = self.w[:, use[own][:1]] if (use[own] == use[lo]).all() else self.w[:, use[own]]
+            yield own, x, eta, n, n * np.exp(eta)
+
+    def line_totals(self, use: np.ndarray, at: np.ndarray, beta: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """Sums of weights, of features and of their squares by model; for a time of its own also those of the dead, their count, risks and features."""
+        out = np.zeros((9 if self.part % 2 else 3, len(at)))
+        for own, x, eta, n, w in self._columns(use, at, beta, mean):
+            wx = w * x
+            out[:3, own] = w.sum(axis=0), wx.sum(axis=0), np.einsum("ij,ij->j", wx, x)
+            if self.part % 2:
+                e = self.e[:, None]
+                gone = n * e
+                out[3:, own] = (w * e).sum(axis=0), (wx * e).sum(axis=0), (wx * x * e).sum(axis=0), gone.sum(axis=0), (gone * eta).sum(axis=0), (gone * x).sum(axis=0)
+        return out
+
+    def lines(self, use: np.ndarray, at: np.ndarray, beta: np.ndarray, mean: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+        """Log-likelihoods, gradients and information of models of one feature, given the later risk sets."""
+        out = np.zeros((3, len(at)))
+        gone = np.flatnonzero(self.e)
+        if not len(gone):
+            return out
+        fresh = np.concatenate([[True], self.t[1:] != self.t[:-1]])
+        first, which = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        died = np.flatnonzero(np.concatenate([[True], self.t[gone][1:] != self.t[gone][:-1]]))
+        when = which[gone][died]
+        for own, x, eta, n, w in self._columns(use, at, beta, mean):
+            terms = np.stack([w, w * x, w * x * x])
+            risk = np.add.reduceat(terms, first, axis=1)[:, ::-1].cumsum(axis=1)[:, ::-1][:, when]
+            if start is not None:
+                risk = risk + start[:, None, own]
+            out[0, own], out[1, own] = (n[gone] * eta[gone]).sum(axis=0), (n[gone] * x[gone]).sum(axis=0)
+            out[:, own] -= efron_lines(risk, np.add.reduceat(terms[:, gone], died, axis=1), np.add.reduceat(n[gone], died, axis=0))
+        return out
+
     def gram(self, use: int, features: np.ndarray, beta: np.ndarray, hazard: np.ndarray | float) -> np.ndarray:
         """Sums of products of features, by the rows' weights and hazards."""
         x, _, _, w = self._weighed(use, features, beta)
