@@ -42,17 +42,18 @@ def grouped(df: DataFrame, by: str, xs: list[str], train: Column | None = None)
     return keys, size, df.withColumnRenamed(by, "__by").join(F.broadcast(ids), F.col("__by").eqNullSafe(F.col("__key"))).drop("__by", "__key")  # a row a group
 
 
-def newton(groups: list[int], k: int, sums: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]], ridge: dict[int, float], rounds: int, tolerance: float, most: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Coefficients and standard errors by group; groups that have settled leave the later rounds.
+def newton(sizes: dict, sums: Callable[[dict], dict], ridge: dict, rounds: int, tolerance: float, most: float) -> dict:
+    """Coefficients and standard errors by group, of ``sizes`` coefficients; groups that have settled leave the later rounds.
 
     Groups that haven't after all rounds are left out, as singular ones are.
     """
-    beta, done = {g: np.zeros(k) for g in groups}, {}
+    beta, done = {g: np.zeros(k) for g, k in sizes.items()}, {}
     for _ in range(rounds):
         if not beta:
             break
         found = sums(beta)
         for g in list(beta):
+            k = sizes[g]
             score, info = found.get(g, (np.zeros(k), np.zeros((k, k))))
             score, info = score - ridge[g] * beta[g], info + (ridge[g] + 1e-12) * np.eye(k)
             try:
@@ -84,52 +85,90 @@ def cox(cells: DataFrame, groups: dict[int, int], time: str, event: str, xs: lis
 
     ``ridge`` is scaled by the rows.
     """
-    k = len(xs)
+    return cox_models(cells, groups, time, event, [xs], ridge, rounds)[0]
+
+
+def cox_models(cells: DataFrame, groups: dict[int, int], time: str, event: str, specs: list[list[str]], ridge: float = 0.0, rounds: int = 50) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """``cox`` for several lists of columns: a round is one pass for all that haven't settled."""
+    xs = list(dict.fromkeys(x for spec in specs for x in spec))
+    own = [[xs.index(x) for x in spec] for spec in specs]
     cells = cells.select("g", F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), "n", *[F.col(x).alias(f"z{i}") for i, x in enumerate(xs)])
     bounds = sorted(set(cells.approxQuantile("t", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES)) or []))
     cells = cut(cells.withColumn("at", bucket(F.col("t"), bounds) if bounds else F.lit(0)))
-    names = ["0", *[f"1_{i}" for i in range(k)], *[f"2_{i}_{j}" for i, j in _pairs(k)]]
-    width = k + len(_pairs(k))
-
-    def efron(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            s, t = (b[[f"{c}{n}" for n in names]].to_numpy(float) for c in "st")
-            deaths = b["d"].to_numpy(np.int64)
-            own, which = np.unique(b["g"].to_numpy(), return_inverse=True)
-            out = np.zeros((len(own), width))
-            np.add.at(out[:, :k], which, b[[f"x{i}" for i in range(k)]].to_numpy(float))
-            ends = np.cumsum(deaths)
-            for lo in range(0, int(ends[-1]), STEP):
-                one = np.arange(lo, min(lo + STEP, int(ends[-1])))
-                row = np.searchsorted(ends, one, side="right")
-                a = s[row] - ((one - ends[row] + deaths[row]) / deaths[row])[:, None] * t[row]
-                mean = a[:, 1 : 1 + k] / a[:, :1]
-                second = a[:, 1 + k :] / a[:, :1] - np.stack([mean[:, i] * mean[:, j] for i, j in _pairs(k)], axis=1)
-                np.add.at(out, which[row], np.hstack([-mean, second]))
-            yield pd.DataFrame({"g": own, **{f"v{i}": out[:, i] for i in range(width)}})
-
-    def sums(beta: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        rows = with_values(cells, beta, [f"b{i}" for i in range(k)])
-        z = [F.col(f"z{i}") for i in range(k)]
-        line = sum((F.col(f"b{i}") * z[i] for i in range(k)), F.lit(0.0))
-        rows = rows.withColumn("w", F.col("n") * F.exp(F.greatest(F.least(line, F.lit(500.0)), F.lit(-500.0))))
-        w, dead = F.col("w"), F.col("n") * F.col("e")
-        terms = [w, *[w * x for x in z], *[w * z[i] * z[j] for i, j in _pairs(k)]]
+    tasks = cells.sparkSession.sparkContext.defaultParallelism
+
+    def terms(m: int) -> list[str]:
+        k = len(own[m])
+        return [f"{m}_0", *[f"{m}_1_{i}" for i in range(k)], *[f"{m}_2_{i}_{j}" for i, j in _pairs(k)]]
+
+    def efron(active: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                deaths = b["d"].to_numpy(np.int64)
+                ends = np.cumsum(deaths)
+                g, which = np.unique(b["g"].to_numpy(), return_inverse=True)
+                out = {"g": g}
+                for m in active:
+                    k = len(own[m])
+                    s, t = (b[[f"{c}{n}" for n in terms(m)]].to_numpy(float) for c in "st")
+                    # A sum over deaths of (s - share t) / phi is t / t0 for each and what is left of s times the sum of 1 / phi.
+                    h, h2 = np.zeros(len(b)), np.zeros(len(b))
+                    for lo in range(0, int(ends[-1]), STEP):
+                        one = np.arange(lo, min(lo + STEP, int(ends[-1])))
+                        row = np.searchsorted(ends, one, side="right")
+                        phi = s[row, 0] - (one - ends[row] + deaths[row]) / deaths[row] * t[row, 0]
+                        h += np.bincount(row, 1 / phi, minlength=len(b))
+                        h2 += np.bincount(row, 1 / phi**2, minlength=len(b))
+                    a = t[:, 1:] / t[:, :1]
+                    rest = s[:, 1:] - s[:, :1] * a
+                    both = deaths[:, None] * a + h[:, None] * rest
+                    squares = np.stack([deaths * a[:, i] * a[:, j] + h * (a[:, i] * rest[:, j] + rest[:, i] * a[:, j]) + h2 * rest[:, i] * rest[:, j] for i, j in _pairs(k)], axis=1)
+                    found = np.hstack([b[[f"x{m}_{i}" for i in range(k)]].to_numpy(float) - both[:, :k], both[:, k:] - squares])
+                    out |= {f"v{m}_{i}": np.bincount(which, v, minlength=len(g)) for i, v in enumerate(found.T)}
+                yield pd.DataFrame(out)
+
+        return run
+
+    def sums(beta: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        active, going = sorted({m for m, _ in beta}), sorted({g for _, g in beta})
+        # A model that has settled goes on as zeros beside the others of its group.
+        values = {g: np.concatenate([beta.get((m, g), np.zeros(len(own[m]))) for m in active]) for g in going}
+        rows = with_values(cells, values, [f"b{m}_{i}" for m in active for i in range(len(own[m]))])
+        dead = F.col("n") * F.col("e")
+        for m in active:
+            line = sum((F.col(f"b{m}_{i}") * F.col(f"z{c}") for i, c in enumerate(own[m])), F.lit(0.0))
+            rows = rows.withColumn(f"w{m}", F.col("n") * F.exp(F.greatest(F.least(line, F.lit(500.0)), F.lit(-500.0))))
+        made = {}
+        for m in active:
+            z, w = [F.col(f"z{c}") for c in own[m]], F.col(f"w{m}")
+            made |= dict(zip(terms(m), [w, *[w * x for x in z], *[w * z[i] * z[j] for i, j in _pairs(len(z))]], strict=True))
+        gone = [f"x{m}_{i}" for m in active for i in range(len(own[m]))]
         per = rows.groupBy("g", "at", "t").agg(
-            *[F.sum(x).alias(f"s{n}") for n, x in zip(names, terms, strict=True)], *[F.sum(x * F.col("e")).alias(f"t{n}") for n, x in zip(names, terms, strict=True)],
-            F.sum(dead).alias("d"), *[F.sum(dead * x).alias(f"x{i}") for i, x in enumerate(z)],
+            *[F.sum(x).alias(f"s{n}") for n, x in made.items()], *[F.sum(x * F.col("e")).alias(f"t{n}") for n, x in made.items()],
+            F.sum(dead).alias("d"), *[F.sum(dead * F.col(f"z{c}")).alias(f"x{m}_{i}") for m in active for i, c in enumerate(own[m])],
         )
         later = Window.partitionBy("g").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
         inside = Window.partitionBy("g", "at").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        start = per.groupBy("g", "at").agg(*[F.sum(f"s{n}").alias(f"r{n}") for n in names]).select("g", "at", *[F.coalesce(F.sum(f"r{n}").over(later), F.lit(0.0)).alias(f"r{n}") for n in names])
-        risk = per.select("g", "at", "d", *[f"x{i}" for i in range(k)], *[f"t{n}" for n in names], *[F.sum(f"s{n}").over(inside).alias(f"s{n}") for n in names]).where("d > 0")
-        risk = risk.join(start, ["g", "at"]).select("g", "d", *[f"x{i}" for i in range(k)], *[f"t{n}" for n in names], *[(F.col(f"s{n}") + F.col(f"r{n}")).alias(f"s{n}") for n in names])
-        found = risk.mapInPandas(efron, "g int, " + ", ".join(f"v{i} double" for i in range(width))).groupBy("g").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).collect()
-        return {r["g"]: (np.array(r[1 : 1 + k]), _square(r[1 + k :], k)) for r in found}
-
-    return newton(list(groups), k, sums, {g: ridge * n for g, n in groups.items()}, rounds, 1e-9, 5.0)
+        start = per.groupBy("g", "at").agg(*[F.sum(f"s{n}").alias(f"r{n}") for n in made]).select("g", "at", *[F.coalesce(F.sum(f"r{n}").over(later), F.lit(0.0)).alias(f"r{n}") for n in made])
+        risk = per.select("g", "at", "d", *gone, *[f"t{n}" for n in made], *[F.sum(f"s{n}").over(inside).alias(f"s{n}") for n in made]).where("d > 0")
+        risk = risk.join(start, ["g", "at"]).select("g", "at", "d", *gone, *[f"t{n}" for n in made], *[(F.col(f"s{n}") + F.col(f"r{n}")).alias(f"s{n}") for n in made])
+        width = {m: len(own[m]) + len(_pairs(len(own[m]))) for m in active}
+        names = [f"v{m}_{i}" for m in active for i in range(width[m])]
+        # Few rows may stand for many deaths, so they are dealt over tasks.
+        dealt = risk.repartition(tasks, "g", "at").mapInPandas(efron(active), "g int, " + ", ".join(f"{v} double" for v in names))
+        found = {r["g"]: r for r in dealt.groupBy("g").agg(*[F.sum(v).alias(v) for v in names]).collect()}  # a row a group
+        out = {}
+        for m, g in beta:
+            if g in found:
+                v = [found[g][f"v{m}_{i}"] for i in range(width[m])]
+                out[m, g] = np.array(v[: len(own[m])]), _square(v[len(own[m]) :], len(own[m]))
+        return out
+
+    keys = [(m, g) for m in range(len(specs)) for g in groups]
+    done = newton({(m, g): len(own[m]) for m, g in keys}, sums, {(m, g): ridge * groups[g] for m, g in keys}, rounds, 1e-9, 5.0)
+    return [{g: done[m, g] for g in groups if (m, g) in done} for m in range(len(specs))]
 
 
 def logistic(cells: DataFrame, groups: list[int], label: str, xs: list[str], ridge: float = 1e-8, rounds: int = 100) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -147,26 +186,42 @@ def logistic(cells: DataFrame, groups: list[int], label: str, xs: list[str], rid
         found = rows.groupBy("g").agg(*[F.sum(x).alias(f"v{i}") for i, x in enumerate(terms)]).collect()
         return {r["g"]: (np.array(r[1 : 1 + k]), _square(r[1 + k :], k)) for r in found}
 
-    return newton(groups, k, sums, {g: ridge for g in groups}, rounds, 1e-10, float("inf"))
+    return newton({g: k for g in groups}, sums, {g: ridge for g in groups}, rounds, 1e-10, float("inf"))
 
 
 def dominance(key: np.ndarray, risk: np.ndarray, deaths: np.ndarray, count: np.ndarray) -> tuple[int, int, int]:
     """Pairs of a death and a row of a later key: all, those of a smaller risk, those of an equal one."""
 
-    def total(prefix: np.ndarray, counted: np.ndarray, asking: np.ndarray) -> int:
-        order = np.lexsort((-key, prefix))
-        p, at, own = prefix[order], key[order], np.arange(len(key))
-        fresh = np.concatenate([[True], p[1:] != p[:-1]])
+    def later(order_prefix: np.ndarray, at: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of earlier rows of a prefix with another key, and where the prefix starts; rows are in order of prefix and key."""
+        own = np.arange(len(at))
+        fresh = np.concatenate([[True], order_prefix[1:] != order_prefix[:-1]])
         moved = fresh | np.concatenate([[True], at[1:] != at[:-1]])
-        upto = np.concatenate([[0], np.cumsum(np.where(counted, count, 0)[order])])
-        later = upto[np.maximum.accumulate(np.where(moved, own, 0))] - upto[np.maximum.accumulate(np.where(fresh, own, 0))]
-        return int((np.where(asking, deaths, 0)[order] * later).sum())
+        upto, start = np.concatenate([[0], np.cumsum(counted)]), np.maximum.accumulate(np.where(fresh, own, 0))
+        return upto[np.maximum.accumulate(np.where(moved, own, 0))] - upto[start], start
 
     if not len(key):
         return 0, 0, 0
-    rank, every = np.unique(risk, return_inverse=True)[1].astype(np.int64), np.ones(len(key), bool)
-    smaller = sum(total(rank >> (b + 1), (rank >> b & 1) == 0, (rank >> b & 1) == 1) for b in range(int(rank.max()).bit_length()))
-    return total(np.zeros_like(rank), every, every), smaller, total(rank, every, every)
+    order = np.argsort(-key, kind="stable")
+    rank, at, d, n = np.unique(risk, return_inverse=True)[1].astype(np.int64)[order], key[order], deaths[order], count[order]
+    comparable = int((d * later(np.zeros_like(rank), at, n)[0]).sum())
+    smaller, own = 0, np.arange(len(key))
+    # From the highest bit on, rows of each prefix are parted by the next one and stay in order of keys: nothing is sorted again.
+    for b in reversed(range(int(rank.max()).bit_length())):
+        low = (rank >> b & 1) == 0
+        prefix = rank >> (b + 1)
+        found, start = later(prefix, at, np.where(low, n, 0))
+        smaller += int(np.where(low, 0, d * found).sum())
+        lows = np.concatenate([[0], np.cumsum(low)])
+        ends = np.concatenate([np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [len(key)]])
+        end = ends[np.searchsorted(ends, start, side="right")]
+        before = lows[own] - lows[start]
+        to = np.where(low, start + before, start + lows[end] - lows[start] + own - start - before)
+        moved = [np.empty_like(v) for v in (rank, at, d, n)]
+        for new, v in zip(moved, (rank, at, d, n), strict=True):
+            new[to] = v
+        rank, at, d, n = moved
+    return comparable, smaller, int((d * later(rank, at, n)[0]).sum())
 
 
 def concordance(df: DataFrame, time: str, event: str, risk: str, ranges: int = 0) -> DataFrame:

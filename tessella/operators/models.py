@@ -6,6 +6,7 @@ Groups and candidates are keys of one table of counts; the driver solves systems
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -153,15 +154,19 @@ def adjusted_models(df: DataFrame, by: str, time: str, event: str, main: str, sp
     columns = list(dict.fromkeys([main, *[c for s in specs.values() for c in s]]))
     keys, fit, z = standardised(df.select(by, time, event, *columns).dropna(), by, columns)
     cells = cut(z.groupBy("g", time, event, *columns).agg(F.count("*").alias("n")))
+    lists = [[main, *more] for more in specs.values()]
+    found = fits.cox_models(cells, {g: s[0] for g, s in fit.items()}, time, event, lists, penalty)
+    # A group's concordance with each model is a group of one count of pairs.
+    risks = []
+    for m, xs in enumerate(lists):
+        if found[m]:
+            valued = fits.with_values(cells, {g: b for g, (b, _) in found[m].items()}, [f"__b{i}" for i in range(len(xs))])
+            risks.append(valued.select((F.col("g") * len(lists) + m).alias("g"), time, event, "n", sum((F.col(f"__b{i}") * F.col(x) for i, x in enumerate(xs)), F.lit(0.0)).alias("risk")))
+    c = {r["g"]: r["c_index"] for r in fits.concordance(reduce(DataFrame.unionByName, risks), time, event, "risk").collect()} if risks else {}
     rows = []
-    for name, more in specs.items():
-        xs = [main, *more]
-        found = fits.cox(cells, {g: s[0] for g, s in fit.items()}, time, event, xs, penalty)
-        risks = fits.with_values(cells, {g: b for g, (b, _) in found.items()}, [f"__b{i}" for i in range(len(xs))]) if found else cells.where("false")
-        risk = sum((F.col(f"__b{i}") * F.col(x) for i, x in enumerate(xs)), F.lit(0.0)) if found else F.lit(0.0)
-        c = {r["g"]: r["c_index"] for r in fits.concordance(risks.withColumn("risk", risk), time, event, "risk").collect()} if found else {}
-        for g, (beta, se) in found.items():
-            rows.append((keys[g], name, fit[g][0], float(beta[0]), float(np.exp(beta[0])), float(se[0]), normal_p(float(beta[0] / se[0])), c.get(g)))
+    for m, name in enumerate(specs):
+        for g, (beta, se) in found[m].items():
+            rows.append((keys[g], name, fit[g][0], float(beta[0]), float(np.exp(beta[0])), float(se[0]), normal_p(float(beta[0] / se[0])), c.get(g * len(lists) + m)))
     kind = df.schema[by].dataType.simpleString()
     made = df.sparkSession.createDataFrame(rows, f"{by} {kind}, model string, n long, coef double, hazard_ratio double, se double, p_value double, c_index double")
     return intervals(made, "hazard_ratio")
