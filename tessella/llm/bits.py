@@ -60,6 +60,7 @@ def _bytes_of(byte: int) -> np.uint64:
 
 
 _ONES, _ODD, _PAIRS, _LOW, _TOP = (_bytes_of(b) for b in (0x01, 0x55, 0x33, 0x0F, 0x80))
+_ALL = U64(0xFFFFFFFFFFFFFFFF)
 #: By rank and byte, the position of the byte's set bit number ``rank``.
 _SELECT = np.zeros((8, 256), np.uint8)
 for _byte in range(256):
@@ -84,13 +85,12 @@ class EliasFano:
 
     The low bits are packed; the high bits are written in unary, a 1 for each value and a 0 for each step of the high
     part. ``search`` finds successors by selecting the two zeros that bound a high part and halving within its few values.
+    ``zeros`` counts the zeros before every second word, and all; it is stored too, so that loading touches no other word.
+    The high bits are fewer than 2**32.
     """
 
-    def __init__(self, n: int, low_width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_width, self.low, self.high = n, low_width, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self._ones = np.concatenate([[0], np.cumsum(ones)])
-        self._zeros = np.arange(len(self._ones), dtype=np.int64) * 64 - self._ones
+    def __init__(self, n: int, low_width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
+        self.n, self.low_width, self.low, self.high, self.zeros = n, low_width, low, high, zeros
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -100,20 +100,29 @@ class EliasFano:
         low_width = max(0, ((top + 1) // max(n, 1)).bit_length() - 1)
         low = pack(values & U64((1 << low_width) - 1), low_width) if low_width and n else np.zeros(1, U64)
         at = (values >> U64(low_width)).astype(np.int64) + np.arange(n, dtype=np.int64)
-        bits = np.zeros(((int(at[-1]) if n else 0) // 64 + 2) * 64, np.uint8)
+        bits = np.zeros((((int(at[-1]) if n else 0) // 64 + 2) // 2 + 1) * 128, np.uint8)
         bits[at] = 1
-        return cls(n, low_width, low, np.packbits(bits, bitorder="little").view(U64))
-
-    def _select(self, cumulative: np.ndarray, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(cumulative, rank, side="right") - 1
-        return word * 64 + _select_in_word(words[word], rank - cumulative[word])
+        high = np.packbits(bits, bitorder="little").view(U64)
+        return cls(n, low_width, low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(~high).astype(np.int64).reshape(-1, 2).sum(axis=1))]).astype(np.uint32))
+
+    def _select(self, before: np.ndarray, flip: np.uint64, rank: np.ndarray) -> np.ndarray:
+        """Where the bit number ``rank`` lies, by the counts of such bits before every second word; ``flip`` makes them ones."""
+        block = np.searchsorted(before, rank.astype(np.uint32), side="right") - 1
+        word, rest = block << 1, rank - before[block]
+        bits = self.high[word] ^ flip
+        here = np.bitwise_count(bits)
+        on = np.flatnonzero(rest >= here)
+        if len(on):
+            word[on] += 1
+            rest[on] -= here[on]
+            bits[on] = self.high[word[on]] ^ flip
+        return (word << 6) + _select_in_word(bits, rest)
 
     def _entries(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First entry and end of the entries with each high part: the ones between the zeros that bound it."""
-        top = self._zeros[-1]
+        top = int(self.zeros[-1])
         rank = np.minimum(part, top) - 1
-        word = np.searchsorted(self._zeros, rank, side="right") - 1
-        begin = np.where(rank >= 0, (word << 6) + _select_in_word(~self.high[word], np.maximum(rank - self._zeros[word], 0)) + 1, 0)
+        begin = np.where(rank >= 0, self._select(self.zeros, _ALL, np.maximum(rank, 0)) + 1, 0)
         first = begin - rank - 1
         # The entries of one part are few: the next zero mostly lies in the same word.
         word = begin >> 6
@@ -126,8 +135,7 @@ class EliasFano:
             last[far] = self.n
             far = far[part[far] < top]
             rank = part[far]
-            word = np.searchsorted(self._zeros, rank, side="right") - 1
-            last[far] = word * 64 + _select_in_word(~self.high[word], rank - self._zeros[word]) - rank
+            last[far] = self._select(self.zeros, _ALL, rank) - rank
         beyond = part > top
         if beyond.any():
             first[beyond] = last[beyond] = self.n
@@ -138,7 +146,8 @@ class EliasFano:
         at = np.asarray(at, np.int64)
         if not len(at):
             return np.zeros(0, U64)
-        high = (self._select(self._ones, self.high, at) - at).astype(U64)
+        ones = (np.arange(len(self.zeros), dtype=np.uint32) << np.uint32(7)) - self.zeros
+        high = (self._select(ones, U64(0), at) - at).astype(U64)
         return high << U64(self.low_width) | (gather(self.low, self.low_width, at) if self.low_width else U64(0))
 
     def _bounds(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,11 +197,13 @@ class EliasFano:
 
     def parts(self) -> list[np.ndarray]:
         """The arrays to store; ``load`` takes them back."""
-        return [np.array([self.n, self.low_width, len(self.low), len(self.high)], U64), self.low, self.high]
+        zeros = np.append(self.zeros, np.zeros(len(self.zeros) % 2, np.uint32)).view(U64)
+        return [np.array([self.n, self.low_width, len(self.low), len(self.high)], U64), self.low, self.high, zeros]
 
     @classmethod
     def load(cls, words: np.ndarray, at: int) -> tuple[EliasFano, int]:
         """The sequence stored from word ``at`` on, and the word after it."""
         n, low_width, lows, highs = (int(x) for x in words[at : at + 4])
-        mid = at + 4 + lows
-        return cls(n, low_width, words[at + 4 : mid], words[mid : mid + highs]), mid + highs
+        low, high = at + 4 + lows, at + 4 + lows + highs
+        end = high + (highs // 2 + 2) // 2
+        return cls(n, low_width, words[at + 4 : low], words[low:high], words[high:end].view(np.uint32)[: highs // 2 + 1]), end

@@ -12,7 +12,8 @@ estimate of a word. So probabilities over all words add up to 1, quantised or no
 
 A level is counted in one shuffle: tasks count their texts' keys in order and hand on blocks of them by range, with bounds
 from a sample of the keys; the tasks of the ranges add them up and write shards, which the tasks that score map into
-memory.
+memory. Every lookup of a lot of texts passes all shards, so lots are of millions of tokens: each distinct word, pair and
+triple of a lot is looked up once, and what tokens hold is which of these they are.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 from tessella.llm import store
 from tessella.llm.bits import EliasFano, gather
 from tessella.llm.shards import MANIFEST, SortedShards, load_packed, load_set, opened, packed, sets_of, sorted_shards
-from tessella.llm.tokens import portions
 from tessella.llm.words import word_hashes
 
 #: The token that ends each text: no word holds a line end.
@@ -38,11 +39,13 @@ END = xxhash.xxh64_intdigest(b"\n") >> 1
 #: Discount, and the quantiser: bits, and log10 a step.
 DISCOUNT, BITS, STEP = 0.75, 12, 0.002
 #: Entries of a level's shard, which bounds what a task that writes it holds.
-LEVEL_SHARD = 1 << 20
-#: Characters looked up at once, which bounds a task's arrays.
+LEVEL_SHARD = 1 << 21
+#: Characters hashed at once, which bounds a task's arrays.
 PORTION = 3_000_000
-#: Tokens that a task counts before it hands on blocks, entries that one adds up at once, and keys that the driver samples.
-COUNTED, HELD, SAMPLED = 1 << 20, 1 << 21, 1 << 17
+#: Tokens that a task counts or looks up at once, entries that one adds up at once, and keys that the driver samples.
+COUNTED, HELD, SAMPLED = 1 << 21, 1 << 21, 1 << 17
+#: Queries that a level answers at once: as a lot's are in order, those of a slice lie in few shards.
+SLICE = 1 << 19
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -58,6 +61,11 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return _PROBABILITIES[codes]
 
 
+def slices(n: int) -> list[slice]:
+    """Parts of ``n`` queries."""
+    return [slice(at, min(at + SLICE, n)) for at in range(0, n, SLICE)]
+
+
 @dataclass
 class LevelShard:
     """One range of a level: contexts, pointers, successors, codes, counts, and each context's sum of probabilities here."""
@@ -128,7 +136,12 @@ class Level:
     def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of entries (-1 where absent) and their probabilities (0 where absent)."""
         at, p = np.full(len(context), -1, np.int64), np.zeros(len(context))
-        known = np.flatnonzero((context >= 0) & (symbol >= 0))
+        for some in slices(len(context)):
+            self._find(context[some], symbol[some], at[some], p[some])
+        return at, p
+
+    def _find(self, context: np.ndarray, symbol: np.ndarray, at: np.ndarray, p: np.ndarray) -> None:
+        known = np.flatnonzero((context >= 0) & (symbol >= 0) & (self.n > 0))
         for i, own in self._deal(context[known], symbol[known]):
             own = known[own]
             shard = opened(self.paths[i], LevelShard.load)
@@ -143,12 +156,16 @@ class Level:
             own, place = own[hit], place[hit]
             at[own] = place + self.ranks[i]
             p[own] = _PROBABILITIES[gather(*shard.codes, place)]
-        return at, p
 
     def contexts(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each context's first successor, and the sum of its successors' probabilities; (-1, 0) where it has none."""
         start, mass = np.full(len(context), -1, np.int64), np.zeros(len(context))
-        known = np.flatnonzero(context >= 0)
+        for some in slices(len(context)):
+            self._contexts(context[some], start[some], mass[some])
+        return start, mass
+
+    def _contexts(self, context: np.ndarray, start: np.ndarray, mass: np.ndarray) -> None:
+        known = np.flatnonzero((context >= 0) & (self.n > 0))
         for i, own in self._deal(context[known], np.full(len(known), 1 << 62)):
             own = known[own]
             shard = opened(self.paths[i], LevelShard.load)
@@ -160,7 +177,6 @@ class Level:
             place = np.minimum(np.searchsorted(self.split, context), len(self.split) - 1)
             own = self.split[place] == context
             start[own], mass[own] = self.split_start[place[own]], self.split_mass[place[own]]
-        return start, mass
 
 
 def _block(c: np.ndarray, s: np.ndarray, n: np.ndarray) -> bytes:
@@ -185,24 +201,90 @@ def _added(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Counts of several blocks by key, in order, equal keys added up."""
     c, s, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
     width = int(s.max()) + 1
-    order = np.argsort(c * width + s, kind="stable") if int(c.max()) < (1 << 62) // width else np.lexsort((s, c))
+    least = int(c.min())
+    order = in_order((c - least) * width + s) if int(c.max()) - least < (1 << 62) // width else np.lexsort((s, c))
     c, s = c[order], s[order]
     first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])]))
     return [c[first], s[first], np.add.reduceat(n[order], first)]
 
 
-def _keys(keys_of, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+@dataclass
+class Lot:
+    """Texts whose tokens are looked up at once: distinct tokens in order, which of them each token is, and the texts' bounds.
+
+    ``rows`` are the texts' other columns.
+    """
+
+    rows: list[pa.RecordBatch]
+    distinct: np.ndarray
+    where: np.ndarray
+    bounds: np.ndarray
+
+
+def in_order(key: np.ndarray) -> np.ndarray:
+    """The positions of whole numbers from 0 on in order of these, equal ones in order of position.
+
+    Numbers with their positions below them are sorted several times as fast as positions by them; where both don't fit
+    in 63 bits the last bits of the numbers are left out, which seldom matters, and is seen.
+    """
+    bits = len(key).bit_length()
+    drop = max(0, int(key.max(initial=0)).bit_length() + bits - 63)
+    order = key >> drop
+    order <<= bits
+    order |= np.arange(len(key))
+    order.sort()
+    order &= (1 << bits) - 1
+    if drop:
+        found = key[order]
+        if (found[1:] < found[:-1]).any():
+            return np.argsort(key, kind="stable")
+    return order
+
+
+def distinct_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of some in order, which of them each is, and the first position of each, in few bytes."""
+    order = in_order(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    where, number = np.empty(len(key), np.int32), np.cumsum(new, dtype=np.int32)
+    number -= 1
+    where[order] = number
+    return key[new], where, order[new].astype(np.int32)
+
+
+def lots(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[Lot]:
+    """The tokens of all texts, in lots that end with the portion of texts that brings them to ``most`` tokens."""
+    rows, tokens, sizes = [], [], []
+
+    def lot() -> Lot:
+        distinct, where, _ = distinct_keys(np.concatenate(tokens))
+        found = Lot([*rows], distinct, where, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+        for held in (rows, tokens, sizes):
+            held.clear()
+        return found
+
     for b in batches:
-        own = b.column(0).to_pylist()
-        for lo, hi in portions(own, PORTION):
-            yield keys_of(*tokens_of(own[lo:hi]))
+        others = [n for n in b.schema.names if n != text]
+        chars = np.cumsum(pc.fill_null(pc.utf8_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // PORTION
+        cuts = [0, *(np.flatnonzero(np.diff(chars)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]) if b.num_rows else ():
+            hashes, bounds = tokens_of(b.column(text).slice(lo, hi - lo).to_pylist())
+            tokens.append(hashes)
+            sizes.append(np.diff(bounds))
+            if others:
+                # Rows are copied, as a slice would hold the whole batch.
+                rows.append(b.select(others).take(pa.array(np.arange(lo, hi))))
+            if sum(map(len, tokens)) >= most:
+                yield lot()
+    if tokens:
+        yield lot()
 
 
 class Counting:
-    """Counts keys ``c, s`` of all texts by range: ``keys_of`` gives those of tokens and the bounds of their texts."""
+    """Counts keys ``c, s`` of all texts by range: ``keys_of`` gives those of a lot, each once and in order, and their counts."""
 
     def __init__(self, texts: DataFrame):
-        self.texts = texts
+        self.texts, self.sample = texts, None
         chars, docs = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
         self.docs, self.tokens = docs, chars // 6 + docs + 1
         self.parts = max(1, -(-self.tokens // HELD), min(64, self.tokens // (1 << 15)))
@@ -210,13 +292,17 @@ class Counting:
     def bounds(self, keys_of) -> tuple[np.ndarray, np.ndarray]:
         """Keys that cut all into ranges of about equal sizes, from a sample whose size doesn't grow."""
         share = min(1.0, max(SAMPLED / self.tokens, 200 / max(1, self.docs)))
-        step = max(1, int(share * self.tokens) // SAMPLED)
+        step, most = max(1, int(share * self.tokens) // SAMPLED), COUNTED
+        if self.sample is None:
+            # Few texts: written once and read by few tasks, as each looks its words up in all shards.
+            self.sample = store.materialize(self.texts.sample(share, seed=1).repartition(8), "ngrams-sample")
 
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for c, s in _keys(keys_of, batches):
-                yield pa.RecordBatch.from_arrays([pa.array(c[::step]), pa.array(s[::step])], names=["c", "s"])
+            for lot in lots(batches, most):
+                c, s, n = keys_of(lot)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)[::step]) for x in (c, s)], names=["c", "s"])
 
-        found = self.texts.sample(share, seed=1).mapInArrow(some, "c long, s long").toArrow()
+        found = self.sample.mapInArrow(some, "c long, s long").toArrow()
         c, s = (found.column(i).to_numpy() for i in (0, 1))
         order = np.lexsort((s, c))[np.linspace(0, len(c), self.parts, endpoint=False, dtype=np.int64)[1:]] if len(c) else np.zeros(0, np.int64)
         c, s, _, _ = distinct_pairs(c[order], s[order])
@@ -225,26 +311,17 @@ class Counting:
     def counts(self, keys_of, bounds: tuple[np.ndarray, np.ndarray], write, kind: str) -> DataFrame:
         """What ``write`` makes of each range's keys and counts, which it gets as sorted arrays."""
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, held = [], 0
+        most = COUNTED
 
-            def blocks() -> pa.RecordBatch:
-                c, s, n = _added(found)
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for lot in lots(batches, most):
+                c, s, n = keys_of(lot)
                 at = np.searchsorted(c, bounds[0], side="left")
                 to = np.searchsorted(c, bounds[0], side="right")
                 cuts = [0, *(a + int(np.searchsorted(s[a:b], v)) if b > a else a for a, b, v in zip(at.tolist(), to.tolist(), bounds[1].tolist())), len(c)]
                 rows = [(i, _block(c[a:b], s[a:b], n[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "block"])
-
-            for c, s in _keys(keys_of, batches):
-                if len(c):
-                    found.append([c, s, np.ones(len(c), np.int64)])
-                    held += len(c)
-                if held >= COUNTED:
-                    yield blocks()
-                    found, held = [], 0
-            if held:
-                yield blocks()
+                del lot, c, s, n
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "block"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting, held, least = [], 0, HELD
@@ -321,50 +398,80 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tokens:
-    """Tokens of texts looked up in a trie: each distinct token and pair once, then spread to all places."""
+    """A lot's tokens looked up in a trie: distinct words, then distinct pairs, then distinct triples, each once and in order.
+
+    A token's pair is the word before it and its own, its triple the pair of the token before it and its own. Words before
+    are numbers among the lot's distinct words, as pairs before are among its pairs; -1 where a text begins. Words have
+    their ids in order of their hashes, so the numbers are in the trie's order.
+    """
 
     trie: Trie
+    where: np.ndarray
+    first: np.ndarray
     ids: np.ndarray
     counts: np.ndarray
-    first: np.ndarray
-    where: np.ndarray
-    distinct: np.ndarray
 
     @classmethod
-    def of(cls, trie: Trie, tokens: np.ndarray, bounds: np.ndarray) -> Tokens:
-        """Ids (-1 where unknown) and counts of tokens; ``first`` marks those that begin a text."""
-        distinct, where = np.unique(tokens, return_inverse=True)
-        rank, count = trie.words.find(distinct, columns=True)
-        first = np.zeros(len(tokens), bool)
-        first[bounds[:-1]] = True
-        return cls(trie, rank[where], count[where], first, where, rank)
-
-    def _previous(self, values: np.ndarray, none) -> np.ndarray:
-        """The value at the token before, ``none`` where a text begins."""
-        out = np.concatenate([np.array([none], values.dtype), values[:-1]])
-        out[self.first] = none
-        return out
+    def of(cls, trie: Trie, lot: Lot) -> Tokens:
+        """Ids (-1 where unknown) and counts of the distinct words; ``first`` are the tokens that begin a text."""
+        return cls(trie, lot.where, lot.bounds[:-1], *trie.words.find(lot.distinct, columns=True))
+
+    def _key(self, before: np.ndarray) -> np.ndarray:
+        """Each token's word and what the token before has, in one; 0 stands for none before."""
+        key = np.zeros(len(before), np.int64)
+        key[1:] = before[:-1]
+        key[1:] += 1
+        key[self.first] = 0
+        key *= len(self.ids)
+        key += self.where
+        return key
+
+    def _ids(self, number: np.ndarray) -> np.ndarray:
+        return np.where(number >= 0, self.ids[number], -1)
 
     def pairs(self) -> None:
-        """Of each token and the one before it: the pair's position in level 2, its probability, and its context's start and mass."""
-        before = self._previous(self.ids, -1)
-        unknown = (before < 0) | (self.ids < 0)
-        context, symbol, self.pair_where, _ = distinct_pairs(np.where(unknown, -1, before), np.where(unknown, -1, self.ids))
-        self.distinct_at, p = self.trie.pairs.find(context, symbol)
-        self.at, self.pair_p = self.distinct_at[self.pair_where], p[self.pair_where]
-        start, mass = self.trie.pairs.contexts(self.distinct)
-        self.start, self.mass = self._previous(start[self.where], -1), self._previous(mass[self.where], 0.0)
-
-    def triples(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pair before each token, and the token's pair as rank among its context's successors; -1 where either is missing."""
-        context = self._previous(self.at, -1)
-        both = (context >= 0) & (self.at >= 0)
-        return np.where(both, context, -1), np.where(both, self.at - self.start, -1)
-
-    def triple_masses(self) -> np.ndarray:
-        """The mass in level 3 of the pair before each token."""
-        _, mass = self.trie.triples.contexts(self.distinct_at)
-        return self._previous(mass[self.pair_where], 0.0)
+        """The distinct pairs: the word before and the word as numbers, and which of them each token has."""
+        key, self.pair, _ = distinct_keys(self._key(self.where))
+        self.before = (key // len(self.ids) - 1).astype(np.int32)
+        self.word = (key % len(self.ids)).astype(np.int32)
+
+    def find_pairs(self) -> np.ndarray:
+        """Position of each pair in level 2 and its probability, which is returned, and the start and mass of each word as a context."""
+        self.at, p = self.trie.pairs.find(self._ids(self.before), self._ids(self.word))
+        self.start, self.mass = self.trie.pairs.contexts(self.ids)
+        return p
+
+    def triples(self) -> None:
+        """The distinct triples: the pair before and the pair as numbers, and which of them each token has."""
+        # A pair before and a word tell the word's pair.
+        key, self.triple, at = distinct_keys(self._key(self.pair))
+        self.pair_before, self.own_pair = (key // len(self.ids) - 1).astype(np.int32), self.pair[at]
+
+    def triple_keys(self, some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Triples' pairs before by position in level 2, and own pairs as ranks among their contexts' successors; -1 where either is missing."""
+        before, pair = self.pair_before[some], self.own_pair[some]
+        context, relative = self.at[before], self.at[pair]
+        missing = (before < 0) | (context < 0) | (relative < 0)
+        relative -= self.start[self.before[pair]]
+        context[missing] = relative[missing] = -1
+        return context, relative
+
+    def probabilities(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Base probabilities of the distinct words, the model's of pairs or triples, and which of these each token has."""
+        base = self.trie.base(self.counts)
+        if not (self.trie.pairs and self.trie.pairs.n):
+            return base, base, self.where
+        self.pairs()
+        p = self.find_pairs()
+        p = p + (1.0 - np.where(self.before >= 0, self.mass[self.before], 0.0)) * base[self.word]
+        if not (self.trie.triples and self.trie.triples.n):
+            return base, p, self.pair
+        self.triples()
+        mass, out = self.trie.triples.contexts(self.at)[1], np.empty(len(self.own_pair))
+        for some in slices(len(out)):
+            before, own = self.pair_before[some], self.trie.triples.find(*self.triple_keys(some))[1]
+            out[some] = own + (1.0 - np.where(before >= 0, mass[before], 0.0)) * p[self.own_pair[some]]
+        return base, out, self.triple
 
 
 def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -391,14 +498,14 @@ def train(docs: DataFrame, path: str, text: str = "text") -> Trie:
     # Words' hashes are even, so no sample is needed.
     even = np.arange(1, counting.parts, dtype=object) * (1 << 63) // counting.parts
     even = (even.astype(np.int64), np.zeros(len(even), np.int64))
-    words = sorted_shards(counting.counts(lambda tokens, bounds: (tokens, np.zeros(len(tokens), np.int64)), even, lambda c, s, n: sets_of(iter([(c, n)]), f"{path}/words"), MANIFEST))
+    words = sorted_shards(counting.counts(lambda lot: (lot.distinct, np.zeros(len(lot.distinct), np.int64), np.bincount(lot.where)), even, lambda c, s, n: sets_of(iter([(c, n)]), f"{path}/words"), MANIFEST))
     trie = Trie(words, None, None)
 
-    def pair_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = Tokens.of(trie, tokens, bounds)
-        before = found._previous(found.ids, -1)
-        some = (before >= 0) & (found.ids >= 0)
-        return before[some], found.ids[some]
+    def pair_keys(lot: Lot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = Tokens.of(trie, lot)
+        found.pairs()
+        some = np.flatnonzero(found.before >= 0)
+        return found.ids[found.before[some]], found.ids[found.word[some]], np.bincount(found.pair)[some]
 
     def word_counts(ids: np.ndarray) -> np.ndarray:
         distinct, where = np.unique(ids, return_inverse=True)
@@ -406,12 +513,15 @@ def train(docs: DataFrame, path: str, text: str = "text") -> Trie:
 
     trie.pairs = _write_level(counting, pair_keys, f"{path}/pairs", word_counts)
 
-    def triple_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = Tokens.of(trie, tokens, bounds)
+    def triple_keys(lot: Lot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = Tokens.of(trie, lot)
         found.pairs()
-        context, relative = found.triples()
+        found.find_pairs()
+        found.triples()
+        (context, relative), n = found.triple_keys(), np.bincount(found.triple)
+        del found
         some = context >= 0
-        return context[some], relative[some]
+        return context[some], relative[some], n[some]
 
     def pair_counts(positions: np.ndarray) -> np.ndarray:
         distinct, where = np.unique(positions, return_inverse=True)
@@ -439,18 +549,9 @@ def _column_at(words: SortedShards, ranks: np.ndarray) -> np.ndarray:
 
 def token_probabilities(trie: Trie, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, base probabilities and model probabilities of tokens of texts."""
-    found = Tokens.of(trie, tokens, bounds)
-    base = trie.base(found.counts)
-    p = base.copy()
-    if trie.pairs and trie.pairs.n:
-        found.pairs()
-        p = found.pair_p + (1.0 - found.mass) * p
-        if trie.triples and trie.triples.n:
-            # In order, distinct queries touch neighbouring words of the shards.
-            context, symbol, where, _ = distinct_pairs(*found.triples())
-            own = trie.triples.find(context, symbol)[1][where]
-            p = own + (1.0 - found.triple_masses()) * p
-    return found.counts, base, p
+    found = Tokens.of(trie, Lot([], *distinct_keys(tokens)[:2], bounds))
+    base, p, which = found.probabilities()
+    return found.counts[found.where], base[found.where], p[which]
 
 
 def score(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -463,17 +564,20 @@ def score(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    # Kept columns may have any name, also these.
+    numbered = ["0", "text", *(str(2 + i) for i in range(len(keep)))]
+
+    most = COUNTED
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = b.column(1).to_pylist()
-            for lo, hi in portions(own, PORTION):
-                tokens, bounds = tokens_of(own[lo:hi])
-                counts, base, p = token_probabilities(trie, tokens, bounds)
-                sums = [np.add.reduceat(x, bounds[:-1]) for x in ((counts > 0).astype(np.int64), np.log10(base), np.log10(p))]
-                columns = [b.column(0).slice(lo, hi - lo), *(b.column(2 + i).slice(lo, hi - lo) for i in range(len(keep)))]
-                columns += [pa.array(np.diff(bounds)), pa.array(sums[0]), pa.array(np.full(hi - lo, trie.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *keep, *(n for n, _ in fields[1:])])
+        for lot in lots((pa.RecordBatch.from_arrays(b.columns, names=numbered) for b in batches), most):
+            found = Tokens.of(trie, lot)
+            base, p, which = found.probabilities()
+            sums = [np.add.reduceat(x[at], lot.bounds[:-1]) for x, at in (((found.counts > 0).astype(np.int64), found.where), (np.log10(base), found.where), (np.log10(p), which))]
+            rows = pa.concat_batches(lot.rows)
+            columns = [*rows.columns, pa.array(np.diff(lot.bounds)), pa.array(sums[0]), pa.array(np.full(rows.num_rows, trie.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            del lot, found, base, p, which
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *keep, *(n for n, _ in fields[1:])])
 
     kind = ", ".join(["doc_id long", *(f"`{k}` {types[k]}" for k in keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
     return rows.mapInArrow(each, kind)

@@ -19,20 +19,26 @@ from pyspark.sql import DataFrame
 from tessella.llm import store
 from tessella.llm.bits import EliasFano, gather, pack, width_of
 
-#: Keys a shard, and opened shards that a worker keeps.
-SHARD, MOST_OPEN = 1 << 21, 256
+#: Keys a shard; opened shards that a worker keeps, and bytes of those among them that it couldn't map.
+SHARD, MOST_OPEN, MOST_READ = 1 << 21, 1 << 13, 1 << 28
 
-_opened: OrderedDict[str, object] = OrderedDict()
+_opened: OrderedDict[str, tuple[object, int]] = OrderedDict()
+_read = 0
 
 
 def opened(path: str, load: Callable[[np.ndarray], object]) -> object:
     """What ``load`` makes of a shard's words; kept by path for the worker's later batches."""
+    global _read
     if path in _opened:
         _opened.move_to_end(path)
-        return _opened[path]
-    found = _opened[path] = load(np.frombuffer(store.read_shard(path), np.uint64))
-    if len(_opened) > MOST_OPEN:
-        _opened.popitem(last=False)
+        return _opened[path][0]
+    data = store.read_shard(path)
+    held = 0 if isinstance(data.obj, np.memmap) else len(data)
+    found = load(np.frombuffer(data, np.uint64))
+    _opened[path] = found, held
+    _read += held
+    while len(_opened) > MOST_OPEN or (_read > MOST_READ and len(_opened) > 1):
+        _read -= _opened.popitem(last=False)[1][1]
     return found
 
 
