@@ -16,8 +16,8 @@ from tessella.operators import fits, nested
 from tessella.operators.cuts import cut
 from tessella.operators.kernels import normal_p
 from tessella.operators.ranking import GROUP, RANGES, average_rank, bh_adjust, bucket, range_bounds, running
-from tessella.operators.resampling import RANGE_BITS, draw, poisson, replicates
-from tessella.operators.riskblocks import Fit, RiskBlocks, Spec
+from tessella.operators.resampling import RANGE_BITS, draw, poisson, poisson_counts, replicates
+from tessella.operators.riskblocks import RiskBlocks, Spec
 from tessella.operators.statistics import normal_tail
 
 #: The normal quantile of 0.975.
@@ -293,8 +293,7 @@ def bootstrap_cox(df: DataFrame, key: str, time: str, event: str, score: str, co
     rows = df.select(F.col(key).alias("id"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)]).dropna()
     one = rows.agg(*[f(f"x{i}").alias(f"{n}{i}") for i in range(len(xs)) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     z = F.array(*[F.coalesce(F.try_divide(F.col(f"x{i}") - F.lit(one[f"m{i}"]), F.lit(one[f"s{i}"])), F.lit(0.0)) for i in range(len(xs))])
-    weights = F.array(F.lit(1.0), *[poisson(seed, F.lit(r), F.col("id")).cast("double") for r in range(1, reps + 1)])
-    blocks = RiskBlocks(rows.select("t", "e", z.alias("x"), weights.alias("w")), "t", "e", "x", "w", plain=tuple(range(len(xs))))
+    blocks = RiskBlocks(poisson_counts(rows.select("id", "t", "e", z.alias("x")), "id", reps, seed), "t", "e", "x", "w", plain=tuple(range(len(xs))))
     out = dict.fromkeys(("coef", "hazard_ratio", "low", "high", "probability_positive", "c_index", "c_low", "c_high"))
     fits_ = blocks.fit([Spec(u, tuple(range(len(xs))), penalty) for u in range(reps + 1)], least=30) if blocks.n else []
     good = [f for f in fits_ if not f.error and f.settled and f.events >= least_deaths]
@@ -302,8 +301,7 @@ def bootstrap_cox(df: DataFrame, key: str, time: str, event: str, score: str, co
         return out | {"n": int(blocks.n), "valid": 0, "c_valid": 0}
     coefs = [float(f.beta[0]) for f in good[1:] if abs(f.beta[0]) <= most]
     # The score itself is the risk.
-    risk = {u: (Fit(Spec(u, (0,)), beta=np.ones(1), scale=np.ones(1)), u) for u in range(reps + 1)}
-    c = {r["g"]: r["c_index"] for r in fits.concordance(blocks.risks(risk), "t", "e", "risk").collect() if r["c_index"] is not None}  # a row a replicate
+    c = {u: v for u, v in blocks.concordances(0, list(range(reps + 1))).items() if v is not None}
     own = [v for u, v in c.items() if u]
     low, high = (None if v is None else math.exp(v) for v in _interval(coefs))
     c_low, c_high = _interval(own)

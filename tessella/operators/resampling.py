@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from tessella.operators.ranking import average_rank
 
 #: Low bits of draws that tell rows of one range apart: the high ones make 4096 ranges.
 RANGE_BITS = 20
+#: Cumulative probabilities of a Poisson variable of mean 1.
+STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+#: Messages hashed in a step.
+MESSAGES = 1 << 13
 
 
 def draw(*parts: str | Column) -> Column:
@@ -33,9 +40,81 @@ def replicates(df: DataFrame, n: int, out: str = "rep") -> DataFrame:
 def poisson(*parts: str | Column) -> Column:
     """A Poisson count of mean 1 from md5 of the parts: how often a bootstrap takes a row."""
     u = (draw(*parts) + 0.5) / float(1 << 32)
-    # Cumulative probabilities of a Poisson variable of mean 1.
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    return sum(((u > F.lit(s)).cast("long") for s in steps), F.lit(0).cast("long"))
+    return sum(((u > F.lit(s)).cast("long") for s in STEPS), F.lit(0).cast("long"))
+
+
+def md5_heads(prefix: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of md5 of ``prefix`` and each text of ``data``: as ``draw`` has them.
+
+    Messages of one block and of equal length are hashed at once; longer ones each by itself.
+    """
+    out = np.zeros(len(starts), np.uint32)
+    for size in np.unique(sizes):
+        own, length = np.flatnonzero(sizes == size), len(prefix) + int(size)
+        if length > 55:
+            raw = data.tobytes()
+            out[own] = [int.from_bytes(hashlib.md5(prefix + raw[lo : lo + size]).digest()[:4], "big") for lo in starts[own]]
+            continue
+        for lo in range(0, len(own), MESSAGES):
+            some = own[lo : lo + MESSAGES]
+            block = np.zeros((len(some), 64), np.uint8)
+            block[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+            block[:, len(prefix) : length] = data[starts[some][:, None] + np.arange(size)]
+            block[:, length] = 0x80
+            block[:, 56:] = np.frombuffer((8 * length).to_bytes(8, "little"), np.uint8)
+            words = np.ascontiguousarray(block.view("<u4").T)
+            # Words without a byte of the texts are the same for all.
+            same = [4 * i + 4 <= len(prefix) or 4 * i >= length for i in range(16)]
+            a, b, c, d = (np.full(len(some), v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+            for i in range(64):
+                if i < 16:
+                    f, at = d ^ (b & (c ^ d)), i
+                elif i < 32:
+                    f, at = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+                elif i < 48:
+                    f, at = b ^ c ^ d, (3 * i + 5) % 16
+                else:
+                    f, at = c ^ (b | ~d), 7 * i % 16
+                f += a
+                f += np.uint32((_SINES[i] + (int(words[at, 0]) if same[at] else 0)) & 0xFFFFFFFF)
+                if not same[at]:
+                    f += words[at]
+                turn = _TURNS[i // 16][i % 4]
+                turned = f << np.uint32(turn)
+                turned |= f >> np.uint32(32 - turn)
+                turned += b
+                a, d, c, b = d, c, b, turned
+            out[some] = (a + np.uint32(0x67452301)).byteswap()
+    return out
+
+
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+
+
+def poisson_counts(df: DataFrame, key: str, reps: int, seed: str, out: str = "w") -> DataFrame:
+    """``df`` with bytes in place of its ``key``: a 1 and then ``poisson(seed, rep, key)`` of replicates 1 to ``reps``; keys aren't null."""
+    # The least draws whose place in the unit interval is beyond each step.
+    least = [next(u for u in range(max(0, int(s * 2**32) - 2), 2**32) if (u + 0.5) / 2**32 > s) for s in STEPS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.num_columns - 1).cast(pa.large_string())
+            n = len(texts)
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            found = np.ones((n, 1 + reps), np.uint8)
+            for r in range(1, reps + 1):
+                u = md5_heads(f"{seed}|{r}|".encode(), data, ends[:-1], np.diff(ends))
+                found[:, r] = sum((u >= np.uint32(s)).view(np.uint8) for s in least)
+            at = np.arange(n + 1, dtype=np.int32) * (1 + reps)
+            w = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(found)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], w], names=names)
+
+    others = df.drop(key)
+    names = [*others.columns, out]
+    kind = others.select("*", F.lit(b"").alias(out)).schema
+    return df.select(*others.columns, F.col(key).cast("string").alias("__key")).mapInArrow(run, kind)
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: str, out: str = "fold", ties: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 Rows are dealt once by ranges of times and packed into blocks; a time of more rows than a block is a range of its own, in as
 many blocks as it needs. A model is a column of whole weights (a fold's training rows, a bootstrap's counts), some of the features, and
 a penalty. Each evaluation is a few jobs without a shuffle, for all models together: sums by block for the risk sets of
-earlier blocks, then gradients, then Hessians. Models of one feature are columns, worked out together in two jobs. Newton steps are proximal (coordinate descent with soft thresholds on the
+earlier blocks, then gradients, then Hessians. Models of one feature, and models of the same few, are columns, worked out together in two jobs. Newton steps are proximal (coordinate descent with soft thresholds on the
 quadratic model), and a step that worsens the penalised likelihood is halved.
 
 The driver gets a row of sums a block and model, and matrices of the size of a model's features.
@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.cuts import cut
-from tessella.operators.ranking import bucket
 
 #: Rows of a block, and bytes of its features, which keep it smaller where there are many.
 BLOCK, BYTES = 50_000, 8 << 20
@@ -28,6 +29,10 @@ BLOCK, BYTES = 50_000, 8 << 20
 STEP = 1 << 20
 #: Numbers of a step over rows and models of one feature.
 CELLS = 1 << 18
+#: Features of models that are worked out together, if all have the same, and deaths of times of their own that the driver adds up itself.
+FEW, OWN = 8, 1 << 18
+#: Rows of a range of risks aimed at, the most ranges, and rows that a task sorts before it deals them.
+BAND, BANDS, DEALT = 100_000, 512, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -112,43 +117,147 @@ def efron_lines(risk: np.ndarray, dead: np.ndarray, deaths: np.ndarray) -> np.nd
     return out
 
 
+def efron_sums(risk: np.ndarray, dead: np.ndarray, deaths: np.ndarray, k: int) -> np.ndarray:
+    """By model: what the risk sets of death times take from the log-likelihood and the gradient, and less what they give to the information.
+
+    ``risk`` and ``dead`` are sums of weights, of ``k`` features and of their products by time and model, ``deaths`` counts by time and model.
+    """
+    out = np.zeros((risk.shape[0], risk.shape[2]))
+    row, m = np.nonzero(deaths)
+    if not len(row):
+        return out
+    # A sum over deaths of (s - share t) / phi is t / t0 for each and what is left of s times the sum of 1 / phi.
+    s, t, d = risk[:, row, m], dead[:, row, m], deaths[row, m]
+    h, h2, logs = np.zeros(len(row)), np.zeros(len(row)), np.zeros(len(row))
+    ends = np.cumsum(d.astype(np.int64))
+    for lo in range(0, int(ends[-1]), STEP):
+        hi = min(lo + STEP, int(ends[-1]))
+        a, b = np.searchsorted(ends, [lo, hi - 1], side="right")
+        own = slice(a, b + 1)
+        upto = np.clip(ends[own], lo, hi) - lo
+        first = np.concatenate([[0], upto[:-1]])
+        many = upto - first
+        place = np.arange(lo, hi) - np.repeat(ends[own] - d[own].astype(np.int64), many)
+        phi = np.repeat(s[0, own], many) - place * np.repeat(t[0, own] / d[own], many)
+        inverse = 1 / phi
+        h[own] += np.add.reduceat(inverse, first)
+        h2[own] += np.add.reduceat(inverse * inverse, first)
+        logs[own] += np.add.reduceat(np.log(phi), first)
+    a = t[1:] / t[0]
+    b = s[1:] - s[0] * a
+    both = d * a + h * b
+    add = lambda v: np.bincount(m, v, minlength=risk.shape[2])
+    out[0] = add(logs)
+    for i in range(k):
+        out[1 + i] = add(both[i])
+    for q, (i, j) in enumerate(zip(*np.triu_indices(k))):
+        out[1 + k + q] = add(d * a[i] * a[j] + h * (a[i] * b[j] + b[i] * a[j]) + h2 * b[i] * b[j] - both[k + q])
+    return out
+
+
+def pairs(key: np.ndarray, risk: np.ndarray, dead: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Pairs of a death and a row of a later key by column of the counts ``n``: those of a smaller risk, and those of an equal one.
+
+    Rows are put in order of risk once, for all columns; from the highest bit of the keys on, each half goes on by itself.
+    """
+    out = np.zeros((2, n.shape[1]), np.int64)
+    if not len(key):
+        return out
+    k, r = (np.unique(v, return_inverse=True)[1].astype(np.int64) for v in (key, risk))
+    row = np.lexsort((k, r))
+    k, r = k[row], r[row]
+    died = np.asarray(dead)[row] > 0
+    places = np.arange(len(k))
+    fresh = lambda *by: np.concatenate([[True], np.any([v[1:] != v[:-1] for v in by], axis=0)])
+    since = lambda new: np.maximum.accumulate(np.where(new, places, 0))
+    upto = lambda new: np.append(np.flatnonzero(new)[1:], len(k))[np.cumsum(new) - 1]
+    # Columns at a time, which bound the running sums.
+    for lo in range(0, n.shape[1], width := max(1, (16 * CELLS) // len(k))):
+        cut_ = slice(lo, lo + width)
+        run, same = upto(fresh(r)), upto(fresh(r, k))
+        a = np.flatnonzero(died & (run > same))
+        if len(a):
+            total = np.concatenate([np.zeros((1, n[:1, cut_].shape[1]), np.int64), np.cumsum(n[row][:, cut_], axis=0, dtype=np.int64)])
+            out[1, cut_] = (n[row[a], cut_] * (total[run[a]] - total[same[a]])).sum(axis=0)
+    own = k, r, died, row
+    for b in reversed(range(int(k.max()).bit_length())):
+        k, r, died, row = own
+        late = (k >> b & 1) == 1
+        before = np.concatenate([[0], np.cumsum(late)])
+        group = fresh(k >> (b + 1))
+        a = np.flatnonzero(died & ~late)
+        start, end = before[since(group)[a]], before[since(group | fresh(r))[a]]
+        some = end > start
+        a, start, end = row[a[some]], start[some], end[some]
+        later = row[late]
+        for lo in range(0, n.shape[1], width):
+            cut_ = slice(lo, lo + width)
+            if len(a):
+                total = np.concatenate([np.zeros((1, n[:1, cut_].shape[1]), np.int64), np.cumsum(n[later, cut_], axis=0, dtype=np.int64)])
+                out[0, cut_] += np.einsum("ij,ij->j", n[a, cut_].astype(np.int64), total[end] - total[start])
+        if b:
+            half = k >> b
+            order = np.argsort(half.astype(np.uint16) if int(half.max()) < 1 << 16 else half, kind="stable")
+            own = tuple(v[order] for v in own)
+    return out
+
+
+def later_pairs(dead: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By column: deaths of each place times the counts of all later places."""
+    after = n[::-1].cumsum(axis=0)[::-1] - n
+    return (dead * after).sum(axis=0)
+
+
 class RiskBlocks:
     """Rows of a table with a time, an event, an array of features and one of weights, packed for many Cox models.
 
+    Whole weights below 256 may be given as the bytes of a binary column instead.
+
     Rows with a null time, event or feature, and those with features that aren't finite, are left out. Features in
     ``plain``, as those of categories, aren't scaled.
     """
 
     def __init__(self, df: DataFrame, time: str, event: str, features: str, weights: str, block: int = BLOCK, plain: tuple[int, ...] = ()):
-        rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(features).cast("array<double>").alias("x"), F.col(weights).cast("array<double>").alias("w"))
+        small = df.schema[weights].dataType.simpleString() == "binary"
+        w = F.col(weights) if small else F.col(weights).cast("array<double>")
+        rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(features).cast("array<double>").alias("x"), w.alias("w"))
         odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
         rows = cut(rows.where(F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("x").isNotNull() & ~odd))
-        one = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("k"), F.max(F.size("w")).alias("u")).first()
+        one = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("k"), F.max((F.length if small else F.size)("w")).alias("u")).first()
         self.n, self.k, self.uses = one["n"], max(one["k"] or 0, 0), max(one["u"] or 0, 0)
         block = min(block, max(1, BYTES // (8 * max(self.k, 1))))
         ranges = max(1, -(-self.n // block))
         bounds = sorted(set(rows.approxQuantile("t", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-        place = bucket(F.col("t"), bounds) if bounds else F.lit(0)
-        alone = F.coalesce(F.get(F.array(*map(F.lit, bounds)), place) == F.col("t"), F.lit(False)) if bounds else F.lit(False)
         # A time that fits in a block stays with the range that it ends.
-        often = [r["p"] for r in rows.groupBy(place.alias("p"), alone.alias("a")).count().where(F.col("a") & (F.col("count") > block)).collect()] if bounds else []
-        placed = rows.withColumn("part", (2 * place + (alone & place.isin(often)).cast("int")).cast("long"))
-        sizes = placed.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("chunks"))
-        chunk = F.when(F.col("part") % 2 == 1, F.pmod(F.xxhash64("x", "e"), F.col("chunks"))).otherwise(0)
-        dealt = placed.join(F.broadcast(sizes), "part").withColumn("chunk", chunk.cast("long"))  # a row a range
-
-        def pack(b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("t", kind="stable")
-            arrays = [b["t"].to_numpy(float), b["e"].to_numpy(float), *(np.stack([np.asarray(v, float) for v in b[c]]) for c in "xw")]
+        often = {r["t"]: r["count"] for r in rows.where(F.col("t").isin(bounds)).groupBy("t").count().where(F.col("count") > block).collect()} if bounds else {}
+        alone, chunks = sorted(often), {2 * int(np.searchsorted(bounds, t)) + 1: -(-c // block) for t, c in often.items()}
+        width = self.k, self.uses
+
+        @F.pandas_udf("long")
+        def part(t: pd.Series) -> pd.Series:
+            return pd.Series(2 * np.searchsorted(bounds, t.to_numpy(float)) + np.isin(t.to_numpy(float), alone))
+
+        placed = rows.withColumn("part", part("t")) if bounds else rows.withColumn("part", F.lit(0).cast("long"))
+        chunk = F.lit(0)
+        if chunks:
+            sizes = df.sparkSession.createDataFrame(sorted(chunks.items()), "part long, chunks int")
+            placed = placed.join(F.broadcast(sizes), "part", "left")  # a row a range
+            chunk = F.coalesce(F.pmod(F.xxhash64("x", "e"), F.col("chunks")), F.lit(0))
+        dealt = placed.withColumn("chunk", chunk.cast("long"))
+
+        def pack(b: pa.Table) -> pa.Table:
+            order = np.argsort(b["t"].to_numpy(), kind="stable")
+            x, w = (wide(b[c].combine_chunks(), size) for c, size in zip("xw", width))
+            arrays = [b["t"].to_numpy().astype(float), b["e"].to_numpy().astype(float), x, w]
             # Whole weights of a byte are kept as such; see ``unpack``.
-            if arrays[3].size and ((arrays[3] >= 0) & (arrays[3] < 256) & (arrays[3] % 1 == 0)).all():
-                arrays[3] = arrays[3].astype(np.uint8)
-            return pd.DataFrame([[b["part"].iloc[0], len(b), *(a.tobytes() for a in arrays)]], columns=["part", "rows", "t", "e", "x", "w"])
+            if w.dtype != np.uint8 and w.size and ((w >= 0) & (w < 256) & (w % 1 == 0)).all():
+                arrays[3] = w.astype(np.uint8)
+            return pa.table({"part": [b["part"][0].as_py()], "rows": [len(order)], **{c: [a[order].tobytes()] for c, a in zip("texw", arrays)}})
 
         # Tasks of about 64 MB, however many rows there are.
         tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.n * (self.k + self.uses) // (BYTES)))
-        packed = dealt.select("part", "chunk", "t", "e", "x", "w").repartition(tasks, "part", "chunk").groupBy("part", "chunk").applyInPandas(pack, "part long, rows long, t binary, e binary, x binary, w binary")
-        self.blocks, self.plain = cut(packed), np.array(plain, int)
+        packed = dealt.select("part", "chunk", "t", "e", "x", "w").repartition(tasks, "part", "chunk").groupBy("part", "chunk").applyInArrow(pack, "part long, rows long, t binary, e binary, x binary, w binary")
+        self.blocks, self.plain, self.rows = cut(packed), np.array(plain, int), rows
         self.spark = df.sparkSession
         self.parts = sorted(r[0] for r in self.blocks.select("part").distinct().collect())  # a row a range
         self.single = len(self.parts) == 1 and self.parts[0] % 2 == 0
@@ -204,6 +313,8 @@ class RiskBlocks:
         sizes = [len(f) for _, _, f, _ in sent]
         if sent and max(sizes) == min(sizes) == 1:
             return self._evaluate_lines(sent)
+        if len(sent) > 1 and sizes[0] <= FEW and all(np.array_equal(f, sent[0][2]) for _, _, f, _ in sent):
+            return self._evaluate_few(sent)
         out = {g: [0.0, np.zeros(k), np.zeros((k, k))] for (g, *_), k in zip(sent, sizes)}
         start = {p: None for p in self.parts}
         own: dict[int, list[tuple]] = {}
@@ -287,6 +398,146 @@ class RiskBlocks:
         out += self._summed(each).reshape(3, m)
         return {g: (float(out[0, i]), out[1:2, i], out[2:3, i].reshape(1, 1)) for i, (g, *_) in enumerate(sent)}
 
+    def _evaluate_few(self, sent: list[tuple]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """``evaluate`` for models of the same few features, which are taken less a mean; their products are summed with the risk sets."""
+        m, f = len(sent), sent[0][2]
+        use, beta, k = np.array([u for _, u, _, _ in sent]), np.array([b for *_, b in sent], float), len(f)
+        mean = np.nan_to_num(self.mean[use[0], f])
+        q = 1 + k + k * (k + 1) // 2
+        out, start = np.zeros((q, m)), {}
+        if not self.single:
+            sums = {p: np.zeros((2 * q + 2 + k if p % 2 else q, m)) for p in self.parts}
+            for part, packed in self._each(lambda b: iter([(b.part, b.few_totals(use, f, beta, mean).tobytes())]), "part long, v binary").collect():
+                sums[part] += np.frombuffer(bytes(packed)).reshape(-1, m)
+            later, own = np.zeros((q, m)), []
+            for p in reversed(self.parts):
+                start[p] = later
+                later = later + sums[p][:q]
+                if p % 2:
+                    # Times of their own: what they give follows from their sums.
+                    out[: 1 + k] += sums[p][2 * q + 1 :]
+                    own.append((later[:, None], sums[p][q : 2 * q, None], sums[p][2 * q : 2 * q + 1]))
+            out -= self._own_times(own, k) if own else 0.0
+        single = self.single
+
+        def each(b: Block) -> np.ndarray:
+            return np.zeros(q * m) if b.part % 2 else b.few(use, f, beta, mean, None if single else start[b.part]).ravel()
+
+        out += self._summed(each).reshape(q, m)
+        found, (i, j) = {}, np.triu_indices(k)
+        for at, (g, *_) in enumerate(sent):
+            info = np.zeros((k, k))
+            info[i, j] = info[j, i] = out[1 + k :, at]
+            found[g] = float(out[0, at]), out[1 : 1 + k, at], info
+        return found
+
+    def _own_times(self, own: list[tuple], k: int) -> np.ndarray:
+        """``efron_sums`` of times of their own; many deaths are added up in tasks."""
+        if sum(d.sum() for *_, d in own) <= OWN:
+            return sum(efron_sums(*o, k) for o in own)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"v": [efron_sums(*own[i], k).tobytes() for i in b["id"]]})
+
+        tasks = min(len(own), 4 * self.spark.sparkContext.defaultParallelism)
+        found = self.spark.range(0, len(own), 1, tasks).mapInPandas(run, "v binary").collect()  # a row a range
+        return sum(np.frombuffer(bytes(r[0])) for r in found).reshape(-1, own[0][0].shape[2])
+
+    def concordances(self, feature: int, uses: list[int]) -> dict[int, float | None]:
+        """Harrell's C by column of whole weights, larger values of a feature dying earlier; equal ones count half, none is without pairs.
+
+        Columns are counted together. Pairs of a block are counted in it, pairs of two blocks and one range of risks in
+        that range, the others from a grid of counts; a time of its own is two places, its deaths and then its other rows.
+        """
+        use = np.array(uses, int)
+        if not self.n:
+            return dict.fromkeys(uses)
+
+        def place(b: Block) -> np.ndarray:
+            return 2 * b.part + (1 - b.e.astype(np.int64) if b.part % 2 else np.zeros(len(b.t), np.int64))
+
+        def inside(b: Block) -> np.ndarray:
+            if b.part % 2:
+                return np.zeros(3 * len(use))
+            n = whole(b.w[:, use])
+            # In order of time, at one time the dead first.
+            key = 2 * np.cumsum(np.concatenate([[0], b.t[1:] != b.t[:-1]])).astype(np.int64) + (b.e == 0)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            all_ = np.add.reduceat(n[order], first, axis=0, dtype=np.int64)
+            dead = np.where((key[order][first] % 2 == 0)[:, None], all_, 0)
+            return np.concatenate([later_pairs(dead, all_), pairs(key, b.x[:, feature], b.e, n).ravel()]).astype(float)
+
+        total = self._summed(inside).reshape(3, -1)
+        places = np.unique([p for part in self.parts for p in ((2 * part, 2 * part + 1) if part % 2 else (2 * part,))])
+        if len(places) > 1:
+            total = total + self._between(feature, use, place, places)
+        return {u: (float((c + t / 2) / n) if n else None) for u, (n, c, t) in zip(uses, total.T)}
+
+    def _between(self, feature: int, use: np.ndarray, place: Callable[[Block], np.ndarray], places: np.ndarray) -> np.ndarray:
+        """Pairs of rows of different places: all, those of smaller and of equal risks, by column of weights."""
+        k, u, m = self.k, self.uses, len(use)
+        ranges = min(BANDS, max(1, -(-self.n // BAND)))
+        risk = self.rows.select(F.get("x", F.lit(feature)).alias("r"))
+        bounds = np.array(sorted(set(risk.approxQuantile("r", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else [])
+
+        def dealt(found: list[tuple]) -> pd.DataFrame:
+            at, r, e, n = (np.concatenate(v) for v in zip(*found))
+            order = np.lexsort((e, at, r))
+            at, r, e, n = at[order], r[order], e[order], n[order]
+            first = np.concatenate([[True], (at[1:] != at[:-1]) | (r[1:] != r[:-1]) | (e[1:] != e[:-1])])
+            if not first.all():
+                n = whole(np.add.reduceat(n, np.flatnonzero(first), axis=0, dtype=np.int64))
+                at, r, e = at[first], r[first], e[first]
+            band = np.searchsorted(bounds, r)
+            cuts = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
+            return pd.DataFrame([(int(band[a]), *(v[a:b].tobytes() for v in (at, r, e, n))) for a, b in zip(cuts, cuts[1:])], columns=["band", "at", "r", "e", "n"])
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found, size = [], 0
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    b = unpack(row, k, u)
+                    n = whole(b.w[:, use])
+                    own = np.flatnonzero(n.any(axis=1))
+                    if not len(own):
+                        continue
+                    found.append((np.searchsorted(places, place(b)[own]).astype(np.int32), b.x[own, feature] + 0.0, b.e[own].astype(np.uint8), n[own]))
+                    size += len(own)
+                    if size >= DEALT:
+                        yield dealt(found)
+                        found, size = [], 0
+            if found:
+                yield dealt(found)
+
+        def count(b: pa.Table) -> pa.Table:
+            at, r, e = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in b[c]]) for c, kind in (("at", np.int32), ("r", float), ("e", np.uint8)))
+            sizes = [len(v.as_py()) for v in b["e"]]
+            n = np.concatenate([np.frombuffer(v.as_py(), np.uint8 if len(v.as_py()) == size * m else np.int64).reshape(size, m) for v, size in zip(b["n"], sizes)])
+            own = pairs(at, r, e, n)
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
+            sums = np.zeros((2, len(places), m), np.int64)
+            sums[0, at[order][first]] = np.add.reduceat(n[order] * (e[order] > 0)[:, None], first, axis=0, dtype=np.int64)
+            sums[1, at[order][first]] = np.add.reduceat(n[order], first, axis=0, dtype=np.int64)
+            return pa.table({"use": pa.array(range(m), pa.int32()), "band": pa.array([b["band"][0].as_py()] * m, pa.int32()), "v": [np.ascontiguousarray(sums[:, :, i]).tobytes() for i in range(m)], "smaller": own[0], "equal": own[1]})
+
+        def grid(b: pa.Table) -> pa.Table:
+            order = np.argsort(b["band"].to_numpy())
+            dead, n = np.stack([np.frombuffer(b["v"][int(i)].as_py(), np.int64).reshape(2, -1) for i in order], axis=2)
+            after = n[::-1].cumsum(axis=0)[::-1] - n
+            below = after.cumsum(axis=1) - after
+            smaller, equal = (int(b[c].to_numpy().sum()) for c in ("smaller", "equal"))
+            return pa.table({"use": pa.array([b["use"][0].as_py()], pa.int32()), "all": [int((dead.sum(axis=1) * after.sum(axis=1)).sum())], "smaller": [int((dead * below).sum()) + smaller], "equal": [equal]})
+
+        pieces = self.blocks.mapInPandas(deal, "band int, at binary, r binary, e binary, n binary").repartition(len(bounds) + 1, "band")
+        bands = pieces.groupBy("band").applyInArrow(count, "use int, band int, v binary, smaller long, equal long")
+        out = np.zeros((3, m))
+        for row in bands.repartition(m, "use").groupBy("use").applyInArrow(grid, "use int, all long, smaller long, equal long").collect():  # a row a column
+            out[:, row["use"]] = row["all"], row["smaller"], row["equal"]
+        return out
+
     def _starts(self, sent: list[tuple], sizes: list[int]) -> tuple[dict, dict]:
         """By range: the risk sets of all later ranges, by model; and the sums of times that are ranges of their own."""
 
@@ -479,6 +730,56 @@ class Block:
             out[:, own] -= efron_lines(risk, np.add.reduceat(terms[:, gone], died, axis=1), np.add.reduceat(n[gone], died, axis=0))
         return out
 
+    def _few(self, use: np.ndarray, features: np.ndarray, beta: np.ndarray, mean: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some models at a time: their places, ones, features and products, and risks, counts and weights of the rows by model."""
+        x = self.x[:, features] - mean
+        i, j = np.triu_indices(len(features))
+        z = np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
+        width = max(1, 8 * CELLS // max(len(x), 1))
+        for lo in range(0, len(use), width):
+            own = slice(lo, lo + width)
+            eta = np.clip(x @ beta[own].T, -500, 500)
+            n = self.w[:, use[own]]
+            yield own, z, eta, n, n * np.exp(eta)
+
+    def few_totals(self, use: np.ndarray, features: np.ndarray, beta: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """Sums of weights, features and products by model; for a time of its own also those of the dead, their count, risks and features."""
+        k, found = len(features), []
+        for _, z, eta, n, w in self._few(use, features, beta, mean):
+            sums = [z.T @ w]
+            if self.part % 2:
+                died = np.flatnonzero(self.e)
+                gone = n[died]
+                sums += [z[died].T @ w[died], gone.sum(axis=0)[None], (gone * eta[died]).sum(axis=0)[None], z[died, 1 : 1 + k].T @ gone]
+            found.append(np.concatenate(sums))
+        return np.concatenate(found, axis=1)
+
+    def few(self, use: np.ndarray, features: np.ndarray, beta: np.ndarray, mean: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+        """Log-likelihoods, gradients and information of models of the same few features, given the later risk sets."""
+        k = len(features)
+        out = np.zeros((1 + k + k * (k + 1) // 2, len(use)))
+        died = np.flatnonzero(self.e)
+        if not len(died):
+            return out
+        fresh = np.concatenate([[True], self.t[1:] != self.t[:-1]])
+        first, which = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        starts = np.flatnonzero(np.concatenate([[True], self.t[died][1:] != self.t[died][:-1]]))
+        when = which[died][starts]
+
+        def by_time(z: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+            if len(at) <= 64:
+                return np.stack([z[a:b].T @ w[a:b] for a, b in zip(at, [*at[1:], len(w)])], axis=1)
+            return np.stack([np.add.reduceat(w * c[:, None], at, axis=0) for c in z.T])
+
+        for own, z, eta, n, w in self._few(use, features, beta, mean):
+            risk = by_time(z, w, first)[:, ::-1].cumsum(axis=1)[:, ::-1][:, when]
+            if start is not None:
+                risk = risk + start[:, None, own]
+            gone = n[died]
+            out[0, own], out[1 : 1 + k, own] = (gone * eta[died]).sum(axis=0), z[died, 1 : 1 + k].T @ gone
+            out[:, own] -= efron_sums(risk, by_time(z[died], w[died], starts), np.add.reduceat(gone, starts, axis=0), k)
+        return out
+
     def gram(self, use: int, features: np.ndarray, beta: np.ndarray, hazard: np.ndarray | float) -> np.ndarray:
         """Sums of products of features, by the rows' weights and hazards."""
         x, _, _, w = self._weighed(use, features, beta)
@@ -516,6 +817,21 @@ def unpack(row, k: int, u: int) -> Block:
     return Block(int(row.part), t, e, x, w.reshape(-1, u))
 
 
+def wide(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of arrays of ``size`` numbers, or of as many bytes."""
+    sizes = column.value_lengths() if isinstance(column, pa.ListArray) else pa.compute.binary_length(column)
+    if (sizes.to_numpy(zero_copy_only=False) != size).any():
+        raise ValueError(f"arrays of other sizes than {size}")
+    if isinstance(column, pa.ListArray):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+
+
+def whole(n: np.ndarray) -> np.ndarray:
+    """Whole counts in a byte each where they fit."""
+    return n.astype(np.uint8 if n.size and n.max() < 256 else np.int64)
+
+
 def proximal_step(beta: np.ndarray, grad: np.ndarray, info: np.ndarray, l1: float, l2: float) -> np.ndarray:
     """The coefficients that maximise the quadratic model less ``l1`` times their sizes and ``l2`` times half their squares."""
     info = info + 1e-10 * np.eye(len(beta))
