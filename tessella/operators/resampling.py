@@ -21,7 +21,7 @@ RANGE_BITS = 20
 #: Cumulative probabilities of a Poisson variable of mean 1.
 STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 #: Messages hashed in a step.
-MESSAGES = 1 << 13
+MESSAGES = 1 << 14
 
 
 def draw(*parts: str | Column) -> Column:
@@ -66,24 +66,38 @@ def md5_heads(prefix: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.nda
             # Words without a byte of the texts are the same for all.
             same = [4 * i + 4 <= len(prefix) or 4 * i >= length for i in range(16)]
             a, b, c, d = (np.full(len(some), v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+            f = np.empty_like(a)
             for i in range(64):
                 if i < 16:
-                    f, at = d ^ (b & (c ^ d)), i
+                    at = i
+                    np.bitwise_xor(c, d, out=f)
+                    f &= b
+                    f ^= d
                 elif i < 32:
-                    f, at = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+                    at = (5 * i + 1) % 16
+                    np.bitwise_xor(b, c, out=f)
+                    f &= d
+                    f ^= c
                 elif i < 48:
-                    f, at = b ^ c ^ d, (3 * i + 5) % 16
+                    at = (3 * i + 5) % 16
+                    np.bitwise_xor(b, c, out=f)
+                    f ^= d
                 else:
-                    f, at = c ^ (b | ~d), 7 * i % 16
-                f += a
-                f += np.uint32((_SINES[i] + (int(words[at, 0]) if same[at] else 0)) & 0xFFFFFFFF)
+                    at = 7 * i % 16
+                    np.invert(d, out=f)
+                    f |= b
+                    f ^= c
+                # What is added up in place of ``a`` becomes the next ``b``.
+                a += f
+                a += np.uint32((_SINES[i] + (int(words[at, 0]) if same[at] else 0)) & 0xFFFFFFFF)
                 if not same[at]:
-                    f += words[at]
+                    a += words[at]
                 turn = _TURNS[i // 16][i % 4]
-                turned = f << np.uint32(turn)
-                turned |= f >> np.uint32(32 - turn)
-                turned += b
-                a, d, c, b = d, c, b, turned
+                np.left_shift(a, np.uint32(turn), out=f)
+                a >>= np.uint32(32 - turn)
+                a |= f
+                a += b
+                a, b, c, d = d, a, b, c
             out[some] = (a + np.uint32(0x67452301)).byteswap()
     return out
 
